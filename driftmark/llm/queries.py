@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, repair, shared, warc
+from . import bitslice, decontaminate, packing, quality, repair, shared, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bitslice.search(table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared.scratch(spark, "repair")
     manifest = repair.write(table(spark, sf_dir, "documents"), out, vocabulary("word_bpe_49k.json"))
@@ -46,11 +51,36 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, out)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: log odds of low quality and toxicity, posterior log odds of being bad, keep."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lean = quality.scored(docs.select("doc_id", "source", "lang", "text"), quality.fit(docs, labels)).drop("text")
+    scores = shared.stored(lean, "quality")
+    out = quality.judged(scores, quality.posteriors(scores, "source", "lang"), "source", "lang")
+    return out.select("doc_id", F.round("dm_quality", 4).alias("quality_odds"), F.round("dm_toxic", 4).alias("toxic_odds"), F.round("dm_bad", 4).alias("bad_odds"), (F.col("dm_bad") < 0).alias("keep"))
+
+
 QUERIES = {
+    "op1_bitslice": op1_bitslice,
     "op4_repair": op4_repair,
     "op5_decontaminate": op5_decontaminate,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
+    "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_bitslice": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}
