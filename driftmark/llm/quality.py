@@ -45,7 +45,7 @@ def surface_of(text: str, words: list[str], distinct: int) -> list[float]:
     return [less(_UPPER) / n, less(_MARKS) / n, less(_DIGITS) / n, distinct / k, math.log1p(k), distinct / k * math.log1p(k), same / k, len(set(lines)) / max(1, len(lines)), len(text) / k / 10, less(b"!") / k, less(b"|") / k]
 
 
-def logistic(x, y, penalty: float = 1e-3, steps: int = 400):
+def logistic(x, y, penalty: float = 1e-4, steps: int = 1500):
     """Weights (bias last) of a logistic regression by accelerated gradient steps; zeros if y has one class."""
     import numpy as np
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, packing, quality, repair, shared, warc
+from . import bitslice, decontaminate, nearjoin, packing, quality, repair, shared, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("dm_quality", 4).alias("quality_odds"), F.round("dm_toxic", 4).alias("toxic_odds"), F.round("dm_bad", 4).alias("bad_odds"), (F.col("dm_bad") < 0).alias("keep"))
 
 
+def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bitslice": op1_bitslice,
     "op4_repair": op4_repair,
@@ -67,6 +71,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
+    "op10_nearjoin": op10_nearjoin,
 }
 
 ORACLE_SQL: dict[str, str] = {
