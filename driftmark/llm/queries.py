@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, nearjoin, packing, quality, repair, shared, warc
+from . import bitslice, decontaminate, nearjoin, packing, pseudolm, quality, repair, shared, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_pseudolm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudolm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_prob", 2).alias("log_prob"), F.round("mean_log_prob", 4).alias("mean_log_prob"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_bitslice": op1_bitslice,
     "op4_repair": op4_repair,
     "op5_decontaminate": op5_decontaminate,
+    "op6_pseudolm": op6_pseudolm,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
