@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, nearjoin, packing, pseudolm, quality, repair, shared, warc
+from . import bitslice, decontaminate, licences, nearjoin, packing, pseudolm, quality, repair, shared, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op1_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"]))), ",")
+    best = F.array_max(F.transform("matches", lambda m: m["dice"]))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licences"), F.coalesce(best, F.lit(0.0)).alias("best_dice"))
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared.scratch(spark, "repair")
     manifest = repair.write(table(spark, sf_dir, "documents"), out, vocabulary("word_bpe_49k.json"))
@@ -71,6 +78,7 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bitslice": op1_bitslice,
+    "op2_licences": op2_licences,
     "op4_repair": op4_repair,
     "op5_decontaminate": op5_decontaminate,
     "op6_pseudolm": op6_pseudolm,
@@ -80,7 +88,29 @@ QUERIES = {
     "op10_nearjoin": op10_nearjoin,
 }
 
+def _values(rows) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join(f"({', '.join(map(quote, r))})" for r in rows)
+
+
+_LICENCE_SQL = f"""
+WITH t(licence, gram) AS (VALUES {_values((k, g) for k, v in licences.TEMPLATES.items() for g in licences.bigrams(v))}),
+ts AS (SELECT licence, count(*) AS n FROM t GROUP BY licence),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS norm FROM documents),
+raw AS (SELECT r, unnest(list_concat(list_concat(regexp_split_to_array(norm, '\n'), regexp_split_to_array(norm, '\n *\n')), [norm])) AS u FROM d),
+u AS (SELECT DISTINCT r, trim(regexp_replace(u, ' *\n *| +', ' ', 'g')) AS u FROM raw),
+w AS (SELECT r, u, string_split(u, ' ') AS w FROM u),
+g AS (SELECT DISTINCT r, u, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w WHERE len(w) > 1),
+gs AS (SELECT r, u, count(*) AS n FROM g GROUP BY r, u),
+i AS (SELECT r, u, licence, count(*) AS k FROM g JOIN t USING (gram) GROUP BY r, u, licence),
+c AS (SELECT i.r, i.u, i.licence, CAST(2.0 AS DOUBLE) * k / (gs.n + ts.n) AS dice FROM i JOIN gs USING (r, u) JOIN ts USING (licence)),
+b AS (SELECT *, row_number() OVER (PARTITION BY r, u ORDER BY dice DESC, licence) AS o FROM c WHERE dice >= 0.8 - 1e-12)
+SELECT any_value(d.doc_id) AS doc_id, count(b.r) AS n_matches, coalesce(array_to_string(list_sort(list_distinct(list(b.licence) FILTER (WHERE b.licence IS NOT NULL))), ','), '') AS licences, coalesce(max(b.dice), 0.0) AS best_dice
+FROM d LEFT JOIN b ON d.r = b.r AND b.o = 1 GROUP BY d.r
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_licences": _LICENCE_SQL,
     "op1_bitslice": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
