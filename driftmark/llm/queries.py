@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, licences, nearjoin, packing, pseudolm, quality, repair, shared, warc
+from . import bitslice, decontaminate, licences, nearjoin, packing, personal, pseudolm, quality, repair, shared, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licences"), F.coalesce(best, F.lit(0.0)).alias("best_dice"))
 
 
+def op3_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda k: F.filter(base, lambda s: s["kind"] == k)
+    n = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    return found.select("doc_id", *n, F.sha2(personal.joined(base), 256).alias("base_sha256"), personal.joined(F.col("spans")).alias("spans"))
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared.scratch(spark, "repair")
     manifest = repair.write(table(spark, sf_dir, "documents"), out, vocabulary("word_bpe_49k.json"))
@@ -79,6 +87,7 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bitslice": op1_bitslice,
     "op2_licences": op2_licences,
+    "op3_personal": op3_personal,
     "op4_repair": op4_repair,
     "op5_decontaminate": op5_decontaminate,
     "op6_pseudolm": op6_pseudolm,
