@@ -145,3 +145,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     united = every.groupBy("dm_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("dm_words")).alias("w"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("w", lambda r: F.sequence(r["a"], r["b"] - 1)))))
     return united.select("doc_id", "n_words", hit.cast("long").alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"), F.array_distinct("items").alias("items"), "spans")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 512_000) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs. No shuffle; one scan for each block."""
+    at = docs.columns.index(text_col)
+
+    def keeper(shipped, key):
+        def run(batches):
+            import pyarrow as pa
+
+            if key not in _BUILT:
+                _BUILT.clear()
+                _BUILT[key] = automaton(shipped.value)
+            found = _BUILT[key]
+            for batch in batches:
+                texts = batch.column(at)
+                yield batch.filter(pa.array([not scan(found, texts[i].as_py())[1] for i in range(batch.num_rows)], pa.bool_()))
+
+        return run
+
+    for block in item_blocks(benchmark, item_col, item_text, window, block_bytes):
+        key = hashlib.sha256(repr(sorted(block.items())).encode()).hexdigest()
+        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(block), key), docs.schema)
+    return docs
