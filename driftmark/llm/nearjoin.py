@@ -18,6 +18,7 @@ copies; rows without id keep a null id and link to their copies only; an empty t
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from fractions import Fraction
@@ -28,57 +29,71 @@ from pyspark.sql import functions as F
 from . import shared
 from .components import components
 from .decontaminate import words_of
+from .tokens import Memo
 
 COORDINATES = 128
 
 
+def _mixed(x):
+    """Scrambled 64-bit values (array)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
-    def __init__(self, width: int, limit: int = 200_000):
+    def __init__(self, width: int, limit: int = 300_000):
         import numpy as np
+        import xxhash
 
-        self.width, self.limit, self.memo = width, limit, {}
-        rng = np.random.default_rng(width)
-        self.mult = rng.integers(1, 1 << 63, width, dtype="u8") * 2 + 1
-        self.coords = rng.integers(1, 1 << 63, COORDINATES, dtype="u8") * 2 + 1
+        self.width, self.memo = width, Memo(xxhash.xxh64_intdigest, limit)
+        self.mult = np.random.default_rng(width).integers(1, 1 << 63, width, dtype="u8") * 2 + 1
+        self.edges = np.arange(COORDINATES, dtype="u8") << np.uint64(64 - COORDINATES.bit_length() + 1)
+        steps = np.arange(64 * COORDINATES, dtype="u8")
+        self.tries = (_mixed(steps) % np.uint64(COORDINATES)).astype("i4").reshape(64, COORDINATES)
 
     def __call__(self, text: str | None):
         import numpy as np
-        import xxhash
 
         words = words_of(text)
         if not words:
             return np.zeros(0, "u8")
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        try:
-            h = np.fromiter(map(memo.__getitem__, words), "u8", len(words))
-        except KeyError:
-            for w in set(words) - memo.keys():
-                memo[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter(map(memo.__getitem__, words), "u8", len(words))
+        h = np.fromiter(map(self.memo.__getitem__, words), "u8", len(words))
         k = min(self.width, len(h))
         n = len(h) - k + 1
-        s = np.full(n, k, "u8")
-        for i in range(k):
-            s = (s ^ (s >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n] * self.mult[i]
-        s ^= s >> np.uint64(32)
-        s *= np.uint64(0xD6E8FEB86659FD93)
-        s ^= s >> np.uint64(32)
-        return np.unique(s)
-
-    def sketches(self, sets: list):
-        """Min-hashes (rows x COORDINATES, int32) of non-empty sets."""
+        s = h[:n] * self.mult[0]
+        for i in range(1, k):
+            s = (s ^ (s >> np.uint64(29))) + h[i : i + n] * self.mult[i]
+        s = np.sort(_mixed(s + np.uint64(k)))
+        return s[np.concatenate([[True], s[1:] != s[:-1]])] if n > 1 else s
+
+    def sketch(self, s):
+        """COORDINATES min-hashes (int32) of a non-empty set, by one permutation.
+
+        Coordinate i is the least hash in the i-th part of the hash range; an empty part takes that
+        of the first part with a hash in its own fixed sequence, so that each coordinate still
+        agrees with the chance that the Jaccard coefficient gives.
+        """
         import numpy as np
 
-        flat = np.concatenate(sets)
-        starts = np.cumsum([0, *map(len, sets)])[:-1]
-        out = np.empty((len(sets), COORDINATES), "i4")
-        for i, a in enumerate(self.coords):
-            out[:, i] = (np.minimum.reduceat(flat * a, starts) >> np.uint64(32)).astype("u4").view("i4")
-        return out
+        at = np.searchsorted(s, self.edges)
+        least = s[np.minimum(at, len(s) - 1)]
+        full = np.append(at[1:], len(s)) > at
+        if not full.all():
+            empty = np.flatnonzero(~full)
+            for row in self.tries:
+                source = row[empty]
+                good = full[source]
+                least[empty[good]] = least[source[good]]
+                empty = empty[~good]
+                if not len(empty):
+                    break
+            least[empty] = s[0]
+        return least.astype("u4").view("i4")
 
 
 def signature(s) -> tuple[int, int]:
@@ -99,17 +114,16 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             texts, ids = batch.column(1), batch.column(0).to_pylist()
             at = 0
             while at < len(ids):
-                sets, held, first = [], 0, at
-                while at < len(ids) and held < 60_000:
-                    sets.append(shingler(texts[at].as_py()))
-                    held += len(sets[-1])
-                    at += 1
+                first = at
+                at = min(len(ids), first + 500)
+                sets = [shingler(texts[i].as_py()) for i in range(first, at)]
                 full = [s for s in sets if len(s)]
-                mh = iter(shingler.sketches(full)) if full else iter(())
+                mh = map(shingler.sketch, full)
                 signs = [signature(s) if len(s) else (None, None) for s in sets]
                 rows = [next(mh) if len(s) else None for s in sets]
+                held = [r for r in rows if r is not None]
                 offsets = np.cumsum([0] + [COORDINATES if r is not None else 0 for r in rows])
-                flat = np.concatenate([r for r in rows if r is not None]) if full else np.zeros(0, "i4")
+                flat = np.concatenate(held) if held else np.zeros(0, "i4")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first:at], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))],
                     names=["doc_id", "node", "s2", "n", "mh"],
@@ -183,11 +197,26 @@ def roots_of(n: int, a, b):
     return root
 
 
-def loose_edges(buckets: DataFrame, floor: int, ratio: float) -> DataFrame:
+def floors(threshold: float, margin: float = 4.5):
+    """Least number of equal coordinates, by the size of the smaller set, that a pair at the threshold has but for ``margin`` deviations.
+
+    A set of n hashes fills about COORDINATES * (1 - exp(-n / COORDINATES)) parts; that many
+    coordinates are independent.
+    """
+    import numpy as np
+
+    n = np.arange(1, 16 * COORDINATES)
+    filled = COORDINATES * -np.expm1(-n / COORDINATES)
+    out = np.floor(COORDINATES * (threshold - margin * np.sqrt(threshold * (1 - threshold) / filled)))
+    return np.concatenate([[1], np.maximum(out, 1)]).astype("i4")
+
+
+def loose_edges(buckets: DataFrame, threshold: float) -> DataFrame:
     """(u, v) stars of what is alike by sketch within each bucket; buckets: key, part, other, node, n, mh.
 
     Rows of a bucket with other = 0 are compared with each other, those with other = 1 with the rest.
     """
+    low = floors(threshold)
 
     def work(batches):
         import numpy as np
@@ -203,8 +232,9 @@ def loose_edges(buckets: DataFrame, floor: int, ratio: float) -> DataFrame:
         left = np.flatnonzero(side == 0) if cross else np.arange(len(node))
         for i in range(0, len(left), step):
             rows = left[i : i + step]
-            same = (mh[rows][:, None, :] == mh[None, :, :]).sum(2, dtype="i4") >= floor
-            same &= (n[rows][:, None] >= ratio * n[None, :]) & (n[None, :] >= ratio * n[rows][:, None])
+            own, other = n[rows][:, None], n[None, :]
+            same = (mh[rows][:, None, :] == mh[None, :, :]).sum(2, dtype="i4") >= low[np.minimum(np.minimum(own, other), len(low) - 1)]
+            same &= (own >= threshold * other - 1e-9) & (other >= threshold * own - 1e-9)
             a, b = np.nonzero(same)
             a = rows[a]
             keep = (side[b] == 1) if cross else b > a
@@ -230,29 +260,40 @@ def blocks_of(rows: DataFrame, key: str, count: str, size: int) -> DataFrame:
     return rows.withColumn("dm_blocks", blocks).withColumn("dm_own", own).withColumn("dm_met", F.explode(met)).withColumn("part", F.col("dm_met.part")).withColumn("other", F.col("dm_met.other")).drop("dm_blocks", "dm_own", "dm_met")
 
 
-def chosen_paths(sets: DataFrame, runs: int, branch: int, limit: int, depth: int, scope: str) -> tuple[DataFrame, DataFrame]:
-    """Buckets to compare: (key, node) of small ones, and (key, c, node) of those that depth did not split."""
+def chosen_paths(sets: DataFrame, runs: int, branch: int, limit: int, scope: str, depth: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Buckets to compare: (key, node) of small ones, and (key, c, node) of large ones of alike sets.
+
+    A large bucket is split once more, unless a half of it would stay together: then its sets are
+    alike, splitting does not help, and it is compared block by block as it is. So each level at
+    least halves what it goes on with.
+    """
     import random
 
     rng = random.Random(7)
     first = F.array(*[F.xxhash64(F.lit(r * branch + j), F.element_at("mh", i + 1)) for r in range(runs) for j, i in enumerate(rng.sample(range(COORDINATES), branch))])
     rows = sets.select("node", F.explode(first).alias("key"))
-    small = None
-    for level in range(depth):
+    small, alike = [], []
+    for _ in range(depth):
         rows = shared.stored(rows, scope)
         # Buckets with the same members, which alike sets form over and over, are kept once.
         counts = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.hash("node")).alias("y")).where("c > 1")
         once = counts.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")
         met = shared.stored(rows.join(once, "key"), scope)
-        fits = met.where(F.col("c") <= limit).select("key", "node")
-        small = fits if small is None else small.union(fits)
+        small.append(met.where(F.col("c") <= limit).select("key", "node"))
         big = met.where(F.col("c") > limit)
-        if level == depth - 1 or big.isEmpty():
-            return small, big.select("key", "c", "node")
+        if big.isEmpty():
+            break
         at = lambda j: F.element_at("mh", (F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES)) + 1).cast("int"))
         again = F.array(*[F.xxhash64("key", F.lit(j), at(j)) for j in range(branch)])
-        rows = big.join(sets.select("node", "mh"), "node").select("node", F.explode(again).alias("key"))
-    raise AssertionError
+        split = shared.stored(big.join(sets.select("node", "mh"), "node").select("key", "c", "node", F.explode(again).alias("next")), scope)
+        kept = split.groupBy("key", "c", "next").count().where(F.col("count") >= F.col("c") / 2).select("key").distinct()
+        alike.append(big.join(kept, "key", "left_semi").select("key", "c", "node"))
+        rows = split.join(kept, "key", "left_anti").select("node", F.col("next").alias("key"))
+    else:
+        alike.append(big.select("key", "c", "node"))
+    union = lambda parts: functools.reduce(DataFrame.union, parts)
+    none = sets.where("false").select(F.col("node").alias("key"), F.col("c"), "node")
+    return union(small), union(alike or [none])
 
 
 def exact_links(texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -316,17 +357,15 @@ def exact_links(texts: DataFrame, width: int, threshold: float) -> DataFrame:
     return grouped(texts, ["key", "part"], [], work, "node long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, branch: int = 2, limit: int = 256, depth: int = 4, block: int = 1024, scope: str = "nearjoin") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, branch: int = 2, limit: int = 512, block: int = 1024, scope: str = "nearjoin") -> DataFrame:
     """Per row: doc_id, class_id (the least doc_id of its class), n_links (rows whose set has at least ``threshold``)."""
     sketches = shared.stored(sketched(docs, id_col, text_col, width), scope)
     lean = sketches.where("node is not null")
     sets = shared.stored(lean.groupBy("node", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("mh").alias("mh")), scope)
-    small, big = chosen_paths(sets, runs_needed(threshold, recall, branch), branch, limit, depth, scope)
-    spread = math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    floor = max(1, math.floor((threshold - 4.5 * spread) * COORDINATES))
+    small, big = chosen_paths(sets, runs_needed(threshold, recall, branch), branch, limit, scope)
     known = sets.select("node", "n", "mh")
     deal = blocks_of(big, "key", "c", block).select("key", "part", "other", "node").union(small.select("key", F.lit(0).cast("long"), F.lit(0), "node"))
-    stars = loose_edges(deal.join(known, "node").select("key", "part", "other", "node", "n", "mh"), floor, threshold)
+    stars = loose_edges(deal.join(known, "node").select("key", "part", "other", "node", "n", "mh"), threshold)
     loose = components(stars, scope)
     member = loose.select("node", F.col("root").alias("key")).union(loose.select(F.col("root"), "root").distinct())
     sized = member.join(member.groupBy("key").agg(F.count("*").alias("size")), "key")

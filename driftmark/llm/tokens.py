@@ -60,7 +60,7 @@ class ByteEncoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
-class _Memo(dict):
+class Memo(dict):
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit = make, limit
@@ -103,7 +103,7 @@ class WordEncoder:
             self.to_id[rank] = ids.get(k, 0)
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.memo = _Memo(self._chunk, limit)
+        self.memo = Memo(self._chunk, limit)
 
     def _chunk(self, chunk: str) -> bytes:
         import numpy as np
