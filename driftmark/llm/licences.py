@@ -57,7 +57,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("dm_norm"))
     maybe = F.regexp_replace("dm_norm", "\n", " ").rlike(r"\b(?:" + "|".join(hints) + r")\b")
 
-    trim = lambda u: F.trim(F.regexp_replace(u, " *\n *| +", " "))
+    trim = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
     units = F.array_distinct(F.transform(F.concat(F.split("dm_norm", "\n"), F.split("dm_norm", "\n *\n"), F.array("dm_norm")), trim))
     ids = [(k, F.lit(k), F.array(*[F.lit(x) for x in g]), len(g)) for k, g in known.items()]
 

@@ -107,7 +107,7 @@ WITH t(licence, gram) AS (VALUES {_values((k, g) for k, v in licences.TEMPLATES.
 ts AS (SELECT licence, count(*) AS n FROM t GROUP BY licence),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS norm FROM documents),
 raw AS (SELECT r, unnest(list_concat(list_concat(regexp_split_to_array(norm, '\n'), regexp_split_to_array(norm, '\n *\n')), [norm])) AS u FROM d),
-u AS (SELECT DISTINCT r, trim(regexp_replace(u, ' *\n *| +', ' ', 'g')) AS u FROM raw),
+u AS (SELECT DISTINCT r, trim(regexp_replace(u, '[ \\n]+', ' ', 'g')) AS u FROM raw),
 w AS (SELECT r, u, string_split(u, ' ') AS w FROM u),
 g AS (SELECT DISTINCT r, u, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w WHERE len(w) > 1),
 gs AS (SELECT r, u, count(*) AS n FROM g GROUP BY r, u),
