@@ -88,10 +88,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, kept: int = 512,
 
     found = rows.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "sparse array<int>, dense array<double>, quality int, toxic int").limit(2 * most).toArrow()
     n = found.num_rows
+    if not n:
+        nothing = {"words": {}, "dense": [], "bias": 0.0}
+        return {"mean": [], "spread": [], "quality": nothing, "toxic": nothing}
     dense = np.array(found.column("dense").to_pylist(), "f4").reshape(n, -1)
-    mean, spread = (dense.mean(0), dense.std(0) + 1e-6) if n else (np.zeros(0, "f4"), np.ones(0, "f4"))
+    mean, spread = dense.mean(0), dense.std(0) + 1e-6
     flat = found.column("sparse").combine_chunks()
-    values, offsets = flat.flatten().to_numpy(), np.diff(flat.offsets.to_numpy()) if n else np.zeros(0, int)
+    values, offsets = flat.flatten().to_numpy(), np.diff(flat.offsets.to_numpy())
     row = np.repeat(np.arange(n), offsets)
     out = {"mean": mean.tolist(), "spread": spread.tolist()}
     for name, y in (("quality", found.column("quality").to_numpy() < 1), ("toxic", found.column("toxic").to_numpy() > 0)):
