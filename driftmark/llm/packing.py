@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
         import numpy as np
         import pyarrow as pa
 
-        encoder, part, seen = tokens.ByteEncoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
+        encoder, part, seen = tokens.byte_encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows: list[tuple] = []

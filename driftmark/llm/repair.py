@@ -29,7 +29,27 @@ from . import shared, tokens
 _HEAD = "<4sIIIIQ"
 
 
-def compress(ids, ends, base: int, rounds: int = 5, per_round: int = 4096, least: int = 4):
+def _hashed(keys, bits: int = 18):
+    """Slots of 32- or 64-bit keys in a table of 2 ** bits."""
+    import numpy as np
+
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def _found(keys, chosen, bits: int = 18):
+    """(places in keys, numbers in chosen) of keys among the chosen ones. Of chosen keys that share a slot one counts this time."""
+    import numpy as np
+
+    table = np.zeros(1 << bits, "i2" if len(chosen) < 1 << 15 else "i4")
+    table[_hashed(chosen, bits)] = np.arange(len(chosen))
+    at = table[_hashed(keys, bits)]
+    places = np.flatnonzero(chosen[at] == keys)
+    return places, at[places].astype("i8")
+
+
+def compress(ids, ends, base: int, rounds: int = 3, per_round: int = 6144, least: int = 4):
     """(symbols, ends, rules, expansion lengths) of ids; ``ends``: one past the last id of each document.
 
     A round replaces up to ``per_round`` of the most frequent pairs at once. With 16-bit ids it stops
@@ -37,15 +57,18 @@ def compress(ids, ends, base: int, rounds: int = 5, per_round: int = 4096, least
     """
     import numpy as np
 
-    s, ends = np.asarray(ids, "<u4"), np.asarray(ends, "i8")
-    room = (1 << 16 if base < 1 << 16 else 1 << 31) - base
-    rules, sizes = np.zeros((0, 2), "<u4"), np.zeros(0, "<u4")
+    ends = np.asarray(ends, "i8")
+    narrow = base < 1 << 16
+    s = np.asarray(ids).astype("u2" if narrow else "u4")
+    room = (1 << 16 if narrow else 1 << 31) - base
+    kind, shift, low = ("u4", 16, 0xFFFF) if narrow else ("u8", 32, 0xFFFFFFFF)
+    rules, sizes = np.zeros((0, 2), "u4"), np.zeros(0, "u4")
     for _ in range(rounds):
         k = min(per_round, room - len(rules))
         if len(s) < 2 or k <= 0:
             break
-        wide = base + len(rules) > 1 << 16
-        pair = (s[:-1].astype("u8") << np.uint64(32)) | s[1:] if wide else (s[:-1] << 16) | s[1:]
+        pair = s[:-1].astype(kind) << shift
+        pair |= s[1:]
         inner = np.ones(len(pair), bool)
         inner[ends[(ends > 0) & (ends < len(s))] - 1] = False
         order = np.sort(pair[inner])
@@ -59,36 +82,27 @@ def compress(ids, ends, base: int, rounds: int = 5, per_round: int = 4096, least
         if not len(often):
             break
         chosen = np.sort(value[often])
-        shift, low = (32, 0xFFFFFFFF) if wide else (16, 0xFFFF)
-        left, right = (chosen >> shift).astype("i8"), (chosen & low).astype("i8")
-        top = base + len(rules)
-        as_left, as_right = np.zeros(top, bool), np.zeros(top, bool)
-        as_left[left], as_right[right] = True, True
-        maybe = np.flatnonzero(as_left[s[:-1]] & as_right[s[1:]] & inner)
-        at = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
-        same = chosen[at] == pair[maybe]
-        where, rule = maybe[same], at[same]
-        first = np.concatenate([[True], np.diff(where) != 1])  # of overlapping places every other one is taken
-        run = np.flatnonzero(first)
+        where, rule = _found(pair, chosen)
+        own = inner[where]
+        where, rule = where[own], rule[own]
+        run = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1]))
         odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1
-        where, rule = where[odd == 0], rule[odd == 0]
-        uses = np.bincount(rule, minlength=len(chosen))
-        keep = uses >= least - 1
+        where, rule = where[odd == 0], rule[odd == 0]  # of overlapping places every other one is taken
+        keep = np.bincount(rule, minlength=len(chosen)) >= least - 1
         number = np.cumsum(keep) - 1
         where, rule = where[keep[rule]], number[rule[keep[rule]]]
         if not len(where):
             break
-        size = lambda x: np.where(x < base, 1, sizes[np.maximum(x - base, 0)] if len(sizes) else 1)
-        left, right = left[keep], right[keep]
-        sizes = np.concatenate([sizes, (size(left) + size(right)).astype("<u4")])
-        s = s.copy()
-        s[where] = top + rule
-        gone = np.zeros(len(s), bool)
-        gone[where + 1] = True
+        left, right = (chosen[keep] >> shift).astype("i8"), (chosen[keep] & low).astype("i8")
+        every = np.concatenate([np.ones(base, "u4"), sizes])
+        sizes = np.concatenate([sizes, every[left] + every[right]])
+        s[where] = base + len(rules) + rule
+        stay = np.ones(len(s), bool)
+        stay[where + 1] = False
         before = len(s)
-        ends = ends - np.concatenate([[0], np.cumsum(gone)])[ends]
-        s = s[~gone]
-        rules = np.concatenate([rules, np.stack([left, right], 1).astype("<u4")])
+        ends = ends - np.searchsorted(where + 1, ends)
+        s = s[stay]
+        rules = np.concatenate([rules, np.stack([left, right], 1).astype("u4")])
         if len(s) > 0.98 * before:
             break
     return s, ends, rules, sizes
@@ -98,7 +112,7 @@ def expand(s, base: int, rules):
     """The ids that symbols stand for."""
     import numpy as np
 
-    s = np.asarray(s, "<u4")
+    s = np.asarray(s, "u4")
     while True:
         big = s >= base
         if not big.any():
@@ -111,6 +125,18 @@ def expand(s, base: int, rules):
         s = out
 
 
+def expand_all(s, base: int, rules, sizes):
+    """The same for many symbols: each rule is expanded once."""
+    import numpy as np
+
+    flat = np.concatenate([np.arange(base, dtype="u4"), expand(np.arange(base, base + len(rules)), base, rules)])
+    size = np.concatenate([np.ones(base, "i8"), sizes])
+    first = np.cumsum(size) - size
+    own = size[s]
+    ends = np.cumsum(own)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[s] - (ends - own), own)]
+
+
 def to_bytes(doc_ids: list[int | None], ids, ends, base: int) -> bytes:
     """A segment file's content."""
     import numpy as np
@@ -193,7 +219,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 1, id_col: str = "
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(out)
-        encoder = tokens.WordEncoder(path)
+        encoder = tokens.word_encoder(path)
         base = encoder.library.get_vocab_size()
         shard, segment, made = TaskContext.get().partitionId(), 0, []
         end = struct.pack("<I", end_id)
@@ -253,7 +279,7 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.open_input_stream(f"{root}/{name}", compression=None) as f:
                     seg = Segment(f.read())
-                flat = expand(seg.symbols, seg.base, seg.rules)
+                flat = expand_all(seg.symbols, seg.base, seg.rules, seg.sizes)
                 ends = np.cumsum(seg.counts)
                 view = memoryview(flat.tobytes())
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - seg.counts).tolist(), ends.tolist(), strict=True)]

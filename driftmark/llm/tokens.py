@@ -8,11 +8,14 @@ both ways against each other.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
+from array import array
 
 #: Characters for which both libraries split, fold and classify alike.
+_MARKS = ".,;:!?*$%&#|\")"
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ɏ]")
 
 
@@ -61,6 +64,8 @@ class ByteEncoder:
 
 
 class Memo(dict):
+    """make(key) of each key, at most ``limit`` of them at a time."""
+
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit = make, limit
@@ -76,12 +81,12 @@ class WordEncoder:
     """A BPE file with word ends, lower case, white space dropped.
 
     No token spans a space, so a text's ids are those of its space-separated chunks in turn; a memo
-    of at most ``limit`` chunks holds them. A word's last byte and its end mark merge first of all,
-    which one byte that UTF-8 never uses stands for.
+    of at most ``limit`` chunks holds them, another one words. A word's last byte and its end mark
+    merge first of all, which one byte that UTF-8 never uses stands for; the ids of such a file rise
+    in the order of its merges, so they serve as ranks.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
-        import numpy as np
+    def __init__(self, path: str, limit: int = 300_000):
         import regex
         import tiktoken
 
@@ -93,28 +98,43 @@ class WordEncoder:
             end = token.endswith("</w>")
             return bytes(back[c] for c in (token[:-4] if end else token)) + b"\xff" * end
 
-        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(256)}
-        for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
-            ranks.setdefault(raw(a) + raw(b), len(ranks) + 256)
         special = {x["content"] for x in spec["added_tokens"]}
-        ids = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-        self.to_id = np.zeros(max(ranks.values()) + 1, "<u4")
-        for k, rank in ranks.items():
-            self.to_id[rank] = ids.get(k, 0)
+        vocab = spec["model"]["vocab"]
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        if made != sorted(made) or (made and made[0] < 512):
+            raise ValueError(f"{path}: ids do not rise with merges")
+        ranks = {raw(k): v for k, v in vocab.items() if k not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.words = Memo(self._word, limit)
         self.memo = Memo(self._chunk, limit)
 
-    def _chunk(self, chunk: str) -> bytes:
-        import numpy as np
+    def _word(self, word: str) -> bytes:
+        return array("I", self.merge(word.encode() + b"\xff")).tobytes()
 
-        if _ODD.search(chunk) or "<|" in chunk:
-            return np.asarray(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        ranks: list[int] = []
-        for piece in self.pieces(chunk.lower()):
-            ranks += self.merge(piece.encode() + b"\xff")
-        return self.to_id[ranks].tobytes() if ranks else b""
+    def _chunk(self, chunk: str) -> bytes:
+        if not (chunk.isascii() and chunk.isprintable()) and _ODD.search(chunk) or "<|" in chunk:
+            return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+        low = chunk.lower()
+        if low.isalpha():
+            return self._word(low)
+        word = low.rstrip(_MARKS)
+        if word.isalpha():  # letters, then marks: two pieces
+            return self.words[word] + self.words[low[len(word) :]]
+        return b"".join(map(self.words.__getitem__, self.pieces(low)))
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text (null: none)."""
         return b"".join(map(self.memo.__getitem__, text.split(" "))) if text else b""
+
+
+@functools.lru_cache(maxsize=2)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder for all tasks of a worker process."""
+    return ByteEncoder(path)
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder, and one memo, for all tasks of a worker process."""
+    return WordEncoder(path)
