@@ -63,7 +63,7 @@ def logistic(x, y, penalty: float = 1e-4, steps: int = 1500):
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, kept: int = 512, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, kept: int = 512, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The two models, fitted on at most ``most`` labelled documents, the first by a hash of the id.
 
     Of the hashed features the ``kept`` most telling ones (by likelihood ratio) enter each model.
@@ -91,30 +91,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, kept: int = 512,
     if not n:
         nothing = {"words": {}, "dense": [], "bias": 0.0}
         return {"mean": [], "spread": [], "quality": nothing, "toxic": nothing}
-    dense = np.array(found.column("dense").to_pylist(), "f4").reshape(n, -1)
+    dense = found.column("dense").combine_chunks().flatten().to_numpy().astype("f4").reshape(n, -1)
     mean, spread = dense.mean(0), dense.std(0) + 1e-6
-    flat = found.column("sparse").combine_chunks()
-    values, offsets = flat.flatten().to_numpy(), np.diff(flat.offsets.to_numpy())
-    row = np.repeat(np.arange(n), offsets)
+    sparse = found.column("sparse").combine_chunks()
+    values, ends = sparse.flatten().to_numpy(), sparse.offsets.to_numpy() - sparse.offsets[0].as_py()
+    step = 500  # documents at a time, so that what the driver holds beside the features stays small
     out = {"mean": mean.tolist(), "spread": spread.tolist()}
     for name, y in (("quality", found.column("quality").to_numpy() < 1), ("toxic", found.column("toxic").to_numpy() > 0)):
-        y = y.astype("f4")
-        a = np.bincount(values, weights=y[row], minlength=SPACE) + 0.0
-        b = np.bincount(values, minlength=SPACE) - a
-        pos, neg = max(1.0, y.sum()), max(1.0, n - y.sum())
+        seen, bad = np.zeros(SPACE), np.zeros(SPACE)
+        for i in range(0, n, step):
+            own, row = values[ends[i] : ends[min(n, i + step)]], np.repeat(y[i : i + step], np.diff(ends[i : i + step + 1]))
+            seen += np.bincount(own, minlength=SPACE)
+            bad += np.bincount(own[row], minlength=SPACE)
+        good, pos, neg = seen - bad, max(1.0, float(y.sum())), max(1.0, float(n - y.sum()))
         cell = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
-        rate = (a + b) / max(1, n)
-        gain = cell(a, pos * rate) + cell(b, neg * rate) + cell(pos - a, pos * (1 - rate)) + cell(neg - b, neg * (1 - rate))
-        gain[(a + b) < 3] = 0
+        rate = seen / n
+        gain = cell(bad, pos * rate) + cell(good, neg * rate) + cell(pos - bad, pos * (1 - rate)) + cell(neg - good, neg * (1 - rate))
+        gain[seen < 3] = 0
         top = np.lexsort((np.arange(SPACE), -gain))[:kept]
         top = top[gain[top] > 6]
-        at = np.full(SPACE, -1)
+        at = np.full(SPACE, -1, "i4")
         at[top] = np.arange(len(top))
         x = np.zeros((n, len(top) + dense.shape[1]), "f4")
-        inside = at[values] >= 0
-        x[row[inside], at[values[inside]]] = 1
+        for i in range(n):
+            own = at[values[ends[i] : ends[i + 1]]]
+            x[i, own[own >= 0]] = 1
         x[:, len(top) :] = (dense - mean) / spread
-        w = logistic(x, y)
+        w = logistic(x, y.astype("f4"))
         out[name] = {"words": dict(zip(top.tolist(), w[: len(top)].tolist(), strict=True)), "dense": w[len(top) : -1].tolist(), "bias": float(w[-1])}
     return out
 
