@@ -37,10 +37,9 @@ def normalise_text(c: Column | str) -> Column:
 
 def nfc(df: DataFrame, *columns: str) -> DataFrame:
     """Compose combining marks. Only rows that hold such marks go through Python (Arrow batches)."""
-    import pandas as pd
 
     @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
+    def compose(s):
         return s.str.normalize("NFC")
 
     marked = F.coalesce(reduce(lambda a, b: a | b, [F.col(c).rlike(r"\p{M}") for c in columns]), F.lit(False))
@@ -164,6 +163,11 @@ def way_fingerprint(refs: Column) -> Column:
     return F.when(F.size(refs) > 0, F.concat(F.lit("way:"), F.sha2(F.array_join(F.transform(refs, lambda r: r.cast("string")), ","), 256))).otherwise("")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once and written once in the plan."""
+    return F.transform(F.array(value), body)[0]
+
+
 def draw(seed: int | str, salt: str, *keys: Column) -> Column:
     """A uniform number in [0, 1) fixed by seed, salt and keys; the same in any partitioning and in SQL."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[k.cast("string") for k in keys])

@@ -133,10 +133,9 @@ def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def with_p_value(df: DataFrame, column: str = "statistic") -> DataFrame:
     """df with p_value of a chi-square statistic of one degree of freedom. Arrow batches, as SQL has no erfc."""
-    import pandas as pd
 
     @F.pandas_udf("double")
-    def tail(s: pd.Series) -> pd.Series:
+    def tail(s):
         import math
 
         return s.map(lambda x: math.erfc(math.sqrt(x / 2)))

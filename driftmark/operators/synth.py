@@ -7,6 +7,8 @@ surface stays, and a quota is taken; a quota that cannot be met is an error.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -82,51 +84,77 @@ def attempts(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.withColumn("dm_try", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("dm_key", F.concat_ws("#", F.col(key).cast("string"), F.col("dm_try").cast("string")))
 
 
+def _state(fields: dict[str, Column], ops: Column, **more: Column) -> Column:
+    return F.struct(*[fields[f].alias(f) for f in T.FIELDS], ops.alias("ops"), *[c.alias(n) for n, c in more.items()])
+
+
+def _noted(ops: Column, when: Column, *names: Column) -> Column:
+    """ops with the names added where a condition holds."""
+    return F.when(when, F.concat(ops, F.array(*names))).otherwise(ops)
+
+
+def _on_one(state: Column, salt: str, op: str, when: Column, make, seed, k: Column) -> Column:
+    """One random field with letters changed by make(), and the operation noted if it did change."""
+    words = ("TenDuong", "PhuongXa", "QuanHuyen", "TinhThanh")
+
+    def pick(s):
+        able = F.filter(F.array(*[F.when(s[f].rlike(r"(?U)\p{L}"), F.lit(f)) for f in words]), lambda x: x.isNotNull())
+        chosen = T.let(able, lambda a: F.when(when & (F.size(a) > 0), F.get(a, F.floor(T.draw(seed, salt, k) * F.size(a)).cast("int"))))
+        return T.let(F.coalesce(chosen, F.lit("")), lambda f: change(s, f))
+
+    def change(s, f):
+        old = F.coalesce(*[F.when(f == w, s[w]) for w in words], F.lit(""))
+        return T.let(make(old), lambda new: _state({w: F.when(f == w, new).otherwise(s[w]) if w in words else s[w] for w in T.FIELDS}, _noted(s["ops"], (f != "") & (new != old), F.lit(op))))
+
+    return T.let(state, pick)
+
+
 def noisy(rows: DataFrame, key: str, probs: dict[str, float], missing: dict[str, float], seed: int = 42, system: str = "HeQuyChieu") -> DataFrame:
     """Noisy surfaces of complete records: level, operations and the changed fields, a row for each row.
 
     Columns: the fields as they appear, GT_ fields, ChuoiDiaChiGoc, ChuoiDiaChi, MucDoNhieu, LoaiNhieu
-    (joined by |), SoPhepBienDoi.
+    (joined by |), SoPhepBienDoi. Each step binds the state before it once, so the plan grows with
+    the number of steps only.
     """
     k = F.col(key).cast("string")
-    out = rows.select("*", *[T.clean_value(f).alias(f"GT_{f}") for f in T.FIELDS])
-    out = out.withColumn("ChuoiDiaChiGoc", T.address_join(*[f"GT_{f}" for f in T.FIELDS]))
     low, mid = LEVELS["nhe"], LEVELS["nhe"] + LEVELS["vua"]
     r = T.draw(seed, "level", k)
-    out = out.withColumn("MucDoNhieu", F.when(r < low, "nhe").when(r < mid, "vua").otherwise("nang"))
+    level = F.when(r < low, "nhe").when(r < mid, "vua").otherwise("nang")
+    out = rows.select("*", *[T.clean_value(f).alias(f"GT_{f}") for f in T.FIELDS], level.alias("MucDoNhieu"))
     heavy, some = F.col("MucDoNhieu") == "nang", F.col("MucDoNhieu") != "nhe"
     parts = {"PhuongXa": "ward", "QuanHuyen": "district", "TinhThanh": "city"}
-    out = out.withColumns({f: abbreviate(F.col(f"GT_{f}"), parts[f], probs, seed, k) if f in parts else F.col(f"GT_{f}") for f in T.FIELDS})
-    changed = sum(((F.col(f) != F.col(f"GT_{f}")).cast("int") for f in parts), F.lit(0)) > 0
-    out = out.withColumn("dm_ops", F.when(changed, F.array(F.lit("viet_tat"))).otherwise(F.array().cast("array<string>")))
-    words = ("TenDuong", "PhuongXa", "QuanHuyen", "TinhThanh")
 
-    def on_one(df: DataFrame, salt: str, op: str, when: Column, make) -> DataFrame:
-        able = F.filter(F.array(*[F.when(F.col(f).rlike(r"(?U)\p{L}"), F.lit(f)) for f in words]), lambda x: x.isNotNull())
-        df = df.withColumn("dm_able", able)
-        chosen = F.when(when & (F.size("dm_able") > 0), F.col("dm_able")[F.floor(T.draw(seed, salt, k) * F.size("dm_able")).cast("int")])
-        df = df.withColumn("dm_f", chosen).withColumns({f"dm_{f}": F.when(F.col("dm_f") == f, make(F.col(f))).otherwise(F.col(f)) for f in words})
-        moved = sum(((F.col(f"dm_{f}") != F.col(f)).cast("int") for f in words), F.lit(0)) > 0
-        df = df.withColumn("dm_ops", F.when(moved, F.concat("dm_ops", F.array(F.lit(op)))).otherwise(F.col("dm_ops")))
-        return df.withColumns({f: F.col(f"dm_{f}") for f in words}).drop("dm_f", "dm_able", *[f"dm_{f}" for f in words])
-
-    out = on_one(out, "accent_field", "bo_dau", some & (T.draw(seed, "accent", k) < 0.75), T.strip_accents)
-    weight = lambda f, name, ok=None: (f, F.when((F.col(f) != "") & (F.lit(True) if ok is None else ok), F.lit(float(missing.get(name, 0)))).otherwise(F.lit(-1.0)))
-    gone = weighted(seed, "drop_field", k, [weight("SoNha", "drop_housenumber"), weight("PhuongXa", "drop_ward"), weight("QuanHuyen", "drop_district", F.col(system) == "cu")])
-    out = out.withColumn("dm_gone", F.when(heavy & (T.draw(seed, "drop", k) < 0.70), gone))
-    out = out.withColumns({f: F.when(F.col("dm_gone") == f, "").otherwise(F.col(f)) for f in ("SoNha", "PhuongXa", "QuanHuyen")})
-    out = out.withColumn("dm_ops", F.when(F.col("dm_gone").isNotNull(), F.concat("dm_ops", F.array(F.concat(F.lit("thieu_"), F.col("dm_gone"))))).otherwise(F.col("dm_ops")))
-    out = on_one(out, "scan_field", "loi_ocr_ky_tu", heavy & (T.draw(seed, "scan", k) < 0.60), lambda c: confuse(c, seed, k))
-    shown = F.filter(F.array(*[F.col(f) for f in T.FIELDS]), lambda x: x != "")
-    tail = F.transform(F.array_sort(F.transform(F.slice("dm_shown", 3, 5), lambda x, i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), k, i.cast("string"))).alias("h"), x.alias("x")))), lambda z: z["x"])
-    turn = heavy & (F.size("dm_shown") >= 3) & (T.draw(seed, "order", k) < 0.45)
-    out = out.withColumn("dm_shown", shown)
-    out = out.withColumn("dm_ops", F.concat("dm_ops", F.when(turn, F.array(F.lit("dao_thu_tu_hanh_chinh"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("dinh_dang_phan_cach"))))
-    surface = F.array_join(F.when(turn, F.concat(F.slice("dm_shown", 1, 2), tail)).otherwise(F.col("dm_shown")), "\u0001")
-    sep = T.pick(seed, "separator", [",", " - ", "; "], k)
-    out = out.withColumn("ChuoiDiaChi", F.replace(surface, F.lit("\u0001"), sep))
-    out = out.withColumn("ChuoiDiaChi", F.when(F.col("ChuoiDiaChi") == F.col("ChuoiDiaChiGoc"), F.regexp_replace("ChuoiDiaChi", r",\s*", ",")).otherwise(F.col("ChuoiDiaChi")))
-    return out.withColumn("LoaiNhieu", F.array_join("dm_ops", "|")).withColumn("SoPhepBienDoi", F.size("dm_ops")).drop("dm_ops", "dm_gone", "dm_shown")
+    short = F.struct(*[(abbreviate(F.col(f"GT_{f}"), parts[f], probs, seed, k) if f in parts else F.col(f"GT_{f}")).alias(f) for f in T.FIELDS])
+    changed = lambda s: reduce(lambda a, b: a | b, [s[f] != F.col(f"GT_{f}") for f in parts])
+    none = F.array().cast("array<string>")
+    state = T.let(short, lambda s: _state({f: s[f] for f in T.FIELDS}, _noted(none, changed(s), F.lit("viet_tat"))))
+    state = _on_one(state, "accent_field", "bo_dau", some & (T.draw(seed, "accent", k) < 0.75), T.strip_accents, seed, k)
+
+    def drop(s):
+        weight = lambda f, name, ok=None: (f, F.when((s[f] != "") & (F.lit(True) if ok is None else ok), F.lit(float(missing.get(name, 0)))).otherwise(F.lit(-1.0)))
+        gone = weighted(seed, "drop_field", k, [weight("SoNha", "drop_housenumber"), weight("PhuongXa", "drop_ward"), weight("QuanHuyen", "drop_district", F.col(system) == "cu")])
+        lost = F.coalesce(F.when(heavy & (T.draw(seed, "drop", k) < 0.70), gone), F.lit(""))
+        return T.let(lost, lambda g: _state({f: F.when(g == f, "").otherwise(s[f]) for f in T.FIELDS}, _noted(s["ops"], g != "", F.concat(F.lit("thieu_"), g))))
+
+    state = T.let(state, drop)
+    state = _on_one(state, "scan_field", "loi_ocr_ky_tu", heavy & (T.draw(seed, "scan", k) < 0.60), lambda c: confuse(c, seed, k), seed, k)
+
+    def render(s):
+        shown = F.filter(F.array(*[s[f] for f in T.FIELDS]), lambda x: x != "")
+
+        def place(p):
+            mixed = F.transform(F.array_sort(F.transform(F.slice(p, 3, 5), lambda x, i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), k, i.cast("string"))).alias("h"), x.alias("x")))), lambda z: z["x"])
+            turn = heavy & (F.size(p) >= 3) & (T.draw(seed, "order", k) < 0.45)
+            text = F.array_join(F.when(turn, F.concat(F.slice(p, 1, 2), mixed)).otherwise(p), "\u0001")
+            ops = F.concat(_noted(s["ops"], turn, F.lit("dao_thu_tu_hanh_chinh")), F.array(F.lit("dinh_dang_phan_cach")))
+            return _state({f: s[f] for f in T.FIELDS}, ops, surface=F.replace(text, F.lit("\u0001"), T.pick(seed, "separator", [",", " - ", "; "], k)))
+
+        return T.let(shown, place)
+
+    out = out.withColumn("ChuoiDiaChiGoc", T.address_join(*[f"GT_{f}" for f in T.FIELDS])).withColumn("dm_s", T.let(state, render))
+    surface = F.col("dm_s.surface")
+    plain = F.when(surface == F.col("ChuoiDiaChiGoc"), F.regexp_replace(surface, r",\s*", ",")).otherwise(surface)
+    return out.withColumns({**{f: F.col(f"dm_s.{f}") for f in T.FIELDS}, "ChuoiDiaChi": plain, "LoaiNhieu": F.array_join("dm_s.ops", "|"), "SoPhepBienDoi": F.size("dm_s.ops")}).drop("dm_s")
 
 
 def noisy_sample(rows: DataFrame, key: str, size: int, old_share: float, probs: dict, missing: dict, seed: int = 42, tries: int = 4) -> DataFrame:

@@ -366,7 +366,7 @@ def _n(*kinds: str) -> str:
 
 
 _SCORED = (
-    "v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipmode AS tool, l_quantity, "
+    "v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_shipmode AS tool, l_quantity, "
     + ", ".join(f"lower({_TRUTH[f]}) AS t_{f}, lower({_PRED[f]}) AS p_{f}" for f in _FIELDS5)
     + " FROM (SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS l_shipmode FROM lineitem)), "
     + "c AS (SELECT *, " + ", ".join(f"{_o(f)} AS o_{f}" for f in _FIELDS5) + " FROM v), "
@@ -383,7 +383,7 @@ def _scored(spark, d):
     side = lambda m: F.struct(*[F.expr(m[f]).cast("string").alias(f) for f in _FIELDS5])
     scenario = F.when(F.col("l_linenumber") % 3 == 0, "A").otherwise("NONE")
     raw = F.when(F.col("tool") == "even", "P. x").otherwise("x")
-    built = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tool", "l_quantity", side(_TRUTH).alias("truth"), side(_PRED).alias("pred"), scenario.alias("scenario"), raw.alias("raw"))
+    built = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "tool", "l_quantity", side(_TRUTH).alias("truth"), side(_PRED).alias("pred"), scenario.alias("scenario"), raw.alias("raw"))
     return scoring.score(built)
 
 
@@ -526,7 +526,7 @@ def same_key_sets(spark, d):
 
 def _predictions(spark, d):
     s = _scored(spark, d)
-    rid = F.concat_ws("_", F.format_string("D%02d", F.col("l_linenumber")), F.format_string("%08d", F.col("l_orderkey")), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    rid = F.concat_ws("_", F.format_string("D%02d", F.col("l_linenumber")), F.format_string("%08d", F.col("l_orderkey")), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("cents").cast("string"))
     return s.select(rid.alias("ID"), F.col("tool").alias("CongCu"), F.col("raw").alias("DiaChiGoc"), F.to_json("pred").alias("TruongDuDoan"), F.to_json("truth").alias("TruongDung"), F.col("status").alias("DungSai"), F.col("error").alias("LoaiLoi"), F.col("scenario").alias("TinhHuongMoHo"), F.lit("").alias("GhiChu"))
 
 
@@ -534,12 +534,12 @@ def _raw(spark, d):
     return _predictions(spark, d).select(F.col("ID").alias("id"), F.col("CongCu").alias("tool"), F.col("DiaChiGoc").alias("input"), F.lit("success").alias("status"))
 
 
-@query(f"WITH {_SCORED}, i AS (SELECT format('D{{:02d}}_{{:08d}}_{{}}_{{}}', l_linenumber, l_orderkey, l_partkey, l_suppkey) AS ID, tool AS CongCu, format('D{{:02d}}', l_linenumber) AS Dataset, error AS LoaiLoi, status AS DungSai FROM z WHERE error <> 'none') SELECT ID, CongCu, Dataset, LoaiLoi, DungSai, 'success' AS RawStatus FROM i QUALIFY row_number() OVER (PARTITION BY Dataset, CongCu, LoaiLoi ORDER BY ID) <= 3")
+@query(f"WITH {_SCORED}, i AS (SELECT format('D{{:02d}}_{{:08d}}_{{}}_{{}}_{{}}', l_linenumber, l_orderkey, l_partkey, l_suppkey, cents) AS ID, tool AS CongCu, format('D{{:02d}}', l_linenumber) AS Dataset, error AS LoaiLoi, status AS DungSai FROM z WHERE error <> 'none') SELECT ID, CongCu, Dataset, LoaiLoi, DungSai, 'success' AS RawStatus FROM i QUALIFY row_number() OVER (PARTITION BY Dataset, CongCu, LoaiLoi ORDER BY ID) <= 3")
 def case_selection_topk(spark, d):
     return cases.select(_predictions(spark, d), _raw(spark, d), 3).select("ID", "CongCu", "Dataset", "LoaiLoi", "DungSai", "RawStatus")
 
 
-@query(f"WITH {_SCORED}, i AS (SELECT format('D{{:02d}}_{{:08d}}_{{}}_{{}}', l_linenumber, l_orderkey, l_partkey, l_suppkey) AS ID, tool AS CongCu, format('D{{:02d}}', l_linenumber) AS Dataset, error AS LoaiLoi FROM z WHERE error <> 'none'), c AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY Dataset, CongCu, LoaiLoi ORDER BY ID) <= 3) SELECT 'not_a_projection' AS rule, ID || '|' || CongCu AS key FROM c WHERE CongCu = 'even' AND Dataset = 'D01'")
+@query(f"WITH {_SCORED}, i AS (SELECT format('D{{:02d}}_{{:08d}}_{{}}_{{}}_{{}}', l_linenumber, l_orderkey, l_partkey, l_suppkey, cents) AS ID, tool AS CongCu, format('D{{:02d}}', l_linenumber) AS Dataset, error AS LoaiLoi FROM z WHERE error <> 'none'), y AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY Dataset, CongCu, LoaiLoi ORDER BY ID) <= 3) SELECT 'not_a_projection' AS rule, ID || '|' || CongCu AS key FROM y WHERE CongCu = 'even' AND Dataset = 'D01'")
 def case_projection_proof(spark, d):
     p, r = _predictions(spark, d), _raw(spark, d)
     picked = cases.select(p, r, 3)

@@ -79,10 +79,9 @@ def read_receipts(spark: SparkSession, path: str, key: str = "Địa chỉ", col
 
 def literal_field(df: DataFrame, column: str, key: str) -> DataFrame:
     """(text): a field of dictionaries written as Python literals; what cannot be read is null."""
-    import pandas as pd
 
     @F.pandas_udf("string")
-    def field(s: pd.Series) -> pd.Series:
+    def field(s):
         import ast
 
         def one(x):
