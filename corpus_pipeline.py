@@ -23,7 +23,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scores = shared.stored(quality.scored(lean, model).drop("text"), "pipeline/quality")
     shifts = quality.posteriors(scores, "source", "lang", "pipeline/quality")
     kept = quality.judged(quality.scored(docs, model), shifts, "source", "lang")
-    return kept.where("dm_bad < 0").select(docs.columns)
+    return kept.where(F.col("dm_bad") < quality.KEEP_BELOW).select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

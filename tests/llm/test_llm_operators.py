@@ -334,7 +334,7 @@ def test_quality(spark):
     scores = quality.scored(docs, model)
     out = quality.judged(scores, quality.posteriors(scores.drop("text"), "source", "lang"), "source", "lang")
     truth = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in labels.where("doc_id is not null and quality is not null").collect()}
-    got = {r["doc_id"]: r["dm_bad"] < 0 for r in out.collect()}
+    got = {r["doc_id"]: r["dm_bad"] < quality.KEEP_BELOW for r in out.collect()}
     held = [i for i in truth if i % 2]
     assert len(got) == 902
     assert sum(got[i] == truth[i] for i in held) / len(held) > 0.97
