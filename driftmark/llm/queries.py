@@ -77,7 +77,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     lean = quality.scored(docs.select("doc_id", "source", "lang", "text"), quality.fit(docs, labels)).drop("text")
     scores = shared.stored(lean, "quality")
     out = quality.judged(scores, quality.posteriors(scores, "source", "lang"), "source", "lang")
-    return out.select("doc_id", F.round("dm_quality", 4).alias("quality_odds"), F.round("dm_toxic", 4).alias("toxic_odds"), F.round("dm_bad", 4).alias("bad_odds"), (F.col("dm_bad") < 0).alias("keep"))
+    return out.select("doc_id", F.round("dm_quality", 4).alias("quality_odds"), F.round("dm_toxic", 4).alias("toxic_odds"), F.round("dm_bad", 4).alias("bad_odds"), (F.col("dm_bad") < quality.KEEP_BELOW).alias("keep"))
 
 
 def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
