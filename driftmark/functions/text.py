@@ -26,7 +26,7 @@ def blank(c: Column | str) -> Column:
 
 def clean_value(c: Column | str) -> Column:
     """Trim Unicode white space, then trailing commas and spaces."""
-    return F.regexp_replace(F.regexp_replace(blank(c), r"(?U)^\s+|\s+$", ""), r"[, ]+$", "")
+    return F.regexp_replace(blank(c), r"(?U)^\s+|[, ]*+\s*+$", "")
 
 
 def normalise_text(c: Column | str) -> Column:
@@ -56,8 +56,12 @@ LEVELS = ("thành phố", "tỉnh", "quận", "huyện", "thị xã", "phường
 
 
 def comparable(c: Column | str, levels: tuple[str, ...] = LEVELS) -> Column:
-    """Normalised text without one leading level word: what the scorer compares."""
-    return F.trim(F.regexp_replace(normalise_text(c), rf"(?U)^(?:{'|'.join(levels)})\s+", ""))
+    """Normalised text without one leading level word: what the scorer compares.
+
+    ASCII words without anything between them only need folding.
+    """
+    slow = F.trim(F.regexp_replace(normalise_text(c), rf"(?U)^(?:{'|'.join(levels)})\s+", ""))
+    return F.when(blank(c).rlike("[^A-Za-z0-9]"), slow).otherwise(F.lower(blank(c)))
 
 
 def accent_table(extra: dict[str, str] | None = None) -> tuple[str, str]:

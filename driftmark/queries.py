@@ -530,18 +530,20 @@ def _predictions(spark, d):
     return s.select(rid.alias("ID"), F.col("tool").alias("CongCu"), F.col("raw").alias("DiaChiGoc"), F.to_json("pred").alias("TruongDuDoan"), F.to_json("truth").alias("TruongDung"), F.col("status").alias("DungSai"), F.col("error").alias("LoaiLoi"), F.col("scenario").alias("TinhHuongMoHo"), F.lit("").alias("GhiChu"))
 
 
-def _raw(spark, d):
-    return _predictions(spark, d).select(F.col("ID").alias("id"), F.col("CongCu").alias("tool"), F.col("DiaChiGoc").alias("input"), F.lit("success").alias("status"))
+def _raw_of(p):
+    return p.select(F.col("ID").alias("id"), F.col("CongCu").alias("tool"), F.col("DiaChiGoc").alias("input"), F.lit("success").alias("status"))
 
 
 @query(f"WITH {_SCORED}, i AS (SELECT format('D{{:02d}}_{{:08d}}_{{}}_{{}}_{{}}', l_linenumber, l_orderkey, l_partkey, l_suppkey, cents) AS ID, tool AS CongCu, format('D{{:02d}}', l_linenumber) AS Dataset, error AS LoaiLoi, status AS DungSai FROM z WHERE error <> 'none') SELECT ID, CongCu, Dataset, LoaiLoi, DungSai, 'success' AS RawStatus FROM i QUALIFY row_number() OVER (PARTITION BY Dataset, CongCu, LoaiLoi ORDER BY ID) <= 3")
 def case_selection_topk(spark, d):
-    return cases.select(_predictions(spark, d), _raw(spark, d), 3).select("ID", "CongCu", "Dataset", "LoaiLoi", "DungSai", "RawStatus")
+    p = _predictions(spark, d).cache()  # read by four checks and the selection
+    return cases.select(p, _raw_of(p), 3).select("ID", "CongCu", "Dataset", "LoaiLoi", "DungSai", "RawStatus")
 
 
 @query(f"WITH {_SCORED}, i AS (SELECT format('D{{:02d}}_{{:08d}}_{{}}_{{}}_{{}}', l_linenumber, l_orderkey, l_partkey, l_suppkey, cents) AS ID, tool AS CongCu, format('D{{:02d}}', l_linenumber) AS Dataset, error AS LoaiLoi FROM z WHERE error <> 'none'), y AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY Dataset, CongCu, LoaiLoi ORDER BY ID) <= 3) SELECT 'not_a_projection' AS rule, ID || '|' || CongCu AS key FROM y WHERE CongCu = 'even' AND Dataset = 'D01'")
 def case_projection_proof(spark, d):
-    p, r = _predictions(spark, d), _raw(spark, d)
+    p = _predictions(spark, d).cache()
+    r = _raw_of(p)
     picked = cases.select(p, r, 3)
     edited = picked.withColumn("GhiChu", F.when((F.col("CongCu") == "even") & (F.col("Dataset") == "D01"), "edited").otherwise(F.col("GhiChu")))
     return cases.proof(edited, p, r)
