@@ -31,6 +31,6 @@ def page(df: DataFrame, order: list[Column | str], number: int, size: int = 50)
 
 
 def neighbours(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """df with the keys of the previous and the next record."""
+    """df with the keys of the previous and the next record. The order is global, so df is a selection for review, not a corpus."""
     w = W.orderBy(*order)
     return df.withColumns({"previous": F.lag(key).over(w), "next": F.lead(key).over(w)})

@@ -34,19 +34,22 @@ def scenario(rel: Column) -> Column:
     return F.when(rel == "1-1", "C").when(rel == "1-N", "A").when(rel == "N-1", "B").otherwise("M")
 
 
-def classified(edges: DataFrame, old: str, new: str) -> DataFrame:
-    """Distinct (old, new) pairs with both degrees and their relation."""
-    once = edges.select(old, new).distinct()
+def _with_degrees(once: DataFrame, old: str, new: str) -> DataFrame:
     out = once.withColumn("out_degree", F.count("*").over(W.partitionBy(old))).withColumn("in_degree", F.count("*").over(W.partitionBy(new)))
     return out.withColumn("relation", relation(F.col("out_degree"), F.col("in_degree")))
 
 
+def classified(edges: DataFrame, old: str, new: str) -> DataFrame:
+    """Distinct (old, new) pairs with both degrees and their relation."""
+    return _with_degrees(edges.select(old, new).distinct(), old, new)
+
+
 def summary(edges: DataFrame, old: str, new: str) -> DataFrame:
-    """One row: edge rows, old units, new units, and edges of each relation."""
-    rel = classified(edges, old, new)
+    """One row: edge rows, old units, new units, and edges of each relation. One scan."""
+    rel = _with_degrees(edges.groupBy(old, new).agg(F.count("*").alias("dm_rows")), old, new)
     n = lambda r: F.count_if(F.col("relation") == r)
-    counted = rel.agg(F.count_distinct(old).alias("old_units"), F.count_distinct(new).alias("new_units"), n("1-1").alias("one_to_one_edges"), n("1-N").alias("one_to_many_edges"), n("N-1").alias("many_to_one_edges"), n("M-N").alias("many_to_many_edges"))
-    return edges.agg(F.count("*").alias("atomic_edges")).join(counted)
+    rows = F.coalesce(F.sum("dm_rows"), F.lit(0)).alias("atomic_edges")
+    return rel.agg(rows, F.count_distinct(old).alias("old_units"), F.count_distinct(new).alias("new_units"), n("1-1").alias("one_to_one_edges"), n("1-N").alias("one_to_many_edges"), n("N-1").alias("many_to_one_edges"), n("M-N").alias("many_to_many_edges"))
 
 
 def unique_targets(edges: DataFrame, old: str, new: str) -> DataFrame:
