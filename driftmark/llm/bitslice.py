@@ -160,8 +160,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     spark = vectors.sparkSession
     rows = shared.stored(quantised(vectors, id_col, vec_col, scale), scope)
     path = shared.scratch(spark, scope)
-    rows.where(F.col("vec_id") % every == 0).coalesce(max(1, min(64, rows.rdd.getNumPartitions() // 16))).write.parquet(path)
-    blocks = max(1, -(-rows.count() // block_rows))
+    n = rows.count()
+    blocks = max(1, -(-n // block_rows))
+    rows.where(F.col("vec_id") % every == 0).coalesce(1 + n // (every * 8192)).write.parquet(path)
 
     def run(batches):
         import numpy as np
