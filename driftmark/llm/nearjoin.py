@@ -296,6 +296,41 @@ def chosen_paths(sets: DataFrame, runs: int, branch: int, limit: int, scope: str
     return union(small), union(alike or [none])
 
 
+def overlaps(sets: list, most: int = 2_000_000):
+    """Matrix of the sizes of all intersections of sorted sets of 64-bit hashes.
+
+    Hashes are taken range by range, about ``most`` of them at a time, and within a range as a 0/1
+    matrix of those that two sets share, so that memory does not grow with the length of texts.
+    """
+    import numpy as np
+
+    n, total = len(sets), sum(map(len, sets))
+    both = np.zeros((n, n), "f4")
+    if n == 2:
+        both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+        return both
+    parts = 1 + total // most
+    bounds = np.array([k * (1 << 64) // parts for k in range(1, parts)], "u8")
+    cuts = [[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in sets]
+    for k in range(parts):
+        own = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        flat, row = np.concatenate(own), np.repeat(np.arange(n), list(map(len, own)))
+        _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
+        common = often > 1
+        number, width = np.cumsum(common) - 1, int(common.sum())
+        keep = common[token]
+        token, row = number[token[keep]], row[keep]
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[order]
+        step = max(64, 8_000_000 // n)
+        for a in range(0, width, step):
+            lo, hi = np.searchsorted(token, [a, a + step])
+            m = np.zeros((n, min(step, width - a)), "f4")
+            m[row[lo:hi], token[lo:hi] - a] = 1
+            both += m @ m.T
+    return both
+
+
 def exact_links(texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """Per block and node: links to others (with their copies) in it, and the least node that it is connected to there.
 
@@ -325,24 +360,7 @@ def exact_links(texts: DataFrame, width: int, threshold: float) -> DataFrame:
         side = np.array([r[1] for r in rows.values()])
         sets = [r[2] for r in rows.values()]
         sizes = np.array(list(map(len, sets)))
-        if n == 2:
-            both = np.zeros((2, 2), "f4")
-            both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
-        else:
-            flat, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-            _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
-            shared_ = often > 1
-            number = np.cumsum(shared_) - 1
-            keep = shared_[token]
-            token, row = number[token[keep]], row[keep]
-            order = np.argsort(token, kind="stable")
-            token, row = token[order], row[order]
-            both, step = np.zeros((n, n), "f4"), max(64, 8_000_000 // n)
-            for a in range(0, int(shared_.sum()), step):
-                lo, hi = np.searchsorted(token, [a, a + step])
-                m = np.zeros((n, min(step, int(shared_.sum()) - a)), "f4")
-                m[row[lo:hi], token[lo:hi] - a] = 1
-                both += m @ m.T
+        both = overlaps(sets)
         inter = both.astype("i8")
         union = sizes[:, None] + sizes[None, :] - inter
         linked = inter * share.denominator >= union * share.numerator

@@ -416,6 +416,18 @@ def test_sketches_agree_with_jaccard():
         assert abs(np.mean(error)) < 0.05
 
 
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 300, dtype="u8") * 2
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 200))) for _ in range(20)]
+    for most in (10**6, 100):
+        got = nearjoin.overlaps(sets, most)
+        for i in range(20):
+            for j in range(20):
+                assert got[i, j] == len(np.intersect1d(sets[i], sets[j])) or i == j
+    assert nearjoin.overlaps(sets[:2])[0, 1] == len(np.intersect1d(*sets[:2]))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)] + [(3, 3)]
