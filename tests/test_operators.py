@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from driftmark.functions import lexicon
 from driftmark.functions import text as T
 from driftmark.operators import alias, audit, cases, contracts, coverage, explore, graph, history, parser, profile, receipts, sampling, scoring, synth
 from driftmark.plans import protocol, report, runs
@@ -65,6 +66,13 @@ def test_receipts_are_cleaned(spark):
     assert ok("12 Phố Huế, Hà Nội") and not ok("12 Phố") and not ok("12 Phố Huế, Hà...") and not ok("no keyword in here")
 
 
+def test_lexicon(spark):
+    df = spark.createDataFrame([("Thành phố Hà Nội",), ("5 Phố Đà Nẵng, TP.HCM",), ("Nowhere",), (None,)], "v string")
+    assert [r[0] for r in df.select(T.region_of(T.blank("v"), lexicon.REGIONS, lexicon.OTHER_REGION)).collect()] == ["Bac", "Trung", "Khac", "Khac"]
+    rows = spark.createDataFrame([("12 Phố Huế, Hà Nội",), ("nothing to see here",), ("CS1: 12 Phố Huế, Hà Nội",)], "v string")
+    assert [r[0] for r in rows.select(T.valid_text(F.col("v"), lexicon.ADDRESS_WORDS)).collect()] == [True, False, False]
+
+
 def test_relations(spark, edges):
     got = {(r["old_key"]["w"], r["new_key"]["w"]): r["relation"] for r in graph.classified(edges, "old_key", "new_key").collect()}
     assert got["xã chia", "phường c1"] == "1-N" and got["xã b1", "phường b"] == "N-1" and got["xã riêng", "phường r"] == "1-1"
