@@ -201,16 +201,17 @@ class Segment:
         return expand(s[a:b], self.base, self.rules)[start - skipped : stop - skipped]
 
 
-def write(docs: DataFrame, out: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, segment_ids: int = 1 << 20) -> DataFrame:
+def write(docs: DataFrame, out: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 2500, segment_ids: int = 1 << 20) -> DataFrame:
     """Write all documents' ids, ascending by id, as segments below ``out``; returns the manifest.
 
-    Ranges of ids of about ``shard_bytes`` of text are one task each; a task writes a segment for
+    Ranges of ids of about ``shard_rows`` documents are one task each (cut by the id column alone, so
+    that texts are read once); a task streams its documents and writes a segment for
     about ``segment_ids`` ids (a longer document has one of its own), under a temporary name first.
     A task that runs again writes the same bytes under the same names. The manifest is a table in
     ``out``/manifest: shard, segment, file, documents, ids, bytes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = shared.range_cuts(rows.select("doc_id", (F.octet_length("text") + 16).alias("w")), "doc_id", F.col("w"), shard_bytes)
+    cuts = shared.range_cuts(rows.select("doc_id"), "doc_id", F.lit(1), shard_rows)
     ranged = shared.with_range(rows, "doc_id", cuts, "dm_shard").repartitionById(len(cuts[2]) + 1, "dm_shard").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
@@ -285,5 +286,5 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - seg.counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids, pa.int64()), pa.array(start + ends - seg.counts), pa.array(seg.counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, manifest.count())
-    return starts.repartition(min(n, 4096)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = 1 + manifest.count() // 4  # a few files each
+    return starts.repartition(min(tasks, 4096)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

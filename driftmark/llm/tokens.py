@@ -64,16 +64,25 @@ class ByteEncoder:
 
 
 class Memo(dict):
-    """make(key) of each key, at most ``limit`` of them at a time."""
+    """make(key) of each key; at most ``limit`` of them are kept.
+
+    Once it is full, the early keys, which are the frequent ones, stay for as many misses as twice
+    the limit; then it starts anew.
+    """
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.late = make, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if len(self) < self.limit:
+            self[key] = out
+        else:
+            self.late += 1
+            if self.late > 2 * self.limit:
+                self.clear()
+                self.late = 0
         return out
 
 
@@ -106,7 +115,7 @@ class WordEncoder:
         ranks = {raw(k): v for k, v in vocab.items() if k not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.words = Memo(self._word, limit)
+        self.words = Memo(self._word, limit // 4)
         self.memo = Memo(self._chunk, limit)
 
     def _word(self, word: str) -> bytes:

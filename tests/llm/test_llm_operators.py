@@ -176,7 +176,7 @@ def test_repair_round_trip_and_random_access():
 
 def test_repair_files(spark, docs, texts):
     out = shared.scratch(spark, "t")
-    manifest = repair.write(docs, out, WORDS, shard_bytes=4000, segment_ids=500)
+    manifest = repair.write(docs, out, WORDS, shard_rows=7, segment_ids=500)
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in repair.read(manifest, out).collect())
     want, at = [], 0
     for i, t in sorted([*enumerate(texts), (2, texts[2])]):
@@ -185,7 +185,7 @@ def test_repair_files(spark, docs, texts):
         at += len(ids)
     assert got == want and manifest.count() > 5
     again = shared.scratch(spark, "t")
-    assert sorted(repair.write(docs.repartition(2), again, WORDS, shard_bytes=4000, segment_ids=500).collect()) == sorted(manifest.collect())
+    assert sorted(repair.write(docs.repartition(2), again, WORDS, shard_rows=7, segment_ids=500).collect()) == sorted(manifest.collect())
     none = shared.scratch(spark, "t")
     assert repair.read(repair.write(empty(spark), none, WORDS), none).count() == 0
 
