@@ -1,4 +1,4 @@
-"""Fuzzy deduplication of short texts: greedy clusters within equal leading house numbers."""
+"""Fuzzy deduplication of texts: greedy clusters within equal leading house numbers."""
 
 from __future__ import annotations
 
@@ -8,13 +8,38 @@ from pyspark.sql import functions as F
 from driftmark.functions import text as T
 
 
+def _masks(text: str) -> dict[str, int]:
+    """The positions of each character as bits."""
+    at: dict[str, list[int]] = {}
+    for i, c in enumerate(text):
+        at.setdefault(c, []).append(i)
+    out = {}
+    for c, where in at.items():
+        raw = bytearray(len(text) // 8 + 1)
+        for i in where:
+            raw[i >> 3] |= 1 << (i & 7)
+        out[c] = int.from_bytes(raw, "little")
+    return out
+
+
+def _common(masks: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence, which bounds what a sequence matcher matches in order."""
+    full = (1 << size) - 1
+    v = full
+    for c in other:
+        if m := masks.get(c):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
+
+
 def fuzzy_dedup(df: DataFrame, column: str, order: str, threshold: float = 0.82, keep: int = 2) -> DataFrame:
     """The ``keep`` longest distinct texts of each cluster (ties: the lesser text), one column.
 
     A text joins the first cluster, in order, whose first member has the same house number and a
     matching ratio of at least ``threshold``. Clusters never span house numbers, so these are
-    independent tasks. Within a number, what can never match is skipped by an exact upper bound of
-    the ratio from lengths and shared characters.
+    independent tasks. Within a number, what can never match is skipped by exact upper bounds of the
+    ratio: shared characters, then the longest common subsequence.
     """
     once = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("dm_order")).select(F.col(column).alias("text"), "dm_order", T.fuzzy_key(column).alias("norm"))
     keyed = once.withColumn("house", F.coalesce(T.house_key("norm"), F.lit("")))
@@ -22,17 +47,29 @@ def fuzzy_dedup(df: DataFrame, column: str, order: str, threshold: float = 0.82,
     def cluster(pdf):
         from difflib import SequenceMatcher
 
+        import numpy as np
         import pandas as pd
 
+        rows = list(pdf.sort_values(["dm_order", "text"])[["text", "norm"]].itertuples(index=False))
+        counts, sizes = np.zeros((len(rows), 128), "i4"), np.zeros(len(rows), "i8")  # of the first members
         firsts: list[str] = []
         members: list[list[str]] = []
-        for text, norm in pdf.sort_values(["dm_order", "text"])[["text", "norm"]].itertuples(index=False):
-            for i, first in enumerate(firsts):
-                m = SequenceMatcher(None, norm, first)
-                if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:
-                    members[i].append(text)
-                    break
+        for text, norm in rows:
+            own = np.bincount(np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), "u4") % 128, minlength=128)
+            n = len(firsts)
+            most = 2.0 * np.minimum(counts[:n], own).sum(1) / np.maximum(1, sizes[:n] + len(norm))
+            masks = None
+            for i in np.flatnonzero((most >= threshold) | (sizes[:n] + len(norm) == 0)).tolist():
+                if norm != firsts[i]:  # equal texts have a ratio of 1
+                    masks = masks or _masks(norm)
+                    if 2.0 * _common(masks, len(norm), firsts[i]) / (len(norm) + len(firsts[i])) < threshold:
+                        continue
+                    if SequenceMatcher(None, norm, firsts[i]).ratio() < threshold:
+                        continue
+                members[i].append(text)
+                break
             else:
+                counts[n], sizes[n] = own, len(norm)
                 firsts.append(norm)
                 members.append([text])
         return pd.DataFrame({"text": [t for ms in members for t in sorted(ms, key=lambda x: (-len(x), x))[:keep]]}, dtype="object")

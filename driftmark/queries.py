@@ -605,8 +605,7 @@ def set_ops_union_except(spark, d):
 
 @query()
 def fuzzy_dedup(spark, d):
-    short = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    return receipts.fuzzy_dedup(short.where(F.length("line") < 200), "line", "doc_id")
+    return receipts.fuzzy_dedup(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").withColumnRenamed("text", "line")
 
 
 @query("WITH w AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_size <= 5) SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM w a JOIN w b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 1")
