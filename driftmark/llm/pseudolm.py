@@ -4,8 +4,8 @@ Every word is predicted from the ``SPAN`` words on either side of it; a document
 of those conditional log-probabilities. Words are counted over all documents; the most frequent ones
 are symbols of their own, the others share hashed buckets, in which each of the bucket's distinct
 words is taken as equally likely. The network (embeddings, one tanh layer, a softmax over classes and
-one within the class) is trained by every partition on its own masked positions, a fixed share of
-all words of all documents, and averaged over the partitions by their number of positions.
+one within the class) is trained by every partition on its own masked positions, in each round another
+share of all words, over all rounds every word of all documents once, and averaged over the partitions by their number of positions.
 
 Null texts and texts without words have no words and score 0; repeated rows score alike; an empty
 table gives no rows. Places beyond a document's ends are one padding symbol. Columns beside the id
@@ -233,7 +233,7 @@ def unpack(flat, like: dict) -> dict:
     return out
 
 
-def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 16, text_col: str = "text", spread: int = 32) -> dict:
+def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 2, text_col: str = "text", spread: int = 32) -> dict:
     """The network. In round i each partition trains on the positions whose hash is i modulo ``every`` in all its documents.
 
     Weights travel in 16 slices and are summed in two steps, so that no task sees more than a
@@ -305,7 +305,7 @@ def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 16, text_col
     return model
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, every: int = 16, scope: str = "pseudolm") -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, every: int = 2, scope: str = "pseudolm") -> DataFrame:
     """Per document: doc_id, n_words, log_prob (summed), mean_log_prob (null without words)."""
     counts = shared.stored(word_counts(docs, text_col), scope)
     words = vocabulary(counts)
