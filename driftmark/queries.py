@@ -505,6 +505,11 @@ def uniqueness(spark, d):
     return contracts.unique(table(spark, d, "documents").where(F.length("text") < 200), "text")
 
 
+@query("SELECT 'unique' AS rule, text AS key FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def uniqueness_whole(spark, d):
+    return contracts.unique(table(spark, d, "documents").where("text is not null"), "text")
+
+
 @query("SELECT DISTINCT 'domain' AS rule, o_orderpriority AS key FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '9-NONE') UNION ALL SELECT 'domain', s FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) v(s) WHERE s NOT IN (SELECT o_orderpriority FROM orders)")
 def label_domain(spark, d):
     return contracts.domain(table(spark, d, "orders"), "o_orderpriority", _PRIORITY, complete=True)

@@ -31,3 +31,10 @@ def test_fuzzy_dedup_reads_whole_texts(spark, tmp_path):
     assert any(len(c) > 1 and len(c[0]) > 200 for c in clusters) and any({texts[0], texts[1]} <= set(c) for c in clusters)
     want = sorted(x for c in clusters for x in sorted(c, key=lambda v: (-len(v), v))[:2])
     assert sorted(r[0] for r in q.fuzzy_dedup(spark, d).collect()) == want
+
+
+def test_uniqueness_reads_long_texts(spark, tmp_path):
+    long = "word " * 100
+    rows = list(enumerate([long + "a", long + "a", long + "b", "short", "short", "once", None, None]))
+    d = put(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path, "documents")
+    assert sorted(map(tuple, q.QUERIES["uniqueness_whole"](spark, d).collect())) == [("unique", "short"), ("unique", long + "a")]
