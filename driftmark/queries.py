@@ -616,3 +616,21 @@ def fuzzy_dedup(spark, d):
 @query("WITH w AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_size <= 5) SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM w a JOIN w b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 1")
 def close_pairs(spark, d):
     return receipts.close_pairs(table(spark, d, "part").where("p_size <= 5"), "p_size", "p_partkey", "p_name", 1).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 1")
+def close_pairs_whole(spark, d):
+    return receipts.close_pairs(table(spark, d, "part"), "p_size", "p_partkey", "p_name", 1).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+@query("WITH p AS (SELECT l_orderkey || '-' || ((l_linenumber + 1) // 2) AS id, CASE WHEN l_linenumber % 2 = 1 THEN 'a' ELSE 'b' END AS tool, CASE WHEN l_tax > 0.03 THEN 'CORRECT' ELSE 'ERROR' END AS st FROM lineitem) SELECT i.id AS \"ID\", coalesce(a.st, 'NONE') AS first, coalesce(b.st, 'NONE') AS second, CASE WHEN a.st = 'CORRECT' AND b.st = 'CORRECT' THEN 'both' WHEN a.st = 'CORRECT' THEN 'first_only' WHEN b.st = 'CORRECT' THEN 'second_only' ELSE 'neither' END AS comparison FROM (SELECT DISTINCT id FROM p) i LEFT JOIN p a ON a.id = i.id AND a.tool = 'a' LEFT JOIN p b ON b.id = i.id AND b.tool = 'b'")
+def tool_pairing_whole(spark, d):
+    """Lines 1 and 2, 3 and 4, ... of an order stand for the two tools, so that every line takes part."""
+    rid = F.concat_ws("-", "l_orderkey", F.floor((F.col("l_linenumber") + 1) / 2))
+    p = table(spark, d, "lineitem").select(rid.alias("ID"), F.when(F.col("l_linenumber") % 2 == 1, "a").otherwise("b").alias("CongCu"), F.when(F.col("l_tax") > 0.03, "CORRECT").otherwise("ERROR").alias("DungSai"), F.lit("").alias("DiaChiGoc"), F.lit("").alias("TruongDung"))
+    return explore.tool_pairs(p, "a", "b").select("ID", "first", "second", "comparison")
+
+
+@query("SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
+def record_navigation_whole(spark, d):
+    return explore.neighbours(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")

@@ -38,3 +38,25 @@ def test_uniqueness_reads_long_texts(spark, tmp_path):
     rows = list(enumerate([long + "a", long + "a", long + "b", "short", "short", "once", None, None]))
     d = put(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path, "documents")
     assert sorted(map(tuple, q.QUERIES["uniqueness_whole"](spark, d).collect())) == [("unique", "short"), ("unique", long + "a")]
+
+
+def test_close_pairs_reads_every_size(spark, tmp_path):
+    rng = random.Random(5)
+    parts = [(i, "".join(rng.choice("ab") for _ in range(6)), rng.choice([1, 5, 6, 50])) for i in range(60)]
+    d = put(spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int"), tmp_path, "part")
+
+    def near(x, y):
+        return int(x != y) if sum(a != b for a, b in zip(x, y, strict=True)) <= 1 else 2
+
+    want = sorted((i, j, near(x, y)) for i, x, s in parts for j, y, z in parts if s == z and i < j and near(x, y) <= 1)
+    assert any(parts[i][2] > 5 for i, _, _ in want)
+    assert sorted(map(tuple, q.QUERIES["close_pairs_whole"](spark, d).collect())) == want
+
+
+def test_tool_pairing_and_navigation_read_every_row(spark, tmp_path):
+    lines = [(1, n, 0.05 if n % 3 else 0.0) for n in range(1, 6)]
+    d = put(spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_tax double"), tmp_path, "lineitem")
+    want = [("1-1", "CORRECT", "CORRECT", "both"), ("1-2", "ERROR", "CORRECT", "second_only"), ("1-3", "CORRECT", "NONE", "first_only")]
+    assert sorted(map(tuple, q.QUERIES["tool_pairing_whole"](spark, d).collect())) == want
+    put(spark.createDataFrame([(1, "F", 3), (2, "O", 1), (3, "P", 2)], "o_orderkey long, o_orderstatus string, o_orderdate int"), tmp_path, "orders")
+    assert sorted(map(tuple, q.QUERIES["record_navigation_whole"](spark, d).collect())) == [(1, 3, None), (2, None, 3), (3, 2, 1)]
