@@ -2,8 +2,8 @@
 
 Every word is predicted from the ``SPAN`` words on either side of it; a document's score is the sum
 of those conditional log-probabilities. Words are counted over all documents; the most frequent ones
-are symbols of their own, the others share hashed buckets, in which each of the bucket's distinct
-words is taken as equally likely. The network (embeddings, one tanh layer, a softmax over classes and
+are symbols of their own, at least 768 and more with the square root of the vocabulary, the others
+share hashed buckets, in which a word has its share of the bucket's count, looked up by a join. The network (embeddings, one tanh layer, a softmax over classes and
 one within the class) is trained by every partition on its own masked positions, in each round another
 share of all words, over all rounds every word of all documents once, and averaged over the partitions by their number of positions.
 
@@ -14,6 +14,7 @@ and the text are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .decontaminate import words_of
 
-CLASSES, WIDTH = 32, 32  # symbols = CLASSES x WIDTH
+CLASSES, WIDTH = 32, 32  # symbols = CLASSES x WIDTH, at least; larger vocabularies widen both
 SYMBOLS, BUCKETS, SPAN, DIM, HIDDEN = CLASSES * WIDTH, 256, 2, 16, 32
 PLACES = [p for p in range(-SPAN, SPAN + 1) if p]
 
@@ -51,51 +52,61 @@ def word_counts(docs: DataFrame, text_col: str, most: int = 200_000) -> DataFram
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def width_of(distinct: int) -> int:
+    """Classes, and symbols in each, for so many distinct words: room for 2 sqrt(distinct) words of their own."""
+    return max(WIDTH, math.isqrt(2 * math.isqrt(distinct) + BUCKETS - 1) + 1)
+
+
 def vocabulary(counts: DataFrame) -> dict:
-    """Symbols of the most frequent words and, for each bucket of the others, its number of distinct words."""
-    top = SYMBOLS - BUCKETS
+    """Symbols of the most frequent words and, for each bucket of the others, the count of its words."""
+    spread = counts.groupBy(F.pmod(F.crc32("word"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()
+    width = width_of(sum(r["d"] for r in spread))
+    top = width * width - BUCKETS
     ranked = counts.orderBy(F.desc("n"), "word").limit(top).collect()
     words = {bytes(r["word"]): i for i, r in enumerate(ranked)}
-    spread = counts.groupBy(F.pmod(F.crc32("word"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("d")).collect()
-    inside = Counter(top + zlib.crc32(w) % BUCKETS for w in words)
-    return {"words": words, "distinct": {top + r["b"]: max(1, r["d"] - inside[top + r["b"]]) for r in spread}}
+    inside: Counter = Counter()
+    for r in ranked:
+        inside[top + zlib.crc32(r["word"]) % BUCKETS] += r["n"]
+    return {"words": words, "width": width, "total": {top + r["b"]: max(1, r["n"] - inside[top + r["b"]]) for r in spread}}
 
 
 class Symbols(dict):
     """Word to symbol, with a bounded memo of the bucketed ones."""
 
-    def __init__(self, words: dict, most: int = 200_000):
+    def __init__(self, words: dict, most: int = 200_000, width: int = WIDTH):
         super().__init__(words)
-        self.own, self.most = words, most
+        self.own, self.most, self.top = words, most + len(words), width * width - BUCKETS
 
     def __missing__(self, word):
         if len(self) > self.most:
             self.clear()
             self.update(self.own)
-        out = self[word] = SYMBOLS - BUCKETS + zlib.crc32(word) % BUCKETS
+        out = self[word] = self.top + zlib.crc32(word) % BUCKETS
         return out
 
     def ids(self, text: str | None):
+        return self.of(words_of(text))
+
+    def of(self, words: list[bytes]):
         import numpy as np
 
-        words = words_of(text)
         return np.fromiter(map(self.__getitem__, words), "i4", len(words))
 
 
-def start(seed: int = 5) -> dict:
+def start(seed: int = 5, width: int = WIDTH) -> dict:
     """Initial weights, the same everywhere."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     draw = lambda *s: rng.normal(0, 0.1, s).astype("f4")
-    return {"e": draw(SYMBOLS + 1, DIM), "w": draw(len(PLACES) * DIM, HIDDEN), "b": np.zeros(HIDDEN, "f4"), "c": draw(HIDDEN, CLASSES), "cb": np.zeros(CLASSES, "f4"), "u": draw(CLASSES, HIDDEN, WIDTH), "ub": np.zeros((CLASSES, WIDTH), "f4")}
+    return {"e": draw(width * width + 1, DIM), "w": draw(len(PLACES) * DIM, HIDDEN), "b": np.zeros(HIDDEN, "f4"), "c": draw(HIDDEN, width), "cb": np.zeros(width, "f4"), "u": draw(width, HIDDEN, width), "ub": np.zeros((width, width), "f4")}
 
 
-def contexts(ids):
+def contexts(ids, pad: int = SYMBOLS):
     """(words x places) symbols around each word of one document."""
     import numpy as np
 
-    wide = np.concatenate([np.full(SPAN, SYMBOLS, "i4"), ids, np.full(SPAN, SYMBOLS, "i4")])
+    wide = np.concatenate([np.full(SPAN, pad, "i4"), ids, np.full(SPAN, pad, "i4")])
     return np.stack([wide[SPAN + p : SPAN + p + len(ids)] for p in PLACES], 1)
 
 
@@ -113,6 +124,7 @@ def train(model: dict, around, targets, rate: float = 0.1, batch: int = 512) ->
     """One pass of Adagrad over masked positions."""
     import numpy as np
 
+    width = len(model["cb"])
     m = {k: v.copy() for k, v in model.items()}
     past = {k: np.full_like(v, 1e-3) for k, v in m.items()}
 
@@ -126,18 +138,18 @@ def train(model: dict, around, targets, rate: float = 0.1, batch: int = 512) ->
 
     for i in range(0, len(targets), batch):
         ctx, t = around[i : i + batch], targets[i : i + batch]
-        order = np.argsort(t // WIDTH, kind="stable")
+        order = np.argsort(t // width, kind="stable")
         ctx, t = ctx[order], t[order]
         n = len(t)
         x = m["e"][ctx].reshape(n, -1)
         h = np.tanh(x @ m["w"] + m["b"])
-        k, r = t // WIDTH, t % WIDTH
+        k, r = t // width, t % width
         pc = _soft(h @ m["c"] + m["cb"])
         pc[np.arange(n), k] -= 1
         dh = pc @ m["c"].T
         gc, gcb = h.T @ pc / n, pc.sum(0) / n
-        edges = np.searchsorted(k, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edges = np.searchsorted(k, np.arange(width + 1))
+        for c in range(width):
             a, b = edges[c], edges[c + 1]
             if b > a:
                 hu = h[a:b]
@@ -165,18 +177,20 @@ class Network:
     def __init__(self, model: dict, words: dict):
         import numpy as np
 
-        self.m, self.symbols = model, Symbols(words["words"])
+        self.m, self.width = model, len(model["cb"])
+        self.symbols = Symbols(words["words"], width=self.width)
         w = model["w"].reshape(len(PLACES), DIM, HIDDEN)
         self.table = [model["e"] @ w[i] for i in range(len(PLACES))]
-        self.extra = np.zeros(SYMBOLS)
-        for s, d in words["distinct"].items():
-            self.extra[s] = np.log(d)
+        self.extra = np.zeros(self.width**2)
+        for s, n in words.get("total", {}).items():
+            self.extra[s] = np.log(n)
 
     def log_probs(self, around, t):
         """Conditional log-probability of each position."""
         import numpy as np
 
-        order = np.argsort(t.astype("u2"), kind="stable")
+        width = self.width
+        order = np.argsort(t.astype("u2" if self.width <= 256 else "u4"), kind="stable")
         ctx, t = around[order], t[order]
         h = self.table[0][ctx[:, 0]]
         for i in range(1, len(PLACES)):
@@ -184,9 +198,9 @@ class Network:
         h += self.m["b"]
         np.tanh(h, out=h)
         n = len(t)
-        k, r = t // WIDTH, t % WIDTH
+        k, r = t // width, t % width
 
-        ones = np.ones(max(CLASSES, WIDTH), "f4")
+        ones = np.ones(width, "f4")
 
         def of(z, right):
             if z.max() > 60:  # rare, as tanh bounds what feeds the logits
@@ -195,8 +209,8 @@ class Network:
             return own - np.log(np.exp(z, out=z) @ ones[: z.shape[1]])
 
         out = of(h @ self.m["c"] + self.m["cb"], k).astype("f8")
-        edges = np.searchsorted(k, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edges = np.searchsorted(k, np.arange(width + 1))
+        for c in range(width):
             a, b = edges[c], edges[c + 1]
             if b > a:
                 out[a:b] += of(h[a:b] @ self.m["u"][c] + self.m["ub"][c], r[a:b])
@@ -205,16 +219,21 @@ class Network:
         back[order] = out
         return back
 
-    def scores(self, texts: list[str | None]) -> list[tuple[int, float]]:
-        """(words, sum of log-probabilities) of each text."""
+    def scores(self, texts: list[str | None], rest: list[Counter] | None = None) -> list[tuple[int, float]]:
+        """(words, sum of log-probabilities) of each text, short of the log counts of its bucketed words, which go to ``rest``."""
         import numpy as np
 
-        ids = [self.symbols.ids(t) for t in texts]
+        ids = []
+        for t in texts:
+            words = words_of(t)
+            ids.append(self.symbols.of(words))
+            if rest is not None:
+                rest.append(Counter(words[i] for i in np.flatnonzero(ids[-1] >= self.symbols.top).tolist()))
         sizes = [len(x) for x in ids]
         full = [x for x in ids if len(x)]
         if not full:
             return [(0, 0.0)] * len(texts)
-        p = self.log_probs(np.concatenate([contexts(x) for x in full]), np.concatenate(full))
+        p = self.log_probs(np.concatenate([contexts(x, self.width**2) for x in full]), np.concatenate(full))
         sums = iter(np.add.reduceat(p, np.cumsum([0, *[len(x) for x in full[:-1]]])).tolist())
         return [(n, next(sums) if n else 0.0) for n in sizes]
 
@@ -242,7 +261,8 @@ def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 2, text_col:
     import numpy as np
 
     sc = docs.sparkSession.sparkContext
-    model, known = start(), sc.broadcast(words)
+    width = words.get("width", WIDTH)
+    model, known = start(width=width), sc.broadcast(words)
     slices = 16
 
     for turn in range(rounds):
@@ -251,7 +271,7 @@ def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 2, text_col:
         def run(batches, sent=sent, turn=turn):
             import pyarrow as pa
 
-            symbols, m, total = Symbols(known.value["words"]), sent.value, 0
+            symbols, m, total = Symbols(known.value["words"], width=width), sent.value, 0
             around, targets, held = [], [], 0
 
             def learn():
@@ -268,7 +288,7 @@ def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 2, text_col:
                     mask = (np.arange(len(ids), dtype="u8") * np.uint64(2654435761) + np.uint64(int(ids[:64].sum()) + len(ids))) >> np.uint64(7)
                     own = np.flatnonzero(mask % np.uint64(every) == np.uint64(turn))
                     if len(own):
-                        around.append(contexts(ids)[own])
+                        around.append(contexts(ids, width * width)[own])
                         targets.append(ids[own])
                         held += len(own)
                         total += len(own)
@@ -310,12 +330,13 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = shared.stored(word_counts(docs, text_col), scope)
     words = vocabulary(counts)
     model = fit(docs, words, rounds, every, text_col)
-    shipped = docs.sparkSession.sparkContext.broadcast((model, words))  # a fixed number of symbols
+    shipped = docs.sparkSession.sparkContext.broadcast((model, words))
 
     def run(batches):
         import pyarrow as pa
 
-        net = Network(*shipped.value)
+        net, row = Network(*shipped.value), TaskContext.get().partitionId() << 40
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("word", pa.binary()), ("c", pa.int64())])
         for batch in batches:
             ids, at = batch.column(0), 0
             while at < batch.num_rows:
@@ -324,8 +345,18 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     texts.append(batch.column(1)[at].as_py())
                     held += len(texts[-1] or "")
                     at += 1
-                got = net.scores(texts)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "n_words", "log_prob"])
-
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, log_prob double")
+                rest: list[Counter] = []
+                out = []
+                for i, (n, p) in enumerate(net.scores(texts, rest)):
+                    # No word starts with a zero byte: the first row of a document meets no count, and these rows spread over the join.
+                    out.append((row, ids[first + i].as_py(), n, p, b"\0" + row.to_bytes(8, "big"), 0))
+                    out += [(row, None, None, None, w, c) for w, c in rest[i].items()]
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, word binary, c long")
+    # Log counts as whole 2^-30ths, so that sums do not depend on their order.
+    known = counts.select("word", F.round(F.log("n") * 2**30).cast("long").alias("ln"))
+    by = parts.join(known, "word", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("log_prob").alias("base"), F.sum(F.col("c") * F.coalesce("ln", F.lit(0))).alias("ln"))
+    out = by.select("doc_id", "n_words", (F.col("base") + F.col("ln") / 2**30).alias("log_prob"))
     return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))

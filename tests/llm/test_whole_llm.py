@@ -1,5 +1,8 @@
 """The llm operators look at the whole of their input: each test fails where parts are left out."""
 
+import math
+import zlib
+
 import pytest
 
 from driftmark.llm import pseudolm
@@ -12,3 +15,20 @@ def test_every_position_is_a_target(spark, symbol):
     words = {"words": {b"solo": symbol}, "distinct": {}}
     raw, fitted = (pseudolm.Network(m, words).scores(["solo"])[0][1] for m in (pseudolm.start(), pseudolm.fit(df, words)))
     assert fitted > raw
+
+
+def test_counts_decide_inside_a_bucket(spark):
+    """Of two words in one bucket the more frequent one scores higher, by the log of the ratio of their counts."""
+    top = pseudolm.SYMBOLS - pseudolm.BUCKETS
+    common = [f"top{i}" for i in range(top)]
+    by = {}
+    for i in range(2000):
+        by.setdefault(zlib.crc32(f"rare{i}".encode()) % pseudolm.BUCKETS, []).append(f"rare{i}")
+    a, b = next(v for v in by.values() if len(v) > 1)[:2]
+    rows = [(i, " ".join(common)) for i in range(12)] + [(100 + i, f"top1 {a} top2") for i in range(8)] + [(200, f"top1 {b} top2"), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in pseudolm.pseudo_likelihood(df).collect()}
+    assert len(got) == len(rows) and got[201]["log_prob"] == 0
+    assert abs(got[100]["log_prob"] - got[200]["log_prob"] - math.log(8)) < 1e-5
+    assert pseudolm.vocabulary(pseudolm.word_counts(df, "text"))["total"][top + zlib.crc32(a.encode()) % pseudolm.BUCKETS] == 9
+    assert pseudolm.width_of(1000) == pseudolm.WIDTH < pseudolm.width_of(286_327) < pseudolm.width_of(10**8)
