@@ -217,9 +217,8 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 1, id_col: str = "
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(out)
+        files, root = shared.files(out)
         encoder = tokens.word_encoder(path)
         base = encoder.library.get_vocab_size()
         shard, segment, made = TaskContext.get().partitionId(), 0, []
@@ -273,9 +272,8 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(out)
+        files, root = shared.files(out)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.open_input_stream(f"{root}/{name}", compression=None) as f:

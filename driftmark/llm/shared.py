@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_USED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,13 +26,44 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="driftmark-"))
+        folder = tempfile.mkdtemp(prefix="driftmark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN.append("file://" + folder)
     return _OWN[0]
 
 
+def home(spark: SparkSession) -> str:
+    """The folder of this application below the shared one, removed when the process ends with its session still open."""
+    sc = spark.sparkContext
+    out = f"{shared_root(spark)}/driftmark/{sc.applicationId}"
+    if out not in _USED:
+        _USED.add(out)
+        atexit.register(_clear, sc.applicationId, out)
+    return out
+
+
+def _clear(application: str, folder: str) -> None:
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None and sc.applicationId == application:
+        p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(scope: str) -> str:
+    """A scope that no other call uses."""
+    return f"{scope}-{uuid.uuid4().hex[:12]}"
+
+
 def scratch(spark: SparkSession, scope: str) -> str:
-    """A new path below the shared folder; release(scope) removes it."""
-    return f"{shared_root(spark)}/driftmark/{scope}/{uuid.uuid4().hex}"
+    """A new path of this application below the shared folder; release(scope) removes it."""
+    return f"{home(spark)}/{scope}/{uuid.uuid4().hex}"
+
+
+def files(uri: str):
+    """(file system, path) of pyarrow for executors. It opens file, hdfs, s3 (also as s3a), gs and abfss paths."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -39,10 +74,16 @@ def hadoop_path(spark: SparkSession, path: str):
 
 def release(spark: SparkSession, scope: str) -> None:
     """Remove what a scope has stored; call it once nothing reads those tables any more."""
-    fs, p = hadoop_path(spark, f"{shared_root(spark)}/driftmark/{scope}")
+    fs, p = hadoop_path(spark, f"{home(spark)}/{scope}")
     fs.delete(p, True)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., so that no name clashes with those that an operator adds, and the new name of each old one."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), names
+
+
 def stored(df: DataFrame, scope: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends there."""
     path = scratch(df.sparkSession, scope)

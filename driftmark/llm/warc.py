@@ -63,9 +63,8 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
 
     def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(out)
+        files, root = shared.files(out)
         shard, made = TaskContext.get().partitionId(), []
         page, marked, copies = object(), {}, {}
         stream, temp, size, records, sha = None, "", 0, 0, None
@@ -143,9 +142,8 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(out)
+        files, root = shared.files(out)
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         for batch in batches:
