@@ -7,10 +7,13 @@ additions on bitmaps; the sum's slices are then read from the most significant o
 the k-th row, and every row that the dropped low bits could still lift over it is resolved by its
 exact integer inner product.
 
-Vectors that are null or hold a null or non-finite component take no part, nor do rows without id,
-nor integers of 2^27 or more in magnitude (products would leave 64 bits). Shorter vectors count as
-padded with zeros. Ties go to the smaller id; rows of the query's own id are left out; repeated rows
-are candidates of their own; fewer than k candidates give fewer rows; an empty table gives none.
+Vectors that are null or hold a null or non-finite component take no part, nor do rows without id.
+Integers of 2^30 or more in magnitude go through the same index as Python integers, in blocks of
+their own; a score beyond 64 bits ranks by its exact value and is reported as the nearest 64-bit
+number. Shorter vectors count as padded with zeros. Ties go to the smaller id; rows of the query's
+own id are left out; repeated rows are candidates of their own; query rows that share an id are one
+query, to which a candidate has its best score; fewer than k candidates give fewer rows; an empty
+table gives none. Columns beside the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -22,24 +25,62 @@ from pyspark.sql import Window as W
 from . import shared
 
 
+#: Integers below this are stored as 32-bit ones, rows with larger ones keep their components.
+_NARROW = float(1 << 30)
+
+
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """vec_id and the integers of each row that takes part."""
-    whole = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(1 << 27) / scale))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(whole, lambda x: x.cast("int")).alias("v"))
+    """vec_id and, of each row that takes part, its integers (v), or its components (x) where some integer is too large for v."""
+    x = F.col(vec_col)
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    narrow = F.forall(x, lambda c: F.abs(c.cast("double")) < _NARROW / scale)
+    whole = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("int"))
+    rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(fine)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(narrow, whole).alias("v"), F.when(~narrow, x.cast("array<double>")).alias("x"))
 
 
-def matrix(column):
-    """An int64 matrix of a list column, padded with zeros."""
+def matrix(rows: list):
+    """A matrix of rows, padded with zeros: of int64, or of Python integers if any row holds such."""
     import numpy as np
 
-    rows = [np.asarray(r, "i8") for r in column.to_pylist()]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), "i8")
+    wide = any(isinstance(c, int) for r in rows for c in r[:1])
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), object if wide else "i8")
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
 
 
+def vectors_of(v, x, scale: int) -> list:
+    """Integers of each row of two Arrow columns: arrays, or lists of Python integers."""
+    import math
+    from fractions import Fraction
+
+    import numpy as np
+
+    return [np.asarray(a, "i8") if b is None else [math.floor(Fraction(c) * scale) for c in b] for a, b in zip(v.to_pylist(), x.to_pylist(), strict=True)]
+
+
+def products(v, w):
+    """Exact inner products of rows with a query."""
+    import numpy as np
+
+    if v.dtype != object and w.dtype != object and int(np.abs(v).max(initial=0)) * sum(map(abs, w.tolist())) < 1 << 63:
+        return v @ w
+    return v.astype(object) @ w.astype(object)
+
+
+def best_of(ids, scores, k: int, rows):
+    """Places of the k highest scores, best first; ties to the smaller id, then to the smaller row."""
+    import numpy as np
+
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i], rows[i]))[:k], "i8")
+    if len(scores) > 4 * k:
+        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        return some[np.lexsort((rows[some], ids[some], -scores[some]))[:k]]
+    return np.lexsort((rows, ids, -scores))[:k]
+
+
 class Block:
     """The index of one block of rows: the bitmaps of the leading bits, and the integers."""
 
@@ -52,7 +93,7 @@ class Block:
         self.bits = slice_bits
         need = int(np.abs(self.v).max(initial=0)).bit_length() + 1
         self.shift = max(0, need - slice_bits)
-        lifted = (self.v >> self.shift) + (1 << (slice_bits - 1))  # unsigned
+        lifted = (self.v >> self.shift).astype("i8") + (1 << (slice_bits - 1))  # unsigned
         words = -(-n // 64)
         self.slices = np.zeros((2, slice_bits, self.dims, words), "u8")  # as they are, and complemented
         for b in range(slice_bits):
@@ -107,10 +148,10 @@ class Block:
         return out
 
     def top(self, query_id: int, w, k: int):
-        """(ids, scores) of the k best rows, best first."""
+        """(rows, scores) of the k best rows, best first."""
         import numpy as np
 
-        w = np.concatenate([w, np.zeros(max(0, self.dims - len(w)), "i8")])[: self.dims]
+        w = np.concatenate([w, np.zeros(max(0, self.dims - len(w)), w.dtype)])[: self.dims]
         valid = self.valid
         lo, hi = np.searchsorted(self.ids, [query_id, query_id + 1])
         if hi > lo:
@@ -127,7 +168,7 @@ class Block:
             else:
                 need -= c
                 equal = equal & ~planes[i]
-        slack = ((1 << self.shift) - 1) * int(np.abs(w).sum())
+        slack = ((1 << self.shift) - 1) * sum(map(abs, w.tolist()))
         floor = kth - (slack >> self.shift)
         if floor <= 0 or int(np.bitwise_count(valid).sum()) <= k:
             chosen = valid
@@ -142,27 +183,52 @@ class Block:
                     over, equal = over | (equal & planes[i]), equal & ~planes[i]
             chosen = over | equal
         rows = np.flatnonzero(np.unpackbits(chosen.view("u1"), bitorder="little"))
-        scores = self.v[rows] @ w
-        if len(rows) > 4 * k:
-            cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-            rows, scores = rows[scores >= cut], scores[scores >= cut]
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        scores = products(self.v[rows], w)
+        best = best_of(self.ids[rows], scores, k, rows)
+        return rows[best], scores[best]
+
+
+def reported(score: int) -> tuple[int, bytes | None]:
+    """The nearest 64-bit number and, where that is another one, bytes that sort as the scores do."""
+    near = max(-(1 << 63), min((1 << 63) - 1, score))
+    if near == score:
+        return score, None
+    size = (score.bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return near, raw if score > 0 else bytes(255 - b for b in raw)
+
+
+class Best:
+    """The k best candidate rows of one query id, over its query rows and all blocks of a task."""
 
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", slice_bits: int = 7, block_rows: int = 16384, scope: str = "bitslice") -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of each row whose id is divisible by ``every``.
+    def add(self, block: int, ids, rows, scores) -> None:
+        for i, r, s in zip(ids.tolist(), rows.tolist(), scores.tolist(), strict=True):
+            self.held[block, r] = max((s, -i), self.held.get((block, r), (s, -i)))
+        if len(self.held) > 4 * self.k:
+            self.held = dict(self.top())
 
-    The queries are a table in the shared folder, which each task reads a batch at a time for the
-    blocks that it has indexed; nothing is broadcast and no pairs are joined. A block gives at most
-    k rows for each query, which one window then merges.
+    def top(self) -> list:
+        return sorted(self.held.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))[: self.k]
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", slice_bits: int = 7, block_rows: int = 16384, task_blocks: int = 8, scope: str = "bitslice") -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows for each id that is divisible by ``every``.
+
+    The queries are a table in the shared folder, sorted by id within each file, which each task
+    reads a batch at a time for the ``task_blocks`` blocks that it has indexed; nothing is broadcast
+    and no pairs are joined. A task gives at most k rows for each query id, which one window then merges.
     """
     spark = vectors.sparkSession
     rows = shared.stored(quantised(vectors, id_col, vec_col, scale), scope)
     path = shared.scratch(spark, scope)
     n = rows.count()
     blocks = max(1, -(-n // block_rows))
-    rows.where(F.col("vec_id") % every == 0).coalesce(1 + n // (every * 8192)).write.parquet(path)
+    tasks = max(-(-blocks // task_blocks), min(blocks, spark.sparkContext.defaultParallelism))
+    asked = rows.where(F.col("vec_id") % every == 0).distinct()
+    asked.repartition(1 + n // (every * 8192), "vec_id").sortWithinPartitions("vec_id").write.parquet(path)
 
     def run(batches):
         import numpy as np
@@ -170,30 +236,57 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(path)
+        files, root = shared.files(path)
         parts = sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
 
-        def answer(table):
-            block = Block(table.column(0).to_numpy(), matrix(table.column(1)), slice_bits)
+        def emit(out):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["query_id", "vec_id", "score", "beyond"])
+
+        def answer(indexed):
             for part in parts:
+                query, best, out = None, Best(k), []
                 for queries in pq.ParquetFile(files.open_input_file(part)).iter_batches(1024):
-                    out = []
-                    weights = matrix(queries.column(1))
-                    for i, q in enumerate(queries.column(0).to_pylist()):
-                        ids, scores = block.top(q, weights[i], k)
-                        out.append((np.full(len(ids), q), ids, scores))
+                    weights = vectors_of(queries.column(1), queries.column(2), scale)
+                    for q, w in zip(queries.column(0).to_pylist(), weights, strict=True):
+                        if q != query:
+                            out += [(query, -i, *reported(s)) for _, (s, i) in best.top()]
+                            query, best = q, Best(k)
+                        w = matrix([w])[0]
+                        for b, block in enumerate(indexed):
+                            at, scores = block.top(q, w, k)
+                            best.add(b, block.ids[at], at, scores)
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                        yield emit(out)
+                        out = []
+                out += [(query, -i, *reported(s)) for _, (s, i) in best.top()]
+                if out:
+                    yield emit(out)
+
+        def index(held):
+            """Blocks of the narrow rows and of the others."""
+            table = pa.Table.from_batches(held)
+            ids, values = table.column(0).to_numpy(), vectors_of(table.column(1), table.column(2), scale)
+            wide = np.array([isinstance(v, list) for v in values], bool)
+            return [Block(ids[own], matrix([values[i] for i in own]), slice_bits) for own in (np.flatnonzero(~wide), np.flatnonzero(wide)) if len(own)]
 
-        held: list = []
+        indexed, held, size = [], [], 0
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 2 * block_rows:
-                yield from answer(pa.Table.from_batches(held))
-                held = []
-        if sum(b.num_rows for b in held):
-            yield from answer(pa.Table.from_batches(held))
-
-    found = rows.repartition(blocks).mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, block_rows - size))
+                at += held[-1].num_rows
+                size += held[-1].num_rows
+                if size == block_rows:
+                    indexed, held, size = indexed + index(held), [], 0
+                    if len(indexed) >= 2 * task_blocks:
+                        yield from answer(indexed)
+                        indexed = []
+        if size:
+            indexed += index(held)
+        if indexed:
+            yield from answer(indexed)
+
+    found = rows.repartition(tasks).mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

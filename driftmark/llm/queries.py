@@ -74,9 +74,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: log odds of low quality and toxicity, posterior log odds of being bad, keep."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    lean = quality.scored(docs.select("doc_id", "source", "lang", "text"), quality.fit(docs, labels)).drop("text")
-    scores = shared.stored(lean, "quality")
-    out = quality.judged(scores, quality.posteriors(scores, "source", "lang"), "source", "lang")
+    scope = shared.fresh("quality")
+    lean = quality.scored(docs.select("doc_id", "source", "lang", "text"), quality.fit(docs, labels, scope=scope)).drop("text")
+    scores = shared.stored(lean, scope)
+    out = quality.judged(scores, quality.posteriors(scores, "source", "lang", scope), "source", "lang")
     return out.select("doc_id", F.round("dm_quality", 4).alias("quality_odds"), F.round("dm_toxic", 4).alias("toxic_odds"), F.round("dm_bad", 4).alias("bad_odds"), (F.col("dm_bad") < quality.KEEP_BELOW).alias("keep"))
 
 
@@ -122,12 +123,12 @@ ORACLE_SQL: dict[str, str] = {
     "op2_licences": _LICENCE_SQL,
     "op1_bitslice": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, c.row AS row,
+         max(CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY q.vec_id, c.vec_id, c.row
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )

@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -71,19 +73,18 @@ def test_bitslice(spark):
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6).astype("f4")], "clash") for i in range(400)]
     rows[7] = (7, rows[0][1], "clash")
     rows[8] = (8, rows[0][1], "clash")
-    rows += [(500, None, ""), (600, [0.1, None, 0.0, 0.0, 0.0, 0.0], ""), (700, [float("nan")] * 6, ""), (800, [float("inf")] * 6, ""), (900, [0.5, -0.5], ""), (1000, [0.0] * 6, ""), (100, rows[100][1], "repeat")]
+    rows += [(500, None, ""), (600, [0.1, None, 0.0, 0.0, 0.0, 0.0], ""), (700, [float("nan")] * 6, ""), (800, [float("inf")] * 6, ""), (900, [0.5, -0.5], ""), (1000, [0.0] * 6, "")]
+    rows += [(100, [0.3, -0.4, 0.1, 0.0, 0.9, -0.2], "other"), (100, rows[100][1], "repeat"), (None, [0.1] * 6, ""), (1100, [200000.0, -3.0, 0.25, 0.0, 0.0, 1e7], ""), (1101, [-1e12, 4.0, 0.5, 0.0, 0.0, 0.0], ""), (1200, [1e30, 0.0, 0.0, 0.0, 0.0, 0.0], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    good = [(i, np.floor(1024 * np.pad(np.array(v, "f8"), (0, 6 - len(v)))).astype("i8")) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [math.floor(1024 * Fraction(float(np.float32(x)))) for x in v] + [0] * (6 - len(v))) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = set()
-    for q, w in good:
-        if q % 100 == 0:
-            best = sorted((-int(w @ v), i) for i, v in good if i != q)
-            want |= {(q, i, -s) for s, i in best[:10]}
-    for bits in (3, 7):
-        got = bitslice.search(df, slice_bits=bits, block_rows=64).collect()
-        assert {(r["query_id"], r["vec_id"], r["score"]) for r in got} <= {(q, i, s) for q, i, s in want}
-        once = [r for r in got if r["query_id"] != 100]
-        assert len({(r["query_id"], r["rank"]) for r in once}) == len(once) == 10 * len({q for q, *_ in want} - {100})
+    for q in {i for i, _ in good if i % 100 == 0}:
+        asked = [w for i, w in good if i == q]
+        best = sorted((-max(sum(a * b for a, b in zip(w, v, strict=True)) for w in asked), i) for i, v in good if i != q)[:10]
+        want |= {(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)}
+    for bits, rows_, blocks in ((3, 64, 2), (7, 64, 1), (7, 16384, 8)):
+        got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in bitslice.search(df, slice_bits=bits, block_rows=rows_, task_blocks=blocks).collect()]
+        assert sorted(got) == sorted(want)
     assert bitslice.search(df.limit(0)).count() == 0
 
 
@@ -203,25 +204,28 @@ def contaminated(text, items, window):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [512_000, 60])
-def test_decontaminate(spark, block):
+@pytest.mark.parametrize(("block", "chunk"), [(1_000_000, 10**6), (8, 50)])
+def test_decontaminate(spark, tmp_path, block, chunk):
     rng = random.Random(2)
-    items = [(1, "a b c d"), (2, "B, c! d e f g"), (3, None), (4, ""), (5, "x"), (6, "é ü é"), (10, "a b c d")]
-    rows = [(i, " ".join(rng.choice("A b-c,d e.f g x é ü q r s t".split(" ")) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, None), (61, ""), (61, "a  B\nc d"), (62, "xx é_ü é")]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, n_hit string").repartition(2)
+    items = [(1, "a b c d"), (2, "B, c! d e f g"), (3, None), (4, ""), (5, "x"), (6, "é ü é"), (10, "a b c d"), (None, "r s t q"), (12, " ".join(prose(rng, 1) + str(k) for k in range(40)))]
+    rows = [(i, " ".join(rng.choice("A b-c,d e.f g x é ü q r s t".split(" ")) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, None), (61, ""), (61, "a  B\nc d"), (None, "r s T. q"), (63, "a b c d " * 9000), (64, items[-1][1] + " B c d e f"), (62, "xx é_ü é")]
+    spark.createDataFrame([(*r, "c", "d") for r in rows], "doc_id long, text string, n_hit string, c0 string").repartition(3).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(df, bench, window=3, block_bytes=block).collect())
-    want = collections.Counter()
-    for i, t in rows:
-        n, h, f = contaminated(t, items, 3)
-        want[i, n, h, tuple(f)] += 1
-    assert got == want
-    if block > 100:
-        spans = {r["doc_id"]: r["spans"] for r in decontaminate.contamination(df.where("doc_id = 62"), bench, window=3).collect()}
-        assert [rows[-1][1][s["start"] : s["stop"]] for s in spans[62]] == ["é_ü é"]
-    clean = [r["doc_id"] for r in decontaminate.clean(df, bench, window=3, block_bytes=block).collect()]
-    assert sorted(clean) == sorted(i for i, t in rows if not contaminated(t, items, 3)[1])
+    blocks = decontaminate.patterns(bench, "item_id", "text", 3, block, "t")[1]
+    assert blocks == 1 if block > 100 else blocks > 20
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], tuple(r["items"])) for r in decontaminate.contamination(df, bench, window=3, block_bytes=block, chunk=chunk).collect())
+    named = [("" if i is None else i, t) for i, t in items]
+    found = [(i, t, *contaminated(t, named, 3)) for i, t in rows]
+    assert got == collections.Counter((i, n, h, len(f), tuple(f)) for i, _, n, h, f in found)
+    spans = {r["doc_id"]: r["spans"] for r in decontaminate.contamination(df.where("doc_id = 62"), bench, window=3, block_bytes=block).collect()}
+    assert [rows[-1][1][s["start"] : s["stop"]] for s in spans[62]] == ["é_ü é"]
+    for given in (df, df.repartition(5)):
+        clean = decontaminate.clean(given, bench, window=3, block_bytes=block, chunk=chunk)
+        assert clean.columns == df.columns
+        assert sorted(clean.collect(), key=str) == sorted([r for r in df.collect() if not contaminated(r["text"], named, 3)[1]], key=str)
     assert decontaminate.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.clean(df, bench.limit(0)).count() == df.count()
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
@@ -399,11 +403,27 @@ def test_nearjoin(spark, limit, block):
     rows += [rows[0]] * 30 + [None, "", "", " ,", "one two", "One, two", "one two three", prose(rng, 20000)]
     rows = list(enumerate(rows)) + [(2, rows[2])]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, node string").repartition(3)
-    got = sorted(map(tuple, nearjoin.near_duplicates(df, limit=limit, block=block).collect()))
-    assert got == jaccard_classes(rows)
+    got = sorted(map(tuple, nearjoin.near_duplicates(df, limit=limit, block=block, shingles=5000 * block).collect()))
+    want = jaccard_classes(rows)
+    assert got == want
+    assert nearjoin.near_duplicates(df, limit=limit, shingles=100).exceptAll(spark.createDataFrame(want, "doc_id long, class_id long, n_links long")).count() == 0
     assert nearjoin.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_deduplicated_keeps_one_row_of_each_class(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 80), prose(rng, 60)
+    rows = [(5, a), (3, a + " end"), (None, a), (7, b), (7, b), (7, prose(rng, 40)), (8, None), (8, None), (9, " ,"), (None, prose(rng, 50)), (None, "x y")]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, node string, c0 int").repartition(3)
+    got = nearjoin.deduplicated(df)
+    assert got.columns == df.columns
+    want = [rows[i] for i in (1, 3, 5, 6, 7, 8, 9, 10)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    links = collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in nearjoin.near_duplicates(df).collect())
+    assert links[None, 3, 2] == 1 and links[7, 7, 1] == 2 and links[7, 7, 0] == 1 and links[None, None, 0] == 2
+    assert nearjoin.deduplicated(df.limit(0)).count() == 0
+
+
 def test_sketches_agree_with_jaccard():
     rng = np.random.default_rng(0)
     s = nearjoin.Shingler(5)

@@ -96,6 +96,47 @@ def test_stages(spark, corpus):
     assert sorted((r["doc_id"], r["ids_crc32"]) for r in whole) == want
 
 
+def test_runs_do_not_meet(spark, corpus):
+    """Results stay readable when other runs begin and end; a stage frees what the written result before it read."""
+    folder = corpus[0]
+    first = corpus_pipeline.run(spark, folder)
+    docs = queries.table(spark, folder, "documents")
+    a, b = (corpus_pipeline.classify(spark, docs, folder) for _ in "ab")
+    written = shared.stored(a, "test")
+    direct = corpus_pipeline.remove_benchmark(spark, b, folder)  # reads b itself, which stays
+    assert corpus_pipeline.remove_benchmark(spark, written, folder).count() == direct.count() > 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        a.count()
+    second = corpus_pipeline.run(spark, folder)
+    assert second.count() == first.count() > 0
+
+
+def test_further_columns_repeats_and_long_texts(spark, corpus, tmp_path):
+    """Columns with the names that stages use inside, repeated ids and labels, and a very long text."""
+    folder, _ = corpus
+    names = ["dm_bad", "dm_quality", "dm_row", "quality", "spans", "c0", "node", "text2"]
+    rng = random.Random(8)
+    docs = queries.table(spark, folder, "documents").where("doc_id < 60")
+    long = prose(rng, 60_000)
+    more = spark.createDataFrame([(1000, long, "en", None, len(long)), (1000, long + " end", "en", "src1", len(long) + 4), (1001, prose(rng, 30), "en", "src1", 0), (1001, prose(rng, 30), "en", "src2", 0), (None, prose(rng, 30), None, None, None)], docs.schema)
+    wide = docs.union(more).select("*", *[F.lit(k).alias(k) for k in names])
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        t = queries.table(spark, folder, name)
+        t.union(t.limit(5)).write.parquet(f"{tmp_path}/{name}.parquet")
+    given, columns = queries.table(spark, str(tmp_path), "documents"), wide.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = shared.stored(stage(spark, given, str(tmp_path)), "test")
+        assert out.columns == columns, name
+        assert all(r[k] == k for r in out.select(names).collect() for k in names)
+        given = given if name == "quality classifier" else out  # so few labels teach nothing about long texts
+    ids = collections.Counter(r["doc_id"] for r in given.collect())
+    assert ids[1000] == 1 and ids[1001] == 2 and ids[None] == 1
+    assert corpus_pipeline.pack(spark, given, str(tmp_path)).select("doc_id").distinct().count() == len(ids)
+    no_size = given.drop("n_chars")
+    assert corpus_pipeline.redact(spark, no_size, str(tmp_path)).columns == no_size.columns
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
