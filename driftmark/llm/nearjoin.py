@@ -13,7 +13,12 @@ row for each of its documents.
 
 Equal shingle sets are one node with a count. Texts of fewer than ``width`` words are one shingle;
 null texts and texts without words link to nothing and are classes of their own; repeated rows are
-copies; rows without id keep a null id and link to their copies only; an empty table gives no rows.
+copies; rows without id take part, keep a null id and come last in their class (which has a null id
+if all its rows have); texts of any length are compared whole; an empty table gives no rows. Columns
+beside the id and the text are not read, and ``deduplicated`` keeps them, whatever their names.
+
+A class of n different sets costs n^2 / 2 exact comparisons, as bit matrices in blocks, and each of
+its texts goes to as many tasks as the class has blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import hashlib
 import math
 from fractions import Fraction
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,21 +108,28 @@ def signature(s) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, node and s2 (the set's signature), n (its size), mh (its min-hashes); null node: no words."""
+def sketched(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """docs with dm_row (a number of its own for each row), node and s2 (the set's signature), n (its size), mh (its min-hashes); null node: no words.
+
+    Row numbers come from the partition and the place in it, so the result has to be stored once.
+    """
+    from pyspark.sql import types as T
+
+    at_text = docs.columns.index(text_col)
+    extra = [("dm_row", T.LongType()), ("node", T.LongType()), ("s2", T.LongType()), ("n", T.IntegerType()), ("mh", T.ArrayType(T.IntegerType()))]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        shingler = Shingler(width)
+        shingler, row = Shingler(width), TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts, ids = batch.column(1), batch.column(0).to_pylist()
             at = 0
-            while at < len(ids):
-                first = at
-                at = min(len(ids), first + 500)
-                sets = [shingler(texts[i].as_py()) for i in range(first, at)]
+            while at < batch.num_rows:
+                own = batch.slice(at, 500)
+                at += own.num_rows
+                texts = own.column(at_text)
+                sets = [shingler(texts[i].as_py()) for i in range(own.num_rows)]
                 full = [s for s in sets if len(s)]
                 mh = map(shingler.sketch, full)
                 signs = [signature(s) if len(s) else (None, None) for s in sets]
@@ -124,12 +137,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 held = [r for r in rows if r is not None]
                 offsets = np.cumsum([0] + [COORDINATES if r is not None else 0 for r in rows])
                 flat = np.concatenate(held) if held else np.zeros(0, "i4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first:at], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))],
-                    names=["doc_id", "node", "s2", "n", "mh"],
-                )
+                made = [pa.array(range(row, row + own.num_rows), pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+                row += own.num_rows
+                yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*own.schema.names, *(k for k, _ in extra)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, s2 long, n int, mh array<int>")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in extra)]))
 
 
 def runs_needed(threshold: float, recall: float, branch: int = 2) -> int:
@@ -214,7 +226,7 @@ def floors(threshold: float, margin: float = 4.5):
 def loose_edges(buckets: DataFrame, threshold: float) -> DataFrame:
     """(u, v) stars of what is alike by sketch within each bucket; buckets: key, part, other, node, n, mh.
 
-    Rows of a bucket with other = 0 are compared with each other, those with other = 1 with the rest.
+    Rows of a bucket with other = 0 are compared with each other, those with other = 1 with those with other = 2.
     """
     low = floors(threshold)
 
@@ -229,7 +241,7 @@ def loose_edges(buckets: DataFrame, threshold: float) -> DataFrame:
         pairs_a, pairs_b = [], []
         step = max(1, 4_000_000 // (len(node) * mh.shape[1]))
         cross = side.any()
-        left = np.flatnonzero(side == 0) if cross else np.arange(len(node))
+        left = np.flatnonzero(side == 1) if cross else np.arange(len(node))
         for i in range(0, len(left), step):
             rows = left[i : i + step]
             own, other = n[rows][:, None], n[None, :]
@@ -237,7 +249,7 @@ def loose_edges(buckets: DataFrame, threshold: float) -> DataFrame:
             same &= (own >= threshold * other - 1e-9) & (other >= threshold * own - 1e-9)
             a, b = np.nonzero(same)
             a = rows[a]
-            keep = (side[b] == 1) if cross else b > a
+            keep = (side[b] == 2) if cross else b > a
             pairs_a.append(a[keep])
             pairs_b.append(b[keep])
         root = roots_of(len(node), np.concatenate(pairs_a), np.concatenate(pairs_b))
@@ -248,15 +260,14 @@ def loose_edges(buckets: DataFrame, threshold: float) -> DataFrame:
     return grouped(buckets, ["key", "part"], [], work, "u long, v long")
 
 
-def blocks_of(rows: DataFrame, key: str, count: str, size: int) -> DataFrame:
-    """Deal large groups into blocks and pair the blocks: (key, part, other), each row once for every block beside its own.
+def blocks_of(rows: DataFrame, blocks) -> DataFrame:
+    """Deal groups into ``blocks`` blocks each and pair the blocks: (part, other), each row once for every block beside its own.
 
-    A group of up to ``size`` rows is a single block of part 0.
+    A group of one block is part 0.
     """
-    blocks = F.ceil(F.col(count) / F.lit(size)).cast("long")
-    own = F.pmod(F.xxhash64("node"), blocks)
-    # part a * blocks + b, a <= b: rows of block a have other = 0, those of block b other = 1 (a = b: all 0)
-    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("dm_blocks") - 1), lambda x: F.struct((F.least(x, F.col("dm_own")) * F.col("dm_blocks") + F.greatest(x, F.col("dm_own"))).alias("part"), (F.col("dm_own") > x).cast("int").alias("other")))
+    own = F.pmod(F.xxhash64("node"), F.col("dm_blocks"))
+    # part a * blocks + b, a <= b: rows of block a have other = 1, those of block b other = 2 (a = b: all 0)
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("dm_blocks") - 1), lambda x: F.struct((F.least(x, F.col("dm_own")) * F.col("dm_blocks") + F.greatest(x, F.col("dm_own"))).alias("part"), F.when(F.col("dm_own") == x, 0).when(F.col("dm_own") < x, 1).otherwise(2).alias("other")))
     return rows.withColumn("dm_blocks", blocks).withColumn("dm_own", own).withColumn("dm_met", F.explode(met)).withColumn("part", F.col("dm_met.part")).withColumn("other", F.col("dm_met.other")).drop("dm_blocks", "dm_own", "dm_met")
 
 
@@ -375,29 +386,58 @@ def exact_links(texts: DataFrame, width: int, threshold: float) -> DataFrame:
     return grouped(texts, ["key", "part"], [], work, "node long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, branch: int = 2, limit: int = 512, block: int = 1024, scope: str = "nearjoin") -> DataFrame:
-    """Per row: doc_id, class_id (the least doc_id of its class), n_links (rows whose set has at least ``threshold``)."""
-    sketches = shared.stored(sketched(docs, id_col, text_col, width), scope)
-    lean = sketches.where("node is not null")
-    sets = shared.stored(lean.groupBy("node", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("mh").alias("mh")), scope)
+#: Order of the rows of a class: ids first, the least one before the others, then the number of the row.
+_FIRST = "struct<none:boolean,id:bigint,row:bigint>"
+
+
+def classes_of(rows: DataFrame, width: int, threshold: float, recall: float, branch: int, limit: int, block: int, shingles: int, scope: str) -> DataFrame:
+    """Per set: node, s2, c (its rows), links (to rows of other sets), first (of its class, as ``_FIRST``).
+
+    rows: dm_id, text and the columns of ``sketched``, stored.
+    """
+    rank = F.struct(F.col("dm_id").isNull(), "dm_id", "dm_row").cast(_FIRST)
+    sets = shared.stored(rows.where("node is not null").groupBy("node", "s2").agg(F.min(rank).alias("rep"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("mh").alias("mh")), scope)
     small, big = chosen_paths(sets, runs_needed(threshold, recall, branch), branch, limit, scope)
     known = sets.select("node", "n", "mh")
-    deal = blocks_of(big, "key", "c", block).select("key", "part", "other", "node").union(small.select("key", F.lit(0).cast("long"), F.lit(0), "node"))
+    deal = blocks_of(big, F.ceil(F.col("c") / F.lit(block)).cast("long")).select("key", "part", "other", "node").union(small.select("key", F.lit(0).cast("long"), F.lit(0), "node"))
     stars = loose_edges(deal.join(known, "node").select("key", "part", "other", "node", "n", "mh"), threshold)
     loose = components(stars, scope)
     member = loose.select("node", F.col("root").alias("key")).union(loose.select(F.col("root"), "root").distinct())
-    sized = member.join(member.groupBy("key").agg(F.count("*").alias("size")), "key")
-    placed = sized.join(sets.select("node", "s2", "rep", "c"), "node")
-    dealt = blocks_of(placed, "key", "size", block)
-    bodies = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    texts = placed.select("node", "rep").join(bodies, "rep").select("node", "text")
-    met = dealt.join(texts, "node").select("key", "part", "other", "node", "s2", "c", "text")
+    placed = shared.stored(member.join(sets.select("node", "s2", "rep", "c", "n"), "node").select("key", "node", "s2", "c", "n", F.col("rep.row").alias("dm_row")), scope)
+    # Only classes of more than one block need a look-up of their size; there is one of them for ``block`` sets at most.
+    sizes = placed.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    parts = F.greatest(F.ceil(F.col("k") / F.lit(block)), F.ceil(F.col("total") / F.lit(shingles))).cast("long")
+    large = shared.stored(sizes.select("key", parts.alias("b")).where("b > 1"), scope)
+    if large.limit(100_001).count() <= 100_000:
+        large = F.broadcast(large)
+    texts = placed.join(rows.select("dm_row", "text"), "dm_row").join(large, "key", "left")
+    met = blocks_of(texts, F.coalesce("b", F.lit(1).cast("long"))).select("key", "part", "other", "node", "s2", "c", "text")
     exact = shared.stored(exact_links(met, width, threshold), scope)
     near = components(exact.select(F.col("node").alias("u"), F.col("root").alias("v")), scope)
-    links = exact.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = sets.select("node", "s2", "rep", "c").join(near, "node", "left").join(links, "node", "left").select("node", "s2", "rep", "c", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    nodes = shared.stored(nodes, scope)
-    least = nodes.groupBy("root").agg(F.min("rep").alias("class_id"))
-    final = nodes.join(least, "root").select("node", "s2", "class_id", (F.col("links") + F.col("c") - 1).alias("n_links"))
-    out = lean.select("doc_id", "node", "s2").join(final, ["node", "s2"]).select("doc_id", "class_id", "n_links")
-    return out.union(sketches.where("node is null").select("doc_id", "doc_id", F.lit(0).cast("long")))
+    linked = near.union(near.select("root", "root").distinct())
+    of = linked.join(sets.select("node", "rep"), "node")
+    first = shared.stored(of.groupBy("root").agg(F.min("rep").alias("first")), scope)
+    tied = linked.join(first, "root").select("node", "first").join(exact.groupBy("node").agg(F.sum("links").alias("links")), "node")
+    out = sets.select("node", "s2", "c", "rep").join(tied, "node", "left")
+    return shared.stored(out.select("node", "s2", "c", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "rep").alias("first")), scope)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, branch: int = 2, limit: int = 512, block: int = 1024, shingles: int = 1_500_000, scope: str = "nearjoin") -> DataFrame:
+    """Per row: doc_id, class_id (the least doc_id of its class), n_links (rows whose set has at least ``threshold``)."""
+    source = docs.select(F.col(id_col).cast("long").alias("dm_id"), F.col(text_col).alias("text"))
+    rows = shared.stored(sketched(source, "text", width), scope)
+    sets = classes_of(rows, width, threshold, recall, branch, limit, block, shingles, scope)
+    final = sets.select("node", "s2", F.col("first.id").alias("class_id"), (F.col("links") + F.col("c") - 1).alias("n_links"))
+    out = rows.where("node is not null").select(F.col("dm_id").alias("doc_id"), "node", "s2").join(final, ["node", "s2"]).select("doc_id", "class_id", "n_links")
+    return out.union(rows.where("node is null").select("dm_id", "dm_id", F.lit(0).cast("long")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, branch: int = 2, limit: int = 512, block: int = 1024, shingles: int = 1_500_000, scope: str = "nearjoin") -> DataFrame:
+    """The rows of docs, with all their columns: of each class the one with the least id, and all rows without words."""
+    plain, at = shared.numbered(docs)
+    source = plain.withColumn("dm_id", F.col(at[id_col]).cast("long"))
+    rows = shared.stored(sketched(source, at[text_col], width), scope)
+    sets = classes_of(rows.withColumnRenamed(at[text_col], "text"), width, threshold, recall, branch, limit, block, shingles, scope)
+    first = sets.select(F.col("first.row").alias("dm_row")).distinct()
+    kept = rows.where("node is not null").join(first.hint("shuffle_hash"), "dm_row", "left_semi").select(plain.columns)
+    return kept.union(rows.where("node is null").select(plain.columns)).toDF(*docs.columns)

@@ -3,13 +3,21 @@
 Every word is predicted from the ``SPAN`` words on either side of it; a document's score is the sum
 of those conditional log-probabilities. Words are counted over all documents; the most frequent ones
 are symbols of their own, at least 768 and more with the square root of the vocabulary, the others
-share hashed buckets, in which a word has its share of the bucket's count, looked up by a join. The network (embeddings, one tanh layer, a softmax over classes and
-one within the class) is trained by every partition on its own masked positions, in each round another
-share of all words, over all rounds every word of all documents once, and averaged over the partitions by their number of positions.
-
-Null texts and texts without words have no words and score 0; repeated rows score alike; an empty
-table gives no rows. Places beyond a document's ends are one padding symbol. Columns beside the id
-and the text are not read.
+share hashed buckets, in which a word has its share of the bucket's count: of up to 2^17 frequent
+words every task knows the count, those of all others are looked up by a join. The network
+(embeddings, one tanh layer, a softmax over classes and one within the class) is trained by every
+partition on its own masked positions, in each round another share of all words, over all rounds
+every word of all documents once, and averaged over the partitions by their number of positions. So
+the weights depend on how the table is split into partitions, as far as averages of networks do;
+the same files give the same weights.
+
+Texts are read twice, to count words and to turn them into symbols, which are stored; training and
+scoring read those.
+
+Null texts and texts without words have no words and score 0; repeated rows score alike; rows
+without id keep a null id; texts of any length are scored whole, some 2^16 positions at a time; an
+empty table gives no rows. Places beyond a document's ends are one padding symbol. Columns beside
+the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from .decontaminate import words_of
 
 CLASSES, WIDTH = 32, 32  # symbols = CLASSES x WIDTH, at least; larger vocabularies widen both
 SYMBOLS, BUCKETS, SPAN, DIM, HIDDEN = CLASSES * WIDTH, 256, 2, 16, 32
+FINE = 1 << 30  # log counts are summed as whole parts of this size
 PLACES = [p for p in range(-SPAN, SPAN + 1) if p]
 
 
@@ -57,25 +66,27 @@ def width_of(distinct: int) -> int:
     return max(WIDTH, math.isqrt(2 * math.isqrt(distinct) + BUCKETS - 1) + 1)
 
 
-def vocabulary(counts: DataFrame) -> dict:
-    """Symbols of the most frequent words and, for each bucket of the others, the count of its words."""
+def vocabulary(counts: DataFrame, known: int = 1 << 17) -> dict:
+    """Symbols of the most frequent words, log counts of up to ``known`` further ones and, for each bucket, the count of its words."""
     spread = counts.groupBy(F.pmod(F.crc32("word"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()
     width = width_of(sum(r["d"] for r in spread))
     top = width * width - BUCKETS
-    ranked = counts.orderBy(F.desc("n"), "word").limit(top).collect()
-    words = {bytes(r["word"]): i for i, r in enumerate(ranked)}
+    ranked = counts.orderBy(F.desc("n"), "word").limit(top + known).collect()
+    words = {bytes(r["word"]): i for i, r in enumerate(ranked[:top])}
+    logs = {bytes(r["word"]): round(math.log(r["n"]) * FINE) for r in ranked[top:]}
     inside: Counter = Counter()
-    for r in ranked:
+    for r in ranked[:top]:
         inside[top + zlib.crc32(r["word"]) % BUCKETS] += r["n"]
-    return {"words": words, "width": width, "total": {top + r["b"]: max(1, r["n"] - inside[top + r["b"]]) for r in spread}}
+    return {"words": words, "logs": logs, "width": width, "total": {top + r["b"]: max(1, r["n"] - inside[top + r["b"]]) for r in spread}}
 
 
 class Symbols(dict):
     """Word to symbol, with a bounded memo of the bucketed ones."""
 
-    def __init__(self, words: dict, most: int = 200_000, width: int = WIDTH):
-        super().__init__(words)
-        self.own, self.most, self.top = words, most + len(words), width * width - BUCKETS
+    def __init__(self, words: dict, most: int = 200_000):
+        super().__init__(words["words"])
+        self.own, self.logs, self.most = words["words"], words.get("logs", {}), most + len(words["words"])
+        self.top = words.get("width", WIDTH) ** 2 - BUCKETS
 
     def __missing__(self, word):
         if len(self) > self.most:
@@ -84,13 +95,77 @@ class Symbols(dict):
         out = self[word] = self.top + zlib.crc32(word) % BUCKETS
         return out
 
-    def ids(self, text: str | None):
-        return self.of(words_of(text))
-
-    def of(self, words: list[bytes]):
+    def of(self, text: str | None):
+        """(symbols, sum of the known log counts of bucketed words in 2^-30ths, counts of the other bucketed words)."""
         import numpy as np
 
-        return np.fromiter(map(self.__getitem__, words), "i4", len(words))
+        words = words_of(text)
+        ids = np.fromiter(map(self.__getitem__, words), "u4", len(words))
+        ln, rare = 0, {}
+        for i in np.flatnonzero(ids >= self.top).tolist():
+            own = self.logs.get(words[i])
+            if own is not None:
+                ln += own
+            else:
+                rare[words[i]] = rare.get(words[i], 0) + 1
+        return ids, ln, rare
+
+
+def symbolised(docs: DataFrame, words: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, n_words, ids (symbols, 32-bit little-endian), ln, rare (words whose count has to be looked up); to be stored once."""
+    shipped = docs.sparkSession.sparkContext.broadcast(words)  # at most 2 sqrt(vocabulary) + 2^17 words
+
+    def run(batches):
+        import pyarrow as pa
+
+        symbols, row = Symbols(shipped.value), TaskContext.get().partitionId() << 40
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.map_(pa.binary(), pa.int64()))
+        for batch in batches:
+            ids, at = batch.column(0), 0
+            while at < batch.num_rows:
+                out = []
+                for i in range(at, min(at + 1000, batch.num_rows)):
+                    own, ln, rare = symbols.of(batch.column(1)[i].as_py())
+                    out.append((row, ids[i].as_py(), len(own), own.astype("<u4").tobytes(), ln, list(rare.items())))
+                    row += 1
+                at += len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "doc_id", "n_words", "ids", "ln", "rare"])
+
+    schema = "row long, doc_id long, n_words long, ids binary, ln long, rare map<binary,bigint>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def windows(raw: list[bytes], pad: int, first=0, every: int = 1, turn: int = 0):
+    """(flat, places) of documents' symbols between paddings: the window of place i is flat[i - SPAN : i + SPAN + 1].
+
+    Of the positions of a document, counted from ``first``, those that are ``turn`` modulo ``every``.
+    """
+    import numpy as np
+
+    gap = np.full(SPAN, pad, "i4")
+    sizes = np.array([len(r) // 4 for r in raw])
+    parts = [gap]
+    for r in raw:
+        parts += [np.frombuffer(r, "<u4").astype("i4"), gap]
+    flat = np.concatenate(parts)
+    own = np.arange(sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    inside = own - np.repeat(starts, sizes)
+    places = own + SPAN + np.repeat(np.arange(len(sizes)) * SPAN, sizes)
+    return flat, places[(inside + first) % every == turn]
+
+
+def stretches(batches, column: int, most: int = 1 << 16):
+    """Lists of (batch, rows) with about ``most`` positions each; a longer document is one of its own."""
+    for batch in batches:
+        ids, at = batch.column(column), 0
+        while at < batch.num_rows:
+            first, raw, held = at, [], 0
+            while at < batch.num_rows and held < 4 * most:
+                raw.append(ids[at].as_py())
+                held += len(raw[-1])
+                at += 1
+            yield batch.slice(first, at - first), raw
 
 
 def start(seed: int = 5, width: int = WIDTH) -> dict:
@@ -102,99 +177,105 @@ def start(seed: int = 5, width: int = WIDTH) -> dict:
     return {"e": draw(width * width + 1, DIM), "w": draw(len(PLACES) * DIM, HIDDEN), "b": np.zeros(HIDDEN, "f4"), "c": draw(HIDDEN, width), "cb": np.zeros(width, "f4"), "u": draw(width, HIDDEN, width), "ub": np.zeros((width, width), "f4")}
 
 
-def contexts(ids, pad: int = SYMBOLS):
-    """(words x places) symbols around each word of one document."""
-    import numpy as np
-
-    wide = np.concatenate([np.full(SPAN, pad, "i4"), ids, np.full(SPAN, pad, "i4")])
-    return np.stack([wide[SPAN + p : SPAN + p + len(ids)] for p in PLACES], 1)
-
-
 def _soft(z):
     import numpy as np
 
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    total = z.sum(1, keepdims=True)
-    z /= total
+    z /= z.sum(1, keepdims=True)
     return z
 
 
-def train(model: dict, around, targets, rate: float = 0.1, batch: int = 512) -> dict:
-    """One pass of Adagrad over masked positions."""
-    import numpy as np
+class Trainer:
+    """Adagrad over masked positions, in steps of ``least`` positions that grow to ``batch``; weights and past gradients stay between calls."""
 
-    width = len(model["cb"])
-    m = {k: v.copy() for k, v in model.items()}
-    past = {k: np.full_like(v, 1e-3) for k, v in m.items()}
-
-    def step(k, g, at=None):
-        if at is None:
-            past[k] += g * g
-            m[k] -= rate * g / np.sqrt(past[k])
-        else:
-            past[k][at] += g * g
-            m[k][at] -= rate * g / np.sqrt(past[k][at])
-
-    for i in range(0, len(targets), batch):
-        ctx, t = around[i : i + batch], targets[i : i + batch]
-        order = np.argsort(t // width, kind="stable")
-        ctx, t = ctx[order], t[order]
-        n = len(t)
-        x = m["e"][ctx].reshape(n, -1)
-        h = np.tanh(x @ m["w"] + m["b"])
+    def __init__(self, model: dict, rate: float = 0.1, least: int = 128, batch: int = 4096):
+        import numpy as np
+
+        self.m = {k: v.copy() for k, v in model.items()}
+        self.past = {k: np.full_like(v, 1e-3) for k, v in model.items()}
+        self.rate, self.least, self.batch, self.width, self.seen = rate, least, batch, len(model["cb"]), 0
+
+    def learn(self, flat, places) -> None:
+        a = 0
+        while a < len(places):
+            own = places[a : a + min(self.batch, max(self.least, self.seen // 16))]
+            self._step(flat, own)
+            a += len(own)
+            self.seen += len(own)
+
+    def _step(self, flat, at) -> None:
+        import numpy as np
+
+        m, width, n = self.m, self.width, len(at)
+        t = flat[at]
+        order = np.argsort((t // width).astype("u2"), kind="stable")
+        at, t = at[order], t[order]
         k, r = t // width, t % width
+        w = m["w"].reshape(len(PLACES), DIM, HIDDEN)
+        ctx = [flat[at + p] for p in PLACES]
+        h = (m["e"] @ w[0])[ctx[0]]
+        for i in range(1, len(PLACES)):
+            h += (m["e"] @ w[i])[ctx[i]]
+        h += m["b"]
+        np.tanh(h, out=h)
+        g = {key: np.zeros_like(v) for key, v in m.items()}
         pc = _soft(h @ m["c"] + m["cb"])
         pc[np.arange(n), k] -= 1
         dh = pc @ m["c"].T
-        gc, gcb = h.T @ pc / n, pc.sum(0) / n
-        edges = np.searchsorted(k, np.arange(width + 1))
+        g["c"], g["cb"] = h.T @ pc, pc.sum(0)
+        edges = np.searchsorted(k, np.arange(width + 1)).tolist()
         for c in range(width):
             a, b = edges[c], edges[c + 1]
             if b > a:
-                hu = h[a:b]
-                pu = _soft(hu @ m["u"][c] + m["ub"][c])
+                pu = _soft(h[a:b] @ m["u"][c] + m["ub"][c])
                 pu[np.arange(b - a), r[a:b]] -= 1
                 dh[a:b] += pu @ m["u"][c].T
-                step("u", hu.T @ pu / n, c)
-                step("ub", pu.sum(0) / n, c)
-        dz = dh * (1 - h * h)
-        dx = (dz @ m["w"].T).reshape(n * len(PLACES), DIM)
-        step("w", x.T @ dz / n)
-        step("b", dz.sum(0) / n)
-        step("c", gc)
-        step("cb", gcb)
-        flat = ctx.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        seen, first = np.unique(flat[order], return_index=True)
-        step("e", np.add.reduceat(dx[order], first, axis=0) / n, seen)
-    return m
+                g["u"][c] = h[a:b].T @ pu
+                g["ub"][c] = pu.sum(0)
+        np.multiply(h, h, out=h)
+        np.subtract(1, h, out=h)
+        dh *= h
+        g["b"] = dh.sum(0)
+        gw = g["w"].reshape(len(PLACES), DIM, HIDDEN)
+        small = "u2" if len(m["e"]) <= 1 << 16 else "u4"
+        for i, symbols in enumerate(ctx):
+            order = np.argsort(symbols.astype(small), kind="stable")
+            own = symbols[order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            sums, seen = np.add.reduceat(dh[order], first, axis=0), own[first]
+            gw[i] = m["e"][seen].T @ sums
+            g["e"][seen] += sums @ w[i].T
+        for key, v in m.items():
+            d = g[key] / n
+            self.past[key] += d * d
+            v -= self.rate * d / np.sqrt(self.past[key])
 
 
 class Network:
-    """Scores of whole texts under trained weights."""
+    """Scores of symbols under trained weights."""
 
     def __init__(self, model: dict, words: dict):
         import numpy as np
 
-        self.m, self.width = model, len(model["cb"])
-        self.symbols = Symbols(words["words"], width=self.width)
+        self.m, self.width, self.words = model, len(model["cb"]), words
         w = model["w"].reshape(len(PLACES), DIM, HIDDEN)
         self.table = [model["e"] @ w[i] for i in range(len(PLACES))]
         self.extra = np.zeros(self.width**2)
         for s, n in words.get("total", {}).items():
             self.extra[s] = np.log(n)
 
-    def log_probs(self, around, t):
-        """Conditional log-probability of each position."""
+    def log_probs(self, flat, places):
+        """Conditional log-probability of each place, short of the log counts of its bucketed words."""
         import numpy as np
 
         width = self.width
-        order = np.argsort(t.astype("u2" if self.width <= 256 else "u4"), kind="stable")
-        ctx, t = around[order], t[order]
-        h = self.table[0][ctx[:, 0]]
+        t = flat[places]
+        order = np.argsort(t.astype("u2" if width <= 256 else "u4"), kind="stable")
+        at, t = places[order], t[order]
+        h = self.table[0][flat[at + PLACES[0]]]
         for i in range(1, len(PLACES)):
-            h += self.table[i][ctx[:, i]]
+            h += self.table[i][flat[at + PLACES[i]]]
         h += self.m["b"]
         np.tanh(h, out=h)
         n = len(t)
@@ -219,23 +300,26 @@ class Network:
         back[order] = out
         return back
 
-    def scores(self, texts: list[str | None], rest: list[Counter] | None = None) -> list[tuple[int, float]]:
-        """(words, sum of log-probabilities) of each text, short of the log counts of its bucketed words, which go to ``rest``."""
+    def sums(self, raw: list[bytes], most: int = 1 << 16) -> list[float]:
+        """Summed log-probabilities of documents, given as their symbols."""
         import numpy as np
 
-        ids = []
-        for t in texts:
-            words = words_of(t)
-            ids.append(self.symbols.of(words))
-            if rest is not None:
-                rest.append(Counter(words[i] for i in np.flatnonzero(ids[-1] >= self.symbols.top).tolist()))
-        sizes = [len(x) for x in ids]
-        full = [x for x in ids if len(x)]
-        if not full:
-            return [(0, 0.0)] * len(texts)
-        p = self.log_probs(np.concatenate([contexts(x, self.width**2) for x in full]), np.concatenate(full))
-        sums = iter(np.add.reduceat(p, np.cumsum([0, *[len(x) for x in full[:-1]]])).tolist())
-        return [(n, next(sums) if n else 0.0) for n in sizes]
+        flat, places = windows(raw, self.width**2)
+        if not len(places):
+            return [0.0] * len(raw)
+        p = np.concatenate([self.log_probs(flat, places[a : a + most]) for a in range(0, len(places), most)])
+        ends = np.cumsum([len(r) // 4 for r in raw])
+        total = np.concatenate([[0.0], np.add.reduceat(p, np.unique(np.concatenate([[0], ends[ends < len(p)]])))])
+        out, at = [], 1
+        for r in raw:
+            out.append(float(total[at]) if r else 0.0)
+            at += bool(r)
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[tuple[int, float]]:
+        """(words, sum of log-probabilities) of whole texts, with the log counts that are known."""
+        own = [Symbols(self.words).of(t) for t in texts]
+        return [(len(x), p + ln / FINE) for (x, ln, _), p in zip(own, self.sums([x.astype("<u4").tobytes() for x, *_ in own]), strict=True)]
 
 
 def pack(model: dict) -> bytes:
@@ -252,18 +336,17 @@ def unpack(flat, like: dict) -> dict:
     return out
 
 
-def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 2, text_col: str = "text", spread: int = 32) -> dict:
-    """The network. In round i each partition trains on the positions whose hash is i modulo ``every`` in all its documents.
+def fit(texts: DataFrame, words: dict, rounds: int = 2, spread: int = 32) -> dict:
+    """The network; texts: the table of ``symbolised``. In round i each partition trains on the positions that are i modulo ``rounds`` in all its documents.
 
     Weights travel in 16 slices and are summed in two steps, so that no task sees more than a
     ``spread``-th of all partitions' slices; the driver gets one weight vector.
     """
     import numpy as np
 
-    sc = docs.sparkSession.sparkContext
+    sc = texts.sparkSession.sparkContext
     width = words.get("width", WIDTH)
-    model, known = start(width=width), sc.broadcast(words)
-    slices = 16
+    model, slices = start(width=width), 16
 
     for turn in range(rounds):
         sent = sc.broadcast(model)
@@ -271,33 +354,14 @@ def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 2, text_col:
         def run(batches, sent=sent, turn=turn):
             import pyarrow as pa
 
-            symbols, m, total = Symbols(known.value["words"], width=width), sent.value, 0
-            around, targets, held = [], [], 0
-
-            def learn():
-                nonlocal m, around, targets, held
-                m = train(m, np.concatenate(around), np.concatenate(targets))
-                around, targets, held = [], [], 0
-
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    text = batch.column(0)[i].as_py()
-                    ids = symbols.ids(text)
-                    if not len(ids):
-                        continue
-                    mask = (np.arange(len(ids), dtype="u8") * np.uint64(2654435761) + np.uint64(int(ids[:64].sum()) + len(ids))) >> np.uint64(7)
-                    own = np.flatnonzero(mask % np.uint64(every) == np.uint64(turn))
-                    if len(own):
-                        around.append(contexts(ids, width * width)[own])
-                        targets.append(ids[own])
-                        held += len(own)
-                        total += len(own)
-                    if held >= 60_000:
-                        learn()
-            if held:
-                learn()
+            trainer, total = Trainer(sent.value), 0
+            for _, raw in stretches(batches, 0):
+                sizes = np.array([len(r) // 4 for r in raw])
+                flat, places = windows(raw, width * width, np.repeat(sizes, sizes), rounds, turn)
+                trainer.learn(flat, places)
+                total += len(places)
             if total:
-                flat = np.frombuffer(pack(m), "<f4").astype("f8") * total
+                flat = np.frombuffer(pack(trainer.m), "<f4").astype("f8") * total
                 part = TaskContext.get().partitionId()
                 cut = np.array_split(flat, slices)
                 yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([part] * slices, pa.int32()), pa.array([total] * slices, pa.int64()), pa.array([c.tobytes() for c in cut])], names=["slice", "part", "n", "sum"])
@@ -316,7 +380,7 @@ def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 2, text_col:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1].tobytes() for k in keys])], names=["slice", "part", "n", "sum"])
 
         schema = "slice int, part int, n long, sum binary"
-        weights = docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
+        weights = texts.select("ids").mapInArrow(run, schema)
         first = weights.repartition(F.col("slice"), F.pmod("part", F.lit(spread))).sortWithinPartitions("slice", "part").mapInArrow(add, schema)
         rows = first.repartition("slice").sortWithinPartitions("slice", "part").select("slice", F.lit(0).alias("part"), "n", "sum").mapInArrow(add, schema).collect()
         if rows:
@@ -325,38 +389,24 @@ def fit(docs: DataFrame, words: dict, rounds: int = 2, every: int = 2, text_col:
     return model
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, every: int = 2, scope: str = "pseudolm") -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, known: int = 1 << 17, scope: str = "pseudolm") -> DataFrame:
     """Per document: doc_id, n_words, log_prob (summed), mean_log_prob (null without words)."""
     counts = shared.stored(word_counts(docs, text_col), scope)
-    words = vocabulary(counts)
-    model = fit(docs, words, rounds, every, text_col)
-    shipped = docs.sparkSession.sparkContext.broadcast((model, words))
+    words = vocabulary(counts, known)
+    texts = shared.stored(symbolised(docs, words, id_col, text_col), scope)
+    small = {"width": words["width"], "total": words["total"]}
+    shipped = docs.sparkSession.sparkContext.broadcast((fit(texts, small, rounds), small))
 
     def run(batches):
         import pyarrow as pa
 
-        net, row = Network(*shipped.value), TaskContext.get().partitionId() << 40
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("word", pa.binary()), ("c", pa.int64())])
-        for batch in batches:
-            ids, at = batch.column(0), 0
-            while at < batch.num_rows:
-                texts, held, first = [], 0, at
-                while at < batch.num_rows and held < 200_000:
-                    texts.append(batch.column(1)[at].as_py())
-                    held += len(texts[-1] or "")
-                    at += 1
-                rest: list[Counter] = []
-                out = []
-                for i, (n, p) in enumerate(net.scores(texts, rest)):
-                    # No word starts with a zero byte: the first row of a document meets no count, and these rows spread over the join.
-                    out.append((row, ids[first + i].as_py(), n, p, b"\0" + row.to_bytes(8, "big"), 0))
-                    out += [(row, None, None, None, w, c) for w, c in rest[i].items()]
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        net = Network(*shipped.value)
+        for batch, raw in stretches(batches, 4):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(net.sums(raw), pa.float64())], names=["row", "doc_id", "n_words", "ln", "base"])
 
-    parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, word binary, c long")
-    # Log counts as whole 2^-30ths, so that sums do not depend on their order.
-    known = counts.select("word", F.round(F.log("n") * 2**30).cast("long").alias("ln"))
-    by = parts.join(known, "word", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("log_prob").alias("base"), F.sum(F.col("c") * F.coalesce("ln", F.lit(0))).alias("ln"))
-    out = by.select("doc_id", "n_words", (F.col("base") + F.col("ln") / 2**30).alias("log_prob"))
+    scored = texts.select("row", "doc_id", "n_words", "ln", "ids").mapInArrow(run, "row long, doc_id long, n_words long, ln long, base double")
+    # Log counts as whole 2^-30ths, so that sums do not depend on their order. A word that occurs once adds none.
+    logs = counts.where("n > 1").select("word", F.round(F.log("n") * FINE).cast("long").alias("more"))
+    rare = texts.select("row", F.explode("rare").alias("word", "c")).join(logs, "word").groupBy("row").agg(F.sum(F.col("c") * F.col("more")).alias("more"))
+    out = scored.join(rare, "row", "left").select("doc_id", "n_words", (F.col("base") + (F.col("ln") + F.coalesce("more", F.lit(0))) / FINE).alias("log_prob"))
     return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))

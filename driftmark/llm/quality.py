@@ -8,7 +8,10 @@ sites lean on the global prior. The posterior of a document adds its evidence an
 
 Null and empty texts have the evidence of no words; null hosts and paths are groups of their own;
 repeated rows count each; an empty table gives no rows; without labels of both kinds a model
-abstains (0). Of several labels of a document the worst counts.
+abstains (0). Of several labels of a document the worst counts. Texts of any length are read whole.
+Of the input the id, text, host and path columns are read; ``scored`` keeps all others as they are
+and adds dm_quality and dm_toxic, which the input must not have itself. Ties between features go to
+the smaller number.
 """
 
 from __future__ import annotations
@@ -47,30 +50,37 @@ def surface_of(text: str, words: list[str], distinct: int) -> list[float]:
     return [less(_UPPER) / n, less(_MARKS) / n, less(_DIGITS) / n, distinct / k, math.log1p(k), distinct / k * math.log1p(k), same / k, len(set(lines)) / max(1, len(lines)), len(text) / k / 10, less(b"!") / k, less(b"|") / k]
 
 
-def logistic(x, y, penalty: float = 2e-6, steps: int = 25):
+def logistic(block, y, width: int, penalty: float = 2e-6, steps: int = 25, rows: int = 500):
     """Weights (bias last) of a logistic regression by damped Newton steps; zeros if y has one class.
 
-    Both classes weigh the same, so that the odds are evidence, apart from how rare a class is.
+    ``block(a, b)`` gives rows a to b of the design, bias included; only ``rows`` of them are held
+    at once. Both classes weigh the same, so that the odds are evidence, apart from how rare a class is.
     """
     import numpy as np
 
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     if len(y) == 0 or y.min() == y.max():
         return w
     even = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    ridge = np.full(len(w), penalty)
+    ridge = np.full(width, penalty)
     ridge[-1] = 1e-9
+    cuts = [(a, min(len(y), a + rows)) for a in range(0, len(y), rows)]
 
     def loss(v):
-        z = (x @ v.astype(x.dtype)).astype("f8")
+        z = np.concatenate([block(a, b) @ v for a, b in cuts])
         return float(np.mean(even * (np.logaddexp(0, z) - y * z)) + 0.5 * (ridge * v * v).sum()), z
 
     now, z = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        grad = (x.T @ (even * (p - y)).astype(x.dtype)).astype("f8") / len(y) + ridge * w
-        curve = (x.T @ (x * (even * p * (1 - p)).astype(x.dtype)[:, None])).astype("f8") / len(y) + np.diag(ridge + 1e-9)
+        slope, bend = even * (p - y), even * p * (1 - p)
+        grad, curve = np.zeros(width), np.zeros((width, width))
+        for a, b in cuts:
+            x = block(a, b)
+            grad += x.T @ slope[a:b]
+            curve += x.T @ (x * bend[a:b, None])
+        grad = grad / len(y) + ridge * w
+        curve = curve / len(y) + np.diag(ridge + 1e-9)
         step, size = np.linalg.solve(curve, grad), 1.0
         while size > 1e-4:
             new, z_new = loss(w - size * step)
@@ -86,62 +96,80 @@ def logistic(x, y, penalty: float = 2e-6, steps: int = 25):
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, kept: int = 512, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """The two models, fitted on at most ``most`` labelled documents, the first by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, most: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """dm_id, text, quality, toxic of at most ``most`` labelled documents, the first by a hash of the id.
+
+    Of several labels of an id the worst counts, of several documents of an id the least text.
+    """
+    worst = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("dm_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    chosen = worst.orderBy(F.xxhash64("dm_id"), "dm_id").limit(most)
+    rows = docs.select(F.col(id_col).cast("long").alias("dm_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "dm_id")
+    return rows.groupBy("dm_id", "quality", "toxic").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, kept: int = 512, id_col: str = "doc_id", text_col: str = "text", scope: str = "quality") -> dict:
+    """The two models, fitted on at most ``most`` labelled documents.
 
     Of the hashed features the ``kept`` most telling ones (by likelihood ratio) enter each model.
+    Features are made and counted on executors; the driver sees those of the ``kept`` ones that each
+    of the ``most`` documents has, and solves two systems of ``kept`` unknowns.
     """
     import numpy as np
 
-    worst = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("dm_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = worst.orderBy(F.xxhash64("dm_id"), "dm_id").limit(most)
-    rows = docs.select(F.col(id_col).cast("long").alias("dm_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "dm_id").select("text", "quality", "toxic")
+    rows = labelled(docs, labels, most, id_col, text_col)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             sparse, dense = [], []
-            for text in batch.column(0).to_pylist():
-                words = (text or "").split()
-                distinct = set((text or "").lower().split())
+            texts = batch.column(3)
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                words = text.split()
+                distinct = set(text.lower().split())
                 sparse.append(sorted({f for w in distinct for f in features_of(w)}))
-                dense.append(surface_of(text or "", words, len(distinct)))
-            yield pa.RecordBatch.from_arrays([pa.array(sparse, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["sparse", "dense", "quality", "toxic"])
+                dense.append(surface_of(text, words, len(distinct)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sparse, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64()))], names=["dm_id", "quality", "toxic", "sparse", "dense"])
 
-    found = rows.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "sparse array<int>, dense array<double>, quality int, toxic int").limit(2 * most).toArrow()
-    n = found.num_rows
+    found = shared.stored(rows.select("dm_id", "quality", "toxic", "text").mapInArrow(run, "dm_id long, quality int, toxic int, sparse array<int>, dense array<double>"), scope)
+    is_bad = {"quality": F.col("quality") < 1, "toxic": F.col("toxic") > 0}
+    n, *positive = found.agg(F.count("*"), *[F.sum(c.cast("long")) for c in is_bad.values()]).first()
     if not n:
         nothing = {"words": {}, "dense": [], "bias": 0.0}
         return {"mean": [], "spread": [], "quality": nothing, "toxic": nothing}
-    dense = found.column("dense").combine_chunks().flatten().to_numpy().astype("f4").reshape(n, -1)
+    counts = found.select(F.explode("sparse").alias("f"), *[c.cast("long").alias(k) for k, c in is_bad.items()]).groupBy("f").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in is_bad]).where("n >= 3")
+
+    def gain(bad, pos):
+        """Log likelihood ratio of a feature, from its count, that in bad documents and the number of those."""
+        seen, good, pos, neg = F.col("n"), F.col("n") - F.col(bad), max(1.0, float(pos)), max(1.0, float(n - pos))
+        rate = seen / n
+        cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+        return cell(F.col(bad), pos * rate) + cell(good, neg * rate) + cell(pos - F.col(bad), pos * (1 - rate)) + cell(neg - good, neg * (1 - rate))
+
+    gains = shared.stored(counts.select("f", *[gain(k, p).alias(k) for k, p in zip(is_bad, positive, strict=True)]), scope)
+    # Chance alone would hardly lift one of all features over 20.
+    chosen = {k: [r["f"] for r in gains.where(F.col(k) > 20).orderBy(F.desc(k), "f").limit(kept).collect()] for k in is_bad}
+    own = F.array(*[F.lit(f) for f in sorted({f for c in chosen.values() for f in c})]).cast("array<int>")
+    seen = sorted(found.select("dm_id", "quality", "toxic", F.array_intersect("sparse", own).alias("sparse"), "dense").toLocalIterator())
+    dense = np.array([r["dense"] for r in seen])
     mean, spread = dense.mean(0), dense.std(0) + 1e-6
-    sparse = found.column("sparse").combine_chunks()
-    values, ends = sparse.flatten().to_numpy(), sparse.offsets.to_numpy() - sparse.offsets[0].as_py()
-    step = 500  # documents at a time, so that what the driver holds beside the features stays small
+    dense = np.hstack([(dense - mean) / spread, np.ones((n, 1))])
     out = {"mean": mean.tolist(), "spread": spread.tolist()}
-    for name, y in (("quality", found.column("quality").to_numpy() < 1), ("toxic", found.column("toxic").to_numpy() > 0)):
-        seen, bad = np.zeros(SPACE), np.zeros(SPACE)
-        for i in range(0, n, step):
-            own, row = values[ends[i] : ends[min(n, i + step)]], np.repeat(y[i : i + step], np.diff(ends[i : i + step + 1]))
-            seen += np.bincount(own, minlength=SPACE)
-            bad += np.bincount(own[row], minlength=SPACE)
-        good, pos, neg = seen - bad, max(1.0, float(y.sum())), max(1.0, float(n - y.sum()))
-        cell = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
-        rate = seen / n
-        gain = cell(bad, pos * rate) + cell(good, neg * rate) + cell(pos - bad, pos * (1 - rate)) + cell(neg - good, neg * (1 - rate))
-        gain[seen < 3] = 0
-        top = np.lexsort((np.arange(SPACE), -gain))[:kept]
-        top = top[gain[top] > 20]  # chance alone would hardly lift one of all features so far
-        at = np.full(SPACE, -1, "i4")
-        at[top] = np.arange(len(top))
-        x = np.zeros((n, len(top) + dense.shape[1]), "f4")
-        for i in range(n):
-            own = at[values[ends[i] : ends[i + 1]]]
-            x[i, own[own >= 0]] = 1
-        x[:, len(top) :] = (dense - mean) / spread
-        w = logistic(x, y.astype("f4"))
-        out[name] = {"words": dict(zip(top.tolist(), w[: len(top)].tolist(), strict=True)), "dense": w[len(top) : -1].tolist(), "bias": float(w[-1])}
+    for name, top in chosen.items():
+        y = np.array([r["quality"] < 1 if name == "quality" else r["toxic"] > 0 for r in seen], "f8")
+        at = {f: i for i, f in enumerate(top)}
+        has = [np.array([at[f] for f in r["sparse"] if f in at], "i4") for r in seen]
+
+        def block(a, b, has=has, top=top):
+            x = np.zeros((b - a, len(top) + dense.shape[1]))
+            for i in range(a, b):
+                x[i - a, has[i]] = 1
+            x[:, len(top) :] = dense[a:b]
+            return x
+
+        w = logistic(block, y, len(top) + dense.shape[1])
+        out[name] = {"words": dict(zip(top, w[: len(top)].tolist(), strict=True)), "dense": w[len(top) : -1].tolist(), "bias": float(w[-1])}
     return out
 
 
@@ -189,6 +217,13 @@ def scored(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def site_of(url) -> tuple:
+    """(host, path) columns of a url column: lower-cased host without port, first directory of the path. Null: neither."""
+    rest = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^/?#]*/)", 1)
+    return F.lower(rest), F.when(path == "", F.lit("/")).otherwise(path)
+
+
 def _bad(q: str, t: str):
     """Probability that at least one of the two holds."""
     p = lambda c: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(c)))))

@@ -78,6 +78,26 @@ def release(spark: SparkSession, scope: str) -> None:
     fs.delete(p, True)
 
 
+#: Metadata of a column that names the scope which a result reads.
+_SCOPE = "driftmark.scope"
+
+
+def owning(df: DataFrame, scope: str, column: str) -> DataFrame:
+    """df, with the scope that it reads named in the column's metadata, which Parquet keeps."""
+    return df.withMetadata(column, {**df.schema[column].metadata, _SCOPE: scope})
+
+
+def release_source(df: DataFrame, column: str) -> None:
+    """Remove the scope of the result that df was written from; nothing is removed where df itself still reads it."""
+    scope = df.schema[column].metadata.get(_SCOPE)
+    if scope:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        plans = [leaves.apply(i) for i in range(leaves.size())]
+        read = [p.relation().location().rootPaths().mkString() for p in plans if p.getClass().getSimpleName() == "LogicalRelation"]
+        if not any(f"/{scope}/" in x for x in read):
+            release(df.sparkSession, scope)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with columns c0, c1, ..., so that no name clashes with those that an operator adds, and the new name of each old one."""
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}

@@ -238,16 +238,16 @@ def test_pseudo_likelihood(spark):
             k = rng.randint(0, 30)
             w += [f"head{k}", f"mid{k}", f"tail{k}"]
         rows.append((i, " ".join(w)))
-    rows += [(300, None), (301, ""), (302, " ".join(rng.sample(rows[0][1].split(), len(rows[0][1].split())))), (303, "unseen " * 4000), (0, rows[0][1])]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(2)
-    got = {r["doc_id"]: r for r in pseudolm.pseudo_likelihood(df, rounds=8, every=8).collect()}
-    assert got[300]["n_words"] == 0 and got[301]["log_prob"] == 0 and got[301]["mean_log_prob"] is None
+    rows += [(300, None), (301, ""), (302, " ".join(rng.sample(rows[0][1].split(), len(rows[0][1].split())))), (303, "unseen " * 4000), (0, rows[0][1]), (None, "head1 mid1")]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n int, ids string").repartition(2)
+    got = {r["doc_id"]: r for r in pseudolm.pseudo_likelihood(df, rounds=8).collect()}
+    assert got[None]["n_words"] == 2 and got[300]["n_words"] == 0 and got[301]["log_prob"] == 0 and got[301]["mean_log_prob"] is None
     assert got[0]["mean_log_prob"] > got[302]["mean_log_prob"] + 1  # the same words out of order
     words = pseudolm.vocabulary(pseudolm.word_counts(df, "text"))
-    raw, fitted = pseudolm.Network(pseudolm.start(), words), pseudolm.Network(pseudolm.fit(df, words, rounds=8, every=8), words)
+    raw, fitted = pseudolm.Network(pseudolm.start(), words), pseudolm.Network(pseudolm.fit(pseudolm.symbolised(df, words), words, rounds=8), words)
     held = " ".join(f"head{k} mid{k} tail{k}" for k in range(30))
     assert fitted.scores([held])[0][1] > raw.scores([held])[0][1]
-    p = sum(np.exp(fitted.log_probs(np.array([[1, 2, 3, 4]]), np.array([s]))[0] + fitted.extra[s]) for s in range(pseudolm.SYMBOLS))
+    p = sum(np.exp(fitted.log_probs(np.array([1, 2, s, 3, 4]), np.array([2]))[0] + fitted.extra[s]) for s in range(pseudolm.SYMBOLS))
     assert abs(p - 1) < 1e-3  # a distribution over symbols
     assert pseudolm.pseudo_likelihood(df.limit(0)).count() == 0
 
