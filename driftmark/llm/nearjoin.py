@@ -288,8 +288,8 @@ def chosen_paths(sets: DataFrame, runs: int, branch: int, limit: int, scope: str
         rows = shared.stored(rows, scope)
         # Buckets with the same members, which alike sets form over and over, are kept once.
         counts = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.hash("node")).alias("y")).where("c > 1")
-        once = counts.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")
-        met = shared.stored(rows.join(once, "key"), scope)
+        once = shared.stored(counts.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), scope)
+        met = shared.stored(rows.join(once.hint("shuffle_hash"), "key"), scope)  # hot buckets are split by AQE
         small.append(met.where(F.col("c") <= limit).select("key", "node"))
         big = met.where(F.col("c") > limit)
         if big.isEmpty():
@@ -297,7 +297,7 @@ def chosen_paths(sets: DataFrame, runs: int, branch: int, limit: int, scope: str
         at = lambda j: F.element_at("mh", (F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES)) + 1).cast("int"))
         again = F.array(*[F.xxhash64("key", F.lit(j), at(j)) for j in range(branch)])
         split = shared.stored(big.join(sets.select("node", "mh"), "node").select("key", "c", "node", F.explode(again).alias("next")), scope)
-        kept = split.groupBy("key", "c", "next").count().where(F.col("count") >= F.col("c") / 2).select("key").distinct()
+        kept = shared.stored(split.groupBy("key", "c", "next").count().where(F.col("count") >= F.col("c") / 2).select("key").distinct(), scope)
         alike.append(big.join(kept, "key", "left_semi").select("key", "c", "node"))
         rows = split.join(kept, "key", "left_anti").select("node", F.col("next").alias("key"))
     else:
@@ -410,7 +410,7 @@ def classes_of(rows: DataFrame, width: int, threshold: float, recall: float, bra
     large = shared.stored(sizes.select("key", parts.alias("b")).where("b > 1"), scope)
     if large.limit(100_001).count() <= 100_000:
         large = F.broadcast(large)
-    texts = placed.join(rows.select("dm_row", "text"), "dm_row").join(large, "key", "left")
+    texts = rows.select("dm_row", "text").join(placed.hint("shuffle_hash"), "dm_row").join(large, "key", "left")
     met = blocks_of(texts, F.coalesce("b", F.lit(1).cast("long"))).select("key", "part", "other", "node", "s2", "c", "text")
     exact = shared.stored(exact_links(met, width, threshold), scope)
     near = components(exact.select(F.col("node").alias("u"), F.col("root").alias("v")), scope)
