@@ -67,48 +67,52 @@ def width_of(distinct: int) -> int:
 
 
 def vocabulary(counts: DataFrame, known: int = 1 << 17) -> dict:
-    """Symbols of the most frequent words, log counts of up to ``known`` further ones and, for each bucket, the count of its words."""
+    """The most frequent words, the first ones (``own``) with symbols of their own, log counts of up to ``known`` further ones and, for each bucket, the count of its words."""
     spread = counts.groupBy(F.pmod(F.crc32("word"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()
     width = width_of(sum(r["d"] for r in spread))
     top = width * width - BUCKETS
-    ranked = counts.orderBy(F.desc("n"), "word").limit(top + known).collect()
-    words = {bytes(r["word"]): i for i, r in enumerate(ranked[:top])}
-    logs = {bytes(r["word"]): round(math.log(r["n"]) * FINE) for r in ranked[top:]}
+    # Counts in bounded bins (each number up to 4096, then 64 a doubling): the words above a bin's edge come to the driver.
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor((F.log2("n") - 12) * 64)).cast("long")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > top + known:
+            break
+        least = r["level"]
+    frequent = counts.where(level >= least).collect() if least is not None else []
+    ranked = sorted(((bytes(r["word"]), r["n"]) for r in frequent), key=lambda r: (-r[1], r[0]))
     inside: Counter = Counter()
-    for r in ranked[:top]:
-        inside[top + zlib.crc32(r["word"]) % BUCKETS] += r["n"]
-    return {"words": words, "logs": logs, "width": width, "total": {top + r["b"]: max(1, r["n"] - inside[top + r["b"]]) for r in spread}}
+    for w, n in ranked[:top]:
+        inside[top + zlib.crc32(w) % BUCKETS] += n
+    return {"words": [w for w, _ in ranked], "own": min(top, len(ranked)), "logs": [round(math.log(n) * FINE) for _, n in ranked[top:]], "width": width, "total": {top + r["b"]: max(1, r["n"] - inside[top + r["b"]]) for r in spread}}
 
 
-class Symbols(dict):
-    """Word to symbol, with a bounded memo of the bucketed ones."""
+class Symbols:
+    """Symbols of texts. Frequent words have numbers, from which arrays give symbols and log counts."""
 
-    def __init__(self, words: dict, most: int = 200_000):
-        super().__init__(words["words"])
-        self.own, self.logs, self.most = words["words"], words.get("logs", {}), most + len(words["words"])
-        self.top = words.get("width", WIDTH) ** 2 - BUCKETS
+    def __init__(self, words: dict):
+        import numpy as np
 
-    def __missing__(self, word):
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.own)
-        out = self[word] = self.top + zlib.crc32(word) % BUCKETS
-        return out
+        self.top = words.get("width", WIDTH) ** 2 - BUCKETS
+        known, own = words["words"], words["own"]
+        self.number = {w: i + 1 for i, w in enumerate(known)}
+        bucket = [self.top + zlib.crc32(w) % BUCKETS for w in known[own:]]
+        self.symbol = np.array([0, *range(own), *bucket], "u4")  # number 0: not known
+        self.log = np.array([0] * (own + 1) + words["logs"], "i8")
 
     def of(self, text: str | None):
         """(symbols, sum of the known log counts of bucketed words in 2^-30ths, counts of the other bucketed words)."""
         import numpy as np
 
         words = words_of(text)
-        ids = np.fromiter(map(self.__getitem__, words), "u4", len(words))
-        ln, rare = 0, {}
-        for i in np.flatnonzero(ids >= self.top).tolist():
-            own = self.logs.get(words[i])
-            if own is not None:
-                ln += own
-            else:
-                rare[words[i]] = rare.get(words[i], 0) + 1
-        return ids, ln, rare
+        get = self.number.get
+        numbers = np.fromiter([get(w, 0) for w in words], "i8", len(words))
+        ids, rare = self.symbol[numbers], {}
+        for i in np.flatnonzero(numbers == 0).tolist():
+            w = words[i]
+            ids[i] = self.top + zlib.crc32(w) % BUCKETS
+            rare[w] = rare.get(w, 0) + 1
+        return ids, int(self.log[numbers].sum()), rare
 
 
 def symbolised(docs: DataFrame, words: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +193,7 @@ def _soft(z):
 class Trainer:
     """Adagrad over masked positions, in steps of ``least`` positions that grow to ``batch``; weights and past gradients stay between calls."""
 
-    def __init__(self, model: dict, rate: float = 0.1, least: int = 128, batch: int = 4096):
+    def __init__(self, model: dict, rate: float = 0.1, least: int = 128, batch: int = 8192):
         import numpy as np
 
         self.m = {k: v.copy() for k, v in model.items()}

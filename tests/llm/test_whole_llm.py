@@ -13,7 +13,7 @@ from driftmark.llm import pseudolm
 def test_every_position_is_a_target(spark, before):
     """One word at one position trains the network, whatever residue that position has."""
     df = spark.createDataFrame([(i, "pad " * before + "solo") for i in range(40)], "doc_id long, text string").repartition(1)
-    words = {"words": {b"solo": 400, b"pad": 7}}
+    words = {"words": [b"pad", b"solo"], "own": 2, "logs": []}
     texts = pseudolm.symbolised(df, words)
     for turn in range(2):
         raw = [r["ids"] for r in texts.collect()]
@@ -27,7 +27,7 @@ def test_scores_equal_a_loop_over_positions(spark):
     """Every position's log-probability by plain loops in double precision."""
     rng = np.random.default_rng(3)
     model = {k: (v + rng.normal(0, 0.3, v.shape)).astype("f4") for k, v in pseudolm.start().items()}
-    words = {"words": {f"w{i}".encode(): i * 7 % 768 for i in range(60)}, "total": {pseudolm.SYMBOLS - 3: 17}, "logs": {}}
+    words = {"total": {pseudolm.SYMBOLS - 3: 17}}
     net = pseudolm.Network(model, words)
     docs = [rng.choice([*range(0, 60), pseudolm.SYMBOLS - 3], n).astype("<u4") for n in (1, 0, 2, 9, 300, 0)]
 
