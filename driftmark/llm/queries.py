@@ -103,20 +103,22 @@ def _values(rows) -> str:
     return ", ".join(f"({', '.join(map(quote, r))})" for r in rows)
 
 
+_KNOWN = sorted(licences.TEMPLATES.items())
 _LICENCE_SQL = f"""
-WITH t(licence, gram) AS (VALUES {_values((k, g) for k, v in licences.TEMPLATES.items() for g in licences.bigrams(v))}),
-ts AS (SELECT licence, count(*) AS n FROM t GROUP BY licence),
-d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS norm FROM documents),
-raw AS (SELECT r, unnest(list_concat(list_concat(regexp_split_to_array(norm, '\n'), regexp_split_to_array(norm, '\n *\n')), [norm])) AS u FROM d),
-u AS (SELECT DISTINCT r, trim(regexp_replace(u, '[ \\n]+', ' ', 'g')) AS u FROM raw),
-w AS (SELECT r, u, string_split(u, ' ') AS w FROM u),
-g AS (SELECT DISTINCT r, u, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w WHERE len(w) > 1),
-gs AS (SELECT r, u, count(*) AS n FROM g GROUP BY r, u),
-i AS (SELECT r, u, licence, count(*) AS k FROM g JOIN t USING (gram) GROUP BY r, u, licence),
-c AS (SELECT i.r, i.u, i.licence, CAST(2.0 AS DOUBLE) * k / (gs.n + ts.n) AS dice FROM i JOIN gs USING (r, u) JOIN ts USING (licence)),
-b AS (SELECT *, row_number() OVER (PARTITION BY r, u ORDER BY dice DESC, licence) AS o FROM c WHERE dice >= 0.8 - 1e-12)
+WITH t(t, licence, words) AS (VALUES {_values((i, k.split("/")[0], len(licences.words_of(x))) for i, (k, x) in enumerate(_KNOWN))}),
+tg(t, gram) AS (VALUES {_values((i, g) for i, (_, x) in enumerate(_KNOWN) for g in licences.bigrams(x))}),
+ts AS (SELECT t, count(*) AS n FROM tg GROUP BY t),
+a(t, gram, place) AS (VALUES {_values((i, g, at) for i, (_, x) in enumerate(_KNOWN) for g, at in licences.anchors(x, 0.8))}),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+p AS (SELECT r, len(w) AS n, w, unnest(generate_series(0, len(w) - 2)) AS i FROM d WHERE len(w) > 1),
+g AS (SELECT r, n, i, w[i + 1] || ' ' || w[i + 2] AS gram FROM p),
+c AS (SELECT DISTINCT g.r, t.t, t.words, greatest(0, least(g.i - a.place, g.n - t.words)) AS s FROM g JOIN a USING (gram) JOIN t USING (t)),
+x AS (SELECT DISTINCT c.r, c.t, c.s, g.gram FROM c JOIN g ON g.r = c.r AND g.i >= c.s AND g.i < c.s + c.words - 1),
+k AS (SELECT x.r, x.t, x.s, count(*) AS n, count(tg.gram) AS k FROM x LEFT JOIN tg ON tg.t = x.t AND tg.gram = x.gram GROUP BY x.r, x.t, x.s),
+m AS (SELECT r, t, max(CAST(2.0 AS DOUBLE) * k / (k.n + ts.n)) AS dice FROM k JOIN ts USING (t) GROUP BY r, t),
+b AS (SELECT m.r, t.licence, m.dice FROM m JOIN t USING (t) WHERE m.dice >= 0.8 - 1e-12)
 SELECT any_value(d.doc_id) AS doc_id, count(b.r) AS n_matches, coalesce(array_to_string(list_sort(list_distinct(list(b.licence) FILTER (WHERE b.licence IS NOT NULL))), ','), '') AS licences, coalesce(max(b.dice), 0.0) AS best_dice
-FROM d LEFT JOIN b ON d.r = b.r AND b.o = 1 GROUP BY d.r
+FROM d LEFT JOIN b ON d.r = b.r GROUP BY d.r
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -89,27 +89,50 @@ def test_bitslice(spark):
 
 
 def test_licences(spark):
-    gpl = licences.TEMPLATES["gpl-3.0"]
-    rows = [(1, f"Some text.\n  {gpl.upper()}  \nmore"), (2, None), (3, ""), (4, "license"), (5, f"{gpl}\n{gpl}"), (6, licences.TEMPLATES["mit-text"].replace(" of this", "\nof this") + "\n\nother words"), (7, "Licensed under the Apache License, Version 3."), (1, "Released under the MIT License."), (8, "word " * 30000)]
-    df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, matches string")
+    t, rng = licences.TEMPLATES, random.Random(6)
+    mit, gpl = t["mit/text"], t["gpl-3.0"]
+    wrapped = lambda x, n: re.sub(r"((?:\S+\s+){%d})" % n, r"\1\n * ", x)
+    changed = mit.split()
+    for i in range(3, len(changed), 20):
+        changed[i] = "other"
+    rows = [(1, f"Some text.\n  {gpl.upper()}  \nmore"), (2, None), (3, ""), (4, "license"), (5, f"{gpl}\n{gpl}"), (6, "/*\n * Copyright 2020 Foo\n *\n * " + wrapped(mit, 9) + "\n */ int main"), (7, "Licensed under the Apache License, Version 3."), (1, "Released under the MIT License."), (8, "word license " * 3000), (9, "Copyright 2020 Foo. Released under the MIT License."), (10, " ".join(changed)), (11, " ".join(mit.split()[:70])), (12, wrapped(t["isc/text"], 7)), (13, prose(rng, 500) + t["bsd-2/text"] + prose(rng, 500) + t["zlib/text"]), (None, t["mit"] + "\u212a"), (14, "İ" + t["unlicense"])]
+    df = spark.createDataFrame([(a, b, "x", "y") for a, b in rows], "doc_id long, text string, matches string, dm_low string")
 
     def brute(text):
-        low = re.sub("[^a-z0-9\n]+", " ", (text or "").lower())
-        units = {re.sub("[ \n]+", " ", u).strip(" ") for u in [*low.split("\n"), *re.split("\n *\n", low), low]}
-        out = []
-        for u in units:
-            a = set(licences.bigrams(u))
-            best = max(((2 * len(a & set(g)) / (len(a) + len(g)), -i, k) for i, (k, g) in enumerate((k, licences.bigrams(t)) for k, t in sorted(licences.TEMPLATES.items())) if a), default=(0, 0, ""))
-            if best[0] >= 0.8:
-                out.append((round(best[0], 9), best[2]))
-        return sorted(out)
+        words, out = licences.words_of(text or ""), []
+        for k, x in sorted(t.items()):
+            own, grams = licences.words_of(x), set(licences.bigrams(x))
+            place = dict(licences.anchors(x, 0.8))
+            best = []
+            for i, g in enumerate(f"{a} {b}" for a, b in zip(words, words[1:])):
+                if g in place:
+                    s = max(0, min(i - place[g], len(words) - len(own)))
+                    have = set(licences.bigrams(" ".join(words[s : s + len(own)])))
+                    best.append((-2 * len(have & grams) / (len(have) + len(grams)), s))
+            if best and min(best)[0] <= -0.8 + 1e-12:
+                out.append((k.split("/")[0], round(-min(best)[0], 9), min(best)[1]))
+        return out
 
     got = licences.scan(df).collect()
-    assert sorted((r["doc_id"], sorted((round(m["dice"], 9), m["licence"]) for m in r["matches"])) for r in got) == sorted((i, brute(t)) for i, t in rows)
-    assert {m["licence"] for r in got if r["doc_id"] == 6 for m in r["matches"]} == {"mit-text"}
+    assert sorted(((r["doc_id"], [(m["licence"], round(m["dice"], 9), m["start"]) for m in r["matches"]]) for r in got), key=str) == sorted(((i, brute(x)) for i, x in rows), key=str)
+    by = {r["doc_id"]: {m["licence"] for m in r["matches"]} for r in got if r["doc_id"] not in (1, None)}
+    assert by[6] == by[9] == by[10] == {"mit"} and by[12] == {"isc"} and {"bsd-2", "zlib"} <= by[13] and not by[7] and not by[8] and by[14] == {"unlicense"}
+    assert all(brute(x) and brute(x)[0][1] <= 1 for x in t.values())
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_any_window_over_the_threshold_holds_an_anchor():
+    """Every set of bigrams with the needed share of a template's has one of its anchors."""
+    rng = random.Random(1)
+    for x in licences.TEMPLATES.values():
+        grams, own = licences.bigrams(x), {g for g, _ in licences.anchors(x, 0.8)}
+        for _ in range(20):
+            have = set(rng.sample(grams, -(-len(grams) * 2 // 3)))
+            more = sum(g not in grams for g in have)
+            if 2 * len(have) / (len(have) + more + len(grams)) >= 0.8:
+                assert have & own
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
