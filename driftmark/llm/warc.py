@@ -47,7 +47,7 @@ def record(page, url: str | None, payload: bytes, digest: str, refers_to, copy:
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, shard_bytes: int = 8 << 20, roll_bytes: int = 64 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, shard_bytes: int = 32 << 20, roll_bytes: int = 4 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write all pages below ``out``; returns the manifest (shard, number, file, records, bytes, sha256)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     lean = rows.select("page_id", F.octet_length("html").alias("n"), F.when((F.octet_length("html") >= least) & F.col("page_id").isNotNull(), F.sha1(F.encode("html", "utf-8"))).alias("digest"))
