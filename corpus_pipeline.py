@@ -1,9 +1,15 @@
 """From raw documents to packed training sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's documents. All but the last keep the columns of documents. A stage that
-begins frees what the stage before it stored on the way, as that stage's result has been written by
-then.
+again as the next one's documents. All but the last keep the columns of documents, and further ones
+of any name; only doc_id, text, source and lang are read. A stage stores what it needs under a scope
+of its own, so that several runs, of one application or of many, do not meet. The scope's name goes
+along in the metadata of doc_id, and the stage that reads the written result frees it; what is left
+goes when the application ends.
+
+Null and empty texts are clean texts without words: they pass all filters and are packed as one end
+id. Repeated rows are copies, of which the second stage keeps one; texts of any length are read
+whole; of equal documents the least id stays; an empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -15,48 +21,55 @@ from driftmark.llm import decontaminate, nearjoin, packing, personal, quality, s
 from driftmark.llm.queries import table, vocabulary
 
 
+def _scope(stage: str, docs: DataFrame) -> str:
+    """A new scope for a stage; that of the stage which wrote docs is freed."""
+    shared.release_source(docs, "doc_id")
+    return shared.fresh(f"pipeline/{stage}")
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: drop documents whose posterior says low quality or toxic."""
-    shared.release(spark, "pipeline")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    lean = docs.select("doc_id", "source", "lang", "text")
-    scores = shared.stored(quality.scored(lean, model).drop("text"), "pipeline/quality")
-    shifts = quality.posteriors(scores, "source", "lang", "pipeline/quality")
-    kept = quality.judged(quality.scored(docs, model), shifts, "source", "lang")
-    return kept.where(F.col("dm_bad") < quality.KEEP_BELOW).select(docs.columns)
+    """Quality classifier: drop documents whose posterior says low quality or toxic. Each text is scored once.
+
+    Null sources and languages are groups of their own; without labels every document stays.
+    """
+    scope = _scope("quality", docs)
+    rows, at = shared.numbered(docs)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), scope=scope)
+    scores = shared.stored(quality.scored(rows, model, at["text"]), scope)
+    shifts = quality.posteriors(scores, at["source"], at["lang"], scope)
+    kept = quality.judged(scores, shifts, at["source"], at["lang"]).where(F.col("dm_bad") < quality.KEEP_BELOW)
+    return shared.owning(kept.select(rows.columns).toDF(*docs.columns), scope, "doc_id")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each class of linked documents the one with the least id stays; texts without words stay."""
-    shared.release(spark, "pipeline/quality")
-    classes = nearjoin.near_duplicates(docs, scope="pipeline/near")
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("dm_id"))
-    kept = docs.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("dm_id")), "left_semi")
-    if first.count() == first.distinct().count():
-        return kept
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[a-zA-Z0-9\x{80}-\x{10FFFF}]")) > 0
-    return kept.where(words).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~words))
+    scope = _scope("near", docs)
+    return shared.owning(nearjoin.deduplicated(docs, scope=scope), scope, "doc_id")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: drop documents in which a window of an item occurs."""
-    shared.release(spark, "pipeline/near")
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    scope = _scope("benchmark", docs)
+    return shared.owning(decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), scope=scope), scope, "doc_id")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: replace personal data by its kind; n_chars follows the new text."""
-    accepted = personal.learn(personal.found_in(docs, scope="pipeline/personal"))
-    spans = personal.final_spans(personal.candidates(F.coalesce("text", F.lit(""))), accepted)
-    found = docs.withColumn("dm_spans", spans)
-    text = found.withColumn("text", personal.redacted(F.col("text"), F.col("dm_spans")))
-    return text.withColumn("n_chars", F.when(F.size("dm_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """PII: replace personal data by its kind; n_chars, where there is one, follows the new text. Each text is searched once."""
+    scope = _scope("personal", docs)
+    rows, at = shared.numbered(docs)
+    text = F.col(at["text"])
+    found = shared.stored(rows.withColumn("spans", personal.candidates(F.coalesce(text, F.lit("")))), scope)
+    done = found.withColumn("spans", personal.final_spans(F.col("spans"), personal.learn(found.select("spans"))))
+    done = done.withColumn(at["text"], personal.redacted(text, F.col("spans")))
+    if "n_chars" in at:
+        kind = docs.schema["n_chars"].dataType
+        done = done.withColumn(at["n_chars"], F.when(F.size("spans") > 0, F.length(text).cast(kind)).otherwise(F.col(at["n_chars"])))
+    return shared.owning(done.select(rows.columns).toDF(*docs.columns), scope, "doc_id")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of all that is left."""
-    shared.release(spark, "pipeline/personal")
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), scope="pipeline/packing")
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), scope=_scope("packing", docs))
 
 
 STAGES = [("quality classifier", classify), ("n-gram Jaccard join", deduplicate), ("benchmark decontamination", remove_benchmark), ("PII", redact), ("best-fit packing", pack)]
@@ -67,9 +80,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = shared.stored(out, f"pipeline-{i}")
+            own = shared.fresh("pipeline/docs")
+            docs = shared.stored(out, own)
+            if before:
+                shared.release(spark, before)
+            before = own
     return out
