@@ -313,6 +313,25 @@ def test_genetic_operators_keep_every_document():
     assert packing.cost(best, 100) <= packing.cost(b, 100)
 
 
+def test_crossover_and_migration_beat_best_fit(spark):
+    """Triplets that fill bins exactly: best fit stays above the bound, islands come below it."""
+    rng, sizes, cap = random.Random(4), collections.Counter(), 1000
+    for _ in range(60):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (cap - a) // 2)
+        sizes.update((a, b, cap - a - b))
+    plain = sum(packing.best_fit({}, sorted(sizes.items(), reverse=True), cap).values())
+    alone = packing.evolve(dict(sizes), cap, 1, [])
+    plan = packing.plan_islands(spark, dict(sizes), cap)
+    assert sum(plan.values()) < plain and packing.cost(plan, cap) <= packing.cost(alone, cap)
+    got = collections.Counter()
+    for p, m in plan.items():
+        assert packing.fill(p) <= cap
+        for n, k in p:
+            got[n] += m * k
+    assert got == sizes
+
+
 def test_warc(spark):
     long, short = "<p>" + "x" * 2000, "short"
     rows = [(1, "http://a/\r\nb c", long), (5, None, long), (3, "u", long), (2, "u", short), (4, "u", short), (6, "u", None), (7, "u", "é" * 600), (8, "u", "é" * 600), (None, "u", long), (5, "again", long), (9, "u", "y" * 100000), (5, "other", "z" * 1500)]
@@ -379,6 +398,57 @@ def test_posteriors_shrink_sparse_sites(spark):
     assert shift["big", "a"] > shift["big", "b"]
 
 
+def test_posteriors_equal_plain_moments(spark):
+    """The shrunken rates of hosts and paths against the same moments in plain Python."""
+    rng = random.Random(3)
+    rows = [(h, p, rng.gauss({"a": -2, "b": 0, None: 1}[h], 1.5), rng.gauss(-3, 1)) for h in ("a", "b", None) for p in ("x", "y", None) for _ in range(rng.randint(1, 60))]
+    df = spark.createDataFrame([*rows, rows[0]], "source string, lang string, dm_quality double, dm_toxic double").repartition(3)
+    rate = lambda x: 1 / (1 + math.exp(-max(-30, min(30, x))))
+    bad = lambda q, t: 1 - (1 - rate(q)) * (1 - rate(t))
+    logit = lambda p: math.log(max(1e-6, min(1 - 1e-6, p)) / (1 - max(1e-6, min(1 - 1e-6, p))))
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for h, p, q, t in [*rows, rows[0]]:
+        hosts[h].append(bad(q, t))
+        paths[h, p].append(bad(q, t))
+    every = [x for v in hosts.values() for x in v]
+    centre = (sum(every) + 1) / (len(every) + 2)
+
+    def strength(groups):
+        n = sum(k for k, *_ in groups)
+        within = sum(k * c * (1 - c) for k, _, c in groups)
+        between = sum(k * (m - c) ** 2 for k, m, c in groups)
+        var = within / n
+        return max(1.0, var / max((between - len(groups) * var) / n, var / 1e4) - 1)
+
+    a = strength([(len(v), sum(v) / len(v), centre) for v in hosts.values()])
+    mean = {h: (a * centre + sum(v)) / (a + len(v)) for h, v in hosts.items()}
+    b = strength([(len(v), sum(v) / len(v), mean[k[0]]) for k, v in paths.items()])
+    want = {k: logit((b * mean[k[0]] + sum(v)) / (b + len(v))) - logit(centre) for k, v in paths.items()}
+    shifts = quality.posteriors(df, "source", "lang")
+    got = {(r["dm_host"], r["dm_path"]): r["dm_shift"] for r in shifts.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for most in (100_000, 1):  # broadcast or joined
+        out = quality.judged(df, shifts, "source", "lang", most).collect()
+        assert sorted(r["dm_bad"] for r in out) == pytest.approx(sorted(logit(bad(q, t)) + want[h, p] for h, p, q, t in [*rows, rows[0]]))
+
+
+def test_labels_and_documents_that_repeat(spark):
+    """One text for each labelled id, the worst label, never more than ``most``; columns with inner names are not read."""
+    docs = spark.createDataFrame([(1, "b b", "q"), (1, "a a", "q"), (2, None, "q"), (3, "long " * 50000, "q"), (None, "x", "q")], "doc_id long, text string, dm_bad string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, 0), (2, 1, 0), (3, 1, 1), (None, 0, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {(r["dm_id"], r["quality"], r["toxic"], len(r["text"])) for r in quality.labelled(docs, labels).collect()}
+    assert got == {(1, 0, 1, 3), (2, 1, 0, 0), (3, 1, 1, 250000)}
+    assert quality.labelled(docs, labels, most=2).count() <= 2
+    assert quality.scored(docs, quality.fit(docs, labels)).count() == 5
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://User@Www.A.org:8080/b/c/d.html?x#y", "http://a.org", "//a.org/x", "http://a.org/x/?q=/z/", None, "mailto:x"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    host, path = quality.site_of(F.col("u"))
+    assert [tuple(r) for r in df.select(host, path).collect()] == [("www.a.org", "/b/"), ("a.org", "/"), ("a.org", "/"), ("a.org", "/x/"), (None, None), ("", "/")]
+
+
 def jaccard_classes(rows, width=5):
     sets = []
     for _, t in rows:
