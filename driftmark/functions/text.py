@@ -30,20 +30,32 @@ def clean_value(c: Column | str) -> Column:
 
 
 def normalise_text(c: Column | str) -> Column:
-    """Case-folded, white space collapsed; accents and unit names stay. Feed composed (NFC) text, see nfc()."""
-    folded = F.replace(F.lower(clean_value(c)), F.lit("ß"), F.lit("ss"))
+    """Composed, case-folded, white space collapsed; accents and unit names stay."""
+    folded = F.replace(F.lower(composed(clean_value(c))), F.lit("ß"), F.lit("ss"))
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
-def nfc(df: DataFrame, *columns: str) -> DataFrame:
-    """Compose combining marks. Only rows that hold such marks go through Python (Arrow batches)."""
+def composition_table() -> str:
+    """Letter, mark and what they compose to, then a NUL, for all Latin letters and combining marks."""
+    letters = [chr(c) for c in [*range(0x41, 0x250), *range(0x1E00, 0x1F00)] if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    made = ((c, m, unicodedata.normalize("NFC", c + m)) for c in letters for m in marks)
+    return "".join(f"{c}{m}{n}\0" for c, m, n in made if len(n) == 1)
 
-    @F.pandas_udf("string")
-    def compose(s):
-        return s.str.normalize("NFC")
 
-    marked = F.coalesce(reduce(lambda a, b: a | b, [F.col(c).rlike(r"\p{M}") for c in columns]), F.lit(False))
-    return df.where(~marked).unionByName(df.where(marked).withColumns({c: compose(c) for c in columns}))
+_COMPOSED = composition_table()
+
+
+def composed(c: Column | str) -> Column:
+    """The text with Latin letters and the marks after them composed, whatever the marks' order. Text without marks stays as it is."""
+
+    def step(done, x):
+        at = F.when(x.rlike(r"^\p{M}$"), F.instr(F.lit(_COMPOSED), F.concat(F.right(done, F.lit(1)), x))).otherwise(0)
+        one = lambda p: F.when((p > 0) & (F.length(done) > 0), F.concat(F.left(done, F.length(done) - 1), F.substr(F.lit(_COMPOSED), p + 2, F.lit(1)))).otherwise(F.concat(done, x))
+        return F.transform(F.array(at), one)[0]
+
+    text = blank(c)
+    return F.when(text.rlike(r"\p{M}"), F.aggregate(F.split(text, ""), F.lit(""), step)).otherwise(text)
 
 
 def province_key(c: Column | str) -> Column:
@@ -132,7 +144,7 @@ def latin_class() -> str:
 
 def clean_tag(c: Column | str) -> Column:
     """A tag's value, trimmed of spaces and commas; "" if it holds ",," or a character beyond Latin letters, digits, marks and " /.,-()_"."""
-    value = F.regexp_replace(blank(c), "^[ ,]+|[ ,]+$", "")
+    value = F.regexp_replace(composed(c), "^[ ,]+|[ ,]+$", "")
     fine = value.rlike(rf"^[{latin_class()}\p{{M}}0-9 /.,\-()_\t]+$") & ~value.contains(",,")
     return F.when(fine, value).otherwise("")
 
@@ -207,7 +219,11 @@ def clean_receipt(c: Column | str, phone: str = PHONE, tills: tuple[str, ...] =
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?U)\s*,\s*", ", "), r"(?U)\s+", " "))
 
 
-def valid_text(c: Column, keywords: list[str], least: int = 12, cut: tuple[str, ...] = ("...", "..", " -"), lists: tuple[str, ...] = ("CS1:", "CS2:")) -> Column:
+#: Endings of texts that were cut off, and marks of lists of branches.
+CUT, LISTS = ("...", "..", " -"), ("CS1:", "CS2:")
+
+
+def valid_text(c: Column, keywords: list[str], least: int = 12, cut: tuple[str, ...] = CUT, lists: tuple[str, ...] = LISTS) -> Column:
     """Long enough, not cut off, no list of branches, at least one keyword."""
     low = F.lower(c)
     ok = F.length(c) >= least

@@ -15,20 +15,28 @@ def dataset_of(record_id: Column) -> Column:
     return F.split_part(record_id, F.lit("_"), F.lit(1))
 
 
+def untraceable(predictions: DataFrame, raw: DataFrame) -> DataFrame:
+    """(rule, key) of (ID, tool) that are not unique on either side, lack the other side, or differ in their input. One grouped pass over both."""
+    lean = lambda df, i, t, x, n: df.select(F.col(i).alias("ID"), F.col(t).alias("tool"), F.sha2(F.col(x), 256).alias("x"), F.lit(n).alias("side"))
+    both = lean(predictions, "ID", "CongCu", "DiaChiGoc", 1).unionByName(lean(raw, "id", "tool", "input", 2))
+    met = both.groupBy("ID", "tool").agg(F.count_if(F.col("side") == 1).alias("p"), F.count_if(F.col("side") == 2).alias("r"), F.min("x").alias("a"), F.max("x").alias("b"))
+    rule = F.when((F.col("p") > 1) | (F.col("r") > 1), "unique").when((F.col("p") != 1) | (F.col("r") != 1) | (F.col("a") != F.col("b")), "raw_response")
+    return met.select(rule.alias("rule"), F.concat_ws("|", "ID", "tool").alias("key")).where("rule is not null")
+
+
 def joined_raw(predictions: DataFrame, raw: DataFrame) -> DataFrame:
-    """Predictions with the status of their raw response; (ID, tool) is unique on both sides and inputs agree, or it raises."""
-    side = raw.select(F.col("id").alias("ID"), F.col("tool").alias("CongCu"), F.col("input").alias("dm_input"), F.col("status").alias("RawStatus"))
-    met = predictions.join(side, ["ID", "CongCu"], "left")
-    lost = met.where("RawStatus is null or dm_input <> DiaChiGoc").select(F.lit("raw_response").alias("rule"), F.concat_ws("|", "ID", "CongCu").alias("key"))
-    contracts.enforce(contracts.unique(predictions, "ID", "CongCu"), contracts.unique(raw, "id", "tool"), lost)
-    return met.drop("dm_input")
+    """Predictions with the status of their raw response; both sides have the same unique (ID, tool) and inputs, or it raises."""
+    contracts.enforce(untraceable(predictions, raw))
+    return predictions.join(raw.select(F.col("id").alias("ID"), F.col("tool").alias("CongCu"), F.col("status").alias("RawStatus")), ["ID", "CongCu"], "left")
 
 
 def select(predictions: DataFrame, raw: DataFrame, n: int) -> DataFrame:
     """The first n errors by ID of every data set, tool and error class."""
-    bad = joined_raw(predictions, raw).where("LoaiLoi <> 'none'").withColumn("Dataset", dataset_of(F.col("ID")))
+    contracts.enforce(untraceable(predictions, raw))
     rank = F.row_number().over(W.partitionBy("Dataset", "CongCu", "LoaiLoi").orderBy("ID"))
-    return bad.withColumn("dm_r", rank).where(F.col("dm_r") <= n).select(*COLUMNS).orderBy("Dataset", "CongCu", "LoaiLoi", "ID")
+    bad = predictions.where("LoaiLoi <> 'none'").withColumn("Dataset", dataset_of(F.col("ID"))).withColumn("dm_r", rank).where(F.col("dm_r") <= n)
+    status = raw.select(F.col("id").alias("ID"), F.col("tool").alias("CongCu"), F.col("status").alias("RawStatus"))
+    return bad.join(status, ["ID", "CongCu"]).select(*COLUMNS).orderBy("Dataset", "CongCu", "LoaiLoi", "ID")
 
 
 def proof(cases: DataFrame, predictions: DataFrame, raw: DataFrame) -> DataFrame:

@@ -23,15 +23,23 @@ def top_values(df: DataFrame, value: Column, k: int = 10) -> DataFrame:
     return df.select(value.alias("value")).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 
+def direct_counts(df: DataFrame, direct: Column, group: str, expected: list[str]) -> DataFrame:
+    """(subject, n): rows with direct evidence of each group, zero for an expected one without any."""
+    got = df.where(direct).groupBy(F.col(group).cast("string").alias("subject")).agg(F.count("*").alias("k"))
+    dim = df.sparkSession.createDataFrame([(e,) for e in expected], "subject string")
+    return dim.join(got, "subject", "full_outer").select("subject", F.coalesce("k", F.lit(0)).cast("long").alias("n"))
+
+
 def warnings(df: DataFrame, direct: Column, group: str, expected: list[str], low: tuple[Column, float] | None = None) -> DataFrame:
-    """(rule, subject, n, total): groups without a direct row, derived rows at all, and a share that is too low."""
+    """(rule, subject, n, total): no rows at all, groups without a direct row, derived rows at all, and a share that is too low."""
     spark = df.sparkSession
     got = df.groupBy(F.col(group).alias("subject")).agg(F.count_if(direct).alias("n"))
     total = df.agg(F.count("*").alias("total"))
     dim = spark.createDataFrame([(e,) for e in expected], "subject string")
-    none = dim.join(got, "subject", "left").where("coalesce(n, 0) = 0").select(F.lit("no_direct_sample").alias("rule"), "subject", F.lit(0).cast("long").alias("n")).join(total)
+    none = dim.join(got, "subject", "left").where("coalesce(n, 0) = 0").select(F.lit("no_direct_sample").alias("rule"), "subject", F.lit(0).cast("long").alias("n")).crossJoin(F.broadcast(total))  # one row
     derived = df.agg(F.count_if(~direct).alias("n"), F.count("*").alias("total")).where("n > 0").select(F.lit("derived_rows").alias("rule"), F.lit("").alias("subject"), "n", "total")
-    parts = [none, derived]
+    empty = total.where("total = 0").select(F.lit("empty").alias("rule"), F.lit("").alias("subject"), F.lit(0).cast("long").alias("n"), "total")
+    parts = [none, derived, empty]
     if low:
         parts.append(df.agg(F.count_if(low[0]).alias("n"), F.count("*").alias("total")).where(F.col("n") < low[1] * F.col("total")).select(F.lit("low_share").alias("rule"), F.lit("").alias("subject"), "n", "total"))
-    return reduce(DataFrame.unionByName, parts).where("total > 0")
+    return reduce(DataFrame.unionByName, parts)

@@ -52,6 +52,16 @@ def summary(edges: DataFrame, old: str, new: str) -> DataFrame:
     return rel.agg(rows, F.count_distinct(old).alias("old_units"), F.count_distinct(new).alias("new_units"), n("1-1").alias("one_to_one_edges"), n("1-N").alias("one_to_many_edges"), n("N-1").alias("many_to_one_edges"), n("M-N").alias("many_to_many_edges"))
 
 
+def targets_for_old(edges: DataFrame, old: str, new: str) -> DataFrame:
+    """(old, targets): the sorted distinct new units of each old one."""
+    return edges.select(old, new).distinct().groupBy(old).agg(F.sort_array(F.collect_list(new)).alias("targets"))
+
+
+def origins_for_new(edges: DataFrame, old: str, new: str) -> DataFrame:
+    """(new, origins): the sorted distinct old units of each new one."""
+    return edges.select(new, old).distinct().groupBy(new).agg(F.sort_array(F.collect_list(old)).alias("origins"))
+
+
 def unique_targets(edges: DataFrame, old: str, new: str) -> DataFrame:
     """(old, new) of old units with a single target."""
     return classified(edges, old, new).where("out_degree = 1").select(old, new)
@@ -82,23 +92,26 @@ def province_names(edges: DataFrame) -> DataFrame:
 
 
 def resolve_target(records: DataFrame, edges: DataFrame, province: str, *wards: str) -> DataFrame:
-    """records with ``target`` (a new unit, or null): the first of the ward columns that names one in the resolved province."""
+    """records with ``target`` (a new unit, or null): the first of the ward columns that names one in the resolved province.
+
+    The joins carry no hints: names and units are tables that Spark broadcasts while they are small.
+    """
     names, units = province_names(edges), new_units(edges)
-    at = records.join(F.broadcast(names.withColumnRenamed("key", "dm_pk")), T.province_key(province) == F.col("dm_pk"), "left")
+    at = records.join(names.withColumnRenamed("key", "dm_pk"), T.province_key(province) == F.col("dm_pk"), "left")
     found = []
     for i, w in enumerate(wards):
         unit = units.select(F.struct(*[c for c in units.columns]).alias(f"dm_u{i}"), F.col("new_key").alias(f"dm_k{i}"))
         key = F.struct(T.province_key("name").alias("p"), T.normalise_text(w).alias("w"))
-        at = at.join(F.broadcast(unit), F.col("name").isNotNull() & (key == F.col(f"dm_k{i}")), "left").drop(f"dm_k{i}")
+        at = at.join(unit, F.col("name").isNotNull() & (key == F.col(f"dm_k{i}")), "left").drop(f"dm_k{i}")
         found.append(f"dm_u{i}")
     return at.withColumn("target", F.coalesce(*found)).drop("dm_pk", "name", *found)
 
 
 def edge_of(records: DataFrame, edges: DataFrame, province: str, district: str, ward: str) -> DataFrame:
-    """records with ``edge``: the mapping row from the old unit to ``target`` by names, with its relation, or null."""
-    rel = edges.withColumn("out_degree", F.size(F.collect_set("new_key").over(W.partitionBy("old_key")))).withColumn("in_degree", F.size(F.collect_set("old_key").over(W.partitionBy("new_key"))))
-    rel = rel.withColumn("relation", relation(F.col("out_degree"), F.col("in_degree"))).withColumn("dm_r", F.row_number().over(W.partitionBy("old_key", "new_key").orderBy(F.desc("ord")))).where("dm_r = 1")
-    side = rel.select(F.col("old_key").alias("dm_o"), F.col("new_key").alias("dm_n"), F.struct("new_province", "new_ward", "code", "merger_form", "relation").alias("edge"))
+    """records with ``edge``: the mapping row from the old unit to ``target`` by names, with its relation, or null. The last row of an edge counts."""
+    last = edges.groupBy("old_key", "new_key").agg(F.max_by(F.struct("new_province", "new_ward", "code", "merger_form"), "ord").alias("dm_e"))
+    rel = _with_degrees(last, "old_key", "new_key")
+    side = rel.select(F.col("old_key").alias("dm_o"), F.col("new_key").alias("dm_n"), F.struct("dm_e.new_province", "dm_e.new_ward", "dm_e.code", "dm_e.merger_form", "relation").alias("edge"))
     old = F.struct(T.province_key(province).alias("p"), T.normalise_text(district).alias("d"), T.normalise_text(ward).alias("w"))
     return records.join(side, (old == F.col("dm_o")) & (F.col("target.new_key") == F.col("dm_n")), "left").drop("dm_o", "dm_n")
 

@@ -42,14 +42,17 @@ def profile(df: DataFrame, column: str, patterns: dict[str, str] | None = None,
     counted = flags.agg(F.count("*").alias("total"), *[a.alias(f"{k}_{n}") for k, n, a in aggs])
     long = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.col(f"{k}_{n}").alias("n")) for k, n, _ in aggs]))
     out = counted.where("total > 0").select(long.alias("r"), "total").select("r.kind", "r.name", "r.n", "total")
-    return out.withColumn("rate", F.round(F.col("n") / F.col("total"), places))
+    # Half to even, as the generators' configuration rounds.
+    return out.withColumn("rate", F.bround(F.col("n") / F.col("total"), places))
 
 
-def as_config(rows: list, method: str = "regex weak-label estimates; missing means no detectable marker, not verified field absence") -> dict:
-    """The collected profile as the nested configuration that the generators read. Raises without texts."""
+def as_config(rows: list, method: str) -> dict:
+    """The collected profile as the nested configuration that the generators read, with a line on how it was measured. Raises without texts."""
     if not rows:
         raise ValueError("no texts to profile")
-    abbreviations = {r["name"]: r for r in rows if r["kind"] == "marker"}
-    missing = {r["name"]: r for r in rows if r["kind"] == "missing"}
-    rated = {n: r["rate"] for n, r in abbreviations.items() if n not in ("ward_full", "district_full", "housenumber")}
-    return {"sample_size": rows[0]["total"], "method": method, "noise_probabilities": {"abbreviations": rated, "missing_rates": {n: r["rate"] for n, r in missing.items()}}, "counts": {"abbreviations": {n: r["n"] for n, r in abbreviations.items()}, "missing_rates": {n: r["n"] for n, r in missing.items()}}}
+    tables = {"abbreviations": "marker", "missing_rates": "missing"}
+    of = lambda kind, value: {r["name"]: r[value] for r in rows if r["kind"] == kind}
+    rates = {name: of(kind, "rate") for name, kind in tables.items()}
+    for whole in ("ward_full", "district_full", "housenumber"):  # no abbreviations
+        rates["abbreviations"].pop(whole, None)
+    return {"sample_size": rows[0]["total"], "method": method, "noise_probabilities": rates, "counts": {name: of(kind, "n") for name, kind in tables.items()}}

@@ -43,13 +43,41 @@ def error_class(status: Column, outcome: Column, fields, scenario: Column, raw:
     return F.when(status == "CORRECT", "none").when(pure_fp > 0, "hallucination_over_imputation").when(wrong, "wrong_target").when((fn > 0) & (tp > 0), "missing_field").when(short, "abbreviation_misunderstood").otherwise("parse_boundary_error")
 
 
+#: What a record's note says of each error class.
+NOTES = {
+    "hallucination_over_imputation": "Tự điền trường không có trong nguồn: ",
+    "wrong_target": "Sai đích phường/xã",
+    "missing_field": "Bỏ sót thành phần địa chỉ có trong chuỗi",
+    "abbreviation_misunderstood": "Không nhận diện được từ viết tắt tiếng Việt",
+    "parse_boundary_error": "Cắt sai biên hoặc gán sai vai trò thực thể",
+}
+
+
+def note(error: Column, outcome: Column, fields, extra: Column | None = None) -> Column:
+    """The note of a record: ``extra``, and for an error a bar and what the class says, with the fields that were made up."""
+    extra = T.blank(extra) if extra is not None else F.lit("")
+    made_up = F.array_join(F.filter(F.array(*[F.when(outcome[f] == "FP", F.lit(f)) for f in fields]), lambda x: x.isNotNull()), ", ")
+    said = F.create_map(*[F.lit(x) for kv in NOTES.items() for x in kv])[error]
+    names = F.when(error == "hallucination_over_imputation", made_up).otherwise("")
+    return F.when(error == "none", extra).otherwise(F.concat(extra, F.lit("|"), said, names))
+
+
 def score(df: DataFrame, pred: str = "pred", truth: str = "truth", scenario: str = "scenario", raw: str = "raw", fields=T.FIELDS) -> DataFrame:
-    """df with outcome (struct), status, error and field_code."""
+    """df with outcome (struct), status, error, field_code and note.
+
+    One expression binds the outcome, the status and the error in turn, so that neither a later rule
+    nor a filter that Catalyst pushes below the columns compares the fields over again.
+    """
     given = reduce(lambda a, b: a + b, [(T.clean_value(F.col(truth)[f]) != "").cast("int") for f in fields])
-    out = df.withColumn("outcome", compare_fields(F.col(pred), F.col(truth), fields))
-    out = out.withColumn("status", record_status(F.col("outcome"), fields, given))
-    out = out.withColumn("error", error_class(F.col("status"), F.col("outcome"), fields, F.col(scenario), F.col(raw)))
-    return out.withColumn("field_code", field_code(F.col("outcome"), T.FIELDS, fields))
+
+    def all_of(o, status, error):
+        return F.struct(o.alias("outcome"), status.alias("status"), error.alias("error"), field_code(o, T.FIELDS, fields).alias("field_code"), note(error, o, fields).alias("note"))
+
+    def rest(o):
+        return T.let(record_status(o, fields, given), lambda s: T.let(error_class(s, o, fields, F.col(scenario), F.col(raw)), lambda e: all_of(o, s, e)))
+
+    out = df.withColumn("dm_scored", T.let(compare_fields(F.col(pred), F.col(truth), fields), rest))
+    return out.withColumns({c: F.col(f"dm_scored.{c}") for c in ("outcome", "status", "error", "field_code", "note")}).drop("dm_scored")
 
 
 def field_code(outcome: Column, every, scored) -> Column:
@@ -75,10 +103,10 @@ def confusion(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     return outcomes.groupBy(*keys).agg(F.count_if(r == "TP").alias("tp"), F.count_if(r == "TN").alias("tn"), F.count_if(r.isin("FP", "MISMATCH")).alias("fp"), F.count_if(r.isin("FN", "MISMATCH")).alias("fn"), F.count("*").alias("n"))
 
 
-def field_metrics(counts: DataFrame) -> DataFrame:
-    """Counts with precision, recall, f1 (0 on zero denominators) and accuracy."""
+def field_metrics(counts: DataFrame, zero: float | None = 0.0) -> DataFrame:
+    """Counts with precision, recall, f1 (``zero`` on zero denominators) and accuracy."""
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    return counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + F.col("tn"), F.col("n"))})
+    return counts.withColumns({"precision": ratio(tp, tp + fp, zero), "recall": ratio(tp, tp + fn, zero), "f1": ratio(2 * tp, 2 * tp + fp + fn, zero), "accuracy": ratio(tp + F.col("tn"), F.col("n"))})
 
 
 def micro_f1(outcomes: DataFrame, keys: list[str], zero: float | None = None) -> DataFrame:
@@ -143,6 +171,12 @@ def with_p_value(df: DataFrame, column: str = "statistic") -> DataFrame:
     return df.withColumn("p_value", tail(column))
 
 
+def missing_and_hallucination(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Shares of records that miss a field and of those that make one up."""
+    share = lambda e: ratio(F.count_if(F.col("error") == e), F.count("*"))
+    return df.groupBy(*keys).agg(share("missing_field").alias("missing_rate"), share("hallucination_over_imputation").alias("hallucination_rate"))
+
+
 def recovery(df: DataFrame, keys: list[str], kind: str, pred: Column, truth: Column) -> DataFrame:
     """correct, wrong and empty predictions by keys and kind, with a row of all kinds (kind null) for each key."""
     p, t = T.blank(pred), T.blank(truth)

@@ -21,6 +21,8 @@ ABBREVIATIONS = {"district_Q": 0.75, "city_TP": 0.80, "ward_P": 0.60, "ward_F":
 LEVELS = {"nhe": 0.40, "vua": 0.40, "nang": 0.20}
 MISSING = {"drop_ward": ("PhuongXa",), "drop_district": ("QuanHuyen",), "drop_housenumber_ward": ("SoNha", "PhuongXa"), "drop_housenumber": ("SoNha",)}
 MISSING_WEIGHTS = {"drop_ward": 0.4, "drop_district": 0.3, "drop_housenumber_ward": 0.2, "drop_housenumber": 0.1}
+#: Fixed value: what noisy records give as their source.
+SOURCE = "synthetic_from_verified_osm"
 #: Characters that a scan confuses.
 CONFUSED = {"o": "0", "O": "0", "i": "1", "I": "1", "l": "1", "s": "5", "S": "5"}
 
@@ -157,31 +159,86 @@ def noisy(rows: DataFrame, key: str, probs: dict[str, float], missing: dict[str,
     return out.withColumns({**{f: F.col(f"dm_s.{f}") for f in T.FIELDS}, "ChuoiDiaChi": plain, "LoaiNhieu": F.array_join("dm_s.ops", "|"), "SoPhepBienDoi": F.size("dm_s.ops")}).drop("dm_s")
 
 
-def noisy_sample(rows: DataFrame, key: str, size: int, old_share: float, probs: dict, missing: dict, seed: int = 42, tries: int = 4) -> DataFrame:
-    """``size`` noisy records with unique surfaces, round(size * old_share) of system cu, with ids N00001 on."""
-    quota = {"cu": round(size * old_share)}
-    quota["moi"] = size - quota["cu"]
-    made = noisy(attempts(rows, key, tries), "dm_key", probs, missing, seed).where("ChuoiDiaChi <> ''")
-    once = made.withColumn("dm_r", F.row_number().over(W.partitionBy("ChuoiDiaChi").orderBy("dm_try", sampling.hash_order(seed, "dm_key")))).where("dm_r = 1")
-    rank = F.row_number().over(W.partitionBy("HeQuyChieu").orderBy("dm_try", sampling.hash_order(seed, "dm_key"), "dm_key"))
-    limit = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])[F.col("HeQuyChieu")]
-    taken = once.withColumn("dm_n", rank).where(F.col("dm_n") <= limit)
-    return sampling.numbered(taken, seed, "dm_key", "N%05d").drop("dm_r", "dm_n", "dm_try", "dm_key").withColumns({"Seed": F.lit(str(seed)), "Nguon": F.lit("synthetic_noise")})
+def check_sizes(size: int, old_share: float) -> None:
+    """Sizes are at least 1 and shares within [0, 1], or it raises."""
+    if size < 1 or not 0 <= old_share <= 1:
+        raise ValueError(f"size must be positive and the share within [0, 1], not {size} and {old_share}")
 
 
-def missing_fields(rows: DataFrame, key: str, probs: dict, weights: dict | None = None, seed: int = 42, system: str = "HeQuyChieu") -> DataFrame:
-    """Each record with the fields of one kind blanked and the rest abbreviated; a moi record has no district to drop."""
-    k = F.col(key).cast("string")
-    w = weights or MISSING_WEIGHTS
-    new = F.col(system) == "moi"
-    options = [(n, F.when(new, F.lit(-1.0)).otherwise(F.lit(float(w.get(n, 0)))) if n == "drop_district" else F.lit(float(w.get(n, 0)))) for n in MISSING]
+def quotas(size: int, old_share: float) -> dict[str, int]:
+    """Rows of each system."""
+    check_sizes(size, old_share)
+    old = round(size * old_share)
+    return {"cu": old, "moi": size - old}
+
+
+def take_quotas(once: DataFrame, quota: dict[str, int], order: list, system: str = "HeQuyChieu") -> DataFrame:
+    """The first rows of each system up to its quota; a quota that is not met raises. Systems are taken one by one, so that none is ranked in a single task."""
+    parts = [sampling.require_size(once.where(F.col(system) == name).orderBy(*order).limit(n), n, f"unique rows of system {name}") for name, n in quota.items() if n]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def noisy_sample(rows: DataFrame, key: str, size: int, old_share: float, probs: dict, missing: dict, seed: int = 42, tries: int = 80) -> DataFrame:
+    """``size`` noisy records with unique surfaces, round(size * old_share) of system cu, with ids N00001 on.
+
+    A record may be tried up to ``tries`` times; only as many tries are made as reach the quotas,
+    doubling from one.
+    """
+    quota, order = quotas(size, old_share), ["dm_try", sampling.hash_order(seed, "dm_key"), "dm_key"]
+    at = 1
+    while True:
+        made = noisy(attempts(rows, key, at), "dm_key", probs, missing, seed).where("ChuoiDiaChi <> ''")
+        once = made.withColumn("dm_r", F.row_number().over(W.partitionBy("ChuoiDiaChi").orderBy(*order))).where("dm_r = 1")
+        try:
+            taken = take_quotas(once, quota, order)
+            break
+        except sampling.QuotaError:
+            if at >= tries:
+                raise
+            at = min(tries, 2 * at)
+    return sampling.numbered(taken, seed, "dm_key", "N%05d").drop("dm_r", "dm_try", "dm_key").withColumns({"Seed": F.lit(str(seed)), "Nguon": F.lit(SOURCE)})
+
+
+def missing_candidates(rows: DataFrame, key: str, weights: dict | None = None, seed: int = 42, system: str = "HeQuyChieu") -> DataFrame:
+    """Every record with every kind of missing fields that its system allows: KieuThieu, the weighted order of a draw (dm_order) and a key of its own (dm_key).
+
+    Ordering by a draw raised to one over the weight takes candidates one by one with chances in
+    proportion to their weights; kinds of weight 0 take part only where all weigh 0.
+    """
+    w = {n: max(0.0, float((weights or MISSING_WEIGHTS).get(n, 0.0))) for n in MISSING}
+    if not any(w.values()):
+        w = dict.fromkeys(w, 1.0)
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(x).alias("w")) for n, x in w.items() if x > 0])
+    out = rows.withColumn("dm_kind", F.explode(kinds)).where((F.col(system) != "moi") | (F.col("dm_kind.kind") != "drop_district"))
+    out = out.withColumn("KieuThieu", F.col("dm_kind.kind")).withColumn("dm_key", F.concat_ws("#", F.col(key).cast("string"), "KieuThieu"))
+    late = -F.log(F.greatest(T.draw(seed, "candidate", F.col("dm_key")), F.lit(1e-12))) / F.col("dm_kind.w")
+    return out.withColumn("dm_order", late).drop("dm_kind")
+
+
+def missing_sample(rows: DataFrame, key: str, size: int, old_share: float, probs: dict, weights: dict | None = None, seed: int = 42) -> DataFrame:
+    """``size`` incomplete records with surfaces unique within a system, drawn from rows x kinds by weight."""
+    quota, order = quotas(size, old_share), ["dm_order", "dm_key"]
+    made = blanked(missing_candidates(rows, key, weights, seed), "dm_key", probs, seed)
+    once = made.withColumn("dm_r", F.row_number().over(W.partitionBy("HeQuyChieu", "ChuoiDiaChi").orderBy(*order))).where("dm_r = 1")
+    return sampling.shuffled(take_quotas(once, quota, order), seed, "dm_key").drop("dm_r", "dm_order", "dm_key")
+
+
+def blanked(rows: DataFrame, key: str, probs: dict, seed: int = 42, system: str = "HeQuyChieu") -> DataFrame:
+    """Records with the fields of their KieuThieu blanked and the rest abbreviated; a moi record has no district."""
+    k, new = F.col(key).cast("string"), F.col(system) == "moi"
     truth = {f"GT_{f}": F.when(new, "").otherwise(T.clean_value(f)) if f == "QuanHuyen" else T.clean_value(f) for f in T.FIELDS}
-    out = rows.withColumns(truth).withColumn("KieuThieu", weighted(seed, "kind", k, options))
     parts = {"PhuongXa": "ward", "QuanHuyen": "district", "TinhThanh": "city"}
     gone = lambda f: F.col("KieuThieu").isin([n for n, fs in MISSING.items() if f in fs])
-    out = out.withColumns({f: F.when(gone(f), "").otherwise(F.col(f"GT_{f}")) for f in T.FIELDS})
-    shown = [abbreviate(F.col(f), parts[f], probs, seed, k) if f in parts else F.col(f) for f in T.FIELDS]
-    return out.withColumn("ChuoiDiaChi", T.address_join(*shown))
+    out = rows.withColumns(truth)
+    out = out.withColumns({f: F.when(gone(f) | (F.col(f"GT_{f}") == ""), "").otherwise(abbreviate(F.col(f"GT_{f}"), parts[f], probs, seed, k) if f in parts else F.col(f"GT_{f}")) for f in T.FIELDS})
+    return out.withColumn("ChuoiDiaChi", T.address_join(*T.FIELDS))
+
+
+def missing_fields(rows: DataFrame, key: str, probs: dict, weights: dict | None = None, seed: int = 42, system: str = "HeQuyChieu") -> DataFrame:
+    """Each record once, with the fields of one kind, drawn by weight, blanked and the rest abbreviated; a moi record has no district to drop."""
+    w = weights or MISSING_WEIGHTS
+    options = [(n, F.when(F.col(system) == "moi", F.lit(-1.0)).otherwise(F.lit(float(w.get(n, 0)))) if n == "drop_district" else F.lit(float(w.get(n, 0)))) for n in MISSING]
+    return blanked(rows.withColumn("KieuThieu", weighted(seed, "kind", F.col(key).cast("string"), options)), key, probs, seed, system)
 
 
 def hybrid_candidates(records: DataFrame, edges: DataFrame) -> DataFrame:

@@ -23,6 +23,17 @@ def _old_key() -> Column:
     return F.struct(T.province_key("TinhThanh").alias("p"), T.normalise_text("QuanHuyen").alias("d"), T.normalise_text("PhuongXa").alias("w"))
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """df with dm_i, the gapless number of each row in the order in which it was read: counts of partitions, then places in them."""
+    placed = df.withColumn("dm_p", F.spark_partition_id()).withColumn("dm_i", F.monotonically_increasing_id())
+    sizes = [(r["dm_p"], r["n"]) for r in sorted(placed.groupBy("dm_p").agg(F.count("*").alias("n")).collect())]
+    first, at = {}, 0
+    for p, n in sizes:
+        first[p], at = at, at + n
+    before = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])[F.col("dm_p")] if first else F.lit(0)
+    return placed.withColumn("dm_i", before + F.col("dm_i").bitwiseAND((1 << 33) - 1)).drop("dm_p")
+
+
 def single_targets(edges: DataFrame) -> DataFrame:
     """(dm_o, unit, relation): the mapping row of each old unit with one target."""
     one = graph.classified(edges, "old_key", "new_key").where("out_degree = 1").select("old_key", "new_key", "relation")
@@ -69,18 +80,19 @@ def build(mapping: DataFrame, latest: DataFrame, diff: DataFrame, full: DataFram
     old = audit.first_per_key(balanced.where(contracts.filled(*T.FIELDS)).withColumn("dm_row", F.concat_ws(":", "OSM_Type", "OSM_ID")), ["ChuoiDiaChi"], ["dm_row"]).drop("dm_row").withColumn("HeQuyChieu", F.lit("cu"))
     both = old.select(*T.FIELDS, "ChuoiDiaChi", "HeQuyChieu").unionByName(new.select(*T.FIELDS, "ChuoiDiaChi", "HeQuyChieu"))
     half = lambda df, n: sampling.uniform(df, n, seed, "ChuoiDiaChi")
-    lost = synth.missing_fields(both, "ChuoiDiaChi", probs, missing, seed)
-    once = audit.first_per_key(lost.withColumn("dm_row", sampling.hash_order(seed, "ChuoiDiaChi")), ["HeQuyChieu", "ChuoiDiaChi"], ["dm_row"])
-    missing_sample = reduce(DataFrame.unionByName, [half(once.where(F.col("HeQuyChieu") == s), sizes["04"] // 2) for s in ("cu", "moi")])
+    lost = synth.missing_sample(both, "ChuoiDiaChi", sizes["04"], 0.5, probs, missing, seed)
     out = {
         "01": half(new, sizes["01"]),
         "02": synth.noisy_sample(both, "ChuoiDiaChi", sizes["02"], 0.5, probs, missing, seed).select("ID", "ChuoiDiaChi", "ChuoiDiaChiGoc", *T.FIELDS, *[f"GT_{f}" for f in T.FIELDS], "HeQuyChieu", "MucDoNhieu", "LoaiNhieu", "SoPhepBienDoi", "Seed", "Nguon"),
         "03": half(old, sizes["03"]),
-        "04": missing_sample.select("ChuoiDiaChi", *T.FIELDS, *[f"GT_{f}" for f in T.FIELDS], "KieuThieu", "HeQuyChieu"),
+        "04": lost.select("ChuoiDiaChi", *T.FIELDS, *[f"GT_{f}" for f in T.FIELDS], "KieuThieu", "HeQuyChieu"),
         "06": synth.hybrids(old, edges, sizes["06"], seed, "ChuoiDiaChi"),
         "07": conversion_pairs(diff, full, balanced, edges, aliases, sizes["07"], seed),
     }
-    return {n: sampling.require_size(df, sizes[n], f"rows of table {n}") for n, df in out.items()}
+    targets = edges.select("code", "new_ward", "new_province")
+    for n, df in out.items():
+        contracts.enforce(contracts.benchmark_violations(n, df, sizes[n], targets))
+    return out
 
 
 def converter(edges: DataFrame):
@@ -98,7 +110,7 @@ def converter(edges: DataFrame):
 
 def records(number: str, df: DataFrame, raw: str = "ChuoiDiaChi") -> DataFrame:
     """ID, raw and truth of a benchmark table's rows, in file order; table 02 has its noisy and clean forms."""
-    row = df.withColumn("dm_i", F.monotonically_increasing_id()) if "dm_i" not in df.columns else df
+    row = in_file_order(df) if "dm_i" not in df.columns else df
     side = lambda p="": F.struct(*[T.blank(f"{p}{f}").alias(f) for f in T.FIELDS])
     if number == "02":
         forms = [row.select(F.concat(F.lit("D02_"), "ID", F.lit(f"_{s}")).alias("ID"), F.col(c).alias("raw"), side("GT_").alias("truth")) for s, c in (("noisy", "ChuoiDiaChi"), ("clean", "ChuoiDiaChiGoc"))]
@@ -116,18 +128,22 @@ STRATA = {"02": ["HeQuyChieu", "MucDoNhieu"], "04": ["HeQuyChieu", "KieuThieu"],
 
 def pilot(number: str, df: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows over the table's strata, in file order."""
-    row = df.withColumn("dm_i", F.monotonically_increasing_id())
+    row = in_file_order(df)
     strata = STRATA.get(number)
     some = sampling.stratified(row, n, strata, seed, "dm_i", at_least_strata=True) if strata else sampling.uniform(row, n, seed, "dm_i")
     return some.orderBy("dm_i")
 
 
-def run(spark: SparkSession, data: Path, root: Path, name: str, edges: DataFrame | None = None, sample: int | None = None, overwrite: bool = False, tool: str = "heuristic_parser") -> runs.Run:
-    """Score the tables of a folder: predictions, raw responses, and a manifest written last."""
+def run(spark: SparkSession, data: Path, root: Path, name: str, edges: DataFrame | None = None, sample: int | None = None, overwrite: bool = False, tool: str = "heuristic_parser", expected: dict[str, int] | None = None) -> runs.Run:
+    """Score the tables of a folder: predictions, raw responses, and a manifest written last. Tables that break their contract (with ``expected`` also their sizes) raise first."""
     at = runs.Run(Path(root), name)
     at.prepare(overwrite)
     found = {n: Path(data) / f for n, f in FILES.items() if (Path(data) / f).exists()}
     frames = {n: tables.read_csv(spark, str(p)) for n, p in found.items()}
+    targets = edges.select("code", "new_ward", "new_province") if edges is not None else None
+    for n, df in frames.items():
+        contracts.check_file(found[n], df.columns)
+        contracts.enforce(contracts.benchmark_violations(n, df, (expected or {}).get(n), targets))
     manifest = runs.freeze({n: p for n, p in found.items()}, {n: f.columns for n, f in frames.items()}, {n: f.count() for n, f in frames.items()}, root)
     scored = []
     for n, df in frames.items():

@@ -33,4 +33,4 @@ def evaluate(df: DataFrame, dataset: str, raw: str, tool: str, predict=parser.he
     p = PROTOCOL[dataset]
     made = predict(df, raw).withColumn("scenario", F.lit(p["scenario"]))
     out = scoring.score(made, "pred", "truth", "scenario", raw, p["fields"])
-    return out.select("ID", F.col(raw).alias("DiaChiGoc"), F.lit(tool).alias("CongCu"), F.to_json("pred").alias("TruongDuDoan"), F.to_json("truth").alias("TruongDung"), F.col("status").alias("DungSai"), F.col("error").alias("LoaiLoi"), F.col("scenario").alias("TinhHuongMoHo"), F.lit("").alias("GhiChu"))
+    return out.select("ID", F.col(raw).alias("DiaChiGoc"), F.lit(tool).alias("CongCu"), F.to_json("pred").alias("TruongDuDoan"), F.to_json("truth").alias("TruongDung"), F.col("status").alias("DungSai"), F.col("error").alias("LoaiLoi"), F.col("scenario").alias("TinhHuongMoHo"), F.col("note").alias("GhiChu"))

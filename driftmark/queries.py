@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.functions import text as T
-from driftmark.operators import alias, audit, cases, contracts, coverage, explore, graph, history, parser, profile, receipts, sampling, scoring, synth
+from driftmark.operators import alias, audit, cases, contracts, coverage, explore, graph, history, metrics, parser, profile, receipts, sampling, scoring, synth
 from driftmark.plans import protocol
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,11 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- graph --------------------------------------------------------------------------------------
 
-_EDGES = "e AS (SELECT DISTINCT l_partkey AS old, l_orderkey AS new FROM lineitem WHERE l_quantity >= 48), g AS (SELECT old, new, count(*) OVER (PARTITION BY old) AS o, count(*) OVER (PARTITION BY new) AS i FROM e), r AS (SELECT *, CASE WHEN o = 1 AND i = 1 THEN '1-1' WHEN o > 1 AND i = 1 THEN '1-N' WHEN o = 1 AND i > 1 THEN 'N-1' ELSE 'M-N' END AS relation FROM g)"
+_EDGES = "e AS (SELECT DISTINCT l_orderkey AS old, l_partkey * 100 + CAST(l_quantity AS BIGINT) AS new FROM lineitem), g AS (SELECT old, new, count(*) OVER (PARTITION BY old) AS o, count(*) OVER (PARTITION BY new) AS i FROM e), r AS (SELECT *, CASE WHEN o = 1 AND i = 1 THEN '1-1' WHEN o > 1 AND i = 1 THEN '1-N' WHEN o = 1 AND i > 1 THEN 'N-1' ELSE 'M-N' END AS relation FROM g)"
 
 
 def _edges(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("old"), F.col("l_orderkey").alias("new"))
+    """Orders as old units, a part in a quantity as a new one: all four relations occur."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("old"), (F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")).alias("new"))
 
 
 @query(f"WITH {_EDGES} SELECT old, new, o AS out_degree, i AS in_degree, relation, CASE relation WHEN '1-1' THEN 'C' WHEN '1-N' THEN 'A' WHEN 'N-1' THEN 'B' ELSE 'M' END AS scenario FROM r")
@@ -45,42 +46,65 @@ def relation_graph_edges(spark, d):
     return graph.classified(_edges(spark, d), "old", "new").withColumn("scenario", graph.scenario(F.col("relation")))
 
 
-@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM lineitem WHERE l_quantity >= 48) AS atomic_edges, count(DISTINCT old) AS old_units, count(DISTINCT new) AS new_units, count(*) FILTER (relation = '1-1') AS one_to_one_edges, count(*) FILTER (relation = '1-N') AS one_to_many_edges, count(*) FILTER (relation = 'N-1') AS many_to_one_edges, count(*) FILTER (relation = 'M-N') AS many_to_many_edges FROM r")
+@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM lineitem) AS atomic_edges, count(DISTINCT old) AS old_units, count(DISTINCT new) AS new_units, count(*) FILTER (relation = '1-1') AS one_to_one_edges, count(*) FILTER (relation = '1-N') AS one_to_many_edges, count(*) FILTER (relation = 'N-1') AS many_to_one_edges, count(*) FILTER (relation = 'M-N') AS many_to_many_edges FROM r")
 def relation_graph_summary(spark, d):
     return graph.summary(_edges(spark, d), "old", "new")
 
 
-@query(f"WITH {_EDGES} SELECT p_partkey, p_name, r.new FROM part LEFT JOIN r ON r.old = p_partkey AND r.o = 1")
+@query(f"WITH {_EDGES} SELECT o_orderkey, o_custkey, r.new FROM orders LEFT JOIN r ON r.old = o_orderkey AND r.o = 1")
 def unique_target_conversion(spark, d):
-    return graph.convert(table(spark, d, "part").select("p_partkey", "p_name"), _edges(spark, d), "p_partkey", "old", "new")
+    return graph.convert(table(spark, d, "orders").select("o_orderkey", "o_custkey"), _edges(spark, d), "o_orderkey", "old", "new")
 
 
-@query(f"WITH {_EDGES} SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT old FROM r WHERE o > 1)")
+@query(f"WITH {_EDGES} SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT old FROM r WHERE o > 1)")
 def abstention_list(spark, d):
-    return graph.abstained(table(spark, d, "part").select("p_partkey", "p_name"), _edges(spark, d), "p_partkey", "old", "new")
+    return graph.abstained(table(spark, d, "orders").select("o_orderkey"), _edges(spark, d), "o_orderkey", "old", "new")
 
 
-@query("SELECT o_orderkey, coalesce(a.c_name, b.c_name, '') AS target, CASE WHEN a.c_custkey IS NOT NULL THEN 'first' WHEN b.c_custkey IS NOT NULL THEN 'second' ELSE 'none' END AS hit FROM orders LEFT JOIN customer a ON a.c_custkey = o_custkey AND a.c_mktsegment = 'BUILDING' LEFT JOIN customer b ON b.c_custkey = o_custkey + 1 AND b.c_acctbal > 0")
+@query(f"WITH {_EDGES} SELECT 'targets' AS side, old AS unit, array_to_string(list_sort(list(new)), ',') AS others FROM e GROUP BY old UNION ALL SELECT 'origins', new, array_to_string(list_sort(list(old)), ',') FROM e GROUP BY new")
+def adjacency_lists(spark, d):
+    e = _edges(spark, d)
+    flat = lambda df, side, unit, others: df.select(F.lit(side).alias("side"), F.col(unit).alias("unit"), F.array_join(F.col(others).cast("array<string>"), ",").alias("others"))
+    return flat(graph.targets_for_old(e, "old", "new"), "targets", "old", "targets").unionByName(flat(graph.origins_for_new(e, "old", "new"), "origins", "new", "origins"))
+
+
+#: Customers as rows of a mapping table: (province, district, ward) before and (province, ward) after.
+_MAPPING = "e AS (SELECT DISTINCT c_nationkey AS np, c_custkey % 5 AS nd, c_custkey % 40 AS nw, c_nationkey // 3 AS q, c_custkey % 25 AS v FROM customer), g AS (SELECT *, count(*) OVER (PARTITION BY np, nd, nw) AS o, count(*) OVER (PARTITION BY q, v) AS i FROM e), r AS (SELECT *, CASE WHEN o = 1 AND i = 1 THEN '1-1' WHEN o > 1 AND i = 1 THEN '1-N' WHEN o = 1 AND i > 1 THEN 'N-1' ELSE 'M-N' END AS relation FROM g)"
+
+
+def _named(prefix: str, number) -> F.Column:
+    return F.concat(F.lit(prefix), number.cast("string"))
+
+
+def _mapping(spark, d):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    values = (_named("Xã ", k % 40), _named("Huyện ", k % 5), _named("Tỉnh P", n), _named("Tỉnh N", F.floor(n / 3)), _named("Phường ", k % 25), _named("T", k), F.lit(""), F.lit("gop"), F.lit(""))
+    return graph.mapping_edges(table(spark, d, "customer").select(*[v.alias(c) for c, v in zip(graph.COLUMNS, values, strict=True)], k.alias("ord")))
+
+
+@query(f"WITH {_MAPPING}, x AS (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN (SELECT max(q) FROM e WHERE q = o_custkey % 12) ELSE (SELECT max(q) FROM e WHERE np = o_custkey % 30) END AS p, o_orderkey % 30 AS a, o_custkey % 25 AS b FROM orders), u AS (SELECT DISTINCT q, v FROM e) SELECT o_orderkey, coalesce('Tỉnh N' || ua.q || ': Phường ' || ua.v, 'Tỉnh N' || ub.q || ': Phường ' || ub.v) AS target FROM x LEFT JOIN u ua ON ua.q = x.p AND ua.v = x.a LEFT JOIN u ub ON ub.q = x.p AND ub.v = x.b")
 def target_probe_coalesce(spark, d):
-    c = table(spark, d, "customer")
-    a = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("ka"), F.col("c_name").alias("na"))
-    b = c.where("c_acctbal > 0").select((F.col("c_custkey") - 1).alias("kb"), F.col("c_name").alias("nb"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    met = o.join(a, o.o_custkey == F.col("ka"), "left").join(b, o.o_custkey == F.col("kb"), "left")
-    hit = F.when(F.col("ka").isNotNull(), "first").when(F.col("kb").isNotNull(), "second").otherwise("none")
-    return met.select("o_orderkey", F.coalesce("na", "nb", F.lit("")).alias("target"), hit.alias("hit"))
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    province = F.when(c % 2 == 0, _named("tỉnh  N", c % 12)).otherwise(_named("TP. P", c % 30))
+    o = table(spark, d, "orders").select("o_orderkey", province.alias("p"), _named("phường ", k % 30).alias("a"), _named(" Phường  ", c % 25).alias("b"))
+    return graph.resolve_target(o, _mapping(spark, d), "p", "a", "b").select("o_orderkey", F.concat("target.new_province", F.lit(": "), "target.new_ward").alias("target"))
 
 
-@query("SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+@query("SELECT 'unit' AS kind, 'n' || c_nationkey // 3 || '|phường ' || c_custkey % 25 AS key, arg_min('T' || c_custkey, c_custkey) AS value FROM customer GROUP BY c_nationkey // 3, c_custkey % 25 UNION ALL SELECT 'province', 'n' || c_nationkey // 3, 'Tỉnh N' || c_nationkey // 3 FROM customer GROUP BY c_nationkey // 3 UNION ALL SELECT 'province', 'p' || c_nationkey, 'Tỉnh N' || c_nationkey // 3 FROM customer GROUP BY c_nationkey")
 def first_last_wins(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"), F.max_by("event_type", "event_id").alias("last_type"))
+    m = _mapping(spark, d)
+    units = graph.new_units(m).select(F.lit("unit").alias("kind"), F.concat_ws("|", "new_key.p", "new_key.w").alias("key"), F.col("unit_type").alias("value"))
+    return units.unionByName(graph.province_names(m).select(F.lit("province").alias("kind"), "key", F.col("name").alias("value")))
 
 
-@query("WITH k AS (SELECT DISTINCT l_partkey AS old, l_suppkey AS new FROM lineitem WHERE l_quantity >= 48) SELECT l_orderkey, l_linenumber, k.old IS NOT NULL AS known FROM lineitem LEFT JOIN k ON l_partkey = k.old AND l_suppkey = k.new")
+@query(f"WITH {_MAPPING} SELECT o_orderkey, r.relation FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN r ON r.np = c_nationkey AND r.nd = c_custkey % 5 AND r.nw = c_custkey % 40 AND r.v = o_orderkey % 25")
 def edge_lookup_join(spark, d):
-    li = table(spark, d, "lineitem")
-    k = li.where("l_quantity >= 48").select(F.col("l_partkey").alias("old"), F.col("l_suppkey").alias("new")).distinct()
-    return li.join(k, (F.col("l_partkey") == F.col("old")) & (F.col("l_suppkey") == F.col("new")), "left").select("l_orderkey", "l_linenumber", F.col("old").isNotNull().alias("known"))
+    k, n = F.col("o_custkey"), F.col("c_nationkey")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, F.col("c_custkey") == k)
+    o = o.select("o_orderkey", _named("N", F.floor(n / 3)).alias("np"), _named("phường ", F.col("o_orderkey") % 25).alias("nw"), _named("TP P", n).alias("op"), _named("huyện ", k % 5).alias("od"), _named("XÃ ", k % 40).alias("ow"))
+    m = _mapping(spark, d)
+    return graph.edge_of(graph.resolve_target(o, m, "np", "nw"), m, "op", "od", "ow").select("o_orderkey", F.col("edge.relation").alias("relation"))
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -286,9 +310,9 @@ def quota_sample_chain(spark, d):
     return sampling.quota_chain(table(spark, d, "documents").select("doc_id", "lang", "source"), "lang", {"en": 7, "de": 4, "fr": 2}, "source", 42, "doc_id")
 
 
-@query("SELECT c_custkey, format('N{:05d}', row_number() OVER (ORDER BY md5('7|' || c_custkey), c_custkey)) AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
+@query("SELECT c_custkey, format('N{:05d}', row_number() OVER (ORDER BY md5('7|' || c_custkey), c_custkey)) AS id FROM customer")
 def numbered_ids(spark, d):
-    return sampling.numbered(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey"), 7, "c_custkey", "N%05d", "id")
+    return sampling.numbered(table(spark, d, "customer").select("c_custkey"), 7, "c_custkey", "N%05d", "id")
 
 
 @query("SELECT c_custkey, CAST(('0x' || substr(md5('42|u|' || c_custkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u, ['a', 'b', 'c'][CAST(floor(CAST(('0x' || substr(md5('42|p|' || c_custkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * 3) AS INTEGER) + 1] AS choice FROM customer")
@@ -437,8 +461,7 @@ def exact_rate_interval(spark, d):
 
 @query(f"WITH {_SCORED} SELECT tool, count(*) FILTER (error = 'missing_field') / count(*) AS missing_rate, count(*) FILTER (error = 'hallucination_over_imputation') / count(*) AS hallucination_rate FROM z GROUP BY tool")
 def missing_hallucination_rates(spark, d):
-    share = lambda e: scoring.ratio(F.count_if(F.col("error") == e), F.count("*"))
-    return _scored(spark, d).groupBy("tool").agg(share("missing_field").alias("missing_rate"), share("hallucination_over_imputation").alias("hallucination_rate"))
+    return scoring.missing_and_hallucination(_scored(spark, d), ["tool"])
 
 
 @query(f"WITH {_SCORED}, x AS (SELECT l_linenumber AS kind, tool, CASE WHEN p_PhuongXa = '' THEN 'empty' WHEN p_PhuongXa = t_PhuongXa THEN 'correct' ELSE 'wrong' END AS w FROM z) SELECT tool, kind, count(*) FILTER (w = 'correct') AS correct, count(*) FILTER (w = 'wrong') AS wrong, count(*) FILTER (w = 'empty') AS empty, count(*) AS n FROM x GROUP BY GROUPING SETS ((tool, kind), (tool))")
@@ -447,11 +470,104 @@ def recovery_rollup(spark, d):
     return scoring.recovery(s, ["tool"], "kind", F.lower("pred.PhuongXa"), F.lower("truth.PhuongXa"))
 
 
-@query(f"WITH {_SCORED}, p AS (SELECT l_orderkey, bool_or(status = 'CORRECT') AS clean, bool_and(status = 'CORRECT') AS noisy, max(l_linenumber) AS level FROM z GROUP BY l_orderkey) SELECT level, count(*) AS n, count(*) FILTER (clean) AS clean_exact, count(*) FILTER (noisy) AS noisy_exact, count(*) FILTER (clean AND NOT noisy) AS flips, count(*) FILTER (NOT clean AND noisy) AS reverse_flips FROM p GROUP BY ROLLUP (level)")
+_CONDITION = "CASE l_linenumber WHEN 1 THEN 'Data 01|all' WHEN 2 THEN 'Data 02|clean' WHEN 3 THEN 'Data 02|noisy' WHEN 4 THEN 'Data 03|all' WHEN 5 THEN 'Data 04|surface_parse' WHEN 6 THEN CASE tool WHEN 'odd' THEN 'Data 06|libpostal' ELSE 'Data 06|vn_legacy' END ELSE 'Data 07|old_to_new' END"
+
+
+def _run(spark, d):
+    """Line numbers as data sets: IDs as a run writes them."""
+    n, key = F.col("l_linenumber"), F.concat_ws("x", "l_orderkey", "l_partkey", "l_suppkey", "cents")
+    name = F.when(n == 1, "D01_").when(n <= 3, "D02_").when(n == 4, "D03_").when(n == 5, "D04_").when(n == 6, "D06_").otherwise("D07_")
+    tail = F.when(n == 2, "_clean").when(n == 3, "_noisy").when((n == 6) & (F.col("tool") == "even"), "_mleg").otherwise("")
+    return _scored(spark, d).withColumn("ID", F.concat(name, key, tail))
+
+
+_F1_SQL = "CASE WHEN sum(2 * {0} + {1} + {2}) > 0 THEN sum(2 * {0}) / sum(2 * {0} + {1} + {2}) END"
+
+
+@query(f"WITH {_SCORED}, x AS (SELECT *, {_CONDITION} AS c FROM z), y AS (" + " UNION ALL ".join(f"SELECT c, tool, '{f}' AS field, o_{f} AS result FROM x" + ("" if f in metrics.PAIR_FIELDS else " WHERE l_linenumber < 7") for f in _FIELDS5) + f"), w AS (SELECT c, tool, field, count(*) FILTER (result = 'TP') AS tp, count(*) FILTER (result IN ('FP', 'MISMATCH')) AS fp, count(*) FILTER (result IN ('FN', 'MISMATCH')) AS fn FROM y GROUP BY ALL), v1 AS (SELECT c, tool, sum(2 * tp) / sum(2 * tp + fp + fn) AS micro, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS macro FROM w GROUP BY ALL) SELECT x.c AS dataset_condition, x.tool, count(*) AS n, count(*) FILTER (status = 'CORRECT') AS exact_correct, round(any_value(micro), 9) AS micro_f1_scored_fields, round(any_value(macro), 9) AS macro_mean_field_f1, count(*) FILTER (status = 'CORRECT') / count(*) AS exact_match_rate, CASE WHEN starts_with(x.c, 'Data 07') THEN 'PhuongXa,TinhThanh' ELSE '{','.join(_FIELDS5)}' END AS scored_fields FROM x JOIN v1 USING (c, tool) GROUP BY x.c, x.tool")
+def exact_by_condition(spark, d):
+    out = metrics.exact_by_condition(_run(spark, d), "odd")
+    return out.withColumns({c: F.round(c, 9) for c in ("micro_f1_scored_fields", "macro_mean_field_f1")})
+
+
+_PAIRED = "p AS (SELECT l_orderkey AS base, tool, bool_or(status = 'CORRECT') FILTER (l_linenumber = 1) AS clean, bool_or(status = 'CORRECT') FILTER (l_linenumber = 2) AS noisy, max(tp * 100 + fp * 10 + fn) FILTER (l_linenumber = 1) AS c0, max(tp * 100 + fp * 10 + fn) FILTER (l_linenumber = 2) AS n0, c0 // 100 AS ct, c0 // 10 % 10 AS cp, c0 % 10 AS cn, n0 // 100 AS nt, n0 // 10 % 10 AS np, n0 % 10 AS nn FROM (SELECT l_orderkey * 10 + (l_linenumber - 1) // 2 AS l_orderkey, 2 - l_linenumber % 2 AS l_linenumber, tool, status, tp, fp, fn FROM z) GROUP BY 1, 2), q AS (SELECT * FROM p WHERE clean IS NOT NULL AND noisy IS NOT NULL)"
+
+
+def _pairs(spark, d):
+    """Lines 1 and 2, 3 and 4, ... of an order as clean and noisy forms."""
+    n = F.col("l_linenumber")
+    base = F.col("l_orderkey") * 10 + F.floor((n - 1) / 2)
+    s = _scored(spark, d).withColumn("ID", F.concat(F.lit("D02_"), base.cast("string"), F.when(n % 2 == 1, "_clean").otherwise("_noisy")))
+    return metrics.paired(s)
+
+
+@query(f"WITH {_SCORED}, {_PAIRED} SELECT tool, base % 3 AS level, count(*) AS n, count(*) FILTER (clean) AS clean_exact, count(*) FILTER (noisy) AS noisy_exact, round({_F1_SQL.format('ct', 'cp', 'cn')}, 9) AS clean_f1, round({_F1_SQL.format('nt', 'np', 'nn')}, 9) AS noisy_f1, count(*) FILTER (clean AND NOT noisy) AS flips, count(*) FILTER (NOT clean AND noisy) AS reverse_flips, round(100 * (1 - {_F1_SQL.format('nt', 'np', 'nn')} / {_F1_SQL.format('ct', 'cp', 'cn')}), 9) AS f1_drop_percent FROM q GROUP BY GROUPING SETS ((tool, base % 3), (tool))")
 def robustness_flips(spark, d):
-    s = _scored(spark, d).withColumn("ok", F.col("status") == "CORRECT")
-    p = s.groupBy("l_orderkey").agg(F.bool_or("ok").alias("clean"), F.bool_and("ok").alias("noisy"), F.max("l_linenumber").alias("level"))
-    return scoring.flips(p, "level", "clean", "noisy")
+    p = _pairs(spark, d).where("clean is not null and noisy is not null").withColumn("level", F.col("base").cast("long") % 3)
+    return metrics.robustness(p, "level").withColumns({c: F.round(c, 9) for c in ("clean_f1", "noisy_f1", "f1_drop_percent")})
+
+
+@query(f"WITH {_SCORED}, {_PAIRED} SELECT 'unpaired' AS rule, base || '|' || tool AS key FROM p WHERE clean IS NULL OR noisy IS NULL")
+def unpaired_forms(spark, d):
+    return metrics.unpaired(_pairs(spark, d))
+
+
+@query(f"WITH {_SCORED}, {_PAIRED}, y AS (SELECT *, unnest(CASE base % 3 WHEN 0 THEN ['viet_tat'] WHEN 1 THEN ['viet_tat', 'thieu_'] ELSE ['thieu_', 'bo_dau'] END) AS operation FROM q) SELECT tool, operation, count(*) AS n, count(*) FILTER (clean) AS clean_exact, count(*) FILTER (noisy) AS noisy_exact, round({_F1_SQL.format('ct', 'cp', 'cn')}, 9) AS clean_f1, round({_F1_SQL.format('nt', 'np', 'nn')}, 9) AS noisy_f1 FROM y GROUP BY tool, operation")
+def robustness_by_operation(spark, d):
+    k = F.col("base").cast("long") % 3
+    ops = F.when(k == 0, "viet_tat").when(k == 1, "viet_tat|thieu_PhuongXa").otherwise("thieu_SoNha|bo_dau")
+    p = _pairs(spark, d).where("clean is not null and noisy is not null")
+    return metrics.by_operation(p, ops, ["viet_tat", "thieu_", "bo_dau"]).withColumns({c: F.round(c, 9) for c in ("clean_f1", "noisy_f1")})
+
+
+@query(f"WITH {_SCORED} SELECT CASE WHEN l_linenumber > 4 THEN 'M-N' ELSE 'N-1' END AS relation, count(*) AS n, count(*) FILTER (status = 'CORRECT') AS correct, count(*) - count(*) FILTER (status = 'CORRECT') - count(*) FILTER (p_PhuongXa = '') AS wrong_target, count(*) FILTER (p_PhuongXa = '') AS empty FROM z GROUP BY 1")
+def conversion_outcomes(spark, d):
+    s = _scored(spark, d).withColumn("relation", F.when(F.col("l_linenumber") > 4, "M-N").otherwise("N-1"))
+    return metrics.conversion_outcomes(s, "relation", "status", F.col("pred.PhuongXa"))
+
+
+@query("SELECT l_returnflag AS tool, CASE WHEN l_tax > 0.05 THEN 'error' ELSE 'success' END AS status, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def call_status_counts(spark, d):
+    return metrics.call_status(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("tool"), F.when(F.col("l_tax") > 0.05, "error").otherwise("success").alias("status")))
+
+
+@query(f"WITH {_SCORED} SELECT tool, CASE l_linenumber % 3 WHEN 0 THEN 'FROM_2025' WHEN 1 THEN 'LEGACY' ELSE 'single parse' END AS mode, 'C' || (l_suppkey % 3 + 1) AS kind, count(*) AS n, count(*) FILTER (status = 'CORRECT') AS exact FROM z GROUP BY ALL")
+def hybrid_exact(spark, d):
+    k = F.col("l_linenumber") % 3
+    s = _scored(spark, d).withColumn("ID", F.concat(F.lit("D06_"), F.col("l_orderkey").cast("string"), F.when(k == 0, "_m25").when(k == 1, "_mleg").otherwise("")))
+    return metrics.hybrid_exact(s, F.concat(F.lit("C"), (F.col("l_suppkey") % 3 + 1).cast("string"), F.lit("_kind")))
+
+
+def _hybrid_rows(spark, d):
+    k = F.col("p_partkey")
+    spans = F.when(k % 7 == 0, '{"PhuongXa":"cu","QuanHuyen":"cu","TinhThanh":"cu"}').when(k % 2 == 0, '{"PhuongXa":"moi","QuanHuyen":"cu","TinhThanh":"cu"}').otherwise('{"PhuongXa":"cu","QuanHuyen":"cu","TinhThanh":"moi"}')
+    return table(spark, d, "part").select(F.when(k % 2 == 0, "C1_x").otherwise("C3_y").alias("KieuLai"), spans.alias("Span_He_Detail"), F.when(k % 11 == 0, " ").otherwise("Q").alias("QuanHuyen"))
+
+
+@query("WITH x AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'C1' ELSE 'C3' END AS k, p_partkey % 7 = 0 AS bad, p_partkey % 11 = 0 AS blank FROM part), e(k, a, b, c) AS (VALUES ('C1', 'moi', 'cu', 'cu'), ('C2', 'moi', 'cu', 'moi'), ('C3', 'cu', 'cu', 'moi')) SELECT k AS \"KieuLai\", a AS \"PhuongXa_he\", b AS \"QuanHuyen_he\", c AS \"TinhThanh_he\", count(x.bad) AS n, count(*) FILTER (bad) AS other_spans, count(*) FILTER (blank) AS no_district FROM e LEFT JOIN x USING (k) GROUP BY ALL")
+def hybrid_contract(spark, d):
+    return metrics.hybrid_contract(_hybrid_rows(spark, d))
+
+
+@query("SELECT o_orderpriority AS \"QuanHe\", count(*) AS n, 'old_to_new' AS direction_evaluated, 'PhuongXa,TinhThanh' AS scored_fields FROM orders GROUP BY 1")
+def scope_table(spark, d):
+    return metrics.scope(table(spark, d, "orders").select(F.col("o_orderpriority").alias("QuanHe")))
+
+
+@query("SELECT o_orderstatus AS system, o_orderpriority AS kind, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))")
+def system_kind_counts(spark, d):
+    return metrics.system_kinds(table(spark, d, "orders").select(F.col("o_orderstatus").alias("system"), F.col("o_orderpriority").alias("kind")), "system", "kind")
+
+
+@query(f"WITH {_SCORED} SELECT l_partkey AS part, status, p_brand AS brand FROM z JOIN part ON p_partkey = l_partkey")
+def prediction_metadata(spark, d):
+    s = _scored(spark, d).withColumn("ID", F.concat_ws("_", F.lit("D04"), "l_partkey", "l_orderkey"))
+    return metrics.with_metadata(s, table(spark, d, "part"), "D04_", "p_partkey", "p_brand").select(F.col("l_partkey").alias("part"), "status", F.col("p_brand").alias("brand"))
+
+
+@query(f"WITH {_SCORED} SELECT l_orderkey, l_linenumber, CASE error WHEN 'none' THEN '' WHEN 'hallucination_over_imputation' THEN '|{scoring.NOTES['hallucination_over_imputation']}' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN o_{f} = 'FP' THEN '{f}' END" for f in _FIELDS5) + "], lambda x: x IS NOT NULL), ', ')" + "".join(f" WHEN '{k}' THEN '|{v}'" for k, v in scoring.NOTES.items() if k != "hallucination_over_imputation") + " END AS note FROM z")
+def record_notes(spark, d):
+    return _scored(spark, d).select("l_orderkey", "l_linenumber", "note")
 
 
 @query(f"WITH {_SCORED}, x AS (SELECT unnest(string_split(CASE l_linenumber % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN 'b' ELSE 'a|b|c' END, '|')) AS label, status = 'CORRECT' AS ok FROM z) SELECT label, count(*) AS n, count(*) FILTER (ok) AS exact FROM x GROUP BY label")
@@ -483,6 +599,11 @@ def coverage_top_values(spark, d):
     return coverage.top_values(table(spark, d, "part"), F.col("p_brand"))
 
 
+@query("WITH e(s) AS (VALUES ('F'), ('O'), ('P'), ('X')), g AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1) SELECT coalesce(e.s, g.s) AS subject, coalesce(n, 0) AS n FROM e FULL JOIN g ON e.s = g.s")
+def direct_counts(spark, d):
+    return coverage.direct_counts(table(spark, d, "orders"), F.col("o_totalprice") > 100000, "o_orderstatus", _STATUS)
+
+
 @query("WITH t AS (SELECT count(*) AS total, count(*) FILTER (o_totalprice <= 100000) AS derived, count(*) FILTER (o_orderpriority = '1-URGENT') AS low FROM orders), g AS (SELECT s AS subject, count(*) FILTER (o_totalprice > 100000) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY s) SELECT 'no_direct_sample' AS rule, subject, 0::BIGINT AS n, total FROM g, t WHERE n = 0 UNION ALL SELECT 'derived_rows', '', derived, total FROM t WHERE derived > 0 UNION ALL SELECT 'low_share', '', low, total FROM t WHERE low < 0.5 * total")
 def coverage_warnings(spark, d):
     return coverage.warnings(table(spark, d, "orders"), F.col("o_totalprice") > 100000, "o_orderstatus", _STATUS, (F.col("o_orderpriority") == "1-URGENT", 0.5))
@@ -500,14 +621,23 @@ def code_conflicts(spark, d):
     return contracts.conflicts(table(spark, d, "part"), "p_brand", "p_type", "p_size")
 
 
-@query("SELECT 'unique' AS rule, text AS key FROM documents WHERE length(text) < 200 GROUP BY text HAVING count(*) > 1")
+@query("SELECT 'unique' AS rule, text AS key FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
 def uniqueness(spark, d):
-    return contracts.unique(table(spark, d, "documents").where(F.length("text") < 200), "text")
+    return contracts.unique(table(spark, d, "documents").where("text is not null"), "text")
 
 
-@query("SELECT 'unique' AS rule, text AS key FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
-def uniqueness_whole(spark, d):
-    return contracts.unique(table(spark, d, "documents").where("text is not null"), "text")
+_TABLE4 = "a4 AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'cu' ELSE 'moi' END AS s, ['drop_ward', 'drop_district', 'drop_housenumber', 'other'][c_custkey % 4 + 1] AS k, 'a' || c_custkey // 2 AS address, c_custkey % 5 <> 0 AS ward, c_custkey % 3 <> 0 AS district FROM customer)"
+
+
+@query(f"WITH {_TABLE4}, v AS (SELECT address AS key, unnest(list_filter([CASE WHEN k = 'other' THEN 'kind' END, CASE WHEN (CASE k WHEN 'drop_ward' THEN ward ELSE NOT ward END) OR (CASE WHEN k = 'drop_district' OR s = 'moi' THEN district ELSE NOT district END) OR k = 'drop_housenumber' THEN 'fields' END, CASE WHEN s = 'moi' THEN 'truth' END, CASE WHEN s = 'moi' AND k = 'drop_district' THEN 'no_district_to_drop' END], lambda x: x IS NOT NULL)) AS rule FROM a4) SELECT rule, key FROM v UNION ALL SELECT 'unique_ChuoiDiaChi', address FROM a4 GROUP BY address HAVING count(*) > 1 UNION ALL SELECT 'row_count', CAST(count(*) AS VARCHAR) FROM a4 HAVING count(*) <> 800 UNION ALL SELECT 'halves', s || '|' || count(*) FROM a4 GROUP BY s HAVING count(*) <> 400")
+def benchmark_contract(spark, d):
+    """Table 04's contract on rows that break most of its rules."""
+    k = F.col("c_custkey")
+    kind = F.array(*[F.lit(x) for x in ("drop_ward", "drop_district", "drop_housenumber", "other")])[(k % 4).cast("int")]
+    full = {f: F.lit("x") for f in T.FIELDS}
+    surface = {**full, "PhuongXa": F.when(k % 5 != 0, "x").otherwise(""), "QuanHuyen": F.when(k % 3 != 0, "x").otherwise(" ")}
+    rows = table(spark, d, "customer").select(_named("a", F.floor(k / 2)).alias("ChuoiDiaChi"), *[v.alias(f) for f, v in surface.items()], *[v.alias(f"GT_{f}") for f, v in full.items()], kind.alias("KieuThieu"), F.when(k % 2 == 0, "cu").otherwise("moi").alias("HeQuyChieu"))
+    return contracts.benchmark_violations("04", rows, 800)
 
 
 @query("SELECT DISTINCT 'domain' AS rule, o_orderpriority AS key FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '9-NONE') UNION ALL SELECT 'domain', s FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) v(s) WHERE s NOT IN (SELECT o_orderpriority FROM orders)")
@@ -541,13 +671,13 @@ def _raw_of(p):
 
 @query(f"WITH {_SCORED}, i AS (SELECT format('D{{:02d}}_{{:08d}}_{{}}_{{}}_{{}}', l_linenumber, l_orderkey, l_partkey, l_suppkey, cents) AS ID, tool AS CongCu, format('D{{:02d}}', l_linenumber) AS Dataset, error AS LoaiLoi, status AS DungSai FROM z WHERE error <> 'none') SELECT ID, CongCu, Dataset, LoaiLoi, DungSai, 'success' AS RawStatus FROM i QUALIFY row_number() OVER (PARTITION BY Dataset, CongCu, LoaiLoi ORDER BY ID) <= 3")
 def case_selection_topk(spark, d):
-    p = _predictions(spark, d).cache()  # read by four checks and the selection
+    p = _predictions(spark, d)
     return cases.select(p, _raw_of(p), 3).select("ID", "CongCu", "Dataset", "LoaiLoi", "DungSai", "RawStatus")
 
 
 @query(f"WITH {_SCORED}, i AS (SELECT format('D{{:02d}}_{{:08d}}_{{}}_{{}}_{{}}', l_linenumber, l_orderkey, l_partkey, l_suppkey, cents) AS ID, tool AS CongCu, format('D{{:02d}}', l_linenumber) AS Dataset, error AS LoaiLoi FROM z WHERE error <> 'none'), y AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY Dataset, CongCu, LoaiLoi ORDER BY ID) <= 3) SELECT 'not_a_projection' AS rule, ID || '|' || CongCu AS key FROM y WHERE CongCu = 'even' AND Dataset = 'D01'")
 def case_projection_proof(spark, d):
-    p = _predictions(spark, d).cache()
+    p = _predictions(spark, d)
     r = _raw_of(p)
     picked = cases.select(p, r, 3)
     edited = picked.withColumn("GhiChu", F.when((F.col("CongCu") == "even") & (F.col("Dataset") == "D01"), "edited").otherwise(F.col("GhiChu")))
@@ -583,18 +713,6 @@ def explorer_filter_page(spark, d):
     return explore.page(explore.search(o, "U", ["o_orderpriority", "o_orderkey"]), [F.desc("o_totalprice"), "o_orderkey"], 3, 25)
 
 
-@query("WITH p AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber = 1 THEN 'a' ELSE 'b' END AS tool, CASE WHEN l_tax > 0.03 THEN 'CORRECT' ELSE 'ERROR' END AS st FROM lineitem WHERE l_linenumber <= 2) SELECT CAST(i.id AS VARCHAR) AS \"ID\", coalesce(a.st, 'NONE') AS first, coalesce(b.st, 'NONE') AS second, CASE WHEN a.st = 'CORRECT' AND b.st = 'CORRECT' THEN 'both' WHEN a.st = 'CORRECT' THEN 'first_only' WHEN b.st = 'CORRECT' THEN 'second_only' ELSE 'neither' END AS comparison FROM (SELECT DISTINCT id FROM p) i LEFT JOIN p a ON a.id = i.id AND a.tool = 'a' LEFT JOIN p b ON b.id = i.id AND b.tool = 'b'")
-def tool_pairing(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 2")
-    p = li.select(F.col("l_orderkey").cast("string").alias("ID"), F.when(F.col("l_linenumber") == 1, "a").otherwise("b").alias("CongCu"), F.when(F.col("l_tax") > 0.03, "CORRECT").otherwise("ERROR").alias("DungSai"), F.lit("").alias("DiaChiGoc"), F.lit("").alias("TruongDung"))
-    return explore.tool_pairs(p, "a", "b").select("ID", "first", "second", "comparison")
-
-
-@query("SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next FROM orders WHERE o_orderstatus = 'F' WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
-def record_navigation(spark, d):
-    return explore.neighbours(table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate"), "o_orderkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
-
-
 @query("SELECT format('D01_{:04d}', o_orderkey) AS id, 'D01' AS dataset, format('{:04d}', o_orderkey) AS base FROM orders")
 def id_format(spark, d):
     rid = table(spark, d, "orders").select(protocol.record_id("D01", F.col("o_orderkey")).alias("id"))
@@ -604,7 +722,7 @@ def id_format(spark, d):
 @query("SELECT o_custkey AS k, 'order' AS side FROM (SELECT DISTINCT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'idle' FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")
 def set_ops_union_except(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    idle = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(o, "k", "left_anti")
+    idle = sampling.excluding(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), o, "k")
     return o.withColumn("side", F.lit("order")).unionByName(idle.withColumn("side", F.lit("idle")))
 
 
@@ -613,18 +731,13 @@ def fuzzy_dedup(spark, d):
     return receipts.fuzzy_dedup(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").withColumnRenamed("text", "line")
 
 
-@query("WITH w AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_size <= 5) SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM w a JOIN w b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 1")
-def close_pairs(spark, d):
-    return receipts.close_pairs(table(spark, d, "part").where("p_size <= 5"), "p_size", "p_partkey", "p_name", 1).select("a", "b", F.col("distance").cast("long").alias("distance"))
-
-
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 1")
-def close_pairs_whole(spark, d):
+def close_pairs(spark, d):
     return receipts.close_pairs(table(spark, d, "part"), "p_size", "p_partkey", "p_name", 1).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 @query("WITH p AS (SELECT l_orderkey || '-' || ((l_linenumber + 1) // 2) AS id, CASE WHEN l_linenumber % 2 = 1 THEN 'a' ELSE 'b' END AS tool, CASE WHEN l_tax > 0.03 THEN 'CORRECT' ELSE 'ERROR' END AS st FROM lineitem) SELECT i.id AS \"ID\", coalesce(a.st, 'NONE') AS first, coalesce(b.st, 'NONE') AS second, CASE WHEN a.st = 'CORRECT' AND b.st = 'CORRECT' THEN 'both' WHEN a.st = 'CORRECT' THEN 'first_only' WHEN b.st = 'CORRECT' THEN 'second_only' ELSE 'neither' END AS comparison FROM (SELECT DISTINCT id FROM p) i LEFT JOIN p a ON a.id = i.id AND a.tool = 'a' LEFT JOIN p b ON b.id = i.id AND b.tool = 'b'")
-def tool_pairing_whole(spark, d):
+def tool_pairing(spark, d):
     """Lines 1 and 2, 3 and 4, ... of an order stand for the two tools, so that every line takes part."""
     rid = F.concat_ws("-", "l_orderkey", F.floor((F.col("l_linenumber") + 1) / 2))
     p = table(spark, d, "lineitem").select(rid.alias("ID"), F.when(F.col("l_linenumber") % 2 == 1, "a").otherwise("b").alias("CongCu"), F.when(F.col("l_tax") > 0.03, "CORRECT").otherwise("ERROR").alias("DungSai"), F.lit("").alias("DiaChiGoc"), F.lit("").alias("TruongDung"))
@@ -632,5 +745,5 @@ def tool_pairing_whole(spark, d):
 
 
 @query("SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
-def record_navigation_whole(spark, d):
+def record_navigation(spark, d):
     return explore.neighbours(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
