@@ -57,6 +57,8 @@ def new_addresses(latest: DataFrame, diff: DataFrame, edges: DataFrame, aliases:
 
 def conversion_pairs(diff: DataFrame, full: DataFrame, balanced: DataFrame, edges: DataFrame, aliases: dict[str, DataFrame], size: int, seed: int) -> DataFrame:
     """Old and new addresses of the same object: a sample of observed ones over relations, filled with ones derived from single targets."""
+    if size < 0:
+        raise ValueError(f"size must not be negative, not {size}")
     order = diff.withColumn("dm_row", F.monotonically_increasing_id())
     seen = audit.audit(order, full, edges, aliases, "dm_row").where("KetQua = 'accepted_observed'")
     columns = ["ID_Node", "DiaChi_Cu", "DiaChi_Moi", "QuanHe", "HinhThucSapNhap", "MaPhuongXaMoi", "Nguon", "dm_row"]
@@ -152,37 +154,11 @@ def run(spark: SparkSession, data: Path, root: Path, name: str, edges: DataFrame
         if n == "07" and edges is None:
             continue
         predict = converter(edges) if n == "07" else parser.heuristic
-        scored.append(protocol.evaluate(records(n, df), f"D{n}", "raw", "native_converter" if n == "07" else tool, predict))
-    predictions = reduce(DataFrame.unionByName, scored).orderBy("ID", "CongCu")
+        scored.append(protocol.evaluate(records(n, df), f"D{n}", "raw", "native_converter" if n == "07" else tool, predict, with_status=True))
+    every = reduce(DataFrame.unionByName, scored).orderBy("ID", "CongCu")
+    predictions = every.drop("TrangThai")
     tables.write_csv(predictions, at.predictions, overwrite)
-    tables.write_jsonl(predictions.select(F.col("ID").alias("id"), F.col("CongCu").alias("tool"), F.col("DiaChiGoc").alias("input"), F.col("DungSai").alias("dung_sai"), F.col("LoaiLoi").alias("loai_loi"), F.lit("success").alias("status")), str(at.raw_responses), overwrite)
-    part = sorted(at.raw_responses.glob("part-*"))
-    runs.finish(manifest, {"predictions": at.predictions, **{p.name: p for p in part}}, {"predictions": predictions.count()}, at.manifest)
+    calls = every.select(F.col("ID").alias("id"), F.col("CongCu").alias("tool"), F.col("DiaChiGoc").alias("input"), F.col("TruongDuDoan").alias("prediction"), F.col("DungSai").alias("dung_sai"), F.col("LoaiLoi").alias("loai_loi"), F.col("TrangThai").alias("status"))
+    tables.write_json_lines(calls, at.raw_responses, overwrite)
+    runs.finish(manifest, {"predictions": at.predictions, "raw_responses": at.raw_responses}, {"predictions": predictions.count()}, at.manifest)
     return at
-
-
-def analyse(spark: SparkSession, at: runs.Run) -> dict[str, DataFrame]:
-    """Metric tables of a run, whose files must still be those of its manifest."""
-    changed = runs.verify(tables.read_json(at.manifest), {"predictions": at.predictions})
-    if changed:
-        raise contracts.ContractError(f"files differ from the manifest: {changed}")
-    p = tables.read_csv(spark, str(at.predictions))
-    kind = ", ".join(f"{f} string" for f in T.FIELDS)
-    s = p.select("ID", F.col("CongCu").alias("tool"), cases.dataset_of(F.col("ID")).alias("dataset"), F.col("DungSai").alias("status"), F.col("LoaiLoi").alias("error"), scoring.compare_fields(F.from_json("TruongDuDoan", kind), F.from_json("TruongDung", kind)).alias("outcome"))
-    keys = ["dataset", "tool"]
-    out = scoring.long_outcomes(s, keys)
-    exact = scoring.status_rates(s, keys).join(scoring.micro_f1(out, keys), keys).join(scoring.macro_f1(out, keys), keys)
-    raw = spark.read.json(str(at.raw_responses))
-    return {"exact_metrics": exact.orderBy(*keys), "field_metrics": scoring.field_metrics(scoring.confusion(out, [*keys, "field"])).orderBy(*keys, "field"), "error_classes": scoring.error_histogram(s, ["tool"]).orderBy("tool", "error"), "cases": cases.select(p, raw, 3)}
-
-
-def materials(spark: SparkSession, at: runs.Run, folder: Path, overwrite: bool = False) -> Path:
-    """CSV tables, a Markdown report and the lineage of a run."""
-    found, made = analyse(spark, at), {}
-    for name, df in found.items():
-        made[name] = Path(folder) / f"{name}.csv"
-        tables.write_csv(df, made[name], overwrite)
-    target = tables.guard(Path(folder) / "report.md", overwrite)
-    target.write_text(report.document(f"Run {at.name}", {n: df for n, df in found.items() if n != "cases"}), encoding="utf-8")
-    tables.write_json(runs.lineage(at, {**made, "report": target}), Path(folder) / "lineage.json", overwrite)
-    return target

@@ -14,6 +14,12 @@ def cell(value: object) -> str:
     return "" if value is None else str(value).replace("|", "\\|").replace("\n", " ")
 
 
+def csv_cell(value: object) -> str:
+    """A value as a CSV field."""
+    text = "" if value is None else str(value)
+    return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\n\r') else text
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A table of at most ``most`` rows; larger ones are no reports and raise."""
     rows = df.limit(most + 1).collect()

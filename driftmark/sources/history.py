@@ -12,22 +12,45 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path) if path.endswith((".json", ".jsonl")) else spark.read.schema(SCHEMA).parquet(path)
 
 
-def read_pbf(path: str):
-    """Rows of a full-history PBF file for createDataFrame, one pass; needs the osmium binding."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A history of any of the formats: PBF, Parquet or JSON lines."""
+    return pbf_history(spark, path) if path.endswith(".pbf") else read_history(spark, path)
+
+
+def pbf_rows(path: str):
+    """Rows of a full-history PBF file, one after another; needs the osmium binding."""
     try:
         import osmium
     except ImportError as error:
         raise RuntimeError("the osmium binding is not installed") from error
 
-    rows: list[tuple] = []
-
-    class Reader(osmium.SimpleHandler):
-        def node(self, n):
-            at = n.location
-            rows.append(("node", n.id, n.version, n.timestamp, n.visible, dict(n.tags), at.lat if at.valid() else None, at.lon if at.valid() else None, None))
-
-        def way(self, w):
-            rows.append(("way", w.id, w.version, w.timestamp, w.visible, dict(w.tags), None, None, [x.ref for x in w.nodes]))
-
-    Reader().apply_file(path)
-    return rows
+    for o in osmium.FileProcessor(path, osmium.osm.NODE | osmium.osm.WAY):
+        if o.is_node():
+            at = o.location
+            yield ("node", o.id, o.version, o.timestamp, o.visible, dict(o.tags), at.lat if at.valid() else None, at.lon if at.valid() else None, None)
+        else:
+            yield ("way", o.id, o.version, o.timestamp, o.visible, dict(o.tags), None, None, [x.ref for x in o.nodes])
+
+
+def pbf_history(spark: SparkSession, *paths: str, batch: int = 20_000) -> DataFrame:
+    """The rows of PBF files, a task for each file, which streams it in batches; the driver sees none."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.timestamp("us", "UTC"), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c if k != kinds[5] else [list(m.items()) for m in c], k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                held = []
+                for row in pbf_rows(path):
+                    held.append(row)
+                    if len(held) >= batch:
+                        yield emit(held)
+                        held = []
+                if held:
+                    yield emit(held)
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return files.mapInArrow(run, SCHEMA)

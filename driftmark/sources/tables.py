@@ -68,6 +68,15 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path, ignoreNullFields=False)
 
 
+def write_json_lines(df: DataFrame, path: str | Path, overwrite: bool = False) -> None:
+    """One file of JSON lines on the driver, row by row; write_jsonl() writes a folder from executors."""
+    target = guard(path, overwrite)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with open(target, "w", encoding="utf-8") as f:
+        for line in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
+            f.write(line[0] + "\n")
+
+
 def read_receipts(spark: SparkSession, path: str, key: str = "Địa chỉ", column: str = "extractions") -> DataFrame:
     """(text): one field of receipt extractions, which are maps, structs, JSON or Python literals. Only that column is read."""
     df = spark.read.parquet(path).select(column)

@@ -1,12 +1,14 @@
 """The benchmark from sources to materials, on a small town."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from driftmark.__main__ import main
 from driftmark.functions import text as T
-from driftmark.operators import contracts, graph
-from driftmark.plans import benchmark, runs
+from driftmark.operators import contracts, graph, synth
+from driftmark.plans import adapters, benchmark, dashboard, documents, runs
 from driftmark.sources import tables
 
 SIZES = {"01": 20, "02": 20, "03": 20, "04": 20, "06": 20, "07": 20}
@@ -51,10 +53,129 @@ def test_build_run_and_report(spark, town, tmp_path):
     with pytest.raises(FileExistsError):
         benchmark.run(spark, data, tmp_path, "first_run", edges)
     main(["materials", "--run-id", "first_run", "--root", str(tmp_path), "--materials-id", "mat_v1"])
-    text = (tmp_path / "materials/mat_v1/report.md").read_text()
-    assert text.startswith("# Run first_run") and "exact_metrics" in text
+    folder = tmp_path / "materials/mat_v1"
+    texts = {p.name: p.read_text() for p in folder.glob("*.md")}
+    assert set(texts) == {"evidence.md", "data_preparation.md", "motivation.md", "method.md", "index.md", "coverage.md"}
+    assert all(t.startswith("# ") and "first_run" in t for t in texts.values()) and "Data 02|noisy" in texts["evidence.md"].replace("\\|", "|")
+    made = {p.stem: tables.read_csv(spark, str(p)) for p in (folder / "tables").glob("*.csv")}
+    assert {"dataset_exact_metrics", "data02_robustness", "data04_recovery", "data06_contract", "data07_scope", "call_status", "case_studies"} <= set(made)
+    noisy = made["data02_robustness"].where("MucDoNhieu = ''").first()
+    assert int(noisy["n"]) == 20 and int(noisy["flips"]) <= int(noisy["clean_exact"])
+    assert sum(int(r["n"]) for r in made["data04_systems"].where("KieuThieu = ''").collect()) == 20
+    assert sum(int(r["n"]) for r in made["data07_outcomes"].collect()) == 20
+    wrong = got.where("LoaiLoi <> 'none'")
+    assert wrong.where("GhiChu = ''").count() == 0 and got.where("LoaiLoi = 'none' and GhiChu <> ''").count() == 0
+
+    main(["dashboard", "--run-id", "first_run", "--root", str(tmp_path), "--second", "native_converter"])
+    page = (at.folder / "dashboard.html").read_text()
+    assert page.count('"id":"D01_') == 20 and "<script>const records = [" in page
+    rows = dashboard.records(got, "heuristic_parser", "native_converter")
+    assert dashboard.filtered(rows, dataset="D07", second="CORRECT").count() == seven.where("DungSai = 'CORRECT'").count()
+    assert dashboard.filtered(rows, error="none", term="đường").count() <= rows.count() == got.select("ID").distinct().count()
+    with pytest.raises(ValueError):
+        dashboard.build(got, {}, tmp_path / "x.html", "<t>", "a", "b", most=3)
     main(["pilot", "--run-id", "pilot_run", "--root", str(tmp_path), "--data", str(data)])
     assert tables.read_csv(spark, str(runs.Run(tmp_path, "pilot_run").predictions)).count() >= 100
     at.predictions.write_text("changed")
     with pytest.raises(contracts.ContractError):
-        benchmark.analyse(spark, at)
+        documents.metric_tables(spark, at)
+
+
+def test_contracts_of_tables(spark, town):
+    """Each rule of a benchmark table finds the row that breaks it."""
+    full = dict.fromkeys(T.FIELDS, "x")
+    truth = {f"GT_{f}": "x" for f in T.FIELDS}
+    make = lambda *rows: spark.createDataFrame([tuple(r.values()) for r in rows], [*rows[0]])
+    rules = lambda n, df, *more: {r["rule"] for r in contracts.benchmark_violations(n, df, *more).collect()}
+    one = {**full, "QuanHuyen": "", "ChuoiDiaChi": "a", "HeQuyChieu": "moi"}
+    assert rules("01", make(one), 1) == set()
+    assert rules("01", make(one, one, {**one, "ChuoiDiaChi": " ", "QuanHuyen": "q", "SoNha": "", "HeQuyChieu": "cu"}), 1) == {"unique_ChuoiDiaChi", "input", "district_empty", "complete", "system", "row_count"}
+    two = {"ID": "N1", "ChuoiDiaChi": "a", "ChuoiDiaChiGoc": "b", "HeQuyChieu": "cu", "MucDoNhieu": "nhe", "LoaiNhieu": "x", **truth}
+    assert rules("02", make(two, {**two, "ID": "N2", "ChuoiDiaChi": "c", "HeQuyChieu": "moi", "GT_QuanHuyen": ""})) == set()
+    assert rules("02", make(two, {**two, "ChuoiDiaChi": "b", "GT_QuanHuyen": ""})) == {"unique_ID", "changed", "truth", "systems"}
+    four = {**full, "PhuongXa": "", "ChuoiDiaChi": "a", "HeQuyChieu": "cu", "KieuThieu": "drop_ward", **truth}
+    new = {**four, "ChuoiDiaChi": "b", "HeQuyChieu": "moi", "QuanHuyen": "", "GT_QuanHuyen": ""}
+    assert rules("04", make(four, new), 2) == set()
+    assert rules("04", make(four, {**new, "KieuThieu": "drop_district"}, {**four, "ChuoiDiaChi": "c"}), 2) == {"fields", "no_district_to_drop", "halves", "row_count"}
+    six = {**full, "ChuoiDiaChi": "a", "HeQuyChieu": "Lai", "KieuLai": "C1_x", "Span_He_Detail": '{"PhuongXa":"moi","QuanHuyen":"cu","TinhThanh":"cu"}'}
+    assert rules("06", make(six, {**six, "ChuoiDiaChi": "b", "KieuLai": "C2"})) == {"spans"}
+    edges = spark.createDataFrame([("7", "W", "P")], "code string, new_ward string, new_province string")
+    seven = {"ID_Node": "n:1", "DiaChi_Cu": "1, S, a, b, c", "DiaChi_Moi": "1, S, W, P", "QuanHe": "N-1", "Nguon": "x", "MaPhuongXaMoi": "7"}
+    assert rules("07", make(seven), 1, edges) == set()
+    assert rules("07", make(seven, {**seven, "DiaChi_Moi": "2, S, V, P", "QuanHe": "?"}), None, edges) == {"unique_ID_Node", "relation", "same_place", "target"}
+
+
+def test_library_adapter(spark):
+    """Traces of every branch of a conversion, errors as results, the geocoder put back."""
+    import types
+
+    def load():
+        module = types.SimpleNamespace(get_geo_location=lambda address: {"ok": 1}.get(address))
+
+        def unit(**k):
+            return types.SimpleNamespace(**k)
+
+        def parse(text, mode):
+            if text == "boom":
+                raise ValueError("bad")
+            return None if text == "" else unit(street="12/3A Lê Lợi", ward="W", district="D" if mode == "LEGACY" else "", province=None)
+
+        def convert(text):
+            name, _, street = text.partition("|")
+            if name == "down":
+                module.get_geo_location = module.get_geo_location  # the wrapped one
+            old = unit(province_key="p", district_key="d", ward_key=name, street=street)
+            if name != "single" and street:
+                module.get_geo_location("ok" if name == "ok" else "none")
+            return unit(ward=name, province="P", OldAdminUnit=old)
+
+        return adapters.Library(parse, convert, module, candidates=lambda u: [] if u.ward == "single" else [1, 2])
+
+    df = spark.createDataFrame([("a", "x", "LEGACY"), ("b", "x", "FROM_2025"), ("c", "boom", "LEGACY"), ("d", None, "LEGACY")], "k string, t string, m string")
+    got = {r["key"]: r for r in adapters.apply(df, "t", "k", load, "m").collect()}
+    assert got["a"]["pred"]["SoNha"] == "12/3A" and got["a"]["pred"]["QuanHuyen"] == "D" and got["b"]["pred"]["QuanHuyen"] == ""
+    assert got["c"]["status"] == got["d"]["status"] == "error" and "bad" in got["c"]["raw"] and got["c"]["pred"]["TenDuong"] == ""
+    paths = spark.createDataFrame([("single|s",), ("divided|",), ("ok|s",), ("none|s",)], "t string")
+    traces = {r["key"]: json.loads(r["raw"])["conversion_trace"] for r in adapters.apply(paths, "t", "t", load).collect()}
+    assert {k: v["selection_path"] for k, v in traces.items()} == {"single|s": "unique_dictionary_or_unresolved", "divided|": "divided_default_without_street", "ok|s": "divided_geospatial_selection", "none|s": "divided_default_after_geocoder_unavailable"}
+    trace: dict = {}
+
+    def fails(address):
+        raise OSError
+
+    module = types.SimpleNamespace(f=fails)
+    with adapters.replaced(module, "f", lambda own: adapters.traced(own, trace)):
+        assert module.f("x") is None
+    assert module.f is fails and trace["geocoder_status"] == "unavailable_after_retries" and trace["geocoder_error_types"] == ["OSError", "OSError"]
+    with pytest.raises(RuntimeError):
+        adapters.rule_library()
+
+
+def test_argument_ranges(spark):
+    df = spark.createDataFrame([], "k string")
+    for size, share in ((0, 0.5), (5, 1.5), (5, -0.1)):
+        with pytest.raises(ValueError):
+            synth.noisy_sample(df, "k", size, share, {}, {})
+        with pytest.raises(ValueError):
+            synth.missing_sample(df, "k", size, share, {})
+    with pytest.raises(ValueError):
+        benchmark.conversion_pairs(df, df, df, df, {}, -1, 1)
+
+
+def test_commands(spark, town, tmp_path):
+    """extract and audit from files to files."""
+    mapping, _, diff, snapshot, _ = town
+    tags = lambda w: f'{{"addr:street":"Lê Lợi","addr:ward":"{w}","addr:city":"Hà Nội"}}'
+    lines = [f'{{"osm_type":"node","osm_id":{i},"version":{v},"ts":"{t}","visible":true,"tags":{tags(w)},"lat":1.0,"lon":2.0}}' for i in range(4) for v, t, w in ((1, "2025-01-01T00:00:00Z", "A"), (2, "2025-08-01T00:00:00Z", "B" if i else "A"))]
+    (tmp_path / "h.jsonl").write_text("\n".join(lines))
+    main(["extract", "--history", str(tmp_path / "h.jsonl"), "--out", str(tmp_path / "out")])
+    assert tables.read_csv(spark, str(tmp_path / "out/snapshot_full.csv")).count() == 4
+    assert tables.read_csv(spark, str(tmp_path / "out/differences.csv")).count() == 3
+    assert tables.read_csv(spark, str(tmp_path / "out/snapshot_balanced.csv")).count() == 4
+    tables.write_csv(diff, tmp_path / "data/differences.csv")
+    tables.write_csv(snapshot, tmp_path / "data/snapshot_full.csv")
+    tables.write_csv(mapping, tmp_path / "mapping.csv")
+    main(["audit", "--data", str(tmp_path / "data"), "--mapping", str(tmp_path / "mapping.csv"), "--out", str(tmp_path / "out")])
+    counts = {r["KetQua"]: int(r["count"]) for r in tables.read_csv(spark, str(tmp_path / "out/audit_counts.csv")).collect()}
+    assert sum(counts.values()) == diff.count() and counts["accepted_observed"] > 0
+    assert tables.read_csv(spark, str(tmp_path / "out/audit.csv")).count() == diff.count()
