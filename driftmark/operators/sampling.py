@@ -37,10 +37,13 @@ def numbered(df: DataFrame, seed: int, key: Column | str, pattern: str, out: str
 def stratified(df: DataFrame, n: int, strata: list[str], seed: int, key: Column | str, at_least_strata: bool = False) -> DataFrame:
     """n rows: first one of each stratum, then the rest uniformly. With ``at_least_strata`` never fewer than strata."""
     order = [hash_order(seed, key), col(key)]
-    tagged = df.withColumn("dm_first", (F.row_number().over(W.partitionBy(*strata).orderBy(*order)) != 1).cast("int"))
+    ranked = df.withColumn("dm_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    # The first of a stratum is a partial aggregate, so that no task ranks a whole stratum.
+    first = ranked.groupBy(*strata).agg(F.min("dm_order").alias("dm_order"))
     if at_least_strata:
-        n = max(n, df.select(*strata).distinct().count())
-    return tagged.orderBy("dm_first", *order).limit(n).drop("dm_first")
+        n = max(n, first.count())
+    tagged = ranked.join(first.select("dm_order", F.lit(0).alias("dm_first")), "dm_order", "left").fillna(1, ["dm_first"])
+    return tagged.orderBy("dm_first", "dm_order").limit(n).select(df.columns)
 
 
 def quota_chain(df: DataFrame, kind: str, quotas: dict[str, int], surface: str, seed: int, key: Column | str) -> DataFrame:

@@ -7,7 +7,7 @@ revision may come at any time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,15 +17,52 @@ def update(stream: DataFrame, keys: list[str], order: str, ts: str, state: Colum
     return stream.groupBy(*keys).agg(last(F.col(ts) <= cutoff).alias("old"), last(F.col(ts) > cutoff).alias("new"))
 
 
-def upsert(path_of, keys: list[str]):
-    """A foreachBatch sink: each batch becomes the next version of a table; path_of(version) names it.
+def _manifests(spark: SparkSession, root: str) -> list[str]:
+    """Names of the versions of a table, in order: sequence number, run, epoch."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
-    A batch that is delivered again writes the same version again.
+
+def _buckets(spark: SparkSession, root: str, name: str) -> dict[int, str]:
+    return {r["bucket"]: r["path"] for r in spark.read.schema("bucket int, path string").json(f"{root}/manifests/{name}").collect()}
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The table that a sink keeps, in its latest version."""
+    names = _manifests(spark, root)
+    if not names:
+        raise FileNotFoundError(root)
+    return spark.read.parquet(*_buckets(spark, root, names[-1]).values())
+
+
+def upsert(root: str, keys: list[str], run: str, buckets: int = 64):
+    """A foreachBatch sink: a table below ``root`` in hash buckets of its keys, of which a batch rewrites those it touches.
+
+    A version is a manifest of the folder of every bucket, written last. A batch that is delivered
+    again replaces its own version, from the same one before it; another ``run`` (a query with a new
+    checkpoint, whose epochs begin at 0 again) goes on from the latest version.
     """
 
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(path_of(epoch - 1)).join(batch.select(*keys), keys, "left_anti") if epoch else batch.limit(0)
-        before.unionByName(batch).write.mode("overwrite").parquet(path_of(epoch))
+        names, own = _manifests(spark, root), f"-{run}-{epoch}"
+        seen = [n for n in names if n.endswith(own)]
+        number = int(seen[0][:12]) if seen else int(names[-1][:12]) + 1 if names else 0
+        base = [n for n in names if int(n[:12]) < number]
+        known = _buckets(spark, root, base[-1]) if base else {}
+        name = f"{number:012d}{own}"
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        arrived = f"{root}/arrived/{name}"  # the stream's plan is run once
+        batch.write.mode("overwrite").parquet(arrived)
+        given = spark.read.schema(batch.schema).parquet(arrived)
+        touched = [r[0] for r in given.select(bucket).distinct().collect()]
+        rows, old = given, [known[b] for b in touched if b in known]
+        if old:
+            rows = spark.read.schema(batch.schema).parquet(*old).join(given.select(*keys), keys, "left_anti").select(given.columns).unionByName(given)
+        if touched:
+            rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/{name}")
+        known |= {b: f"{root}/data/{name}/bucket={b}" for b in touched}
+        spark.createDataFrame(sorted(known.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{name}")
 
     return sink

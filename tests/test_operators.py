@@ -137,12 +137,17 @@ def test_streamed_history_equals_batch(spark, revisions, tmp_path):
     state = history.address_state(F.col("tags"), F.lit(""), F.col("visible"))
     cutoff = F.expr(history.CUTOFF)
     live = stream.update(spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", 1).parquet(folder), ["osm_type", "osm_id"], "version", "ts", state, cutoff)
-    version = lambda n: str(tmp_path / f"v{n}")
-    run = live.writeStream.outputMode("update").foreachBatch(stream.upsert(version, ["osm_type", "osm_id"])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    root, keys = str(tmp_path / "table"), ["osm_type", "osm_id"]
+    run = live.writeStream.outputMode("update").foreachBatch(stream.upsert(root, keys, "a", 4)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
-    last = max(int(p.name[1:]) for p in tmp_path.glob("v*"))
-    batch = history.before_after(revisions, ["osm_type", "osm_id"], "version", "ts", state, cutoff)
-    assert sorted(map(str, spark.read.parquet(version(last)).collect())) == sorted(map(str, batch.select(spark.read.parquet(version(last)).columns).collect()))
+    batch = history.before_after(revisions, keys, "version", "ts", state, cutoff)
+    got = lambda: sorted(map(str, stream.current(spark, root).select(batch.columns).collect()))
+    assert got() == sorted(map(str, batch.collect()))
+    changed = batch.limit(1).withColumn("osm_id", F.lit(99).cast("long")).select(stream.current(spark, root).columns)
+    again = stream.upsert(root, keys, "b", 4)  # a new run goes on from the table; a repeated epoch replaces itself
+    for epoch in (0, 1, 1):
+        again(changed.withColumn("osm_id", F.col("osm_id") + epoch), epoch)
+    assert stream.current(spark, root).count() == batch.count() + 2
 
 
 def test_profile(spark):
