@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of token ids, per shard, with random-access decoding.
 
-Frequent pairs of adjacent ids become nonterminals, round by round, until they no longer pay; pairs
-never span documents. A segment file holds the rules and the expansion length of each of them, so a
+Frequent pairs of adjacent ids become nonterminals, for at most ``rounds`` rounds or until they no
+longer pay; pairs never span documents. A segment file holds the rules and the expansion length of each of them, so a
 document, or a stretch of one, is decoded alone.
 
 File (little-endian): magic ``RPG1``; u32 width of a symbol (2 or 4), documents, rules, first
