@@ -34,7 +34,9 @@ def select(predictions: DataFrame, raw: DataFrame, n: int) -> DataFrame:
     """The first n errors by ID of every data set, tool and error class."""
     contracts.enforce(untraceable(predictions, raw))
     rank = F.row_number().over(W.partitionBy("Dataset", "CongCu", "LoaiLoi").orderBy("ID"))
-    bad = predictions.where("LoaiLoi <> 'none'").withColumn("Dataset", dataset_of(F.col("ID"))).withColumn("dm_r", rank).where(F.col("dm_r") <= n)
+    ranked = predictions.withColumn("Dataset", dataset_of(F.col("ID"))).withColumn("dm_r", rank).where(F.col("dm_r") <= n)
+    # With the rank in it the filter stays above the window, of which only n rows of each class are left.
+    bad = ranked.where(F.when(F.col("LoaiLoi") != "none", F.col("dm_r")).isNotNull())
     status = raw.select(F.col("id").alias("ID"), F.col("tool").alias("CongCu"), F.col("status").alias("RawStatus"))
     return bad.join(status, ["ID", "CongCu"]).select(*COLUMNS).orderBy("Dataset", "CongCu", "LoaiLoi", "ID")
 

@@ -65,19 +65,19 @@ def note(error: Column, outcome: Column, fields, extra: Column | None = None) ->
 def score(df: DataFrame, pred: str = "pred", truth: str = "truth", scenario: str = "scenario", raw: str = "raw", fields=T.FIELDS) -> DataFrame:
     """df with outcome (struct), status, error, field_code and note.
 
-    One expression binds the outcome, the status and the error in turn, so that neither a later rule
-    nor a filter that Catalyst pushes below the columns compares the fields over again.
+    The outcome is bound once, in compiled code; one expression over it binds the status and the error.
+    So neither a later rule nor a filter that Catalyst pushes below the columns compares the fields
+    over again, and who needs outcomes alone does not pay for the rest.
     """
     given = reduce(lambda a, b: a + b, [(T.clean_value(F.col(truth)[f]) != "").cast("int") for f in fields])
 
-    def all_of(o, status, error):
-        return F.struct(o.alias("outcome"), status.alias("status"), error.alias("error"), field_code(o, T.FIELDS, fields).alias("field_code"), note(error, o, fields).alias("note"))
-
     def rest(o):
-        return T.let(record_status(o, fields, given), lambda s: T.let(error_class(s, o, fields, F.col(scenario), F.col(raw)), lambda e: all_of(o, s, e)))
+        return T.let(record_status(o, fields, given), lambda s: F.struct(s.alias("status"), error_class(s, o, fields, F.col(scenario), F.col(raw)).alias("error")))
 
-    out = df.withColumn("dm_scored", T.let(compare_fields(F.col(pred), F.col(truth), fields), rest))
-    return out.withColumns({c: F.col(f"dm_scored.{c}") for c in ("outcome", "status", "error", "field_code", "note")}).drop("dm_scored")
+    # element_at of an array stays one expression, where an extraction would be simplified away and written out again.
+    out = df.withColumn("outcome", F.element_at(F.array(compare_fields(F.col(pred), F.col(truth), fields)), 1))
+    out = out.withColumn("dm_scored", T.let(F.col("outcome"), rest)).withColumns({c: F.col(f"dm_scored.{c}") for c in ("status", "error")}).drop("dm_scored")
+    return out.withColumns({"field_code": field_code(F.col("outcome"), T.FIELDS, fields), "note": note(F.col("error"), F.col("outcome"), fields)})
 
 
 def field_code(outcome: Column, every, scored) -> Column:
