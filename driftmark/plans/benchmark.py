@@ -1,4 +1,4 @@
-"""Builds the benchmark tables from sources, runs a parser over them, and analyses a run."""
+"""Builds the benchmark tables from sources and runs a parser over them."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.functions import text as T
-from driftmark.operators import alias, audit, cases, contracts, graph, parser, sampling, scoring, synth
-from driftmark.plans import protocol, report, runs
+from driftmark.operators import alias, audit, contracts, graph, parser, sampling, synth
+from driftmark.plans import protocol, runs
 from driftmark.sources import tables
 
 #: Files and sizes of the benchmark tables.

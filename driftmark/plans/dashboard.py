@@ -7,7 +7,6 @@ than ``most`` raises, and its tables are to be queried with operators.explore in
 from __future__ import annotations
 
 import html
-import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
