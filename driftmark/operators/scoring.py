@@ -19,8 +19,12 @@ def compare(pred: Column, truth: Column) -> Column:
 
 
 def compare_fields(pred: Column, truth: Column, fields=T.FIELDS) -> Column:
-    """A struct of the outcomes of each field of two structs, after normalisation."""
-    return F.struct(*[compare(T.comparable(pred[f]), T.comparable(truth[f])).alias(f) for f in fields])
+    """A struct of the outcomes of each field of two structs, after normalisation.
+
+    All values go through one normalising expression, each once, so the plan holds that expression once.
+    """
+    keys = F.transform(F.array(*[side[f] for side in (pred, truth) for f in fields]), lambda x: T.comparable(x))
+    return T.let(keys, lambda k: F.struct(*[compare(k[i], k[len(fields) + i]).alias(f) for i, f in enumerate(fields)]))
 
 
 def _count(outcome: Column, fields, *kinds: str) -> Column:
@@ -65,18 +69,17 @@ def note(error: Column, outcome: Column, fields, extra: Column | None = None) ->
 def score(df: DataFrame, pred: str = "pred", truth: str = "truth", scenario: str = "scenario", raw: str = "raw", fields=T.FIELDS) -> DataFrame:
     """df with outcome (struct), status, error, field_code and note.
 
-    The outcome is bound once, in compiled code; one expression over it binds the status and the error.
+    The outcome is bound once; one expression over it binds the status and the error.
     So neither a later rule nor a filter that Catalyst pushes below the columns compares the fields
     over again, and who needs outcomes alone does not pay for the rest.
     """
-    given = reduce(lambda a, b: a + b, [(T.clean_value(F.col(truth)[f]) != "").cast("int") for f in fields])
+    given = F.size(F.filter(F.array(*[F.col(truth)[f] for f in fields]), lambda x: T.clean_value(x) != ""))
 
-    def rest(o):
-        return T.let(record_status(o, fields, given), lambda s: F.struct(s.alias("status"), error_class(s, o, fields, F.col(scenario), F.col(raw)).alias("error")))
+    def rest(b):
+        return T.let(record_status(b["o"], fields, b["given"]), lambda s: F.struct(s.alias("status"), error_class(s, b["o"], fields, F.col(scenario), F.col(raw)).alias("error")))
 
-    # element_at of an array stays one expression, where an extraction would be simplified away and written out again.
-    out = df.withColumn("outcome", F.element_at(F.array(compare_fields(F.col(pred), F.col(truth), fields)), 1))
-    out = out.withColumn("dm_scored", T.let(F.col("outcome"), rest)).withColumns({c: F.col(f"dm_scored.{c}") for c in ("status", "error")}).drop("dm_scored")
+    out = df.withColumn("outcome", compare_fields(F.col(pred), F.col(truth), fields))
+    out = out.withColumn("dm_scored", T.let(F.struct(F.col("outcome").alias("o"), given.alias("given")), rest)).withColumns({c: F.col(f"dm_scored.{c}") for c in ("status", "error")}).drop("dm_scored")
     return out.withColumns({"field_code": field_code(F.col("outcome"), T.FIELDS, fields), "note": note(F.col("error"), F.col("outcome"), fields)})
 
 
