@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, licences, nearjoin, packing, personal, pseudolm, quality, repair, shared, warc
+from . import bitslice, decontaminate, divergence, licences, nearjoin, packing, personal, pseudolm, quality, repair, shared, substring, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,21 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeats(table(spark, sf_dir, "documents"), 35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = shared.fresh("trie")
+    turns = shared.stored(trie.positions(table(spark, sf_dir, "conversations")), scope)
+    return trie.trie(*trie.rebuilt(turns), scope=scope)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bitslice": op1_bitslice,
     "op2_licences": op2_licences,
@@ -96,6 +111,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_nearjoin": op10_nearjoin,
+    "op11_substring": op11_substring,
+    "op12_trie": op12_trie,
+    "op13_divergence": op13_divergence,
 }
 
 def _values(rows) -> str:
@@ -135,5 +153,53 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op11_substring": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+k AS (SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS k FROM p),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1),
+x AS (SELECT d.r, d.w, unnest(generate_series(1, len(d.w))) AS i FROM d),
+m AS (SELECT x.r, x.i, x.w[x.i] AS word, count(s.i) OVER (PARTITION BY x.r ORDER BY x.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone FROM x LEFT JOIN s ON s.r = x.r AND s.i = x.i),
+g AS (SELECT r, count(*) FILTER (WHERE gone) AS n, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON g.r = d.r
+""",
+    "op12_trie": """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), m AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS of, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295::BIGINT) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT t.conv_id, t.pos, t.role, t.text FROM t JOIN m USING (conv_id) WHERE t.pos > m.h
+  UNION ALL SELECT m.conv_id, t.pos, t.role, t.text FROM m JOIN t ON t.conv_id = m.of WHERE t.pos <= m.h
+), l AS (
+  SELECT m.conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS turns FROM m LEFT JOIN r USING (conv_id) GROUP BY m.conv_id
+), p AS (
+  SELECT conv_id, depth, len(turns) AS n, CASE WHEN depth = 0 THEN '' ELSE sha256(to_json(turns[1:depth])::VARCHAR) END AS k, CASE WHEN depth = 1 THEN '' WHEN depth > 1 THEN sha256(to_json(turns[1:depth - 1])::VARCHAR) END AS up, coalesce(strlen(turns[depth].text), 0) AS bytes
+  FROM (SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS depth FROM l)
+), n AS (
+  SELECT depth, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends FROM p GROUP BY depth, k
+), c AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n FROM n WHERE depth > 0 GROUP BY depth - 1, up),
+f AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM n LEFT JOIN c USING (depth, k)),
+s AS (SELECT p.depth, p.k, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum(f.saved) AS saved FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.depth, p.k)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s USING (depth, k) LEFT JOIN n u ON u.depth = f.depth - 1 AND u.k = f.up
+""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY t.lang, t.source, t.term),
+o AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(o.n, 0) + l.v) AS p, 1 + 1000000000 * (k.n + 1) // (l.n + l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN o USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM y) WHERE part = 'pair' OR rank <= 200
 """,
 }
