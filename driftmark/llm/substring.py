@@ -87,6 +87,14 @@ def distinct(keys):
     return rows[new], number, np.bincount(group, minlength=int(new.sum()))
 
 
+class Codes(dict):
+    """A number for each word, in the order in which words come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self)
+        return out
+
+
 class Block:
     """The words of some texts and the places at which candidate windows start."""
 
@@ -97,8 +105,8 @@ class Block:
         self.window = window
         self.words = [t.encode().split() if t else [] for t in texts]
         self.ends = np.cumsum([len(w) for w in self.words])
-        codes: dict[bytes, int] = {}
-        flat = np.fromiter((codes.setdefault(w, len(codes)) for w in itertools.chain.from_iterable(self.words)), "i8", int(self.ends[-1]) if len(self.ends) else 0)
+        codes = Codes()
+        flat = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(self.words)), "i8", int(self.ends[-1]) if len(self.ends) else 0)
         digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, codes)), "<u8").reshape(-1, 2)
         self.hashes = [(1, digests[flat, 0].copy()), (1, digests[flat, 1].copy())]
         # A window starts where its last word is in the same text.
@@ -231,7 +239,7 @@ def verdicts(blocks: DataFrame, window: int, found: list[tuple[str, int]], bucke
     return met.withColumn("part", F.pmod("block", F.lit(folders)))
 
 
-def repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20, scope: str = "substring") -> DataFrame:
+def repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20, scope: str = "substring") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the words that stay, one space between), spans (start, stop) of removed words."""
     if window < 1:
         raise ValueError("a window has a word at least")
