@@ -101,8 +101,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     def windows(grams):
         """Distinct (template, first word) of the windows that anchors lay."""
         hits = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda h: h["g"].isin(names))
-        laid = F.transform(hits, lambda h: F.transform(F.filter(entries, lambda e: e["g"] == h["g"]), lambda e: F.struct(e["t"].alias("t"), F.greatest(F.lit(0), F.least(h["i"] - e["at"], F.size(grams) + 1 - table[e["t"]]["words"])).alias("start"))))
-        return F.array_sort(F.array_distinct(F.flatten(laid)))
+        start = lambda h, e: F.greatest(F.lit(0), F.least(h["i"] - e["at"], F.size(grams) + 1 - table[e["t"]]["words"]))
+        # As one number each, which are told apart by hashing; structs would be compared pair by pair.
+        laid = F.transform(hits, lambda h: F.transform(F.filter(entries, lambda e: e["g"] == h["g"]), lambda e: F.shiftleft(e["t"].cast("long"), 40) + start(h, e)))
+        return F.transform(F.array_sort(F.array_distinct(F.flatten(laid))), lambda w: F.struct(F.shiftright(w, 40).cast("int").alias("t"), w.bitwiseAND(F.lit((1 << 40) - 1)).cast("int").alias("start")))
 
     def measured(grams, w):
         t = table[w["t"]]
