@@ -68,15 +68,32 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, op) -> Column:
+    """The inclusive running totals of an array under an associative operation.
+
+    Blocks of 128 are totalled one by one, then the blocks' totals in the same way, so that no step copies more than a block (or n / 2^14 totals).
+    """
+    wide = 128
+    totals = lambda v: F.aggregate(F.slice(v, F.lit(2), F.size(v)), F.slice(v, F.lit(1), F.lit(1)), lambda a, x: F.concat(a, F.array(op(F.element_at(a, F.lit(-1)), x))))
+
+    def level(v: Column, within) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / wide).cast("int")), lambda i: totals(F.slice(v, i * wide + 1, F.lit(wide))))
+
+        def moved(bs):
+            before = within(F.transform(F.slice(bs, F.lit(1), F.size(bs) - 1), lambda b: F.element_at(b, F.lit(-1))))
+            return _let(before, lambda o: F.flatten(F.transform(bs, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: op(F.get(o, k - 1), x))))))
+
+        return F.when(F.size(v) <= wide, totals(v)).otherwise(_let(blocks, moved))
+
+    return _let(values, lambda v: level(v, lambda t: _let(t, lambda u: level(u, totals))))
+
+
 def _spans(text: Column, pattern: str, there: Column) -> Column:
     """Leftmost non-overlapping matches: start (code points), m, before (32 characters), after (1)."""
 
     def places(z):
-        k = F.size(z["hits"])
-        sizes = F.zip_with(F.slice(z["gaps"], F.lit(1), k), z["hits"], lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("m")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("s"))
-        walked = F.aggregate(sizes, start, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["s"], F.array(a["at"] + x["g"])).alias("s")))
-        return _let(walked["s"], lambda s: F.transform(z["hits"], lambda m, i: F.struct(s[i].alias("start"), m.alias("m"), F.right(z["gaps"][i], F.lit(32)).alias("before"), F.left(z["gaps"][i + 1], F.lit(1)).alias("after"))))
+        sizes = F.zip_with(F.slice(z["gaps"], F.lit(1), F.size(z["hits"])), z["hits"], lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+        return _let(running(sizes, lambda a, b: a + b), lambda ends: F.transform(z["hits"], lambda m, i: F.struct((ends[i] - F.length(m)).alias("start"), m.alias("m"), F.right(z["gaps"][i], F.lit(32)).alias("before"), F.left(z["gaps"][i + 1], F.lit(1)).alias("after"))))
 
     none = F.array().cast("array<struct<start:bigint,m:string,before:string,after:string>>")
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
@@ -144,7 +161,16 @@ def candidates(text: Column) -> Column:
         strict = _spans(text, BASE[kind], NEEDS[kind][0](text))
         parts.append(F.transform(F.filter(strict, _of(kind)), _votes(number, kind, True)))
         parts.append(F.transform(_spans(text, LOOSE[kind], NEEDS[kind][1](text)), _votes(number, kind, False)))
-    every = _let(F.concat(*parts), lambda all_: F.filter(all_, lambda c: c["base"] | ~F.exists(all_, lambda b: b["base"] & (b["start"] < c["stop"]) & (c["start"] < b["stop"]))))
+
+    def apart(all_):
+        """Base spans, and others that overlap none: of the base spans that start before the other stops, none stops after it starts."""
+        # One sorted sweep: a base span comes in at its start, another one asks at its stop, before what starts there.
+        events = F.array_sort(F.transform(all_, lambda c: F.struct(F.when(c["base"], c["start"]).otherwise(c["stop"]).alias("at"), c["base"].alias("base"), c.alias("c"))))
+        reach = lambda es: running(F.transform(es, lambda e: F.when(e["base"], e["c"]["stop"]).otherwise(F.lit(0).cast("long"))), F.greatest)
+        kept = _let(events, lambda es: _let(reach(es), lambda r: F.filter(es, lambda e, i: e["base"] | (r[i] <= e["c"]["start"]))))
+        return F.transform(kept, lambda e: e["c"])
+
+    every = _let(F.concat(*parts), lambda all_: F.when(F.exists(all_, lambda c: ~c["base"]), apart(all_)).otherwise(all_))
     return F.array_sort(every)
 
 
@@ -221,15 +247,27 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("doc_id", final_spans(F.col("spans"), learn(found)).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each stretch of spans replaced by the first one's kind in angle brackets."""
-
-    def step(a, s):
-        fresh = s["start"] >= a["at"]
-        piece = F.concat(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+def redacted(text: Column, spans: Column, wide: int = 4096) -> Column:
+    """The text with each stretch of spans (by start) replaced by the first one's kind in angle brackets.
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(spans, start, step)
-    tail = _let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, tail).otherwise(text)
+    The text is cut into chunks once, as a place in a long string is found by walking to it.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{wide}}}"), F.lit(0))
+
+    def piece(c, a, b):
+        """The characters from a to b."""
+        i, j = F.floor(a / wide).cast("int"), F.floor(b / wide).cast("int")
+        offset = lambda x: (x % wide).cast("int")
+        within = F.substring(F.get(c, i), offset(a) + 1, (b - a).cast("int"))
+        across = F.concat(F.substring(F.get(c, i), offset(a) + 1, F.lit(wide)), F.array_join(F.slice(c, i + 2, j - i - 1), ""), F.coalesce(F.left(F.get(c, j), offset(b)), F.lit("")))
+        return F.when(b <= a, "").when(i == j, within).otherwise(across)
+
+    def pieces(z):
+        # Where the spans before one end at most; it begins a stretch where that is not beyond its start.
+        before = lambda i: F.when(i > 0, z["ends"][i - 1]).otherwise(F.lit(0).cast("long"))
+        marks = F.filter(F.transform(z["spans"], lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), before(i).alias("from"))), lambda m: m["start"] >= m["from"])
+        said = F.transform(marks, lambda m: F.concat(piece(z["chunks"], m["from"], m["start"]), F.lit("<"), F.upper(m["kind"]), F.lit(">")))
+        return F.concat(F.array_join(said, ""), piece(z["chunks"], F.element_at(z["ends"], F.lit(-1)), F.length(text).cast("long")))
+
+    parts = F.struct(spans.alias("spans"), running(F.transform(spans, lambda s: s["stop"]), F.greatest).alias("ends"), chunks.alias("chunks"))
+    return F.when(F.size(spans) > 0, _let(parts, pieces)).otherwise(text)
