@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftmark.functions import unicode
+from driftmark.functions.unicode import let
+
 #: House number, street, ward, district, province.
 FIELDS = ("SoNha", "TenDuong", "PhuongXa", "QuanHuyen", "TinhThanh")
 
@@ -31,31 +34,13 @@ def clean_value(c: Column | str) -> Column:
 
 def normalise_text(c: Column | str) -> Column:
     """Composed, case-folded, white space collapsed; accents and unit names stay."""
-    folded = F.replace(F.lower(composed(clean_value(c))), F.lit("ß"), F.lit("ss"))
+    folded = unicode.casefolded(composed(clean_value(c)))
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
-def composition_table() -> str:
-    """Letter, mark and what they compose to, then a NUL, for all Latin letters and combining marks."""
-    letters = [chr(c) for c in [*range(0x41, 0x250), *range(0x1E00, 0x1F00)] if chr(c).isalpha()]
-    marks = [chr(c) for c in range(0x300, 0x370)]
-    made = ((c, m, unicodedata.normalize("NFC", c + m)) for c in letters for m in marks)
-    return "".join(f"{c}{m}{n}\0" for c, m, n in made if len(n) == 1)
-
-
-_COMPOSED = composition_table()
-
-
 def composed(c: Column | str) -> Column:
-    """The text with Latin letters and the marks after them composed, whatever the marks' order. Text without marks stays as it is."""
-
-    def step(done, x):
-        at = F.when(x.rlike(r"^\p{M}$"), F.instr(F.lit(_COMPOSED), F.concat(F.right(done, F.lit(1)), x))).otherwise(0)
-        one = lambda p: F.when((p > 0) & (F.length(done) > 0), F.concat(F.left(done, F.length(done) - 1), F.substr(F.lit(_COMPOSED), p + 2, F.lit(1)))).otherwise(F.concat(done, x))
-        return F.transform(F.array(at), one)[0]
-
-    text = blank(c)
-    return F.when(text.rlike(r"\p{M}"), F.aggregate(F.split(text, ""), F.lit(""), step)).otherwise(text)
+    """The text in composed form (NFC)."""
+    return unicode.composed(blank(c))
 
 
 def province_key(c: Column | str) -> Column:
@@ -132,14 +117,7 @@ def house_key(c: Column | str) -> Column:
 
 def latin_class() -> str:
     """A character class of letters that Unicode names LATIN (basic plane), as ranges."""
-    codes = [c for c in range(0x10000) if unicodedata.category(chr(c)).startswith("L") and "LATIN" in unicodedata.name(chr(c), "")]
-    ranges: list[list[int]] = []
-    for c in codes:
-        if ranges and c == ranges[-1][1] + 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    return unicode.char_class(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)).startswith("L") and "LATIN" in unicodedata.name(chr(c), ""))
 
 
 def clean_tag(c: Column | str) -> Column:
@@ -179,11 +157,6 @@ def way_fingerprint(refs: Column) -> Column:
     return F.when(F.size(refs) > 0, F.concat(F.lit("way:"), F.sha2(F.array_join(F.transform(refs, lambda r: r.cast("string")), ","), 256))).otherwise("")
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once and written once in the plan."""
-    return F.transform(F.array(value), body)[0]
-
-
 def draw(seed: int | str, salt: str, *keys: Column) -> Column:
     """A uniform number in [0, 1) fixed by seed, salt and keys; the same in any partitioning and in SQL."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[k.cast("string") for k in keys])

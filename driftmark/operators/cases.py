@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from driftmark.operators import contracts
+from driftmark.operators import contracts, order
 
 COLUMNS = ("ID", "CongCu", "Dataset", "LoaiLoi", "DungSai", "TinhHuongMoHo", "DiaChiGoc", "TruongDuDoan", "TruongDung", "GhiChu", "RawStatus")
 
@@ -31,12 +31,14 @@ def joined_raw(predictions: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def select(predictions: DataFrame, raw: DataFrame, n: int) -> DataFrame:
-    """The first n errors by ID of every data set, tool and error class."""
+    """The first n errors by ID of every data set, tool and error class.
+
+    Predictions are written down once, so that the check of their raw responses and the ranking do not make them twice.
+    """
+    predictions = order.cut(predictions)
     contracts.enforce(untraceable(predictions, raw))
     rank = F.row_number().over(W.partitionBy("Dataset", "CongCu", "LoaiLoi").orderBy("ID"))
-    ranked = predictions.withColumn("Dataset", dataset_of(F.col("ID"))).withColumn("dm_r", rank).where(F.col("dm_r") <= n)
-    # With the rank in it the filter stays above the window, of which only n rows of each class are left.
-    bad = ranked.where(F.when(F.col("LoaiLoi") != "none", F.col("dm_r")).isNotNull())
+    bad = predictions.where("LoaiLoi <> 'none'").withColumn("Dataset", dataset_of(F.col("ID"))).withColumn("dm_r", rank).where(F.col("dm_r") <= n)
     status = raw.select(F.col("id").alias("ID"), F.col("tool").alias("CongCu"), F.col("status").alias("RawStatus"))
     return bad.join(status, ["ID", "CongCu"]).select(*COLUMNS).orderBy("Dataset", "CongCu", "LoaiLoi", "ID")
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from driftmark.functions import text as T
+from driftmark.operators import order
 
 #: The columns of the mapping table (old ward, district, province; new province, ward, type, code, form, area).
 COLUMNS = ("Phường/Xã cũ", "Quận/Huyện cũ", "Tỉnh/TP cũ (trước sáp nhập)", "Tỉnh/TP mới", "Phường/Xã mới (từ 1/7/2025)", "Loại đơn vị mới", "Mã phường/xã mới", "Hình thức sáp nhập", "Diện tích mới (km²)")
@@ -18,8 +18,8 @@ def mapping_edges(mapping: DataFrame) -> DataFrame:
 
     Exact repeats are dropped, the first stays.
     """
-    order = mapping.select([F.col(f"`{c}`").alias(n) for c, n in zip(COLUMNS, NAMES, strict=True)] + [F.monotonically_increasing_id().alias("ord") if "ord" not in mapping.columns else F.col("ord")])
-    once = order.groupBy(*NAMES).agg(F.min("ord").alias("ord"))
+    rows = mapping.select([F.col(f"`{c}`").alias(n) for c, n in zip(COLUMNS, NAMES, strict=True)] + [F.monotonically_increasing_id().alias("ord") if "ord" not in mapping.columns else F.col("ord")])
+    once = rows.groupBy(*NAMES).agg(F.min("ord").alias("ord"))
     clean = once.select(*[T.clean_value(n).alias(n) for n in NAMES], "ord")
     return clean.withColumns({"old_key": F.struct(T.province_key("old_province").alias("p"), T.normalise_text("old_district").alias("d"), T.normalise_text("old_ward").alias("w")), "new_key": F.struct(T.province_key("new_province").alias("p"), T.normalise_text("new_ward").alias("w"))})
 
@@ -34,9 +34,33 @@ def scenario(rel: Column) -> Column:
     return F.when(rel == "1-1", "C").when(rel == "1-N", "A").when(rel == "N-1", "B").otherwise("M")
 
 
+#: A unit with more than one in so many of all edges is a hub; there are at most so many hubs on a side.
+HUB_SHARE = 1000
+
+
+def attached(df: DataFrame, key: str, stats: DataFrame, weight: str, total: int, share: int = HUB_SHARE) -> DataFrame:
+    """df with the other columns of stats, one row for each key (never null), by the key; weight of stats: the rows of df with it.
+
+    At most ``share`` keys have more than one in ``share`` of the total rows: their statistics are
+    broadcast, so that a hub's rows stay where they are. No other key is large enough to burden a task.
+    """
+    hub = F.col(weight) * share > F.lit(total)
+    others = [c for c in stats.columns if c != key]
+    few = stats.where(hub).select(F.col(key).alias("dm_hub"), F.struct(*others).alias("dm_known"))
+    met = df.join(F.broadcast(few), F.col(key) == F.col("dm_hub"), "left").drop("dm_hub")
+    held = met.where("dm_known is not null").select(*df.columns, *[F.col(f"dm_known.{c}").alias(c) for c in others])
+    rest = met.where("dm_known is null").select(df.columns).join(stats.where(~hub), key).select(*df.columns, *others)
+    return held.unionByName(rest)
+
+
 def _with_degrees(once: DataFrame, old: str, new: str) -> DataFrame:
-    out = once.withColumn("out_degree", F.count("*").over(W.partitionBy(old))).withColumn("in_degree", F.count("*").over(W.partitionBy(new)))
-    return out.withColumn("relation", relation(F.col("out_degree"), F.col("in_degree")))
+    """once (distinct pairs) with both degrees, which are partial aggregates joined back, and their relation."""
+    once = order.cut(once)
+    total = once.count()
+    out = once.groupBy(old).agg(F.count("*").alias("out_degree"))
+    into = once.groupBy(new).agg(F.count("*").alias("in_degree"))
+    both = attached(attached(once, old, out, "out_degree", total), new, into, "in_degree", total)
+    return both.withColumn("relation", relation(F.col("out_degree"), F.col("in_degree")))
 
 
 def classified(edges: DataFrame, old: str, new: str) -> DataFrame:
@@ -80,8 +104,8 @@ def abstained(records: DataFrame, edges: DataFrame, key: str, old: str, new: str
 
 def new_units(edges: DataFrame) -> DataFrame:
     """The first row of each new unit."""
-    first = F.row_number().over(W.partitionBy("new_key").orderBy("ord"))
-    return edges.withColumn("dm_r", first).where("dm_r = 1").select("new_key", "new_province", "new_ward", "unit_type", "code", "merger_form", "area")
+    columns = ("new_province", "new_ward", "unit_type", "code", "merger_form", "area")
+    return edges.groupBy("new_key").agg(F.min_by(F.struct(*columns), "ord").alias("u")).select("new_key", *[f"u.{c}" for c in columns])
 
 
 def province_names(edges: DataFrame) -> DataFrame:

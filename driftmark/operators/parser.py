@@ -1,8 +1,8 @@
-"""Address parsers: a rule parser as Catalyst expressions, and adapters for external ones."""
+"""Address parsers: a rule parser as expressions, and what is made of the labels and traces of external ones."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,33 +46,6 @@ def project_labels(labels: Column) -> Column:
     return F.struct(tag("house_number").alias("SoNha"), tag("road").alias("TenDuong"), first(tag("suburb"), tag("neighbourhood")).alias("PhuongXa"), F.when((state != "") & (district == ""), tag("city")).otherwise(district).alias("QuanHuyen"), first(state, tag("city")).alias("TinhThanh"))
 
 
-def external(df: DataFrame, raw: str, key: str, load: Callable[[], Callable[[str], list[tuple[str, str]]]]) -> DataFrame:
-    """(key, labels): an external parser, loaded once in each Python worker, over Arrow batches.
-
-    ``load`` imports the binding and returns parse(text) -> [(value, label)]; a missing binding raises there.
-    """
-
-    def run(batches: Iterator):
-        import pyarrow as pa
-
-        parse = load()
-        kind = pa.list_(pa.struct([("value", pa.string()), ("label", pa.string())]))
-        for b in batches:
-            rows = [[{"value": v, "label": n} for v, n in parse(t or "")] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["key", "labels"])
-
-    return df.select(F.col(key).cast("string").alias("key"), F.col(raw)).mapInArrow(run, "key string, labels array<struct<value:string,label:string>>")
-
-
-def postal() -> Callable[[str], list[tuple[str, str]]]:
-    """Loads the libpostal binding."""
-    try:
-        from postal.parser import parse_address
-    except ImportError as error:
-        raise RuntimeError("libpostal and its Python binding are not installed") from error
-    return parse_address
-
-
 def with_retries(call: Callable[[], object], attempts: int = 2) -> tuple[object, dict]:
     """call(), tried again on errors: (result or None, trace with status, attempts and error types)."""
     errors: list[str] = []

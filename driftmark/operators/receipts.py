@@ -1,11 +1,16 @@
-"""Fuzzy deduplication of texts: greedy clusters within equal leading house numbers."""
+"""Fuzzy deduplication of texts and pairs of close texts, both over candidates that an equi-join finds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from driftmark.functions import text as T
+from driftmark.operators import order as ranges
 
 
 def _masks(text: str) -> dict[str, int]:
@@ -33,52 +38,128 @@ def _common(masks: dict[str, int], size: int, other: str) -> int:
     return size - v.bit_count()
 
 
-def fuzzy_dedup(df: DataFrame, column: str, order: str, threshold: float = 0.82, keep: int = 2) -> DataFrame:
-    """The ``keep`` longest distinct texts of each cluster (ties: the lesser text), one column.
+def matching(pairs: DataFrame, norms: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs (node, before) whose texts (node, norm) have a matching ratio of at least ``threshold``.
 
-    A text joins the first cluster, in order, whose first member has the same house number and a
-    matching ratio of at least ``threshold``. Clusters never span house numbers, so these are
-    independent tasks. Within a number, what can never match is skipped by exact upper bounds of the
-    ratio: shared characters, then the longest common subsequence.
+    Most that can never match are told by exact upper bounds of the ratio: lengths, shared characters, the longest common subsequence.
     """
-    once = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("dm_order")).select(F.col(column).alias("text"), "dm_order", T.fuzzy_key(column).alias("norm"))
-    keyed = once.withColumn("house", F.coalesce(T.house_key("norm"), F.lit("")))
+    side = lambda n, t: norms.select(F.col("node").alias(n), F.col("norm").alias(t))
+    a, b = F.length("a"), F.length("b")
+    met = pairs.join(side("node", "a"), "node").join(side("before", "b"), "before").where(F.least(a, b) * 2 >= (a + b) * threshold - 1e-9)
 
-    def cluster(pdf):
+    def run(frames):
+        from collections import Counter
         from difflib import SequenceMatcher
 
-        import numpy as np
-        import pandas as pd
-
-        rows = list(pdf.sort_values(["dm_order", "text"])[["text", "norm"]].itertuples(index=False))
-        counts, sizes = np.zeros((len(rows), 128), "i4"), np.zeros(len(rows), "i8")  # of the first members
-        firsts: list[str] = []
-        members: list[list[str]] = []
-        for text, norm in rows:
-            own = np.bincount(np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), "u4") % 128, minlength=128)
-            n = len(firsts)
-            most = 2.0 * np.minimum(counts[:n], own).sum(1) / np.maximum(1, sizes[:n] + len(norm))
-            masks = None
-            for i in np.flatnonzero((most >= threshold) | (sizes[:n] + len(norm) == 0)).tolist():
-                if norm != firsts[i]:  # equal texts have a ratio of 1
-                    masks = masks or _masks(norm)
-                    if 2.0 * _common(masks, len(norm), firsts[i]) / (len(norm) + len(firsts[i])) < threshold:
-                        continue
-                    if SequenceMatcher(None, norm, firsts[i]).ratio() < threshold:
-                        continue
-                members[i].append(text)
-                break
-            else:
-                counts[n], sizes[n] = own, len(norm)
-                firsts.append(norm)
-                members.append([text])
-        return pd.DataFrame({"text": [t for ms in members for t in sorted(ms, key=lambda x: (-len(x), x))[:keep]]}, dtype="object")
-
-    return keyed.groupBy("house").applyInPandas(cluster, "text string").withColumnRenamed("text", column)
+        for pdf in frames:
+            keep, last = [], None
+            matcher = SequenceMatcher(None)
+            pdf = pdf.sort_values("b", kind="stable")  # a matcher prepares its second text once
+            for a_, b_ in zip(pdf["a"], pdf["b"], strict=True):
+                if b_ != last:
+                    matcher.set_seq2(b_)
+                    last, own, masks = b_, Counter(b_), _masks(b_)
+                need = threshold * (len(a_) + len(b_)) / 2 - 1e-9
+                near = sum((own & Counter(a_)).values()) >= need and _common(masks, len(b_), a_) >= need
+                if near:
+                    matcher.set_seq1(a_)
+                    near = matcher.ratio() >= threshold
+                keep.append(near)
+            yield pdf.loc[keep, ["node", "before"]]
+
+    return met.select("node", "before", "a", "b").mapInPandas(run, "node long, before long")
+
+
+def prefix_keys(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, key): of each text's numbered characters (the k-th "e", ...) the rarest, under its house number.
+
+    Two texts of n and m characters that match hold threshold * (n + m) / 2 numbered characters in
+    common, and a length m that allows a match makes that at least threshold / (2 - threshold) * n.
+    So all but one less than these, taken from the rarest on, must share one. An empty text has a key of its own.
+    """
+    sign = F.transform(F.filter(F.split("norm", ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    flat = nodes.select("node", "house", F.length("norm").alias("n"), F.explode(sign).alias("x")).select("node", "house", "n", F.col("x.c").alias("c"))
+    often = flat.groupBy("node", "house", "n", "c").agg(F.count("*").alias("k"))
+    marks = ranges.cut(often.select("node", "house", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "k"), lambda k: F.concat(F.col("c"), k.cast("string")))).alias("mark")))
+    rare = marks.groupBy("mark").agg(F.count("*").alias("often"))
+    held = marks.join(rare, "mark").groupBy("node", "house", "n").agg(F.sort_array(F.collect_list(F.struct("often", "mark"))).alias("marks"))
+    size = F.col("n") - F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)) - 1e-9) + 1
+    keys = held.select("node", "house", F.explode(F.slice("marks", F.lit(1), F.greatest(F.lit(1), size).cast("int"))).alias("m"))
+    empty = nodes.where("norm = ''").select("node", "house", F.lit("").alias("mark"))
+    return keys.select("node", "house", F.col("m.mark").alias("mark")).union(empty).select("node", F.xxhash64("house", "mark").alias("key"))
+
+
+def fuzzy_dedup(df: DataFrame, column: str, order: str, threshold: float = 0.82, keep: int = 2, first: int = 64) -> DataFrame:
+    """The ``keep`` longest distinct texts of each cluster (ties: the lesser text), one column.
+
+    A text joins the first cluster, in order, whose first member has the same house number and a
+    matching ratio of at least ``threshold``; otherwise it begins one. Texts of one normal form are
+    one node. Nodes that may match share a key. In each round the first nodes of every key, more of
+    them each time, are compared with those before them, and a node whose earlier ones are all
+    settled or do not match begins a cluster; what matches it is settled wherever it stands. At the
+    end each settled node goes to the first beginning that it matches. No task holds a house number
+    or a cluster; rounds follow the longest chain of texts that only wait for each other.
+
+    Null texts are left out; empty ones match each other; repeated texts count once.
+    """
+    once = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("dm_order")).select(F.col(column).alias("text"), "dm_order", T.fuzzy_key(column).alias("norm"))
+    once = ranges.cut(once)
+    least = once.groupBy("norm").agg(F.min(F.struct("dm_order", "text")).alias("o")).select("norm", "o.dm_order", "o.text")
+    nodes = ranges.cut(ranges.numbered(least, ["dm_order", "text"], "node").select("node", "norm", F.coalesce(T.house_key("norm"), F.lit("")).alias("house")))
+    keys = ranges.cut(prefix_keys(nodes, threshold))
+
+    def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """Pairs (node, before) of what shares a key."""
+        return later.join(earlier.select(F.col("node").alias("before"), "key"), "key").where("before < node").select("node", "before").distinct()
+
+    open_, beginnings, seen = keys, [], first
+    while not open_.isEmpty():
+        ranked = open_.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("node")))
+        tops = ranges.cut(ranked.where(F.col("r") <= seen).select("node", "key"))
+        # A node is looked at once it is among the first of all its keys: all earlier ones that may match it are there, too.
+        ready = ranges.cut(tops.groupBy("node").count().join(open_.groupBy("node").agg(F.count("*").alias("all")), "node").where("count = all").select("node"))
+        waiting = matching(met(tops.join(ready, "node"), tops), nodes, threshold).select("node").distinct()
+        new = ranges.cut(ready.join(waiting, "node", "left_anti"))
+        beginnings.append(new)
+        begun = open_.join(new, "node", "left_semi")
+        left = open_.join(new, "node", "left_anti")
+        settled = matching(met(left, begun), nodes, threshold).select("node").distinct()
+        open_ = ranges.cut(left.join(settled, "node", "left_anti"))
+        seen *= 4
+    if not beginnings:
+        return df.select(column).where("false")
+    begun = keys.join(reduce(DataFrame.union, beginnings), "node", "left_semi")
+    joined = matching(met(keys.join(begun.select("node").distinct(), "node", "left_anti"), begun), nodes, threshold).groupBy("node").agg(F.min("before").alias("cluster"))
+    places = begun.select("node", F.col("node").alias("cluster")).distinct().union(joined)
+    members = once.join(nodes.select("norm", "node"), "norm").join(places, "node")
+    rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc(F.length("text")), "text"))
+    return members.select("text", rank.alias("r")).where(F.col("r") <= keep).select(F.col("text").alias(column))
+
+
+def neighbourhood(text: Column, most: int) -> Column:
+    """The text and all that it becomes with up to ``most`` characters gone. Two texts within ``most`` edits share one of these."""
+    less = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.left(t, i - 1), F.substr(t, i + 1)))
+    out = level = F.array(text)
+    for _ in range(most):
+        level = F.flatten(F.transform(level, lambda t: F.when(t == "", F.array(t)).otherwise(less(t))))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
 
 
 def close_pairs(df: DataFrame, key: str, id_col: str, column: str, most: int) -> DataFrame:
-    """(a, b, distance): pairs of rows with the same key whose texts are at most ``most`` edits apart."""
-    side = lambda p: df.select(F.col(key).alias("k"), F.col(id_col).alias(p), F.col(column).alias(f"t{p}"))
-    met = side("a").join(side("b"), "k").where("a < b").where(F.abs(F.length("ta") - F.length("tb")) <= most)
-    return met.withColumn("distance", F.levenshtein("ta", "tb")).where(F.col("distance") <= most).select("a", "b", "distance")
+    """(a, b, distance), a < b: rows with the same key whose texts are at most ``most`` edits apart.
+
+    Texts meet on what deletions leave of them, each text once for all its rows; ids come in at the end.
+    Rows of one text meet under blocks of their ids, so that no task holds all copies of a text. Rows
+    without key, id or text have no pairs. A pair has its row in the result however many copies there are.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(column).alias("t")).dropna()
+    texts = ranges.cut(rows.groupBy("k", "t").agg(F.count("*").alias("n")))
+    ends = texts.select("k", "t", F.explode(neighbourhood(F.col("t"), most)).alias("left")).select(F.xxhash64("k", "left").alias("h"), "k", "t")
+    one, two = ends.select("h", F.col("k").alias("ka"), F.col("t").alias("ta")), ends.select("h", F.col("k").alias("kb"), F.col("t").alias("tb"))
+    near = one.join(two, "h").where("ka = kb and ta < tb").where(F.abs(F.length("ta") - F.length("tb")) <= most).select(F.col("ka").alias("k"), "ta", "tb").distinct()
+    near = near.withColumn("distance", F.levenshtein("ta", "tb")).where(F.col("distance") <= most)
+    several = texts.where("n > 1").select("k", F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(0).alias("distance"))
+    side = lambda p: rows.select("k", F.col("id").alias(p), F.col("t").alias(f"t{p}"))
+    met = near.union(several).join(side("a"), ["k", "ta"]).join(side("b"), ["k", "tb"]).where("ta <> tb or a < b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")

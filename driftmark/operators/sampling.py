@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftmark.functions.text import col
+from driftmark.operators import order
 
 
 class QuotaError(ValueError):
@@ -30,14 +31,14 @@ def uniform(df: DataFrame, n: int, seed: int, key: Column | str) -> DataFrame:
 
 
 def numbered(df: DataFrame, seed: int, key: Column | str, pattern: str, out: str = "ID") -> DataFrame:
-    """df with ids in shuffled order. The order is global: the table is one that a sample has bounded."""
-    return df.withColumn(out, F.format_string(pattern, F.row_number().over(W.orderBy(hash_order(seed, key), col(key)))))
+    """df with ids in shuffled order: numbers over sorted ranges, so no task sees the whole."""
+    return order.numbered(df, [hash_order(seed, key), col(key)], "dm_n").withColumn(out, F.format_string(pattern, "dm_n")).drop("dm_n")
 
 
 def stratified(df: DataFrame, n: int, strata: list[str], seed: int, key: Column | str, at_least_strata: bool = False) -> DataFrame:
     """n rows: first one of each stratum, then the rest uniformly. With ``at_least_strata`` never fewer than strata."""
-    order = [hash_order(seed, key), col(key)]
-    ranked = df.withColumn("dm_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    by = [hash_order(seed, key), col(key)]
+    ranked = df.withColumn("dm_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)]))
     # The first of a stratum is a partial aggregate, so that no task ranks a whole stratum.
     first = ranked.groupBy(*strata).agg(F.min("dm_order").alias("dm_order"))
     if at_least_strata:
@@ -48,14 +49,14 @@ def stratified(df: DataFrame, n: int, strata: list[str], seed: int, key: Column
 
 def quota_chain(df: DataFrame, kind: str, quotas: dict[str, int], surface: str, seed: int, key: Column | str) -> DataFrame:
     """Per kind, in order, ``quota`` rows whose surface no earlier kind has taken; one row for each surface of a kind."""
-    order = [hash_order(seed, key), col(key)]
+    by = [hash_order(seed, key), col(key)]
     taken: list[DataFrame] = []
     for name, n in quotas.items():
         own = df.where(F.col(kind) == name)
-        own = own.withColumn("dm_r", F.row_number().over(W.partitionBy(surface).orderBy(*order))).where("dm_r = 1").drop("dm_r")
+        own = own.withColumn("dm_r", F.row_number().over(W.partitionBy(surface).orderBy(*by))).where("dm_r = 1").drop("dm_r")
         for before in taken:
             own = own.join(before.select(surface), surface, "left_anti")
-        taken.append(own.orderBy(*order).limit(n).select(df.columns))
+        taken.append(own.orderBy(*by).limit(n).select(df.columns))
     return reduce(DataFrame.unionByName, taken)
 
 

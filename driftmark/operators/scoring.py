@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.functions import special
 from driftmark.functions import text as T
 
 OUTCOMES = ("TP", "TN", "FP", "FN", "MISMATCH")
@@ -153,25 +154,18 @@ def wilson_interval(p: Column, n: Column, z: float = 1.959963984540054) -> tuple
     return (mid - half) / den, (mid + half) / den
 
 
-def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The paired 2 x 2 table of two Boolean columns, the continuity-corrected statistic and its p-value."""
+def mcnemar(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The paired 2 x 2 table of two Boolean columns, for each of the keys, and the continuity-corrected statistic."""
     x, y = F.col(a), F.col(b)
-    t = df.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"))
+    t = df.groupBy(*keys).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"))
     d = F.col("only_a") + F.col("only_b")
     stat = F.when(d > 0, F.pow(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(2)) / d).otherwise(F.lit(0.0))
     return t.withColumn("statistic", stat)
 
 
 def with_p_value(df: DataFrame, column: str = "statistic") -> DataFrame:
-    """df with p_value of a chi-square statistic of one degree of freedom. Arrow batches, as SQL has no erfc."""
-
-    @F.pandas_udf("double")
-    def tail(s):
-        import math
-
-        return s.map(lambda x: math.erfc(math.sqrt(x / 2)))
-
-    return df.withColumn("p_value", tail(column))
+    """df with p_value of a chi-square statistic of one degree of freedom."""
+    return df.withColumn("p_value", special.chi_square_tail(F.col(column)))
 
 
 def missing_and_hallucination(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.functions import text as T
-from driftmark.operators import alias, audit, contracts, graph, parser, sampling, synth
+from driftmark.operators import alias, audit, contracts, graph, order, parser, sampling, synth
 from driftmark.plans import protocol, runs
 from driftmark.sources import tables
 
@@ -24,14 +24,8 @@ def _old_key() -> Column:
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
-    """df with dm_i, the gapless number of each row in the order in which it was read: counts of partitions, then places in them."""
-    placed = df.withColumn("dm_p", F.spark_partition_id()).withColumn("dm_i", F.monotonically_increasing_id())
-    sizes = [(r["dm_p"], r["n"]) for r in sorted(placed.groupBy("dm_p").agg(F.count("*").alias("n")).collect())]
-    first, at = {}, 0
-    for p, n in sizes:
-        first[p], at = at, at + n
-    before = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])[F.col("dm_p")] if first else F.lit(0)
-    return placed.withColumn("dm_i", before + F.col("dm_i").bitwiseAND((1 << 33) - 1)).drop("dm_p")
+    """df with dm_i, the gapless number of each row in the order in which it was read."""
+    return order.in_read_order(df, "dm_i")
 
 
 def single_targets(edges: DataFrame) -> DataFrame:

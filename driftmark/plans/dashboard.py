@@ -110,3 +110,9 @@ def filtered(rows: DataFrame, dataset: str | None = None, comparison: str | None
         rows = rows.where(F.exists("tools", lambda t: t["error"] == error))
     said = rows.withColumn("dm_said", F.array_join(F.transform("tools", lambda t: F.concat_ws("\n", t["error"], t["note"])), "\n"))
     return explore.search(said, term, ["id", "input", "truth", "dm_said"]).drop("dm_said")
+
+
+def options(rows: DataFrame, **chosen) -> DataFrame:
+    """(facet, option, n): the page's option lists with their counts under the chosen filters, of a table of ``records`` of any size."""
+    few = filtered(rows, **chosen)
+    return explore.facets(few, ["dataset", "comparison", "first", "second"])

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.functions import literals
 from driftmark.functions import text as T
-from driftmark.operators import alias, audit, cases, contracts, coverage, explore, graph, history, metrics, parser, profile, receipts, sampling, scoring, synth
-from driftmark.plans import protocol
+from driftmark.operators import alias, audit, cases, contracts, coverage, explore, graph, history, metrics, order, parser, profile, receipts, sampling, scoring, synth
+from driftmark.plans import dashboard, protocol
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -584,6 +585,16 @@ def mcnemar_paired(spark, d):
     return scoring.mcnemar(p, "a", "b")
 
 
+_TAIL = "CASE WHEN z < 2 THEN 1 - exp(-z * z) * list_sum(list_transform(generate_series(0, 79), lambda n: z ^ (2 * n + 1) / gamma(n + 1.5))) ELSE exp(-z * z) / sqrt(pi()) / list_reduce(list_prepend(z, generate_series(80, 1, -1)::DOUBLE[]), lambda a, n: z + n / 2 / a) END"
+
+
+@query(f"WITH p AS (SELECT source, quality = CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS a, quality = CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS b FROM labels l JOIN documents d ON d.doc_id = l.doc_id), t AS (SELECT source, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b FROM p GROUP BY source), s AS (SELECT *, CASE WHEN only_a + only_b > 0 THEN CAST(abs(only_a - only_b) - 1 AS DOUBLE) ^ 2 / (only_a + only_b) ELSE 0 END AS statistic FROM t), z AS (SELECT *, sqrt(statistic / 2) AS z FROM s) SELECT source, only_a, only_b, round(log10({_TAIL}), 8) + 0.0 AS log_p FROM z")
+def mcnemar_p_values(spark, d):
+    met = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "n_chars", "lang"), "doc_id")
+    p = met.select("source", (F.col("quality") == (F.col("n_chars") > 1000).cast("int")).alias("a"), (F.col("quality") == (F.col("lang") == "en").cast("int")).alias("b"))
+    return scoring.with_p_value(scoring.mcnemar(p, "a", "b", ("source",))).select("source", "only_a", "only_b", (F.round(F.log10("p_value"), 8) + 0.0).alias("log_p"))
+
+
 # --- coverage and contracts ---------------------------------------------------------------------
 
 _STATUS, _PRIORITY = ["F", "O", "P", "X"], ["1-URGENT", "2-HIGH", "9-NONE"]
@@ -713,6 +724,19 @@ def explorer_filter_page(spark, d):
     return explore.page(explore.search(o, "U", ["o_orderpriority", "o_orderkey"]), [F.desc("o_totalprice"), "o_orderkey"], 3, 25)
 
 
+@query("WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'O' AND contains(lower(o_orderpriority || chr(10) || o_orderkey), 'u')) SELECT 'o_orderpriority' AS facet, o_orderpriority AS option, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT 'o_custkey', o_custkey::VARCHAR, count(*) FROM f GROUP BY ALL UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM f GROUP BY ALL")
+def facet_counts(spark, d):
+    """The option lists under a filter."""
+    o = table(spark, d, "orders").where("o_orderstatus = 'O'")
+    return explore.facets(explore.search(o, "U", ["o_orderpriority", "o_orderkey"]), ["o_orderpriority", "o_custkey", "o_orderstatus"])
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders WHERE (o_orderpriority, o_orderkey) > ('2-HIGH', 1000) ORDER BY o_orderpriority, o_orderkey LIMIT 50")
+def seek_page(spark, d):
+    """The page after a given row."""
+    return explore.seek(table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), ["o_orderpriority", "o_orderkey"], ("2-HIGH", 1000), 50)
+
+
 @query("SELECT format('D01_{:04d}', o_orderkey) AS id, 'D01' AS dataset, format('{:04d}', o_orderkey) AS base FROM orders")
 def id_format(spark, d):
     rid = table(spark, d, "orders").select(protocol.record_id("D01", F.col("o_orderkey")).alias("id"))
@@ -746,6 +770,28 @@ def tool_pairing(spark, d):
     return explore.tool_pairs(p, "a", "b").select("ID", "first", "second", "comparison")
 
 
+_REVIEWED = "p AS (SELECT 'D0' || (1 + l_orderkey % 3) || '_' || l_orderkey || '-' || ((l_linenumber + 1) // 2) AS id, 'D0' || (1 + l_orderkey % 3) AS dataset, l_linenumber % 2 AS a, CASE WHEN l_tax > 0.03 THEN 'CORRECT' ELSE 'ERROR' END AS st, CASE WHEN l_tax > 0.03 THEN 'none' WHEN l_discount > 0.05 THEN 'missing_field' ELSE 'wrong_target' END AS err, l_shipdate::DATE::VARCHAR AS note FROM lineitem), t AS (SELECT id, any_value(dataset) AS dataset, list(err) AS errs, string_agg(note, ' ') AS notes FROM p GROUP BY id), r AS (SELECT t.*, coalesce(x.st, 'NONE') AS first, coalesce(y.st, 'NONE') AS second FROM t LEFT JOIN p x ON x.id = t.id AND x.a = 1 LEFT JOIN p y ON y.id = t.id AND y.a = 0)"
+
+
+@query(f"WITH {_REVIEWED} SELECT id, first, second FROM r WHERE dataset = 'D02' AND second = 'ERROR' AND first = 'CORRECT' AND list_contains(errs, 'missing_field') AND contains(notes, '-02-')")
+def record_filters(spark, d):
+    """All filters of the review page at once: data set, comparison, a tool's status, an error class and a search in notes."""
+    rid = F.concat(F.lit("D0"), 1 + F.col("l_orderkey") % 3, F.lit("_"), F.concat_ws("-", "l_orderkey", F.floor((F.col("l_linenumber") + 1) / 2)))
+    right = F.col("l_tax") > 0.03
+    error = F.when(right, "none").when(F.col("l_discount") > 0.05, "missing_field").otherwise("wrong_target")
+    p = table(spark, d, "lineitem").select(rid.alias("ID"), F.when(F.col("l_linenumber") % 2 == 1, "a").otherwise("b").alias("CongCu"), F.when(right, "CORRECT").otherwise("ERROR").alias("DungSai"), error.alias("LoaiLoi"), F.col("l_shipdate").cast("date").cast("string").alias("GhiChu"), F.lit("").alias("DiaChiGoc"), F.lit("").alias("TruongDung"), F.lit("").alias("TruongDuDoan"))
+    found = dashboard.filtered(dashboard.records(p, "a", "b"), dataset="D02", comparison="first_only", second="ERROR", error="missing_field", term="-02-")
+    return found.select("id", "first", "second")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_name || ' ''x'' \"y\" é' || chr(10) END AS name, CASE WHEN c_custkey % 7 > 0 THEN '[' || c_nationkey || ', null, [\"a\"]]' END AS list FROM customer")
+def python_literals(spark, d):
+    """Dictionaries written as Python literals, every seventh cut off."""
+    text = F.concat(F.lit("{'tên': '"), "c_name", F.lit(" \\'x\\' \"y\" \\xe9\\n', \"list\": ["), F.col("c_nationkey").cast("string"), F.lit(", None, ('a',),],}"))
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, text).otherwise(F.left(text, F.length(text) - 2)).alias("t"))
+    return c.select("c_custkey", literals.value_of("t", "tên").alias("name"), F.regexp_replace(literals.value_of("t", "list"), ",(?! )", ", ").alias("list"))
+
+
 @query("SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
 def record_navigation(spark, d):
-    return explore.neighbours(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+    return order.neighbours(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")

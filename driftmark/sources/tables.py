@@ -7,11 +7,13 @@ people and other tools; between stages use write_table().
 from __future__ import annotations
 
 import json
+import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.functions import literals
 from driftmark.operators import contracts
 
 BOM = b"\xef\xbb\xbf"
@@ -31,17 +33,37 @@ def has_bom(path: str | Path) -> bool:
         return f.read(3) == BOM
 
 
-def write_csv(df: DataFrame, path: str | Path, overwrite: bool = False) -> None:
-    """One CSV file with a byte order mark and no index, row by row, so that the driver never holds the table."""
-    import csv
+def _spelled(c: str, kind: str) -> Column:
+    """A value as a CSV field, quoted where it has to be."""
+    text = F.coalesce(F.initcap(F.col(f"`{c}`").cast("string")) if kind == "boolean" else F.col(f"`{c}`").cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    target = guard(path, overwrite)
+
+def merged(lines: DataFrame, target: Path, head: bytes = b"") -> None:
+    """One file of the lines (one text column): executors write parts, whose bytes are put together in the order of the rows.
+
+    The file appears under its name when it is whole. No row comes to the driver.
+    """
     target.parent.mkdir(parents=True, exist_ok=True)
-    with open(target, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(df.columns)
-        for row in df.toLocalIterator():
-            out.writerow(["" if v is None else v for v in row])
+    parts, whole = target.with_name(f".{target.name}.parts"), target.with_name(f".{target.name}.part")
+    lines.write.mode("overwrite").option("compression", "none").text(str(parts))
+    with open(whole, "wb") as out:
+        out.write(head)
+        for p in sorted(parts.glob("part-*")):
+            with open(p, "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+    whole.replace(target)
+    shutil.rmtree(parts)
+
+
+def write_csv(df: DataFrame, path: str | Path, overwrite: bool = False) -> None:
+    """One CSV file with a byte order mark and no index."""
+    target = guard(path, overwrite)
+    line = F.concat_ws(",", *[_spelled(c, kind) for c, kind in df.dtypes])
+    if len(df.columns) == 1:  # an empty line would be no row
+        line = F.when(line == "", '""').otherwise(line)
+    names = ",".join('"' + c.replace('"', '""') + '"' if set(c) & set('",\n\r') else c for c in df.columns)
+    merged(df.select(line.alias("value")), target, BOM + names.encode() + b"\n")
 
 
 def guard(path: str | Path, overwrite: bool = False) -> Path:
@@ -69,12 +91,8 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_json_lines(df: DataFrame, path: str | Path, overwrite: bool = False) -> None:
-    """One file of JSON lines on the driver, row by row; write_jsonl() writes a folder from executors."""
-    target = guard(path, overwrite)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with open(target, "w", encoding="utf-8") as f:
-        for line in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
-            f.write(line[0] + "\n")
+    """One file of JSON lines; write_jsonl() writes a folder."""
+    merged(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), guard(path, overwrite))
 
 
 def read_receipts(spark: SparkSession, path: str, key: str = "Địa chỉ", column: str = "extractions") -> DataFrame:
@@ -88,21 +106,7 @@ def read_receipts(spark: SparkSession, path: str, key: str = "Địa chỉ", col
 
 def literal_field(df: DataFrame, column: str, key: str) -> DataFrame:
     """(text): a field of dictionaries written as Python literals; what cannot be read is null."""
-
-    @F.pandas_udf("string")
-    def field(s):
-        import ast
-
-        def one(x):
-            try:
-                value = ast.literal_eval(x).get(key)
-                return None if value is None else str(value)
-            except (ValueError, SyntaxError, TypeError, AttributeError):
-                return None
-
-        return s.map(one)
-
-    return df.select(field(column).alias("text"))
+    return df.select(literals.value_of(column, key).alias("text"))
 
 
 def read_addresses(spark: SparkSession, parquet: str | None, csv: str, column: str = "ChuoiDiaChi") -> DataFrame:
