@@ -21,14 +21,15 @@ _FREE = 0xF0000  # a private plane, whose characters have no values
 
 
 def char_class(chars) -> str:
-    """The inside of a character class of a pattern, as ranges."""
+    """The inside of a character class of a pattern, as ranges; characters stand for themselves, so that plans stay short."""
     ranges: list[list[int]] = []
     for c in sorted(map(ord, chars)):
         if ranges and c == ranges[-1][1] + 1:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    spelled = lambda c: chr(c) if c > 0xA0 else f"\\x{c:02x}"
+    return "".join(spelled(a) if a == b else f"{spelled(a)}-{spelled(b)}" for a, b in ranges)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,10 +37,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def looked_up(values: dict[str, str]) -> Callable[[Column], Column]:
-    """A look-up of a character's value, null without one."""
-    keys, numbers, data = "".join(values), "".join(chr(_FREE + i) for i in range(len(values))), _NONE.join(values.values())
-    return lambda char: let(F.translate(char, keys, numbers), lambda n: F.when(n != char, F.get(F.split(F.lit(data), _NONE), F.ascii(n) - _FREE)))
+# What follows writes SQL, which is parsed in one go; put together call by call it would take a
+# driver half a second each time. Names of lambda variables differ wherever they nest.
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _applied(text: Column, body: str) -> Column:
+    """The SQL body, in which t is the text."""
+    return F.call_function("transform", F.array(text), F.expr(f"t -> {body}"))[0]
+
+
+def _looked_up(values: dict[str, str], char: str, name: str) -> str:
+    """A character's value, null without one: by a hash table, that of translate(), to a number, and by that from an array."""
+    number = all(v.isdigit() for v in values.values())  # a small number needs no array
+    marks = "".join(chr(_FREE + (int(v) if number else i)) for i, v in enumerate(values.values()))
+    found = f"ascii({name}) - {_FREE}"
+    value = found if number else f"get(split({_quoted(_NONE.join(values.values()))}, {_quoted(_NONE)}), {found})"
+    return _let(name, f"translate({char}, {_quoted(''.join(values))}, {_quoted(marks)})", f"if({name} <> {char}, {value}, null)")
+
+
+def _chars(text: str, name: str) -> str:
+    return f"filter(split({text}, ''), {name} -> {name} <> '')"
+
+
+def _replaced(text: str, pattern: str, by: str) -> str:
+    """The text with each match h of the pattern replaced."""
+    hits = f"transform(regexp_extract_all({text}, {_quoted(pattern)}, 0), h -> {by})"
+    return f"array_join(zip_with(split({text}, {_quoted(pattern)}, -1), {hits}, (g, r) -> concat(g, coalesce(r, ''))), '')"
 
 
 @functools.cache
@@ -66,92 +97,58 @@ def _tables() -> dict:
     return {"order": {c: str(n) for c, n in order.items() if n}, "marks": marks, "changed": changed, "pairs": pairs, "seconds": seconds, "apart": apart}
 
 
-def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
-def _replaced(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
-    """The text with each match of the pattern replaced by a function of it."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(gaps, F.transform(hits, by), lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
-
-
 @functools.cache
-def _parts():
-    """Patterns (clusters, their pieces, what makes a cluster) and look-ups (order, apart, pairs)."""
+def _composition() -> str:
+    """The SQL of the composed form of t."""
     t = _tables()
-    marks, changed, seconds = char_class(t["marks"]), char_class(t["changed"]), char_class(t["seconds"])
-    vowel, tail = _HANGUL[1], _HANGUL[2]
-    joins = f"{marks}{seconds}\\x{{{vowel:x}}}-\\x{{{vowel + 20:x}}}\\x{{{tail + 1:x}}}-\\x{{{tail + 27:x}}}"
-    return f"(?s)[{changed}][{joins}]*+|[^{joins}]?[{joins}]++", f"(?s)[^{marks}][{marks}]*+|[{marks}]++", f"[{joins}{changed}]", looked_up(t["order"]), looked_up(t["apart"]), looked_up(t["pairs"])
-
-
-def _char(code: Column) -> Column:
-    """The character of a code point below 2^16."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-
-
-def _syllable(a: Column, b: Column) -> Column:
-    """What two parts of a Hangul syllable make, null if nothing."""
-    lead, vowel, tail, syllable = _HANGUL
-    inside = lambda c, first, n: (c >= first) & (c < first + n)
-    return F.when(inside(a, lead, 19) & inside(b, vowel, 21), _char(syllable + ((a - lead) * 21 + b - vowel) * 28)).when(inside(a, syllable, 11172) & ((a - syllable) % 28 == 0) & inside(b, tail + 1, 27), _char(a + b - tail))
-
-
-def _cluster(x: Column) -> Column:
-    """A character and what may join it: taken apart, marks put into their order, composed."""
-    _, pieces, _, order, apart, pairs = _parts()
-    chars = lambda p: F.flatten(F.transform(_chars(p), lambda c: let(apart(c), lambda d: F.when(d.isNull(), F.array(c)).otherwise(_chars(d)))))
-    rank = lambda c, i: F.struct(F.coalesce(order(c).cast("int"), F.lit(0)).alias("o"), i.alias("i"), c.alias("c"))
-    ranked = F.flatten(F.transform(F.regexp_extract_all(x, F.lit(pieces), F.lit(0)), lambda p: F.array_sort(F.transform(chars(p), rank))))
-
-    def joined(a, b):
-        pair = let(pairs(a), lambda row: let(F.instr(row, b), lambda at: F.when(at > 0, F.substr(row, at + 1, F.lit(1)))))
-        return F.coalesce(pair, _syllable(F.ascii(a), F.ascii(b)))
-
-    def compose(all_):
-        # s: the latest starter as composed so far, at its place in all_; last: the order of the last mark after it that did
-        # not join; i: the place; changes: places whose character became another one or went into one.
-        start = F.struct(F.lit("").alias("s"), F.lit(-1).alias("at"), F.lit(0).alias("last"), F.lit(0).alias("i"), F.array().cast("array<struct<at:int,c:string>>").alias("changes"))
-        put = lambda at, c: F.array(F.struct(at.alias("at"), c.alias("c")))
-
-        def step(a, m):
-            free = (a["at"] >= 0) & F.when(m["o"] > 0, a["last"] < m["o"]).otherwise(a["last"] == 0)
-
-            def after(n):
-                fresh = n.isNull() & (m["o"] == 0)
-                changes = F.when(n.isNotNull(), F.concat(F.filter(a["changes"], lambda x: x["at"] != a["at"]), put(a["at"], n), put(a["i"], F.lit("")))).otherwise(a["changes"])
-                return F.struct(F.when(fresh, m["c"]).otherwise(F.coalesce(n, a["s"])).alias("s"), F.when(fresh, a["i"]).otherwise(a["at"]).alias("at"), F.when(fresh, F.lit(0)).when(n.isNull(), m["o"]).otherwise(a["last"]).alias("last"), (a["i"] + 1).alias("i"), changes.alias("changes"))
-
-            return let(F.when(free, joined(a["s"], m["c"])), after)
-
-        def done(a):
-            new = lambda m, i: F.coalesce(F.try_element_at(F.filter(a["changes"], lambda x: x["at"] == i), F.lit(1))["c"], m["c"])
-            return F.array_join(F.transform(all_, new), "")
-
-        return F.aggregate(all_, start, step, done)
-
-    return let(ranked, compose)
+    lead, vowel, final, syllable = _HANGUL
+    seconds = {*t["seconds"], *map(chr, (*range(vowel, vowel + 21), *range(final + 1, final + 28)))}
+    marks, changed, joins = char_class(t["marks"]), char_class(t["changed"]), char_class({*t["marks"], *seconds})
+    clusters, pieces, any_ = f"(?s)[{changed}][{joins}]*+|[^{joins}]?[{joins}]++", f"(?s)[^{marks}][{marks}]*+|[{marks}]++", f"[{char_class({*t['marks'], *seconds, *t['changed']})}]"
+
+    # A cluster taken apart, its marks put into their order: (o, i, c) of each character.
+    chars = f"flatten(transform({_chars('p', 'z')}, k -> {_let('d', _looked_up(t['apart'], 'k', 'n1'), 'if(d is null, array(k), ' + _chars('d', 'w') + ')')}))"
+    ranked = f"flatten(transform(regexp_extract_all(h, {_quoted(pieces)}, 0), p -> array_sort(transform({chars}, (c, i) -> named_struct('o', coalesce({_looked_up(t['order'], 'c', 'n2')}, 0), 'i', i, 'c', c)))))"
+
+    # What the latest starter a.s and m.c make: by table, or as parts of a Hangul syllable.
+    pair = _let("row", _looked_up(t["pairs"], "a.s", "n3"), _let("place", "instr(row, m.c)", "if(place > 0, substr(row, place + 1, 1), null)"))
+    char = lambda code: f"decode(unhex(lpad(hex({code}), 4, '0')), 'UTF-16BE')"
+    x, y = "ascii(a.s)", "ascii(m.c)"
+    inside = lambda v, first, n: f"{v} between {first} and {first + n - 1}"
+    lv = char(f"{syllable} + (({x} - {lead}) * 21 + {y} - {vowel}) * 28")
+    lvt = char(f"{x} + {y} - {final}")
+    hangul = f"case when {inside(x, lead, 19)} and {inside(y, vowel, 21)} then {lv} when {inside(x, syllable, 11172)} and ({x} - {syllable}) % 28 = 0 and {inside(y, final + 1, 27)} then {lvt} end"
+
+    # s: the latest starter as composed so far, at its place in the cluster; last: the order of the last mark after it that
+    # did not join; i: the place; changes: places whose character became another one or went into one.
+    start = "named_struct('s', '', 'at', -1, 'last', 0, 'i', 0, 'changes', cast(array() as array<struct<at:int,c:string>>))"
+    free = "a.at >= 0 and if(m.o > 0, a.last < m.o, a.last = 0)"
+    changes = "if(n is not null, concat(filter(a.changes, v -> v.at <> a.at), array(named_struct('at', a.at, 'c', n), named_struct('at', a.i, 'c', ''))), a.changes)"
+    fresh = "n is null and m.o = 0"
+    after = f"named_struct('s', if({fresh}, m.c, coalesce(n, a.s)), 'at', if({fresh}, a.i, a.at), 'last', case when {fresh} then 0 when n is null then m.o else a.last end, 'i', a.i + 1, 'changes', {changes})"
+    step = _let("n", f"if({free}, coalesce({pair}, {hangul}), null)", after)
+    done = "array_join(transform(cs, (e, j) -> coalesce(try_element_at(filter(b.changes, v -> v.at = j), 1).c, e.c)), '')"
+    cluster = _let("cs", ranked, f"aggregate(cs, {start}, (a, m) -> {step}, b -> {done})")
+    return f"if(t rlike {_quoted(any_)}, {_replaced('t', clusters, cluster)}, t)"
 
 
 def composed(text: Column) -> Column:
     """The text in composed form (NFC). It must not be null."""
-    clusters, _, any_, *_ = _parts()
-    return F.when(text.rlike(any_), _replaced(text, clusters, _cluster)).otherwise(text)
+    return _applied(text, _composition())
 
 
 @functools.cache
-def _folds() -> tuple[str, str, str, Callable[[Column], Column]]:
-    """(characters, what each of them folds to) after lower-casing, and the class and look-up of those that fold to several."""
+def _folding() -> str:
+    """The SQL of t, already in lower case, with the rest of its case distinctions removed."""
     fixes = {chr(c): chr(c).casefold() for c in range(0x110000) if c not in _SURROGATES and chr(c).lower() == chr(c) and chr(c).casefold() != chr(c)}
     one = {a: b for a, b in fixes.items() if len(b) == 1}
     more = {a: b for a, b in fixes.items() if len(b) > 1}
-    return "".join(one), "".join(one.values()), f"[{char_class(more)}]", looked_up(more)
+    several = f"[{char_class(more)}]"
+    plain = f"translate(t, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    full = f"if(u rlike {_quoted(several)}, {_replaced('u', several, _looked_up(more, 'h', 'n1'))}, u)"
+    return f"if(t rlike '[^\\\\x00-\\\\x7f]', {_let('u', plain, full)}, t)"
 
 
 def casefolded(text: Column) -> Column:
     """The text with all case distinctions removed (full case folding). It must not be null."""
-    one, to, several, more = _folds()
-    low = F.lower(text)
-    plain = F.when(low.rlike("[^\\x00-\\x7f]"), F.translate(low, one, to)).otherwise(low)
-    return let(plain, lambda t: F.when(t.rlike(several), _replaced(t, several, more)).otherwise(t))
+    return _applied(F.lower(text), _folding())

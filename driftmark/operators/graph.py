@@ -16,12 +16,12 @@ NAMES = ("old_ward", "old_district", "old_province", "new_province", "new_ward",
 def mapping_edges(mapping: DataFrame) -> DataFrame:
     """The mapping table with plain names, cleaned values, keys of both ends and the order of rows (ord).
 
-    Exact repeats are dropped, the first stays.
+    Exact repeats are dropped, the first stays. The table is written down once, as look-ups use it several times.
     """
     rows = mapping.select([F.col(f"`{c}`").alias(n) for c, n in zip(COLUMNS, NAMES, strict=True)] + [F.monotonically_increasing_id().alias("ord") if "ord" not in mapping.columns else F.col("ord")])
     once = rows.groupBy(*NAMES).agg(F.min("ord").alias("ord"))
     clean = once.select(*[T.clean_value(n).alias(n) for n in NAMES], "ord")
-    return clean.withColumns({"old_key": F.struct(T.province_key("old_province").alias("p"), T.normalise_text("old_district").alias("d"), T.normalise_text("old_ward").alias("w")), "new_key": F.struct(T.province_key("new_province").alias("p"), T.normalise_text("new_ward").alias("w"))})
+    return order.cut(clean.withColumns({"old_key": F.struct(T.province_key("old_province").alias("p"), T.normalise_text("old_district").alias("d"), T.normalise_text("old_ward").alias("w")), "new_key": F.struct(T.province_key("new_province").alias("p"), T.normalise_text("new_ward").alias("w"))}))
 
 
 def relation(out_degree: Column, in_degree: Column) -> Column:
