@@ -97,6 +97,16 @@ def _tables() -> dict:
     return {"order": {c: str(n) for c, n in order.items() if n}, "marks": marks, "changed": changed, "pairs": pairs, "seconds": seconds, "apart": apart}
 
 
+def _gaps(chars: set[str], least: int = 256) -> str:
+    """The inside of a class of most characters that are not among the given ones: the long stretches between them.
+
+    A class of many ranges is tried range by range for each character; this one is short.
+    """
+    points = [-1, *sorted(map(ord, chars)), 0x110000]
+    spelled = lambda c: f"\\x{{{c:x}}}"
+    return "".join(f"{spelled(a + 1)}-{spelled(b - 1)}" for a, b in zip(points, points[1:], strict=False) if b - a > least)
+
+
 @functools.cache
 def _composition() -> str:
     """The SQL of the composed form of t."""
@@ -104,7 +114,8 @@ def _composition() -> str:
     lead, vowel, final, syllable = _HANGUL
     seconds = {*t["seconds"], *map(chr, (*range(vowel, vowel + 21), *range(final + 1, final + 28)))}
     marks, changed, joins = char_class(t["marks"]), char_class(t["changed"]), char_class({*t["marks"], *seconds})
-    clusters, pieces, any_ = f"(?s)[{changed}][{joins}]*+|[^{joins}]?[{joins}]++", f"(?s)[^{marks}][{marks}]*+|[{marks}]++", f"[{char_class({*t['marks'], *seconds, *t['changed']})}]"
+    clusters, pieces = f"(?s)[{changed}][{joins}]*+|[^{joins}]?[{joins}]++", f"(?s)[^{marks}][{marks}]*+|[{marks}]++"
+    plain = _gaps({*t["marks"], *seconds, *t["changed"]})
 
     # A cluster taken apart, its marks put into their order: (o, i, c) of each character.
     chars = f"flatten(transform({_chars('p', 'z')}, k -> {_let('d', _looked_up(t['apart'], 'k', 'n1'), 'if(d is null, array(k), ' + _chars('d', 'w') + ')')}))"
@@ -129,7 +140,7 @@ def _composition() -> str:
     step = _let("n", f"if({free}, coalesce({pair}, {hangul}), null)", after)
     done = "array_join(transform(cs, (e, j) -> coalesce(try_element_at(filter(b.changes, v -> v.at = j), 1).c, e.c)), '')"
     cluster = _let("cs", ranked, f"aggregate(cs, {start}, (a, m) -> {step}, b -> {done})")
-    return f"if(t rlike {_quoted(any_)}, {_replaced('t', clusters, cluster)}, t)"
+    return f"if(t rlike {_quoted(f'[^{plain}]')}, {_replaced('t', clusters, cluster)}, t)"
 
 
 def composed(text: Column) -> Column:
@@ -145,7 +156,7 @@ def _folding() -> str:
     more = {a: b for a, b in fixes.items() if len(b) > 1}
     several = f"[{char_class(more)}]"
     plain = f"translate(t, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
-    full = f"if(u rlike {_quoted(several)}, {_replaced('u', several, _looked_up(more, 'h', 'n1'))}, u)"
+    full = f"if(u rlike {_quoted(f'[^{_gaps(set(more), 64)}]')}, {_replaced('u', several, _looked_up(more, 'h', 'n1'))}, u)"
     return f"if(t rlike '[^\\\\x00-\\\\x7f]', {_let('u', plain, full)}, t)"
 
 
