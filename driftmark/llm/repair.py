@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of token ids, per shard, with random-access decoding.
 
-Frequent pairs of adjacent ids become nonterminals, for at most ``rounds`` rounds or until they no
-longer pay; pairs never span documents. A segment file holds the rules and the expansion length of each of them, so a
+Frequent pairs of adjacent ids become nonterminals, round after round, until no pair pays for its
+rule; pairs never span documents. A segment file holds the rules and the expansion length of each of them, so a
 document, or a stretch of one, is decoded alone.
 
 File (little-endian): magic ``RPG1``; u32 width of a symbol (2 or 4), documents, rules, first
@@ -49,24 +49,25 @@ def _found(keys, chosen, bits: int = 18):
     return places, at[places].astype("i8")
 
 
-def compress(ids, ends, base: int, rounds: int = 3, per_round: int = 6144, least: int = 4):
+def compress(ids, ends, base: int, per_round: int = 6144, least: int = 5):
     """(symbols, ends, rules, expansion lengths) of ids; ``ends``: one past the last id of each document.
 
-    A round replaces up to ``per_round`` of the most frequent pairs at once. With 16-bit ids it stops
-    when 16 bits are used up.
+    A round replaces up to ``per_round`` of the most frequent pairs at once. Rounds go on until no pair
+    is left that stands ``least`` times without overlapping itself: a rule takes the bytes of four
+    symbols (its pair and its length), so fewer places do not pay. Where 16 bits are used up, symbols
+    become 32 bits wide if all pairs that are left, taken together, could save what that costs;
+    otherwise none of them pays any more.
     """
     import numpy as np
 
     ends = np.asarray(ends, "i8")
     narrow = base < 1 << 16
     s = np.asarray(ids).astype("u2" if narrow else "u4")
-    room = (1 << 16 if narrow else 1 << 31) - base
-    kind, shift, low = ("u4", 16, 0xFFFF) if narrow else ("u8", 32, 0xFFFFFFFF)
     rules, sizes = np.zeros((0, 2), "u4"), np.zeros(0, "u4")
-    for _ in range(rounds):
-        k = min(per_round, room - len(rules))
-        if len(s) < 2 or k <= 0:
-            break
+    barred = np.zeros(0, "u8")  # pairs that turned out to overlap themselves or others too often
+    while len(s) > 1:
+        room = (1 << 16 if narrow else 1 << 31) - base - len(rules)
+        kind, shift, low = ("u4", 16, 0xFFFF) if narrow else ("u8", 32, 0xFFFFFFFF)
         pair = s[:-1].astype(kind) << shift
         pair |= s[1:]
         inner = np.ones(len(pair), bool)
@@ -76,35 +77,48 @@ def compress(ids, ends, base: int, rounds: int = 3, per_round: int = 6144, least
             break
         edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
         value, count = order[edge], np.diff(np.append(edge, len(order)))
-        often = np.flatnonzero(count >= least)
-        if len(often) > k:
-            often = often[np.lexsort((value[often], -count[often]))[:k]]
+        wide = value.astype("u8") if not narrow else (value.astype("u8") >> 16 << 32) | (value.astype("u8") & 0xFFFF)
+        often = np.flatnonzero((count >= least) & ~np.isin(wide, barred))
         if not len(often):
             break
-        chosen = np.sort(value[often])
+        if not room:
+            if 4 * int(count[often].sum()) <= 2 * (len(s) + 2 * len(rules)):
+                break
+            narrow, s = False, s.astype("u4")
+            continue
+        k = min(per_round, room)
+        if len(often) > k:
+            often = np.sort(often[np.lexsort((value[often], -count[often]))[:k]])
+        chosen = value[often]
         where, rule = _found(pair, chosen)
         own = inner[where]
         where, rule = where[own], rule[own]
         run = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1]))
         odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1
         where, rule = where[odd == 0], rule[odd == 0]  # of overlapping places every other one is taken
-        keep = np.bincount(rule, minlength=len(chosen)) >= least - 1
+        keep = np.bincount(rule, minlength=len(chosen)) >= least
+        if not keep.any():
+            # Alone a pair may still have its places: the most frequent one is taken by itself, or never.
+            best = int(np.argmax(count[often]))
+            where = np.flatnonzero(inner & (pair == chosen[best]))
+            run = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1]))
+            where = where[((np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1) == 0]
+            if len(where) < least:
+                barred = np.append(barred, wide[often[best]])
+                continue
+            rule = np.full(len(where), best)
+            keep = np.arange(len(chosen)) == best
         number = np.cumsum(keep) - 1
         where, rule = where[keep[rule]], number[rule[keep[rule]]]
-        if not len(where):
-            break
         left, right = (chosen[keep] >> shift).astype("i8"), (chosen[keep] & low).astype("i8")
         every = np.concatenate([np.ones(base, "u4"), sizes])
         sizes = np.concatenate([sizes, every[left] + every[right]])
         s[where] = base + len(rules) + rule
         stay = np.ones(len(s), bool)
         stay[where + 1] = False
-        before = len(s)
         ends = ends - np.searchsorted(where + 1, ends)
         s = s[stay]
         rules = np.concatenate([rules, np.stack([left, right], 1).astype("u4")])
-        if len(s) > 0.98 * before:
-            break
     return s, ends, rules, sizes
 
 
