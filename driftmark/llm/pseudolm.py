@@ -8,8 +8,8 @@ words every task knows the count, those of all others are looked up by a join. T
 (embeddings, one tanh layer, a softmax over classes and one within the class) is trained by every
 partition on its own masked positions, in each round another share of all words, over all rounds
 every word of all documents once, and averaged over the partitions by their number of positions. So
-the weights depend on how the table is split into partitions, as far as averages of networks do;
-the same files give the same weights.
+the weights, and in small measure the scores, depend on how Spark splits the table into partitions
+(files, cores and split sizes): the same splits of the same files give the same weights.
 
 Texts are read twice, to count words and to turn them into symbols, which are stored; training and
 scoring read those.
