@@ -43,8 +43,10 @@ def waterfall(rules: list[tuple[str, Column]], otherwise: str) -> Column:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key, in the given order."""
-    return df.withColumn("dm_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("dm_r = 1").drop("dm_r")
+    """The first row of each key, in the given order (which tells all rows of a key apart); a partial aggregate, so a key of many rows is no burden."""
+    others = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("dm_first"))
+    return first.select([F.col(c) if c in keys else F.col(f"dm_first.`{c}`") for c in df.columns])
 
 
 def same_place(a: str, b: str) -> Column:

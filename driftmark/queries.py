@@ -108,6 +108,17 @@ def edge_lookup_join(spark, d):
     return graph.edge_of(graph.resolve_target(o, m, "np", "nw"), m, "op", "od", "ow").select("o_orderkey", F.col("edge.relation").alias("relation"))
 
 
+@query("WITH m AS (SELECT 'p' || c_nationkey AS op, CASE WHEN c_custkey % 211 = 0 THEN '' ELSE 'd' || c_custkey % 5 END AS od, 'w' || c_custkey % 40 AS ow, 'n' || (c_nationkey // 3 + CASE WHEN c_custkey % 97 = 0 THEN 1 ELSE 0 END) AS np, CASE WHEN c_custkey % 307 = 0 THEN '' ELSE 'v' || c_custkey % 25 END AS nw, CASE WHEN c_custkey % 3 > 0 THEN 'T' || c_custkey % 700 ELSE '' END AS code FROM customer) SELECT 'missing_identity' AS rule, op || '|' || od || '|' || ow AS key FROM m WHERE od = '' OR nw = '' UNION ALL SELECT 'code_conflict', code FROM m WHERE code <> '' GROUP BY code HAVING count(DISTINCT np) > 1 OR count(DISTINCT nw) > 1 UNION ALL SELECT 'province_conflict', op FROM m GROUP BY op HAVING count(DISTINCT np) > 1")
+def mapping_violations(spark, d):
+    """Customers as rows of a mapping table, each twice, with gaps and conflicts."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    gone = lambda m, v: F.when(k % m == 0, F.lit("")).otherwise(v)
+    code = F.when(k % 3 > 0, _named("T", k % 700)).otherwise("")
+    values = (_named("w", k % 40), gone(211, _named("d", k % 5)), _named("p", n), _named("n", F.floor(n / 3) + (k % 97 == 0).cast("int")), gone(307, _named("v", k % 25)), _named("", k), code, F.lit("gop"), F.lit(""))
+    rows = table(spark, d, "customer").select(*[v.alias(c) for c, v in zip(graph.COLUMNS, values, strict=True)], k.alias("ord"))
+    return graph.mapping_violations(graph.mapping_edges(rows.union(rows)))
+
+
 # --- text ---------------------------------------------------------------------------------------
 
 _ADDRESS = "a AS (SELECT c_custkey, '  ' || c_name || '   Street, ' AS street, 'Phường  ' || c_mktsegment AS ward, 'TP. ' || n_name || ' ,' AS city, CASE WHEN c_acctbal > 0 THEN 'Quận ' || r_name ELSE '' END AS district, c_custkey % 97 || '/' || c_custkey % 7 AS house, c_acctbal, c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"
@@ -188,6 +199,31 @@ def house_split(spark, d):
     return a.select("c_custkey", house.alias("house"), street.alias("street"))
 
 
+@query(f"WITH {_ADDRESS}, f AS (SELECT c_custkey, trim(regexp_replace(" + _ACCENT_SQL.format("regexp_replace(lower(CASE WHEN c_custkey % 3 > 0 THEN c_custkey || CASE WHEN c_custkey % 2 = 0 THEN 'B' ELSE '' END || ', ' ELSE '' END || street), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g')") + ", '\\s+', ' ', 'g')) AS k FROM a) SELECT c_custkey, nullif(regexp_extract(k, '^[0-9]+[a-z]?(?:[/-][0-9]+[a-z]?)*\\b'), '') AS house, split_part(CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'way:' || c_custkey END, ':', 1) AS part, CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE 'way' END AS kind FROM f")
+def house_keys(spark, d):
+    """Leading house numbers of fuzzy keys, and the kinds of fingerprints."""
+    k = F.col("c_custkey")
+    line = F.concat(F.when(k % 3 > 0, F.concat(k.cast("string"), F.when(k % 2 == 0, "B").otherwise(""), F.lit(", "))).otherwise(""), "street")
+    mark = F.when(k % 4 == 0, "").otherwise(_named("way:", k))
+    return _address(spark, d).select("c_custkey", T.house_key(T.fuzzy_key(line)).alias("house"), F.split_part(mark, F.lit(":"), F.lit(1)).alias("part"), T.kind_before_colon(mark).alias("kind"))
+
+
+_SCAN = "CASE c_custkey % 5 WHEN 0 THEN 'VM+ QNH 12 ' || c_name || chr(10) || c_mktsegment || chr(10) || c_mktsegment WHEN 1 THEN c_name || ', 0912.345.678 ,, ' || c_mktsegment WHEN 2 THEN '\"' || c_name || '\" ' || chr(10) || ' - ' || c_mktsegment || ' -.' WHEN 3 THEN 'CS1: ' || c_name || ' +84 91 2345 67890' ELSE '  ' || c_name || '  ' || chr(10) || chr(10) || c_name END"
+_SCANNED = "array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ')"
+for _pattern in (T.PHONE, *T.TILLS, "[\"']", r"(?U)^[,\-+.\s]+|[,\-+.\s]+$"):
+    _SCANNED = f"regexp_replace({_SCANNED}, '{_pattern.replace('(?iuU)', '(?i)').replace('(?U)', '').replace(chr(39), chr(39) * 2)}', '', 'g')"
+_SCANNED = f"trim(regexp_replace(regexp_replace({_SCANNED}, '\\s*,\\s*', ', ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"WITH s AS (SELECT c_custkey, list_filter(list_transform(string_split({_SCAN}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM customer) SELECT c_custkey, {_SCANNED} AS address FROM s")
+def receipt_cleaner(spark, d):
+    """Names of customers as they might stand on receipts."""
+    n, m, k = F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey") % 5
+    parts = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    text = F.when(k == 0, parts("VM+ QNH 12 ", n, "\n", m, "\n", m)).when(k == 1, parts(n, ", 0912.345.678 ,, ", m)).when(k == 2, parts('"', n, '" \n - ', m, " -.")).when(k == 3, parts("CS1: ", n, " +84 91 2345 67890")).otherwise(parts("  ", n, "  \n\n", n))
+    return table(spark, d, "customer").select("c_custkey", T.clean_receipt(text).alias("address"))
+
+
 _MARKERS = {"mail": "@", "phone": r"\+1", "digits": "[0-9]{4}", "shout": "[A-Z]{6}", "licence": "(?i)licen[sc]e"}
 _NONE = {"no_contact": ("mail", "phone"), "no_number": ("digits",)}
 _M = ", ".join(f"count(*) FILTER (regexp_matches(t, '{p}')) AS {n}" for n, p in _MARKERS.items())
@@ -257,6 +293,32 @@ def history_diff(spark, d):
     return history.changed(_states(spark, d), ["kind"]).select("user_id", F.col("old.kind").alias("old_kind"), F.col("new.kind").alias("new_kind"))
 
 
+#: Events as address states of users: fields by event, some without a state.
+_STATES = """h AS (SELECT user_id, arg_max_null(s, event_id) FILTER (ts <= TIMESTAMP '2024-01-15') AS o, arg_max_null(s, event_id) FILTER (ts > TIMESTAMP '2024-01-15') AS n FROM (SELECT *, CASE WHEN value > 10 THEN {'house': CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(event_id % 50 AS VARCHAR) END, 'street': 'S ' || event_type, 'ward': 'W' || event_id % 3, 'district': 'D' || event_id % 2, 'city': 'nation_' || event_id % 6, 'full_address': 'A' || event_id, 'geometry': CASE WHEN event_id % 7 = 0 THEN '' ELSE 'g' || event_id % 5 END} END AS s FROM events) GROUP BY user_id)"""
+_REGION_SQL = "CASE WHEN contains({0}, 'nation_1') OR contains({0}, 'nation_2') THEN 'Bac' WHEN contains({0}, 'building') OR contains({0}, 'nation_3') THEN 'Trung' WHEN contains({0}, 'nation_4') OR contains({0}, 'machinery') THEN 'Nam' ELSE 'Khac' END"
+
+
+def _user_pairs(spark, d):
+    e = F.col("event_id")
+    fields = {"house": F.when(e % 3 == 0, "").otherwise((e % 50).cast("string")), "street": F.concat(F.lit("S "), "event_type"), "ward": _named("W", e % 3), "district": _named("D", e % 2), "city": _named("nation_", e % 6), "full_address": _named("A", e), "geometry": F.when(e % 7 == 0, "").otherwise(_named("g", e % 5))}
+    state = F.when(F.col("value") > 10, F.struct(*[v.alias(k) for k, v in fields.items()]))
+    pairs = history.before_after(table(spark, d, "events"), ["user_id"], "event_id", "ts", state, F.expr("TIMESTAMP_NTZ '2024-01-15'"))
+    return pairs.select(F.lit("node").alias("osm_type"), F.col("user_id").alias("osm_id"), "old", "new")
+
+
+@query(f"WITH {_STATES} SELECT 'node' AS \"OSM_Type\", CAST(user_id AS VARCHAR) AS \"OSM_ID\", o.house AS \"SoNha\", o.street AS \"TenDuong\", o.ward AS \"PhuongXa\", o.district AS \"QuanHuyen\", o.city AS \"TinhThanh\", o.full_address AS \"ChuoiDiaChi\", o.geometry AS \"HinhHoc\", {_REGION_SQL.format("(o.city || ' ' || lower(o.full_address))")} AS \"VungMien\" FROM h WHERE o IS NOT NULL")
+def snapshot_columns(spark, d):
+    return history.snapshot(_user_pairs(spark, d), _REGIONS)
+
+
+_KNOWN = "(o.geometry <> '' AND n.geometry <> '')"
+
+
+@query(f"WITH {_STATES}, c AS (SELECT *, CASE WHEN n.house <> '' THEN n.house ELSE o.house END AS house, CASE WHEN n.street <> '' THEN n.street ELSE o.street END AS street, CASE WHEN n.city <> '' THEN n.city ELSE o.city END AS city FROM h WHERE o IS NOT NULL AND n IS NOT NULL AND (o.ward <> n.ward OR o.district <> n.district OR o.city <> n.city)) SELECT 'node' AS \"OSM_Type\", CAST(user_id AS VARCHAR) AS \"OSM_ID\", house AS \"SoNha\", street AS \"TenDuong\", " + ", ".join(f'{s}.{a} AS "{b}_{t}"' for s, t in (("o", "Cu"), ("n", "Moi")) for a, b in (("ward", "PhuongXa"), ("district", "QuanHuyen"), ("city", "TinhThanh"), ("full_address", "DiaChi"))) + f", o.geometry AS \"HinhHoc_Cu\", n.geometry AS \"HinhHoc_Moi\", CASE WHEN {_KNOWN} THEN 'True' ELSE 'False' END AS \"HinhHocCoDuLieu\", CASE WHEN {_KNOWN} AND o.geometry <> n.geometry THEN 'True' ELSE 'False' END AS \"HinhHocThayDoi\", {_REGION_SQL.format('city')} AS \"VungMien\", 'events' AS \"Nguon\" FROM c")
+def difference_columns(spark, d):
+    return history.difference(_user_pairs(spark, d), _REGIONS, "events")
+
+
 @query("SELECT l_orderkey, 'way:' || sha256(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey)) AS fingerprint FROM lineitem GROUP BY l_orderkey")
 def geometry_fingerprint(spark, d):
     refs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
