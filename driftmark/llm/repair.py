@@ -49,6 +49,15 @@ def _found(keys, chosen, bits: int = 18):
     return places, at[places].astype("i8")
 
 
+def _apart(where, rule):
+    """Of places next to each other every other one, so that no two overlap."""
+    import numpy as np
+
+    run = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1])) if len(where) else np.zeros(0, "i8")
+    odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1
+    return where[odd == 0], rule[odd == 0]
+
+
 def compress(ids, ends, base: int, per_round: int = 6144, least: int = 5):
     """(symbols, ends, rules, expansion lengths) of ids; ``ends``: one past the last id of each document.
 
@@ -64,55 +73,66 @@ def compress(ids, ends, base: int, per_round: int = 6144, least: int = 5):
     narrow = base < 1 << 16
     s = np.asarray(ids).astype("u2" if narrow else "u4")
     rules, sizes = np.zeros((0, 2), "u4"), np.zeros(0, "u4")
-    barred = np.zeros(0, "u8")  # pairs that turned out to overlap themselves or others too often
+    fresh = None  # where only pairs with a symbol of the latest round can have become frequent, the first of these symbols
     while len(s) > 1:
         room = (1 << 16 if narrow else 1 << 31) - base - len(rules)
         kind, shift, low = ("u4", 16, 0xFFFF) if narrow else ("u8", 32, 0xFFFFFFFF)
-        pair = s[:-1].astype(kind) << shift
-        pair |= s[1:]
-        inner = np.ones(len(pair), bool)
-        inner[ends[(ends > 0) & (ends < len(s))] - 1] = False
-        order = np.sort(pair[inner])
-        if not len(order):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+        inner = np.ones(len(s), bool)
+        inner[ends[ends > 0] - 1] = False
+        if fresh is None:
+            pair = s[:-1].astype(kind) << shift
+            pair |= s[1:]
+            order = np.sort(pair[inner[:-1]])
+        else:
+            at = np.flatnonzero(s >= fresh)
+            at = np.union1d(at, at - 1)
+            at = at[(at >= 0) & (at < len(s) - 1)]
+            at = at[inner[at]]
+            pair = (s[at].astype(kind) << shift) | s[at + 1]
+            order = np.sort(pair)
+        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, "i8")
         value, count = order[edge], np.diff(np.append(edge, len(order)))
-        wide = value.astype("u8") if not narrow else (value.astype("u8") >> 16 << 32) | (value.astype("u8") & 0xFFFF)
-        often = np.flatnonzero((count >= least) & ~np.isin(wide, barred))
-        if not len(often):
-            break
-        if not room:
+        often = np.flatnonzero(count >= least)
+        if not room and len(often):
             if 4 * int(count[often].sum()) <= 2 * (len(s) + 2 * len(rules)):
                 break
-            narrow, s = False, s.astype("u4")
+            narrow, s, fresh = False, s.astype("u4"), None
             continue
         k = min(per_round, room)
-        if len(often) > k:
+        capped = len(often) > k
+        if capped:
             often = np.sort(often[np.lexsort((value[often], -count[often]))[:k]])
-        chosen = value[often]
-        where, rule = _found(pair, chosen)
-        own = inner[where]
-        where, rule = where[own], rule[own]
-        run = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1]))
-        odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1
-        where, rule = where[odd == 0], rule[odd == 0]  # of overlapping places every other one is taken
-        keep = np.bincount(rule, minlength=len(chosen)) >= least
-        if not keep.any():
-            # Alone a pair may still have its places: the most frequent one is taken by itself, or never.
-            best = int(np.argmax(count[often]))
-            where = np.flatnonzero(inner & (pair == chosen[best]))
-            run = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1]))
-            where = where[((np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1) == 0]
-            if len(where) < least:
-                barred = np.append(barred, wide[often[best]])
-                continue
-            rule = np.full(len(where), best)
-            keep = np.arange(len(chosen)) == best
-        number = np.cumsum(keep) - 1
-        where, rule = where[keep[rule]], number[rule[keep[rule]]]
+        where = rule = np.zeros(0, "i8")
+        if len(often):
+            chosen = value[often]
+            places, rule = _found(pair, chosen)
+            if fresh is None:
+                own = inner[places]
+                where, rule = places[own], rule[own]
+            else:
+                where = at[places]
+            capped |= np.bincount(rule, minlength=len(chosen)).min() == 0  # pairs that shared a slot
+            where, rule = _apart(where, rule)
+            keep = np.bincount(rule, minlength=len(chosen)) >= least
+            if not keep.any():
+                # Others took their places from all of them: the first that has enough by itself is taken alone.
+                for one in np.lexsort((value[often], -count[often])).tolist():
+                    where = np.flatnonzero(pair == chosen[one])
+                    where = where[inner[where]] if fresh is None else at[where]
+                    where, rule = _apart(where, np.full(len(where), one))
+                    if len(where) >= least:
+                        keep[one] = True
+                        break
+            where, rule = where[keep[rule]], (np.cumsum(keep) - 1)[rule[keep[rule]]]
+        if not len(where):
+            if fresh is None:
+                break
+            fresh = None  # a last look at all pairs
+            continue
         left, right = (chosen[keep] >> shift).astype("i8"), (chosen[keep] & low).astype("i8")
         every = np.concatenate([np.ones(base, "u4"), sizes])
         sizes = np.concatenate([sizes, every[left] + every[right]])
+        fresh = None if capped else base + len(rules)
         s[where] = base + len(rules) + rule
         stay = np.ones(len(s), bool)
         stay[where + 1] = False
