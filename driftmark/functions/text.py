@@ -34,13 +34,41 @@ def clean_value(c: Column | str) -> Column:
 
 def normalise_text(c: Column | str) -> Column:
     """Composed, case-folded, white space collapsed; accents and unit names stay."""
-    folded = unicode.casefolded(composed(clean_value(c)))
+    folded = F.replace(F.translate(F.lower(composed(clean_value(c))), *_FOLDS), F.lit("ß"), F.lit("ss"))
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
+def composition_table() -> str:
+    """A NUL, a character, a mark and the one character that they compose to, for every script."""
+    out = {}
+    for whole in (chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000):
+        parts = unicodedata.normalize("NFD", whole)
+        if len(parts) > 1 and unicodedata.normalize("NFC", whole) == whole:
+            for i in range(1, len(parts)):
+                rest = unicodedata.normalize("NFC", parts[:i] + parts[i + 1 :])
+                if len(rest) == 1 and unicodedata.category(parts[i])[0] == "M" and unicodedata.normalize("NFC", rest + parts[i]) == whole:
+                    out[rest + parts[i]] = whole
+    return "".join(f"\0{pair}{whole}" for pair, whole in sorted(out.items()))
+
+
+_COMPOSED = composition_table()
+#: Characters that folding changes after lower-casing, and what each becomes, where that is one character.
+_FOLDS = tuple("".join(x) for x in zip(*((chr(c), chr(c).casefold()) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).lower() == chr(c) != chr(c).casefold() and len(chr(c).casefold()) == 1), strict=True))
+
+
 def composed(c: Column | str) -> Column:
-    """The text in composed form (NFC)."""
-    return unicode.composed(blank(c))
+    """The text with characters and the marks on them composed, whatever the marks' order, in time linear in the text.
+
+    It is the form for keys, in which an expression stands many times, so it stays small: marks that
+    join no character keep their places. unicode.composed() is the full form (NFC).
+    """
+    text = blank(c)
+    cluster = r"(?s)\P{M}\p{M}{1,30}"
+    pair = lambda done, x: F.instr(F.lit(_COMPOSED), F.concat(F.lit("\0"), F.right(done, F.lit(1)), x))
+    step = lambda done, x: F.when((done != "") & (pair(done, x) > 0), F.concat(F.left(done, F.length(done) - 1), F.substr(F.lit(_COMPOSED), pair(done, x) + 3, F.lit(1)))).otherwise(F.concat(done, x))
+    hits = F.transform(F.regexp_extract_all(text, F.lit(cluster), F.lit(0)), lambda h: F.aggregate(F.split(h, ""), F.lit(""), step))
+    whole = F.array_join(F.zip_with(F.split(text, cluster, -1), hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
+    return F.when(text.rlike(r"\P{M}\p{M}"), whole).otherwise(text)
 
 
 def province_key(c: Column | str) -> Column:

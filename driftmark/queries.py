@@ -415,7 +415,23 @@ def noisy_text(spark, d):
     return synth.noisy(_records(spark, d), "c_custkey", {}, rates).select("c_custkey", "ChuoiDiaChi", "ChuoiDiaChiGoc", "MucDoNhieu", "LoaiNhieu", "SoPhepBienDoi")
 
 
-@query()
+def _spelling(salt: str, letter: str) -> str:
+    return _PICK.format(f"{salt}_spelling", f"'{letter}. ', '{letter}.', '{letter} '")
+
+
+_LOST = f"""WITH {_ADDRESS}, r AS (SELECT c_custkey, house, {_CLEAN.format("trim(replace(street, ',', ''))")} AS street, {_CLEAN.format('ward')} AS ward, 'Quận ' || c_nationkey AS district, {_CLEAN.format("regexp_replace(regexp_replace(city, ' ,$', ''), '^TP\\.', 'Tỉnh')")} AS city, CASE WHEN c_custkey % 2 = 0 THEN 'moi' ELSE 'cu' END AS system FROM a),
+w AS (SELECT *, 0.4::DOUBLE AS a, CASE WHEN system = 'cu' THEN 0.3::DOUBLE ELSE 0 END AS b, 0.2::DOUBLE AS c, 0.1::DOUBLE AS e FROM r),
+k AS (SELECT *, {_U.format('kind')} * (a + b + c + e) AS spot FROM w),
+m AS (SELECT *, CASE WHEN spot < a THEN 'drop_ward' WHEN spot < a + b AND b > 0 THEN 'drop_district' WHEN spot < a + b + c THEN 'drop_housenumber_ward' WHEN spot < a + b + c + e THEN 'drop_housenumber' END AS kind FROM k),
+f AS (SELECT c_custkey, kind, system,
+  CASE WHEN kind LIKE 'drop_housenumber%' THEN '' ELSE house END AS "SoNha", street AS "TenDuong",
+  CASE WHEN kind IN ('drop_ward', 'drop_housenumber_ward') THEN '' WHEN {_U.format('ward_roll')} < 0.6 THEN {_spelling('ward', 'P')} || regexp_replace(ward, '(?i)^phường\\s+', '') WHEN {_U.format('ward_roll')} < 0.6::DOUBLE + 0.1::DOUBLE THEN {_spelling('ward', 'F')} || regexp_replace(ward, '(?i)^phường\\s+', '') WHEN {_U.format('ward_roll')} < 0.6::DOUBLE + 0.1::DOUBLE + 0.15::DOUBLE THEN regexp_replace(ward, '(?i)^phường\\s+', '') ELSE ward END AS "PhuongXa",
+  CASE WHEN system = 'moi' OR kind = 'drop_district' THEN '' WHEN {_U.format('district_roll')} >= 0.75 THEN district ELSE {_spelling('district', 'Q')} || regexp_replace(district, '(?i)^quận\\s+', '') END AS "QuanHuyen",
+  CASE WHEN {_U.format('city_roll')} >= 0.8 THEN city WHEN {_U.format('city_bare')} < 0.6 THEN regexp_replace(city, '(?i)^tỉnh\\s+', '') ELSE {_spelling('city', 'T')} || regexp_replace(city, '(?i)^tỉnh\\s+', '') END AS "TinhThanh" FROM m)
+SELECT c_custkey, array_to_string(list_filter(["SoNha", "TenDuong", "PhuongXa", "QuanHuyen", "TinhThanh"], lambda x: x <> ''), ', ') AS "ChuoiDiaChi", kind AS "KieuThieu", system AS "HeQuyChieu", "SoNha", "TenDuong", "PhuongXa", "QuanHuyen", "TinhThanh" FROM f"""
+
+
+@query(_LOST)
 def missing_fields(spark, d):
     return synth.missing_fields(_records(spark, d), "c_custkey", {}).select("c_custkey", "ChuoiDiaChi", "KieuThieu", "HeQuyChieu", *T.FIELDS)
 
