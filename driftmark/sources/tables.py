@@ -42,7 +42,7 @@ def _spelled(c: str, kind: str) -> Column:
 def merged(lines: DataFrame, target: Path, head: bytes = b"") -> None:
     """One file of the lines (one text column): executors write parts, whose bytes are put together in the order of the rows.
 
-    The file appears under its name when it is whole. No row comes to the driver.
+    The file appears under its name when it is whole. No row comes to the driver. The folder is one that all executors share.
     """
     target.parent.mkdir(parents=True, exist_ok=True)
     parts, whole = target.with_name(f".{target.name}.parts"), target.with_name(f".{target.name}.part")
