@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftmark.functions import unicode
-from driftmark.functions.unicode import let
+from driftmark.functions.unicode import let  # noqa: F401  used as T.let
 
 #: House number, street, ward, district, province.
 FIELDS = ("SoNha", "TenDuong", "PhuongXa", "QuanHuyen", "TinhThanh")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -149,9 +148,9 @@ def neighbourhood(text: Column, most: int) -> Column:
 def close_pairs(df: DataFrame, key: str, id_col: str, column: str, most: int) -> DataFrame:
     """(a, b, distance), a < b: rows with the same key whose texts are at most ``most`` edits apart.
 
-    Texts meet on what deletions leave of them, each text once for all its rows; ids come in at the end.
-    Rows of one text meet under blocks of their ids, so that no task holds all copies of a text. Rows
-    without key, id or text have no pairs. A pair has its row in the result however many copies there are.
+    Texts meet on what deletions leave of them, each text once for all its rows; ids come in at the end,
+    by joins on the text, of which Spark splits one that very many rows share. Rows without key, id or
+    text have no pairs. The result has a row for every pair of rows, so copies of a text give all theirs.
     """
     rows = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(column).alias("t")).dropna()
     texts = ranges.cut(rows.groupBy("k", "t").agg(F.count("*").alias("n")))
