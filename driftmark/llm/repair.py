@@ -49,13 +49,36 @@ def _found(keys, chosen, bits: int = 18):
     return places, at[places].astype("i8")
 
 
-def _apart(where, rule):
-    """Of places next to each other every other one, so that no two overlap."""
+def _apart(where, rule, rank):
+    """Places that do not overlap: of two next to each other the one whose rule ranks before, of a run of one rule every other one."""
     import numpy as np
 
-    run = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1])) if len(where) else np.zeros(0, "i8")
-    odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1
-    return where[odd == 0], rule[odd == 0]
+    near = np.diff(where) == 1
+    met = np.zeros(len(where), bool)
+    met[1:] |= near
+    met[:-1] |= near
+    taken, some = ~met, np.flatnonzero(met)
+    if not len(some):
+        return where, rule
+    place, own = where[some], rule[some]
+    near = np.diff(place) == 1
+    run = np.flatnonzero(np.concatenate([[True], ~near | (own[1:] != own[:-1])]))
+    odd = (np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))) & 1
+    k = 2 * rank[own] + odd
+    open_ = np.ones(len(place), bool)
+    for _ in range(4):  # what is still open then waits for the next round
+        first = near & (k[:-1] < k[1:])  # of two neighbours the left one goes before
+        wins = open_.copy()
+        wins[1:] &= ~first
+        wins[:-1] &= first | ~near
+        taken[some[wins]] = True
+        open_ &= ~wins
+        open_[1:] &= ~(wins[:-1] & near)
+        open_[:-1] &= ~(wins[1:] & near)
+        if not open_.any():
+            break
+        k[~open_] = 2 * len(rank) + 2
+    return where[taken], rule[taken]
 
 
 def compress(ids, ends, base: int, per_round: int = 6144, least: int = 5):
@@ -105,6 +128,9 @@ def compress(ids, ends, base: int, per_round: int = 6144, least: int = 5):
         where = rule = np.zeros(0, "i8")
         if len(often):
             chosen = value[often]
+            ranked = np.lexsort((chosen, -count[often]))
+            rank = np.empty(len(chosen), "i8")
+            rank[ranked] = np.arange(len(chosen))
             places, rule = _found(pair, chosen)
             if fresh is None:
                 own = inner[places]
@@ -112,14 +138,14 @@ def compress(ids, ends, base: int, per_round: int = 6144, least: int = 5):
             else:
                 where = at[places]
             capped |= np.bincount(rule, minlength=len(chosen)).min() == 0  # pairs that shared a slot
-            where, rule = _apart(where, rule)
+            where, rule = _apart(where, rule, rank)
             keep = np.bincount(rule, minlength=len(chosen)) >= least
             if not keep.any():
                 # Others took their places from all of them: the first that has enough by itself is taken alone.
-                for one in np.lexsort((value[often], -count[often])).tolist():
+                for one in ranked.tolist():
                     where = np.flatnonzero(pair == chosen[one])
                     where = where[inner[where]] if fresh is None else at[where]
-                    where, rule = _apart(where, np.full(len(where), one))
+                    where, rule = _apart(where, np.full(len(where), one), rank)
                     if len(where) >= least:
                         keep[one] = True
                         break
