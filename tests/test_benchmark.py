@@ -1,6 +1,5 @@
 """The benchmark from sources to materials, on a small town."""
 
-
 import pytest
 from pyspark.sql import functions as F
 
