@@ -12,92 +12,122 @@ from driftmark.functions import text as T
 from driftmark.operators import order as ranges
 
 
-def _masks(text: str) -> dict[str, int]:
-    """The positions of each character as bits."""
-    at: dict[str, list[int]] = {}
-    for i, c in enumerate(text):
-        at.setdefault(c, []).append(i)
-    out = {}
-    for c, where in at.items():
-        raw = bytearray(len(text) // 8 + 1)
-        for i in where:
-            raw[i >> 3] |= 1 << (i & 7)
-        out[c] = int.from_bytes(raw, "little")
-    return out
-
-
-def _common(masks: dict[str, int], size: int, other: str) -> int:
-    """Length of the longest common subsequence, which bounds what a sequence matcher matches in order."""
-    full = (1 << size) - 1
-    v = full
-    for c in other:
-        if m := masks.get(c):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return size - v.bit_count()
-
-
-def matching(pairs: DataFrame, norms: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs (node, before) whose texts (node, norm) have a matching ratio of at least ``threshold``.
-
-    Most that can never match are told by exact upper bounds of the ratio: lengths, shared characters, the longest common subsequence.
+class Beginnings:
+    """Texts in the order of their coming; ``first`` names the earliest one that another text matches.
+
+    The longest common subsequence bounds what a sequence matcher matches in order. It is found for
+    some hundred texts at once: their characters are bits of one number, each text in bytes of its
+    own with a spare bit, which keeps carries apart. Only what this bound lets pass goes to the matcher.
     """
-    side = lambda n, t: norms.select(F.col("node").alias(n), F.col("norm").alias(t))
-    a, b = F.length("a"), F.length("b")
-    met = pairs.join(side("node", "a"), "node").join(side("before", "b"), "before").where(F.least(a, b) * 2 >= (a + b) * threshold - 1e-9)
 
-    def run(frames):
-        from collections import Counter
+    def __init__(self, threshold: float, bits: int = 1 << 15, held: int = 1 << 20):
+        self.threshold, self.bits, self.held = threshold, bits, held
+        self.texts: list[str] = []
+        self.blocks: list[dict] = []
+        self.prepared: dict = {}
+        self.chars = 0
+
+    def add(self, text: str) -> None:
+        if not self.blocks or 8 * self.blocks[-1]["width"] >= self.bits:
+            self.blocks.append({"first": len(self.texts), "width": 0, "full": 0, "masks": {}, "starts": [], "sizes": []})
+        block = self.blocks[-1]
+        raw: dict[str, bytearray] = {}
+        for i, c in enumerate(text):
+            raw.setdefault(c, bytearray(len(text) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+        at = 8 * block["width"]
+        for c, m in raw.items():
+            block["masks"][c] = block["masks"].get(c, 0) | int.from_bytes(m, "little") << at
+        block["full"] |= ((1 << len(text)) - 1) << at
+        block["starts"].append(block["width"])
+        block["sizes"].append(len(text))
+        block["width"] += len(text) // 8 + 1
+        self.texts.append(text)
+
+    def _common(self, block: dict, text: str):
+        """Length of the longest common subsequence with each text of a block."""
+        import numpy as np
+
+        v, full, masks = block["full"], block["full"], block["masks"]
+        for c in text:
+            if m := masks.get(c):
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+        ones = np.bitwise_count(np.frombuffer(v.to_bytes(block["width"], "little"), "u1")).astype("i8")
+        return np.array(block["sizes"]) - np.add.reduceat(ones, block["starts"])
+
+    def _matcher(self, i: int):
+        """A matcher prepares its second text once; those of up to ``held`` characters are kept."""
         from difflib import SequenceMatcher
 
-        for pdf in frames:
-            keep, last = [], None
-            matcher = SequenceMatcher(None)
-            pdf = pdf.sort_values("b", kind="stable")  # a matcher prepares its second text once
-            for a_, b_ in zip(pdf["a"], pdf["b"], strict=True):
-                if b_ != last:
-                    matcher.set_seq2(b_)
-                    last, own, masks = b_, Counter(b_), _masks(b_)
-                need = threshold * (len(a_) + len(b_)) / 2 - 1e-9
-                near = sum((own & Counter(a_)).values()) >= need and _common(masks, len(b_), a_) >= need
-                if near:
-                    matcher.set_seq1(a_)
-                    near = matcher.ratio() >= threshold
-                keep.append(near)
-            yield pdf.loc[keep, ["node", "before"]]
-
-    return met.select("node", "before", "a", "b").mapInPandas(run, "node long, before long")
-
-
-def prefix_keys(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, key): of each text's numbered characters (the k-th "e", ...) the rarest, under its house number.
-
-    Two texts of n and m characters that match hold threshold * (n + m) / 2 numbered characters in
-    common, and a length m that allows a match makes that at least threshold / (2 - threshold) * n.
-    So all but one less than these, taken from the rarest on, must share one. An empty text has a key of its own.
+        if i not in self.prepared:
+            if self.chars > self.held:
+                self.prepared, self.chars = {}, 0
+            self.prepared[i] = SequenceMatcher(None, "", self.texts[i])
+            self.chars += len(self.texts[i])
+        return self.prepared[i]
+
+    def first(self, text: str) -> int | None:
+        import numpy as np
+
+        for block in self.blocks:
+            sizes = np.array(block["sizes"])
+            need = self.threshold * (sizes + len(text)) / 2 - 1e-9
+            if not (np.minimum(sizes, len(text)) >= need).any():
+                continue
+            for i in np.flatnonzero(self._common(block, text) >= need).tolist():
+                matcher = self._matcher(block["first"] + i)
+                matcher.set_seq1(text)
+                if matcher.ratio() >= self.threshold:
+                    return block["first"] + i
+        return None
+
+
+def settled(rows: DataFrame, threshold: float) -> DataFrame:
+    """(node, norm, house, before): the first beginning that each node matches, null if there is none.
+
+    rows: node, norm, house, slice and role, which is 0 for a beginning, 1 for a node that is only
+    compared and 2 for one that becomes a beginning if it matches none. Each slice of a house number
+    is one group, read in order; a task holds its beginnings only.
     """
-    sign = F.transform(F.filter(F.split("norm", ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    flat = nodes.select("node", "house", F.length("norm").alias("n"), F.explode(sign).alias("x")).select("node", "house", "n", F.col("x.c").alias("c"))
-    often = flat.groupBy("node", "house", "n", "c").agg(F.count("*").alias("k"))
-    marks = ranges.cut(often.select("node", "house", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "k"), lambda k: F.concat(F.col("c"), k.cast("string")))).alias("mark")))
-    rare = marks.groupBy("mark").agg(F.count("*").alias("often"))
-    held = marks.join(rare, "mark").groupBy("node", "house", "n").agg(F.sort_array(F.collect_list(F.struct("often", "mark"))).alias("marks"))
-    size = F.col("n") - F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)) - 1e-9) + 1
-    keys = held.select("node", "house", F.explode(F.slice("marks", F.lit(1), F.greatest(F.lit(1), size).cast("int"))).alias("m"))
-    empty = nodes.where("norm = ''").select("node", "house", F.lit("").alias("mark"))
-    return keys.select("node", "house", F.col("m.mark").alias("mark")).union(empty).select("node", F.xxhash64("house", "mark").alias("key"))
-
-
-def fuzzy_dedup(df: DataFrame, column: str, order: str, threshold: float = 0.82, keep: int = 2, first: int = 64) -> DataFrame:
+    kinds = "node long, norm string, house string, before long"
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, begun, names = None, None, []
+        for batch in batches:
+            out = []
+            for node, norm, house, part, role in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (house, part) != key:
+                    key, begun, names = (house, part), Beginnings(threshold), []
+                at = begun.first(norm) if role else None
+                if role == 0 or (role == 2 and at is None):
+                    begun.add(norm)
+                    names.append(node)
+                    at = len(names) - 1
+                if role:
+                    out.append((node, norm, house, None if at is None else names[at]))
+            if out:
+                types = (pa.int64(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["node", "norm", "house", "before"])
+
+    # Rows are few bytes and much work, so that the number of tasks is not left to their size.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("node", "norm", "house", "slice", "role").repartition(parts, "house", "slice")
+    return dealt.sortWithinPartitions("house", "slice", "role", "node").mapInArrow(run, kinds)
+
+
+def fuzzy_dedup(df: DataFrame, column: str, order: str, threshold: float = 0.82, keep: int = 2, first: int = 64, rows_a_slice: int = 1024) -> DataFrame:
     """The ``keep`` longest distinct texts of each cluster (ties: the lesser text), one column.
 
     A text joins the first cluster, in order, whose first member has the same house number and a
     matching ratio of at least ``threshold``; otherwise it begins one. Texts of one normal form are
-    one node. Nodes that may match share a key. In each round the first nodes of every key, more of
-    them each time, are compared with those before them, and a node whose earlier ones are all
-    settled or do not match begins a cluster; what matches it is settled wherever it stands. At the
-    end each settled node goes to the first beginning that it matches. No task holds a house number
-    or a cluster; rounds follow the longest chain of texts that only wait for each other.
+    one node. In each round the first open nodes of every house number, more of them each time but
+    at most 1000, settle among themselves which of them begin clusters; all other open nodes are
+    compared with these beginnings, and what matches one belongs to the first that it matches, as it
+    matched none of the rounds before. Each node meets each beginning up to its own once, so the
+    work is nodes times beginnings of a house number. A task holds slices of a house number of about
+    ``rows_a_slice`` nodes and the beginnings of a round.
 
     Null texts are left out; empty ones match each other; repeated texts count once.
     """
@@ -105,32 +135,26 @@ def fuzzy_dedup(df: DataFrame, column: str, order: str, threshold: float = 0.82,
     once = ranges.cut(once)
     least = once.groupBy("norm").agg(F.min(F.struct("dm_order", "text")).alias("o")).select("norm", "o.dm_order", "o.text")
     nodes = ranges.cut(ranges.numbered(least, ["dm_order", "text"], "node").select("node", "norm", F.coalesce(T.house_key("norm"), F.lit("")).alias("house")))
-    keys = ranges.cut(prefix_keys(nodes, threshold))
-
-    def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        """Pairs (node, before) of what shares a key."""
-        return later.join(earlier.select(F.col("node").alias("before"), "key"), "key").where("before < node").select("node", "before").distinct()
 
-    open_, beginnings, seen = keys, [], first
+    open_, places, seen = nodes, [], first
     while not open_.isEmpty():
-        ranked = open_.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("node")))
-        tops = ranges.cut(ranked.where(F.col("r") <= seen).select("node", "key"))
-        # A node is looked at once it is among the first of all its keys: all earlier ones that may match it are there, too.
-        ready = ranges.cut(tops.groupBy("node").count().join(open_.groupBy("node").agg(F.count("*").alias("all")), "node").where("count = all").select("node"))
-        waiting = matching(met(tops.join(ready, "node"), tops), nodes, threshold).select("node").distinct()
-        new = ranges.cut(ready.join(waiting, "node", "left_anti"))
-        beginnings.append(new)
-        begun = open_.join(new, "node", "left_semi")
-        left = open_.join(new, "node", "left_anti")
-        settled = matching(met(left, begun), nodes, threshold).select("node").distinct()
-        open_ = ranges.cut(left.join(settled, "node", "left_anti"))
-        seen *= 4
-    if not beginnings:
+        # The limit is known to Spark, which sends no more than these rows of a house number.
+        rank = F.row_number().over(W.partitionBy("house").orderBy("node"))
+        top = open_.withColumn("r", rank).where(F.col("r") <= seen).drop("r")
+        tops = ranges.cut(settled(top.withColumns({"slice": F.lit(0), "role": F.lit(2)}), threshold))
+        begun = tops.where("node = before").drop("before")
+        rest = open_.join(tops.select("node"), "node", "left_anti")
+        large = F.broadcast(rest.groupBy("house").agg(F.ceil(F.count("*") / rows_a_slice).cast("int").alias("slices")).where("slices > 1"))
+        slices = F.coalesce("slices", F.lit(1))
+        each = begun.join(large, "house", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).withColumn("role", F.lit(0))
+        some = rest.join(large, "house", "left").withColumn("slice", F.pmod(F.xxhash64("node"), slices).cast("int")).withColumn("role", F.lit(1))
+        met = ranges.cut(settled(each.unionByName(some), threshold))
+        places += [tops.select("node", "before"), met.where("before is not null").select("node", "before")]
+        open_ = met.where("before is null").drop("before")
+        seen = min(4 * seen, 1000)
+    if not places:
         return df.select(column).where("false")
-    begun = keys.join(reduce(DataFrame.union, beginnings), "node", "left_semi")
-    joined = matching(met(keys.join(begun.select("node").distinct(), "node", "left_anti"), begun), nodes, threshold).groupBy("node").agg(F.min("before").alias("cluster"))
-    places = begun.select("node", F.col("node").alias("cluster")).distinct().union(joined)
-    members = once.join(nodes.select("norm", "node"), "norm").join(places, "node")
+    members = once.join(nodes.select("norm", "node"), "norm").join(reduce(DataFrame.union, places).withColumnRenamed("before", "cluster"), "node")
     rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc(F.length("text")), "text"))
     return members.select("text", rank.alias("r")).where(F.col("r") <= keep).select(F.col("text").alias(column))
 
