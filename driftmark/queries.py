@@ -770,7 +770,7 @@ def case_projection_proof(spark, d):
     r = _raw_of(p)
     picked = cases.select(p, r, 3)
     edited = picked.withColumn("GhiChu", F.when((F.col("CongCu") == "even") & (F.col("Dataset") == "D01"), "edited").otherwise(F.col("GhiChu")))
-    return cases.proof(edited, p, r)
+    return cases.proof(edited, p, r, checked=True)  # by select, on the same tables
 
 
 _RAW_SQL = "q AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN house || ', ' || trim(street) || ward || ', ' || 'Q. ' || c_nationkey || ', ' || city WHEN 1 THEN house || ' ' || trim(street) || city WHEN 2 THEN trim(street) || ward || ';' || city WHEN 3 THEN trim(street) || ward || ', ' || district || chr(10) || city WHEN 4 THEN ' , ' ELSE c_custkey || ', Road, ' || ward || ', Quan 1, ' || city END AS raw FROM a)"

@@ -5,7 +5,9 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from driftmark.operators import receipts
+from pyspark.sql import functions as F
+
+from driftmark.operators import cases, receipts
 
 
 def test_beginnings_name_the_first_match():
@@ -54,3 +56,24 @@ def _read(spark, after: int = -1) -> tuple[int, int]:
     stages = store.stageList(new(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), new())
     found = [(s.stageId(), s.shuffleReadRecords()) for s in map(stages.apply, range(stages.size())) if s.stageId() > after]
     return max((s for s, _ in found), default=after), sum(n for _, n in found)
+
+
+def test_proof_makes_only_the_cases_predictions(spark):
+    """Of 2,000 predictions only those with the ID of a case are joined and compared; what is no projection is found."""
+    rows = [(f"D0{i % 3}_{i:05d}", "ab"[i % 2], f"x{i}", "{}", "{}", "ERROR" if i % 5 else "CORRECT", "parse_boundary_error" if i % 5 else "none", "NONE", "") for i in range(2000)]
+    p = spark.createDataFrame(rows, "ID string, CongCu string, DiaChiGoc string, TruongDuDoan string, TruongDung string, DungSai string, LoaiLoi string, TinhHuongMoHo string, GhiChu string")
+    raw = p.select(F.col("ID").alias("id"), F.col("CongCu").alias("tool"), F.col("DiaChiGoc").alias("input"), F.lit("success").alias("status"))
+    last, _ = _read(spark)
+    picked = cases.select(p, raw, 3)
+    want = sorted({(r[0][:3], r[1]): [] for r in rows})
+    assert [r[0] for r in picked.select("ID").collect()] == [x for d, t in want for x in sorted(r[0] for r in rows if r[0][:3] == d and r[1] == t and r[6] != "none")[:3]]
+    edited = picked.withColumn("GhiChu", F.when(F.col("CongCu") == "a", "edited").otherwise(F.col("GhiChu")))
+    odd = cases.proof(edited, p, raw, checked=True).collect()
+    assert sorted(r["key"] for r in odd) == sorted(f"{r['ID']}|a" for r in picked.collect() if r["CongCu"] == "a") and len(odd) == 9
+    assert _read(spark, last)[1] < 3 * len(rows) + 2000
+
+
+def test_traceability_of_null_and_equal_inputs(spark):
+    p = spark.createDataFrame([("1", "t", "x"), ("2", "t", None), ("3", "t", None), ("4", "t", "x"), ("5", "t", "x"), ("5", "t", "x"), ("6", "t", "x")], "ID string, CongCu string, DiaChiGoc string")
+    raw = spark.createDataFrame([("1", "t", "x"), ("2", "t", None), ("3", "t", "y"), ("4", "t", "y"), ("5", "t", "x"), ("7", "t", "x")], "id string, tool string, input string")
+    assert sorted(map(tuple, cases.untraceable(p, raw).collect())) == [("raw_response", "4|t"), ("raw_response", "6|t"), ("raw_response", "7|t"), ("unique", "5|t")]
