@@ -53,27 +53,36 @@ def attached(df: DataFrame, key: str, stats: DataFrame, weight: str, total: int,
     return held.unionByName(rest)
 
 
+def _degrees(once: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """(old, out_degree) and (new, in_degree) of distinct pairs."""
+    return once.groupBy(old).agg(F.count("*").alias("out_degree")), once.groupBy(new).agg(F.count("*").alias("in_degree"))
+
+
 def _with_degrees(once: DataFrame, old: str, new: str) -> DataFrame:
-    """once (distinct pairs) with both degrees, which are partial aggregates joined back, and their relation."""
-    once = order.cut(once)
+    """once (distinct pairs, written down) with both degrees, which are partial aggregates joined back, and their relation."""
     total = once.count()
-    out = once.groupBy(old).agg(F.count("*").alias("out_degree"))
-    into = once.groupBy(new).agg(F.count("*").alias("in_degree"))
+    out, into = _degrees(once, old, new)
     both = attached(attached(once, old, out, "out_degree", total), new, into, "in_degree", total)
     return both.withColumn("relation", relation(F.col("out_degree"), F.col("in_degree")))
 
 
 def classified(edges: DataFrame, old: str, new: str) -> DataFrame:
     """Distinct (old, new) pairs with both degrees and their relation."""
-    return _with_degrees(edges.select(old, new).distinct(), old, new)
+    return _with_degrees(order.cut(edges.select(old, new).distinct()), old, new)
 
 
 def summary(edges: DataFrame, old: str, new: str) -> DataFrame:
-    """One row: edge rows, old units, new units, and edges of each relation. One scan."""
-    rel = _with_degrees(edges.groupBy(old, new).agg(F.count("*").alias("dm_rows")), old, new)
+    """One row: edge rows, old units, new units, and edges of each relation. One scan.
+
+    Units are the rows of the degrees: counted as distinct values, each edge would stand in three rows at once.
+    """
+    once = order.cut(edges.groupBy(old, new).agg(F.count("*").alias("dm_rows")))
     n = lambda r: F.count_if(F.col("relation") == r)
     rows = F.coalesce(F.sum("dm_rows"), F.lit(0)).alias("atomic_edges")
-    return rel.agg(rows, F.count_distinct(old).alias("old_units"), F.count_distinct(new).alias("new_units"), n("1-1").alias("one_to_one_edges"), n("1-N").alias("one_to_many_edges"), n("N-1").alias("many_to_one_edges"), n("M-N").alias("many_to_many_edges"))
+    kinds = _with_degrees(once, old, new).agg(rows, n("1-1").alias("one_to_one_edges"), n("1-N").alias("one_to_many_edges"), n("N-1").alias("many_to_one_edges"), n("M-N").alias("many_to_many_edges"))
+    out, into = _degrees(once, old, new)
+    units = out.agg(F.count(old).alias("old_units")).crossJoin(into.agg(F.count(new).alias("new_units")))
+    return kinds.crossJoin(units).select("atomic_edges", "old_units", "new_units", "one_to_one_edges", "one_to_many_edges", "many_to_one_edges", "many_to_many_edges")
 
 
 def targets_for_old(edges: DataFrame, old: str, new: str) -> DataFrame:
@@ -134,7 +143,7 @@ def resolve_target(records: DataFrame, edges: DataFrame, province: str, *wards:
 def edge_of(records: DataFrame, edges: DataFrame, province: str, district: str, ward: str) -> DataFrame:
     """records with ``edge``: the mapping row from the old unit to ``target`` by names, with its relation, or null. The last row of an edge counts."""
     last = edges.groupBy("old_key", "new_key").agg(F.max_by(F.struct("new_province", "new_ward", "code", "merger_form"), "ord").alias("dm_e"))
-    rel = _with_degrees(last, "old_key", "new_key")
+    rel = _with_degrees(order.cut(last), "old_key", "new_key")
     side = rel.select(F.col("old_key").alias("dm_o"), F.col("new_key").alias("dm_n"), F.struct("dm_e.new_province", "dm_e.new_ward", "dm_e.code", "dm_e.merger_form", "relation").alias("edge"))
     old = F.struct(T.province_key(province).alias("p"), T.normalise_text(district).alias("d"), T.normalise_text(ward).alias("w"))
     return records.join(side, (old == F.col("dm_o")) & (F.col("target.new_key") == F.col("dm_n")), "left").drop("dm_o", "dm_n")

@@ -1,13 +1,14 @@
 """Work that must grow no faster than the input: each test fails where it does not."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from driftmark.operators import cases, receipts
+from driftmark.operators import cases, graph, receipts
 
 
 def test_beginnings_name_the_first_match():
@@ -77,3 +78,15 @@ def test_traceability_of_null_and_equal_inputs(spark):
     p = spark.createDataFrame([("1", "t", "x"), ("2", "t", None), ("3", "t", None), ("4", "t", "x"), ("5", "t", "x"), ("5", "t", "x"), ("6", "t", "x")], "ID string, CongCu string, DiaChiGoc string")
     raw = spark.createDataFrame([("1", "t", "x"), ("2", "t", None), ("3", "t", "y"), ("4", "t", "y"), ("5", "t", "x"), ("7", "t", "x")], "id string, tool string, input string")
     assert sorted(map(tuple, cases.untraceable(p, raw).collect())) == [("raw_response", "4|t"), ("raw_response", "6|t"), ("raw_response", "7|t"), ("unique", "5|t")]
+
+
+def test_graph_summary_counts_units_without_copies_of_edges(spark):
+    """Units are counted with no row made more than once for an edge, repeated edges and hubs included; an empty table gives zeros."""
+    pairs = [(i % 40, i % 7 + 100) for i in range(300)] + [(1, i) for i in range(500, 900)] + [(i, 7) for i in range(2000, 2300)] + [(5000, 5001)]
+    df = spark.createDataFrame(pairs, "old long, new long")
+    out = graph.summary(df, "old", "new")
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    once, o, i = set(pairs), Counter(p for p, _ in set(pairs)), Counter(q for _, q in set(pairs))
+    kind = Counter((o[p] > 1, i[q] > 1) for p, q in once)
+    assert tuple(out.first()) == (len(pairs), len(o), len(i), kind[False, False], kind[True, False], kind[False, True], kind[True, True])
+    assert tuple(graph.summary(df.where("false"), "old", "new").first()) == (0,) * 7
