@@ -184,9 +184,10 @@ def start(seed: int = 5, width: int = WIDTH) -> dict:
 def _soft(z):
     import numpy as np
 
-    z -= z.max(1, keepdims=True)
+    if z.max() > 60 or z.min() < -60:  # rare, as tanh bounds what feeds the logits
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= (1 / (z @ np.ones(z.shape[1], "f4")))[:, None]
     return z
 
 
@@ -218,10 +219,9 @@ class Trainer:
         k, r = t // width, t % width
         w = m["w"].reshape(len(PLACES), DIM, HIDDEN)
         ctx = [flat[at + p] for p in PLACES]
-        h = (m["e"] @ w[0])[ctx[0]]
+        h = np.take(m["e"] @ w[0] + m["b"], ctx[0], axis=0)
         for i in range(1, len(PLACES)):
-            h += (m["e"] @ w[i])[ctx[i]]
-        h += m["b"]
+            h += np.take(m["e"] @ w[i], ctx[i], axis=0)
         np.tanh(h, out=h)
         g = {key: np.zeros_like(v) for key, v in m.items()}
         pc = _soft(h @ m["c"] + m["cb"])
@@ -247,7 +247,7 @@ class Trainer:
             order = np.argsort(symbols.astype(small), kind="stable")
             own = symbols[order]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sums, seen = np.add.reduceat(dh[order], first, axis=0), own[first]
+            sums, seen = np.add.reduceat(np.take(dh, order, axis=0), first, axis=0), own[first]
             gw[i] = m["e"][seen].T @ sums
             g["e"][seen] += sums @ w[i].T
         for key, v in m.items():
@@ -277,9 +277,9 @@ class Network:
         t = flat[places]
         order = np.argsort(t.astype("u2" if width <= 256 else "u4"), kind="stable")
         at, t = places[order], t[order]
-        h = self.table[0][flat[at + PLACES[0]]]
+        h = np.take(self.table[0], flat[at + PLACES[0]], axis=0)
         for i in range(1, len(PLACES)):
-            h += self.table[i][flat[at + PLACES[i]]]
+            h += np.take(self.table[i], flat[at + PLACES[i]], axis=0)
         h += self.m["b"]
         np.tanh(h, out=h)
         n = len(t)
